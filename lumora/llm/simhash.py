@@ -72,7 +72,7 @@ def links(prints: DataFrame, distance: int = 2, segments: int = 2) -> DataFrame:
     part = [F.shiftrightunsigned("fp", width * (segments - 1 - i)).bitwiseAND(F.lit(mask)) for i in range(segments)]
     filed = F.array(*[F.struct(F.lit(i).alias("seg"), part[i].alias("key")) for i in range(segments)])
     balls = [
-        F.transform(F.array(*[F.lit(m).cast("long") for m in ball(r)]), lambda m, i=i: F.struct(F.lit(i).alias("seg"), part[i].bitwiseXOR(m).alias("key")))
+        F.array(*[F.struct(F.lit(i).alias("seg"), part[i].bitwiseXOR(F.lit(m).cast("long")).alias("key")) for m in ball(r)])
         for i, r in enumerate(radii)
     ]
     tables = prints.select(F.col("fp").alias("fp_b"), F.col("rep").alias("b"), F.explode(filed).alias("k")).select("fp_b", "b", "k.seg", "k.key")
