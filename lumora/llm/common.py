@@ -39,23 +39,24 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def running_total(
-    df: DataFrame, group: list[str], order: list[Column], value: Column, out: str, spread: Column, buckets: int = 1024
-) -> DataFrame:
+def hash_bucket(h: Column, bits: int = 10) -> Column:
+    """The leading ``bits`` of a 64-bit hash: ranges in the order of the hash itself."""
+    return F.shiftright(h, 64 - bits)
+
+
+def running_total(df: DataFrame, group: list[str], bucket: Column, order: list[Column], value: Column, out: str) -> DataFrame:
     """Adds ``out``, the sum of ``value`` over the rows before this one of its group, without one task per group.
 
-    Rows are ordered by the hash ``spread`` first, then by ``order``. A group is cut by the hash into ``buckets``
-    ranges; each range is summed alone and shifted by the total of the ranges before it, so a group that holds a
-    third of all rows is spread over many tasks.
+    ``bucket`` is an integer that never falls along ``order``. Each (group, bucket) is summed alone and shifted by
+    the total of the buckets before it, so a group that holds a third of all rows is spread over many tasks; only
+    one row per bucket meets in a group's window. Null groups are groups of their own.
     """
-    width = (1 << 63) // (buckets // 2)
-    cut = df.withColumn("_v", value).withColumn("_b", F.floor(spread / F.lit(float(width))).cast("int")).withColumn("_h", spread)
+    cut = df.withColumn("_v", value).withColumn("_b", bucket)
     keys = [*group, "_b"]
-    totals = cut.groupBy(*keys).agg(F.sum("_v").alias("_t"))
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.withColumn("_shift", F.coalesce(F.sum("_t").over(before), F.lit(0))).drop("_t")
-    inside = Window.partitionBy(*keys).orderBy("_h", *order).rowsBetween(Window.unboundedPreceding, -1)
-    cut = cut.withColumn("_own", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
-    on = [cut[k].eqNullSafe(totals[k]) for k in keys]
-    joined = cut.join(totals, on, "left").select(*[cut[c] for c in cut.columns], totals["_shift"])
-    return joined.withColumn(out, (F.col("_shift") + F.col("_own")).cast("long")).drop("_v", "_b", "_h", "_own", "_shift")
+    totals = cut.groupBy(*keys).agg(F.sum("_v").alias("_t"))
+    totals = totals.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_s"))
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumn("_o", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    return cut.join(totals, same, "left").select(*df.columns, (F.col("_s") + F.col("_o")).cast("long").alias(out))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from lumora.llm.mixing import op6_mix_sources
+from lumora.llm.packing import op1_pack_lengths
 from lumora.llm.simhash import op9_simhash_near_dedup
 
 QUERIES = {
+    "op1_pack_lengths": op1_pack_lengths,
+    "op6_mix_sources": op6_mix_sources,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
