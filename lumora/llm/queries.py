@@ -5,11 +5,14 @@ from __future__ import annotations
 from lumora.llm.mixing import op6_mix_sources
 from lumora.llm.packing import op1_pack_lengths
 from lumora.llm.simhash import op9_simhash_near_dedup
+from lumora.llm.urls import op3_url_filter
+from lumora.llm import urls
 
 QUERIES = {
+    "op3_url_filter": op3_url_filter,
     "op1_pack_lengths": op1_pack_lengths,
     "op6_mix_sources": op6_mix_sources,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_url_filter": urls.oracle()}
