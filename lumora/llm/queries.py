@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lumora.llm.langid import op4_language_id
 from lumora.llm.mixing import op6_mix_sources
 from lumora.llm.packing import op1_pack_lengths
 from lumora.llm.simhash import op9_simhash_near_dedup
@@ -9,6 +10,7 @@ from lumora.llm.urls import op3_url_filter
 from lumora.llm import urls
 
 QUERIES = {
+    "op4_language_id": op4_language_id,
     "op3_url_filter": op3_url_filter,
     "op1_pack_lengths": op1_pack_lengths,
     "op6_mix_sources": op6_mix_sources,
