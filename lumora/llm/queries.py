@@ -6,11 +6,13 @@ from lumora.llm.langid import op4_language_id
 from lumora.llm.mixing import op6_mix_sources
 from lumora.llm.packing import op1_pack_lengths
 from lumora.llm.pii import op5_personal_data
+from lumora.llm.rabitq import op8_embedding_near_dedup
 from lumora.llm.simhash import op9_simhash_near_dedup
 from lumora.llm.urls import op3_url_filter
 from lumora.llm import urls
 
 QUERIES = {
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op5_personal_data": op5_personal_data,
     "op4_language_id": op4_language_id,
     "op3_url_filter": op3_url_filter,
