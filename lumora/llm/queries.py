@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lumora.llm.ann import op10_ann_graph
 from lumora.llm.langid import op4_language_id
 from lumora.llm.mixing import op6_mix_sources
 from lumora.llm.packing import op1_pack_lengths
@@ -12,6 +13,7 @@ from lumora.llm.urls import op3_url_filter
 from lumora.llm import urls
 
 QUERIES = {
+    "op10_ann_graph": op10_ann_graph,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op5_personal_data": op5_personal_data,
     "op4_language_id": op4_language_id,
