@@ -9,10 +9,12 @@ from lumora.llm.packing import op1_pack_lengths
 from lumora.llm.pii import op5_personal_data
 from lumora.llm.rabitq import op8_embedding_near_dedup
 from lumora.llm.simhash import op9_simhash_near_dedup
+from lumora.llm.styletree import op7_main_text
 from lumora.llm.urls import op3_url_filter
 from lumora.llm import urls
 
 QUERIES = {
+    "op7_main_text": op7_main_text,
     "op10_ann_graph": op10_ann_graph,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op5_personal_data": op5_personal_data,
