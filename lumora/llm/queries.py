@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lumora.llm.ann import op10_ann_graph
 from lumora.llm.langid import op4_language_id
+from lumora.llm.licenses import op2_license_scan
 from lumora.llm.mixing import op6_mix_sources
 from lumora.llm.packing import op1_pack_lengths
 from lumora.llm.pii import op5_personal_data
@@ -11,9 +12,10 @@ from lumora.llm.rabitq import op8_embedding_near_dedup
 from lumora.llm.simhash import op9_simhash_near_dedup
 from lumora.llm.styletree import op7_main_text
 from lumora.llm.urls import op3_url_filter
-from lumora.llm import urls
+from lumora.llm import licenses, urls
 
 QUERIES = {
+    "op2_license_scan": op2_license_scan,
     "op7_main_text": op7_main_text,
     "op10_ann_graph": op10_ann_graph,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
@@ -25,4 +27,4 @@ QUERIES = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {"op3_url_filter": urls.oracle()}
+ORACLES: dict[str, str] = {"op2_license_scan": licenses.oracle(), "op3_url_filter": urls.oracle()}
