@@ -257,7 +257,7 @@ def redacted(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
             found = find([t or "" for t in texts], shared.value)
             yield pd.Series([t if t is None else redact(t, every) for t, (_, every) in zip(texts, found)], dtype=object)
 
-    clean = F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)
+    clean = F.pandas_udf(run, "string")
     out = docs.withColumn("text", clean(F.col("text").cast("string")))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 

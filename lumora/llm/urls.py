@@ -81,7 +81,7 @@ def judged(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, st
         for urls in batches:
             yield pd.DataFrame([count_terms(u, a) for u in urls], columns=["n_strict", "n_soft"])
 
-    counted = F.pandas_udf(run, "n_strict int, n_soft int", F.PandasUDFType.SCALAR_ITER)
+    counted = F.pandas_udf(run, "n_strict int, n_soft int")
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"))
     rows = rows.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), counted("url").alias("terms"))
     rule, action = rule_for(F.col("host"), F.col("path"), rules)
