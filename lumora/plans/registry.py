@@ -2,5 +2,17 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from lumora.plans import (  # noqa: F401  importing registers
+    boxes,
+    composites,
+    intervals,
+    library,
+    measures,
+    scalars,
+    similarity,
+    streams,
+    voices,
+)
+from lumora.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
