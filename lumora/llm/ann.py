@@ -23,7 +23,7 @@ def beam_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: int, bea
     ``graph`` holds each point's out-neighbours (-1: none). All queries advance together; each step follows the
     edges of a query's ``at_once`` best points not followed yet, until every point of its beam is followed.
     """
-    n, rows = len(x), np.arange(len(q))[:, None]
+    n, rows, at_once = len(x), np.arange(len(q))[:, None], min(at_once, beam)
     ids = np.full((len(q), beam), -1, np.int32)
     near = np.full((len(q), beam), -np.inf, np.float32)
     done = np.ones((len(q), beam), bool)

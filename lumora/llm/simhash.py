@@ -49,6 +49,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInPandas(run, "doc_id long, fp long")
 
 
+def _signed(x: int) -> int:
+    """A 64-bit pattern as the bigint that has it."""
+    return x - (1 << 64) if x >> 63 else x
+
+
 def links(prints: DataFrame, distance: int = 2, segments: int = 2) -> DataFrame:
     """(a, b): representatives of two distinct fingerprints that differ in 1 to ``distance`` bits.
 
@@ -61,7 +66,7 @@ def links(prints: DataFrame, distance: int = 2, segments: int = 2) -> DataFrame:
         raise ValueError("segments must divide 64 and be at most distance + 1")
     width = 64 // segments
     radii = [(distance + 1) // segments - 1 + (i < (distance + 1) % segments) for i in range(segments)]
-    mask = (1 << width) - 1
+    mask = _signed((1 << width) - 1)
 
     def ball(radius: int) -> list[int]:
         found = {0}
@@ -72,7 +77,7 @@ def links(prints: DataFrame, distance: int = 2, segments: int = 2) -> DataFrame:
     part = [F.shiftrightunsigned("fp", width * (segments - 1 - i)).bitwiseAND(F.lit(mask)) for i in range(segments)]
     filed = F.array(*[F.struct(F.lit(i).alias("seg"), part[i].alias("key")) for i in range(segments)])
     balls = [
-        F.array(*[F.struct(F.lit(i).alias("seg"), part[i].bitwiseXOR(F.lit(m).cast("long")).alias("key")) for m in ball(r)])
+        F.array(*[F.struct(F.lit(i).alias("seg"), part[i].bitwiseXOR(F.lit(_signed(m)).cast("long")).alias("key")) for m in ball(r)])
         for i, r in enumerate(radii)
     ]
     tables = prints.select(F.col("fp").alias("fp_b"), F.col("rep").alias("b"), F.explode(filed).alias("k")).select("fp_b", "b", "k.seg", "k.key")
