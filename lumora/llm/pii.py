@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm.common import read
+from lumora.llm.common import read, sampled
 from lumora.llm.tagger import PAD, Tagger, char_ids
 
 KINDS = ("email", "ip", "card", "phone")
@@ -131,7 +131,7 @@ def training_windows(texts: list[str], seed: int = 7, of_each: int = 400) -> tup
 def fit(docs: DataFrame, rows: int = 400, steps: int = 300) -> Tagger | None:
     """A tagger trained on the driver from a bounded sample: the ``rows`` documents with a digit or @ whose id hashes
     lowest, labelled by the patterns. None if they hold no span."""
-    sample = docs.where(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("text").toPandas()
+    sample = sampled(docs.where(F.col("text").rlike("[0-9@]")).select("doc_id", "text"), rows).toPandas()
     x, y = training_windows(sample["text"].tolist())
     if not (y > 0).any():
         return None

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm.common import read
+from lumora.llm.common import checkpointed, read
 from lumora.llm.htmltree import Page, parse
 from lumora.llm.urls import host_of
 
@@ -20,6 +20,8 @@ LEAST_PAGES, LOW, GAMMA = 3, 0.5, 0.9
 #: Elements of an article that are its text whatever they repeat, unless they have a class or an id.
 PROSE = frozenset("article main p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre table tbody thead tr td th figure figcaption section div header".split())
 PAGES, LOOKS, CONTENT = 0, 1, 2
+#: Low nodes (some 16 bytes each) that are broadcast at most, and parts of a host's pages beyond that.
+BROADCAST_NODES, SALTS = 500_000, 64
 
 
 def _features(page: Page) -> set[tuple[int, int, int]]:
@@ -102,10 +104,13 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars), one row per row of ``pages`` (page_id, url, html).
 
     Null and empty html give an empty text. A null url belongs to no site, so only the page's own markup decides.
-    Repeated rows count as pages of their site each. The low nodes of a host go to its pages in one join.
+    Repeated rows count as pages of their site each. The low nodes of all hosts, counted first, are broadcast up to
+    BROADCAST_NODES; beyond, hosts are dealt over SALTS parts each, so no host's pages meet in one task.
     """
     rows = pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string")).withColumn("host", host_of(F.col("url")))
     low = style_tree(rows, least_pages).where(F.col("importance") < LOW)
+    low = checkpointed(low)
+    few = low.count() <= BROADCAST_NODES
     low = low.groupBy(F.col("host").alias("_h")).agg(F.collect_list("path").alias("paths"), F.collect_list("importance").alias("values"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,7 +121,13 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
             ]
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": [len(t) for t in text]})
 
-    joined = rows.join(low, rows["host"] == low["_h"], "left").select("page_id", "url", "html", "paths", "values")
+    if few:
+        joined = rows.join(F.broadcast(low), rows["host"] == low["_h"], "left")
+    else:
+        low = low.withColumn("_z", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = rows.withColumn("_s", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int"))
+        joined = salted.join(low, (salted["host"] == low["_h"]) & (salted["_s"] == low["_z"]), "left")
+    joined = joined.select("page_id", "url", "html", "paths", "values")
     return joined.mapInPandas(run, "page_id long, url string, text string, n_chars long")
 
 

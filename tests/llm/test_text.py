@@ -406,3 +406,9 @@ def test_near_dedup_stage_keeps_one_of_repeated_rows(spark):
     rows = [(1, "a b c d e", "en", "s", 9), (1, "a b c d e", "en", "s", 9), (2, "a b c d e", "en", "s", 9), (None, "z", "en", "s", 1), (3, None, None, None, None), (4, "", "en", "s", 0)]
     got = p.near_dedup(spark, spark.createDataFrame(rows, DOC), "").collect()
     assert sorted((str(r["doc_id"]) for r in got)) == ["1", "3", "None"]
+
+
+def test_extraction_is_the_same_without_a_broadcast(spark, monkeypatch):
+    want = sorted(map(str, styletree.main_text(site(spark)).collect()))
+    monkeypatch.setattr(styletree, "BROADCAST_NODES", 0)
+    assert sorted(map(str, styletree.main_text(site(spark)).collect())) == want
