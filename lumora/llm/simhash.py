@@ -90,9 +90,9 @@ def links(prints: DataFrame, distance: int = 2, segments: int = 2) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 2) -> DataFrame:
     """(doc_id, fp, component_id) per row of ``docs``.
 
-    component_id is the smallest id reachable over links of at most ``distance`` differing bits. Rows with a null
-    id form links like any other and get a component through the ids they reach (null if there is none). Repeated
-    rows keep one output row each. An empty table gives an empty result.
+    component_id is the smallest id reachable over links of at most ``distance`` differing bits. A row with a null
+    id has the component of the rows with its fingerprint; a fingerprint that only null ids have links with nothing
+    and has no component. Repeated rows keep one output row each. An empty table gives an empty result.
     """
     rows = checkpointed(fingerprints(docs, id_col, text_col))
     prints = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("rep")))
