@@ -1,0 +1,145 @@
+"""Near-duplicates by the Jaccard similarity of word shingles: min-hash bands for candidates, exact sets to verify."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lumora.llm.common import checkpointed
+from lumora.llm.graph import components
+
+#: Min-hashes in a band. With 4, a pair at 0.8 meets in a band with probability 0.41.
+BAND = 4
+#: Highest probability that a pair at the threshold meets in no band.
+MISS = 1e-6
+#: Most bits of the filter that spares texts in no pair; with more ids it lets more texts through, and loses none.
+FILTER_BITS = 1 << 25
+
+
+def bands_for(least: float, miss: float = MISS) -> int:
+    """Bands that leave a pair of similarity ``least`` unmet with probability at most ``miss``."""
+    return 1 if least >= 1 else int(np.ceil(np.log(miss) / np.log1p(-(least**BAND))))
+
+
+def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles; none when there is no word.
+
+    Words as in ``simhash.fingerprint``: A-Z is lower-cased, words end at ASCII white space; fewer words than
+    ``width`` make one shingle.
+    """
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    digest, joined, n = xxhash.xxh64_intdigest, b" ".join(words), len(words)
+    if n <= width:
+        return np.array([digest(joined, seed)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
+    starts = np.concatenate(([0], ends[:-1]))[: n - width + 1].tolist()
+    stops = (ends - 1)[width - 1 :].tolist()
+    return np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops)], np.uint64))
+
+
+def band_keys(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[int]:
+    """A hash of each band of ``BAND`` min-hashes of the set ``s`` under x -> a x + b."""
+    least = np.full(len(a), np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(s), 1024):
+        np.minimum(least, (s[i : i + 1024] * a[:, None] + b[:, None]).min(1), out=least)
+    return [xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(least.reshape(-1, BAND))]
+
+
+def signed(x: list[int]) -> np.ndarray:
+    return np.array(x, np.uint64).view(np.int64)
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) per row of ``docs``.
+
+    component_id is the smallest id reachable over links of texts whose sets of ``width``-word shingles have a Jaccard
+    similarity of at least ``least``, and of rows that share an id. Rows with one set are one vertex; texts without a
+    word have one set. A row with a null id links its set's neighbours to nothing: a set that only null ids have has
+    no vertex and no component.
+    """
+    n_bands = bands_for(least)
+    rng = np.random.default_rng(7)
+    a = rng.integers(0, 1 << 63, n_bands * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
+    b = rng.integers(0, 1 << 63, n_bands * BAND, np.uint64)
+    name = lambda s: xxhash.xxh64_intdigest(s.tobytes(), 1)
+
+    def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            sets = [shingles(x, width) for x in t["text"]]
+            keys = [signed(band_keys(s, a, b)) if len(s) else np.empty(0, np.int64) for s in sets]
+            yield pd.DataFrame({"doc_id": t["doc_id"], "v": signed([name(s) for s in sets]), "n": [len(s) for s in sets], "keys": keys})
+
+    def contents(marks: np.ndarray):
+        """The sets of the texts whose ids are marked: (v, s)."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for t in batches:
+                at = t["at"].to_numpy()
+                sets = [shingles(x, width) for x in t["text"][(marks[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]]
+                yield pd.DataFrame({"v": signed([name(s) for s in sets]), "s": [s.tobytes() for s in sets]})
+
+        return run
+
+    def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in batches:
+            x, y = ([np.frombuffer(s, np.uint64) for s in p[c]] for c in ("s_a", "s_b"))
+            both = [len(np.intersect1d(s, t, assume_unique=True)) for s, t in zip(x, y)]
+            near = np.array([k >= least * (len(s) + len(t) - k) - 1e-9 for k, s, t in zip(both, x, y)], bool)
+            yield p.loc[near, ["a", "b"]]
+
+    rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = checkpointed(rows_in.mapInPandas(signatures, "doc_id long, v long, n long, keys array<long>"))
+    vertices = checkpointed(rows.where("doc_id IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    filed = vertices.select("v", "n", F.explode("keys").alias("key"))
+    hubs = filed.groupBy("key").agg(F.min(F.struct("n", "v")).alias("h"), F.count("*").alias("k")).where("k > 1")
+    # the rows of keys that several vertices share: the only ones that can have a pair
+    filed = checkpointed(filed.join(hubs.select("key", "h"), "key").select("key", "v", "n", F.col("h.v").alias("hub"), F.col("h.n").alias("hub_n")))
+
+    def sized(x: str, y: str):
+        return F.least(x, y) >= least * F.greatest(F.col(x), F.col(y)) - 1e-9
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of vertices that are similar; only texts of vertices in a pair are read again."""
+        pairs = checkpointed(pairs.distinct())
+        ends = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
+        reps = checkpointed(vertices.join(ends, "v", "left_semi").select(F.col("rep").alias("doc_id")).distinct())
+        bits = min(FILTER_BITS, max(64, 1 << (16 * reps.count()).bit_length()))
+        at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+        marks = np.zeros(bits // 8, np.uint8)
+        # one row per 8,192 places of the filter that hold an id
+        places = reps.select(at.alias("at")).groupBy(F.expr("at div 8192").alias("k")).agg(F.collect_set(F.expr("int(at % 8192)")).alias("p"))
+        for r in places.toLocalIterator():
+            p = np.array(r["p"], np.int64) + r["k"] * 8192
+            np.bitwise_or.at(marks, p >> 3, np.left_shift(1, p & 7).astype(np.uint8))
+        texts = rows_in.where("doc_id IS NOT NULL").select(at.alias("at"), "text").mapInPandas(contents(marks), "v long, s binary")
+        sets = checkpointed(texts.join(ends, "v", "left_semi").groupBy("v").agg(F.first("s").alias("s")))
+        both = pairs.join(sets.select(F.col("v").alias("b"), F.col("s").alias("s_b")), "b").join(sets.select(F.col("v").alias("a"), F.col("s").alias("s_a")), "a")
+        return checkpointed(both.mapInPandas(similar, "a long, b long"))
+
+    # rows that share an id
+    ids = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("v").alias("a"), F.max("v").alias("z")).where("a < z").select("doc_id", "a")
+    same = checkpointed(rows.join(ids, "doc_id").select("a", F.col("v").alias("b")).where("a <> b").distinct())
+    # first each key's vertices with its smallest set: a group of k near copies costs k pairs a band, not k * k / 2
+    star = verified(filed.where((F.col("v") != F.col("hub")) & sized("n", "hub_n")).select(F.col("hub").alias("a"), F.col("v").alias("b")))
+    found = components(star.union(same))
+    # then, so that no pair is left out, what is still apart within a key: each vertex outside the key's largest part
+    # with all vertices of other parts; vertices of one part need no link
+    parts = filed.join(found.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v"), "left").select("key", "v", "n", F.coalesce("component", "v").alias("part"))
+    parts = checkpointed(parts)
+    counts = parts.groupBy("key", "part").agg(F.count("*").alias("k"))
+    split = counts.groupBy("key").agg(F.max_by("part", F.struct("k", "part")).alias("main"), F.count("*").alias("m")).where("m > 1").select("key", "main")
+    others = parts.join(split, "key").where("part <> main").select("key", F.col("v").alias("a"), F.col("n").alias("n_a"), F.col("part").alias("part_a"))
+    met = others.join(parts.withColumnRenamed("key", "_k"), (F.col("key") == F.col("_k")) & (F.col("part") != F.col("part_a")) & sized("n", "n_a"))
+    rest = verified(met.select(F.least("a", "v").alias("a"), F.greatest("a", "v").alias("b")))
+    whole = components(star.union(rest).union(same))
+    least_id = vertices.join(whole.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v"), "left").select("v", "rep", F.coalesce("component", "v").alias("part"))
+    lowest = least_id.groupBy("part").agg(F.min("rep").alias("component_id"))
+    classes = least_id.join(lowest, "part").select(F.col("v").alias("_v"), "component_id")
+    return rows.join(classes, rows["v"] == classes["_v"], "left").select("doc_id", "component_id")

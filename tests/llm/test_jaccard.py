@@ -1,0 +1,83 @@
+"""Near-duplicates of the pipeline's stage against exact Jaccard over all pairs."""
+
+import random
+
+from lumora.llm import jaccard
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def plain_shingles(text):
+    words = (text or "").lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def kept_ids(rows, least=0.8):
+    sets = [plain_shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for j in range(len(rows)):
+        for i in range(j):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both >= least * len(sets[i] | sets[j]):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [rows[i][0] for i in range(len(rows)) if find(i) == i]
+
+
+def edited():
+    """Originals with copies changed in some words, chains of copies, texts that share a passage, odd texts."""
+    rng = random.Random(3)
+    word = lambda: f"w{rng.randrange(3000)}"
+    texts = []
+    for k in range(25):
+        base = [word() for _ in range(rng.choice([30, 120, 400]))]
+        texts.append(base)
+        for _ in range(4):
+            copy = list(base if k % 3 else texts[-1])
+            for at in rng.sample(range(len(copy)), max(1, len(copy) * rng.choice([5, 10, 20, 30, 40]) // 1000)):
+                copy[at] = word()
+            texts.append(copy)
+    passage = [word() for _ in range(100)]
+    texts += [[word() for _ in range(60)] + passage for _ in range(20)]
+    base = [word() for _ in range(200)]
+    for _ in range(40):
+        copy = list(base)
+        for at in rng.sample(range(200), 2):
+            copy[at] = word()
+        texts.append(copy)
+    rows = [" ".join(t) for t in texts] + [None, "", " ", "a b", "A  b", "a b c d e f", "a b c d e g"]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_stage_keeps_one_of_each_group_by_exact_jaccard(spark):
+    import corpus_pipeline as p
+
+    rows = edited()
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC)
+    assert sorted(r["doc_id"] for r in p.near_dedup(spark, docs, "").collect()) == kept_ids(rows)
+
+
+def test_stage_on_documents_by_exact_jaccard(spark, sf):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    assert sorted(r["doc_id"] for r in p.near_dedup(spark, docs, sf).collect()) == kept_ids(rows)
+
+
+def test_odd_tables(spark):
+    assert jaccard.near_duplicates(spark.createDataFrame([], DOC)).collect() == []
+    rows = [(5, "a b", "", "", 1), (5, "a b", "", "", 1), (None, "a b", "", "", 1), (9, "c", "", "", 1), (9, "d", "", "", 1), (12, "d", "", "", 1), (None, "z", "", "", 1)]
+    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, DOC)).collect()), key=str)
+    assert got == sorted([(5, 5), (5, 5), (None, 5), (9, 9), (9, 9), (12, 9), (None, None)], key=str)
+
+
+def test_bands_leave_few_pairs():
+    assert all((1 - x**jaccard.BAND) ** jaccard.bands_for(x) <= jaccard.MISS for x in (0.5, 0.8, 0.95))
