@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,22 +27,60 @@ def oldest_same(videos: DataFrame, key: str = "md5") -> DataFrame:
     return own.withColumn("original", F.when(F.col("_1.id") != F.col("id"), F.col("_1.id")).otherwise(F.col("_2"))).drop("_k", "_1", "_2")
 
 
-def similar_pairs(probes: DataFrame, candidates: DataFrame, distance: int, length: int, broadcast_rows: int = 2000) -> DataFrame:
+#: Hashes that are compared with as many others at once.
+BLOCK = 4096
+
+
+def _blocks(rows: DataFrame, name: str) -> DataFrame:
+    """(name: an array of (id, phash)) of some ``BLOCK`` rows each, dealt by the hash of the id."""
+    n = -(-rows.count() // BLOCK) or 1
+    block = F.pmod(F.xxhash64("id"), F.lit(n))
+    return rows.groupBy(block.alias("_block")).agg(F.collect_list(F.struct("id", "phash")).alias(name)).select(name)
+
+
+def _close(distance: int):
+    """Pairs of two blocks' valid hex strings of one length within ``distance`` bits, as (id, other, distance)."""
+
+    def bits(rows: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        found: dict[int, tuple[list, list]] = {}
+        for r in rows:
+            h = r["phash"]
+            if h and set(h) <= set("0123456789abcdefABCDEF"):
+                ids, words = found.setdefault(len(h), ([], []))
+                ids.append(r["id"])
+                words.append(bytes.fromhex(h.rjust(-(-len(h) // 16) * 16, "0")))
+        return {n: (np.array(i, np.int64), np.frombuffer(b"".join(w), ">u8").astype(np.uint64).reshape(len(i), -1)) for n, (i, w) in found.items()}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in batches:
+            for left, right in zip(t["a"], t["b"]):
+                x, y = bits(left), bits(right)
+                for n in x.keys() & y.keys():
+                    (i, p), (j, q) = x[n], y[n]
+                    for k in range(0, len(i), 256):
+                        d = np.bitwise_count(p[k : k + 256, None] ^ q[None]).sum(2, dtype=np.int32)
+                        u, v = np.nonzero((d <= distance) & (i[k : k + 256, None] != j[None]))
+                        yield pd.DataFrame({"id": i[k + u], "other": j[v], "distance": d[u, v]})
+
+    return run
+
+
+def similar_pairs(probes: DataFrame, candidates: DataFrame, distance: int, length: int) -> DataFrame:
     """(id, other, distance) of hashes (id, phash, hex digits of ``length``) that differ in at most ``distance`` bits.
 
     By the pigeonhole principle two such hashes agree in one of distance + 1 bands; candidates are joined on the
-    band and verified. Where the bands would be shorter than two digits they select nothing, and the candidates,
-    then a window of at most ``broadcast_rows`` recent ones, are compared with each probe instead.
+    band and verified. Where the bands would be shorter than two digits they select nothing, and every probe is
+    compared with every candidate, block by block; only pairs within the distance leave a block.
     """
     bands, a = distance + 1, probes.select("id", F.col("phash").alias("_a"))
     b = candidates.select(F.col("id").alias("other"), F.col("phash").alias("_b"))
-    if length // bands >= 2:
-        width = length // bands
-        cut = lambda c: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.struct(k.alias("k"), F.substr(c, k * width + 1, F.lit(width)).alias("v")))
-        pairs = a.withColumn("_k", F.explode(cut(F.col("_a")))).join(b.withColumn("_l", F.explode(cut(F.col("_b")))), F.col("_k") == F.col("_l"))
-        pairs = pairs.select("id", "_a", "other", "_b").distinct()
-    else:
-        pairs = a.join(F.broadcast(b.limit(broadcast_rows)))
+    if length // bands < 2:
+        both = _blocks(probes, "a").repartition(64).crossJoin(_blocks(candidates, "b"))
+        return both.mapInPandas(_close(distance), "id long, other long, distance int")
+    width = length // bands
+    cut = lambda c: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.struct(k.alias("k"), F.substr(c, k * width + 1, F.lit(width)).alias("v")))
+    pairs = a.withColumn("_k", F.explode(cut(F.col("_a")))).join(b.withColumn("_l", F.explode(cut(F.col("_b")))), F.col("_k") == F.col("_l"))
+    pairs = pairs.select("id", "_a", "other", "_b").distinct()
     d = hamming_hex(F.col("_a"), F.col("_b"))
     return pairs.where(F.col("id") != F.col("other")).withColumn("distance", d).where(F.col("distance") <= distance).select("id", "other", "distance")
 
