@@ -3,24 +3,39 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lumora.functions.numeric import once
 
-def bits_above_median(coefs: Column) -> Column:
-    """1 where a coefficient is above the median of all but the first of 64, else 0; the first gets a bit too."""
-    median = F.get(F.sort_array(F.slice(coefs, 2, 63)), F.lit(31))
-    return F.transform(coefs, lambda x: (x > median).cast("int"))
 
+def signed(x: int) -> int:
+    """A 64-bit pattern as the bigint that has it."""
+    return x - (1 << 64) if x >> 63 else x
 
-def hex_of_bits(bits: Column) -> Column:
-    """Hex digits of an array of bits, most significant first, four bits a digit."""
-    digit = lambda n: F.lower(F.hex(F.get(bits, 4 * n) * 8 + F.get(bits, 4 * n + 1) * 4 + F.get(bits, 4 * n + 2) * 2 + F.get(bits, 4 * n + 3)))
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.size(bits) / 4).cast("int") - 1), digit), "")
+
+def with_fingerprint(rows: DataFrame, coefs: str, name: str = "bits") -> DataFrame:
+    """``rows`` with 64 bits as a bigint, most significant first: 1 where a coefficient is above the median of all but the
+    first of the 64 in the column ``coefs``; the first gets a bit too."""
+    median = F.get(F.sort_array(F.slice(F.col(coefs), 2, 63)), F.lit(31))
+    held = rows.withColumn("_median", once(median))
+    bit = lambda i: F.when(F.get(F.col(coefs), F.lit(i)) > F.col("_median"), F.lit(signed(1 << (63 - i)))).otherwise(F.lit(0))
+    return held.withColumn(name, reduce(Column.bitwiseOR, [bit(i).cast("long") for i in range(64)])).drop("_median")
+
+
+def hex64(bits: Column) -> Column:
+    """A bigint's bits as 16 hex digits."""
+    return F.lpad(F.lower(F.hex(bits)), 16, "0")
+
+
+def words_of_hex(digits: Column, n: int) -> Column:
+    """The bits of 16 n hex digits as an array of n bigints."""
+    return F.array(*[F.conv(F.substring(digits, 16 * k + 1, 16), 16, -10).cast("long") for k in range(n)])
 
 
 def hamming_hex(a: Column, b: Column) -> Column:

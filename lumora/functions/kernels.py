@@ -1,11 +1,10 @@
-"""Numeric kernels on arrays of samples and frames, as pandas functions."""
+"""Numeric kernels on arrays of samples and frames."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,45 +19,30 @@ def subject_column(frames: pd.Series, height: pd.Series, width: pd.Series) -> pd
 
     def one(f, h: int, w: int) -> float:
         half = min(h * (9 / 16) / 2 / w, 0.5) if w > 0 else 0.5
-        found = []
-        stack = [np.asarray(x, float).reshape(h, w) for x in f]
-        for a, b in zip(stack, stack[1:]):
-            energy = np.abs(b - a).sum(0)
-            if energy.sum() > 0:
-                found.append(float(energy @ np.arange(w) / energy.sum()) / w)
-        at = float(np.median(found)) if found else CENTER
-        return min(max(at, half), 1 - half)
+        stack = np.array([np.asarray(x, float) for x in f]).reshape(len(f), h, w)
+        energy = np.abs(np.diff(stack, axis=0)).sum(1)  # pairs by columns
+        moving = energy[energy.sum(1) > 0]
+        at = float(np.median(moving @ np.arange(w) / moving.sum(1) / w)) if len(moving) else CENTER
+        return float(np.clip(at, half, 1 - half))
 
     return pd.Series([one(f, h, w) for f, h, w in zip(frames, height, width)])
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def trimmed(samples: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Samples from the first sound to the tail after the last (24000 a second); empty if all is silent."""
-    tail = int(TAIL_S * 24000)
-
-    def one(x) -> list | None:
-        if x is None:
-            return None
-        loud = np.flatnonzero(np.abs(np.asarray(x, float)) > SILENT)
-        return [] if not len(loud) else list(np.asarray(x, float)[loud[0] : loud[-1] + 1 + tail])
-
-    for batch in samples:
-        yield batch.map(one)
+def _loud(samples: Column) -> Column:
+    return F.transform(samples, lambda x: F.abs(x) > SILENT)
 
 
-@F.pandas_udf(T.LongType())
-def silent_tail(samples: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Number of silent samples at the end."""
+def trimmed(samples: Column) -> Column:
+    """Samples from the first sound to the tail after the last (24000 a second); empty if all is silent, null for null."""
+    first, after = F.array_position(_loud(samples), True), F.array_position(F.reverse(_loud(samples)), True)
+    kept = F.size(samples) - after - first + 2 + int(TAIL_S * 24000)
+    return F.slice(samples, F.greatest(first, F.lit(1)).cast("int"), F.when(first > 0, kept).otherwise(0).cast("int"))
 
-    def one(x) -> int | None:
-        if x is None:
-            return None
-        loud = np.flatnonzero(np.abs(np.asarray(x, float)) > SILENT)
-        return len(x) if not len(loud) else len(x) - 1 - int(loud[-1])
 
-    for batch in samples:
-        yield batch.map(one)
+def silent_tail(samples: Column) -> Column:
+    """Number of silent samples at the end; null for null."""
+    after = F.array_position(F.reverse(_loud(samples)), True)
+    return F.when(after > 0, after - 1).otherwise(F.size(samples)).cast("long")
 
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))

@@ -23,3 +23,9 @@ def percent_of(done: Column, total: Column, lo: int = 0, hi: int = 100) -> Colum
 
 def between(x: Column, lo: float, hi: float) -> Column:
     return F.least(F.lit(float(hi)), F.greatest(F.lit(float(lo)), x))
+
+
+def once(value: Column) -> Column:
+    """A generator of the one value: Spark merges projections, and computes a merged value anew wherever it is used, in a
+    lambda for each element; it does not look behind a generator."""
+    return F.explode(F.array(value))

@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumora.functions.layout import scaled
+from lumora.functions.numeric import once
+
 CUE = "struct<i:bigint,start:double,end:double,text:string>"
 CUES = f"array<{CUE}>"
 #: Characters a line, lines, shortest cue, below which a cue joins the next, least gap, least rest.
@@ -145,9 +148,10 @@ def split_long(line: int = LINE, lines: int = LINES, shortest: float = SHORTEST)
 
 def formatted(rows: DataFrame, name: str, line: int = LINE, lines: int = LINES) -> DataFrame:
     """``rows`` with the cues of column ``name`` cleaned, merged, split, wrapped, timed and renumbered: in this order."""
-    split = rows.withColumn(name, split_long(line, lines)(merged_short(cleaned(F.col(name)))))
+    clean = rows.withColumn(name, once(cleaned(F.col(name))))  # each step below reads its cues many times
+    split = clean.withColumn(name, once(split_long(line, lines)(merged_short(F.col(name)))))
     flowed = F.transform(F.col(name), lambda c: cue(c["i"], c["start"], c["end"], wrapped(c["text"], line, lines)))
-    return split.withColumn(name, flowed).withColumn(name, renumbered(timed(F.col(name))))
+    return split.withColumn(name, once(flowed)).withColumn(name, renumbered(timed(F.col(name))))
 
 
 def srt_stamp(seconds: Column) -> Column:
@@ -157,11 +161,48 @@ def srt_stamp(seconds: Column) -> Column:
 
 
 def ass_stamp(seconds: Column) -> Column:
-    """H:MM:SS.cc."""
-    cs = F.bround(seconds * 100, 0).cast("long")
+    """H:MM:SS.cc; negative times are 0."""
+    cs = F.greatest(F.bround(seconds * 100, 0).cast("long"), F.lit(0).cast("long"))
     return F.format_string("%d:%02d:%02d.%02d", F.floor(cs / 360000), F.floor(cs / 6000) % 60, F.floor(cs / 100) % 60, cs % 100)
 
 
 def ass_escaped(text: Column) -> Column:
     """Braces as parentheses, line ends as \\N."""
     return F.regexp_replace(F.translate(text, "{}", "()"), "\r\n|\r|\n", r"\\N")
+
+
+def srt_document(cues: Column) -> Column:
+    """An SRT file's content: cues numbered from 1, with their times, an empty line between them."""
+    return F.array_join(F.transform(cues, lambda c, k: F.concat((k + 1).cast("string"), F.lit("\n"), srt_stamp(c["start"]), F.lit(" --> "), srt_stamp(c["end"]), F.lit("\n"), c["text"], F.lit("\n"))), "\n")
+
+
+#: Columns of a style and of an event, in the format's order; font, its size and those of outline and shadow
+#: at the reference height, colours of text and outline, place at the bottom's middle.
+STYLE_COLUMNS = (
+    "Name", "Fontname", "Fontsize", "PrimaryColour", "SecondaryColour", "OutlineColour", "BackColour", "Bold", "Italic", "Underline", "StrikeOut", "ScaleX", "ScaleY", "Spacing", "Angle",
+    "BorderStyle", "Outline", "Shadow", "Alignment", "MarginL", "MarginR", "MarginV", "Encoding",
+)
+EVENT_COLUMNS = ("Layer", "Start", "End", "Style", "Name", "MarginL", "MarginR", "MarginV", "Effect", "Text")
+FONT, FONT_SIZE, OUTLINE, SHADOW, WHITE, BLACK, BOTTOM = "Be Vietnam Pro", 104, 3, 1, "&H00FFFFFF", "&H00000000", 2
+
+
+def ass_document(cues: Column, width: int, height: int, left: Column, bottom: Column, font: str = FONT, font_size: int = FONT_SIZE, bold: bool = True) -> Column:
+    """An ASS file's content for a frame of ``width`` by ``height``: header, one style with the margins ``left`` (on both
+    sides) and ``bottom``, shares of the frame, and a line per cue. A frame without size raises."""
+    if width <= 0 or height <= 0:
+        raise ValueError("a frame without size")
+    size = lambda at_reference: scaled(at_reference, F.lit(height)).cast("string")
+    margin = lambda share, of: F.bround(share * of, 0).cast("int").cast("string")
+    style = {
+        "Name": "Default", "Fontname": font, "Fontsize": size(font_size), "PrimaryColour": WHITE, "SecondaryColour": WHITE, "OutlineColour": BLACK, "BackColour": BLACK, "Bold": "-1" if bold else "0",
+        "ScaleX": "100", "ScaleY": "100", "BorderStyle": "1", "Outline": size(OUTLINE), "Shadow": size(SHADOW), "Alignment": str(BOTTOM),
+        "MarginL": margin(left, width), "MarginR": margin(left, width), "MarginV": margin(bottom, height), "Encoding": "1",
+    }
+    values = [style.get(c, "0") for c in STYLE_COLUMNS]
+    values = F.concat_ws(",", *[v if isinstance(v, Column) else F.lit(v) for v in values])
+    event = lambda c: F.concat(F.lit("Dialogue: 0,"), ass_stamp(c["start"]), F.lit(","), ass_stamp(c["end"]), F.lit(",Default,,0,0,0,,"), ass_escaped(c["text"]), F.lit("\n"))
+    head = (
+        f"[Script Info]\nScriptType: v4.00+\nPlayResX: {width}\nPlayResY: {height}\nWrapStyle: 0\nScaledBorderAndShadow: yes\n\n"
+        f"[V4+ Styles]\nFormat: {', '.join(STYLE_COLUMNS)}\nStyle: "
+    )
+    return F.concat(F.lit(head), values, F.lit(f"\n\n[Events]\nFormat: {', '.join(EVENT_COLUMNS)}\n"), F.array_join(F.transform(cues, event), ""))

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
+from typing import NamedTuple
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumora.operators.similarity import distinct_lines
@@ -45,38 +51,83 @@ def han_share(text: Column) -> Column:
     return F.when(bare == "", F.lit(0.0)).otherwise(F.length(F.regexp_replace(bare, "[^一-鿿㐀-䶿]", "")) / F.length(bare))
 
 
-def _iou(a: tuple, b: tuple) -> float:
-    w = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
-    h = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
-    return 0.0 if w <= 0 or h <= 0 else w * h / (a[2] * a[3] + b[2] * b[3] - w * h)
+class Box(NamedTuple):
+    left: float
+    top: float
+    right: float
+    bottom: float
+
+    @property
+    def area(self) -> float:
+        return (self.right - self.left) * (self.bottom - self.top)
+
+    def common(self, o: Box) -> float:
+        wide, high = min(self.right, o.right) - max(self.left, o.left), min(self.bottom, o.bottom) - max(self.top, o.top)
+        return wide * high if wide > 0 and high > 0 else 0.0
+
+    def likeness(self, o: Box) -> float:
+        shared = self.common(o)
+        return shared / (self.area + o.area - shared) if shared else 0.0
+
+    def around(self, o: Box) -> Box:
+        return Box(min(self.left, o.left), min(self.top, o.top), max(self.right, o.right), max(self.bottom, o.bottom))
+
+
+def boxes_of(x: list, y: list, w: list, h: list) -> list[Box]:
+    return [Box(a, b, a + c, b + d) for a, b, c, d in zip(x, y, w, h)]
+
+
+#: Side of the squares of the frame by which open tracks are found.
+CELL = 0.1
+
+
+def track_numbers(boxes: list[Box]) -> list[int]:
+    """The track of each box, boxes being in order: the first one whose last box is alike enough and whose height stays
+    within its first box's share, else a new one. Only tracks with a last box in the same part of the frame are asked."""
+    here: dict[tuple[int, int], set[int]] = defaultdict(set)
+    last, tall, span, out = [], [], [], []
+
+    def cells(b: Box) -> list[tuple[int, int]]:
+        return [(i, j) for i in range(int(b.left / CELL), int(b.right / CELL) + 1) for j in range(int(b.top / CELL), int(b.bottom / CELL) + 1)]
+
+    for b in boxes:
+        own = cells(b)
+        fits = [t for t in set().union(*(here[c] for c in own)) if last[t].likeness(b) >= SAME_TRACK and max(span[t][1], b.bottom) - min(span[t][0], b.top) <= tall[t]]
+        t = min(fits, default=len(last))
+        if t == len(last):
+            last.append(b)
+            tall.append((b.bottom - b.top) * TALLEST_TRACK)
+            span.append((b.top, b.bottom))
+        else:
+            for c in cells(last[t]):
+                here[c].discard(t)
+            last[t], span[t] = b, (min(span[t][0], b.top), max(span[t][1], b.bottom))
+        for c in own:
+            here[c].add(t)
+        out.append(t)
+    return out
+
+
+def _numbered(boxes: DataFrame, key: str, order: list[str], name: str, number: Callable[[list[Box]], list[int]]) -> DataFrame:
+    """``boxes`` with ``name``: what ``number`` says of each box of a key, the boxes being in ``order``. A key's rows are
+    one array, so one call serves many short videos."""
+    cols = [*order, *[c for c in boxes.columns if c not in order]]
+
+    @F.pandas_udf("array<long>")
+    def numbers(x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([number(boxes_of(*(c.tolist() for c in r))) for r in zip(x, y, w, h)])
+
+    rows = boxes.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("_rows"))
+    rows = rows.select("_rows", numbers(*[F.col(f"_rows.{c}") for c in ("x", "y", "w", "h")]).alias("_n"))
+    rows = rows.select(F.explode(F.arrays_zip("_rows", "_n")).alias("_z"))
+    return rows.select(*[F.col(f"_z._rows.{c}").alias(c) for c in boxes.columns], F.col("_z._n").alias(name))
 
 
 def tracked(boxes: DataFrame, key: str = "video_id") -> DataFrame:
     """Adds ``track`` to ``boxes`` (key, id, time, x, y, w, h): in the order of time, y and x, a box joins the first track
     whose last box overlaps it enough and which it leaves low enough; else it starts one. Greedy in order, so each
     video is one group; rows of low confidence go before."""
-
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["time", "y", "x", "id"]).reset_index(drop=True)
-        last: list[tuple] = []
-        reach: list[list[float]] = []  # top, bottom, height of the first box
-        out = []
-        for box in b[["x", "y", "w", "h"]].itertuples(index=False, name=None):
-            for t, before in enumerate(last):
-                top, bottom = min(reach[t][0], box[1]), max(reach[t][1], box[1] + box[3])
-                if _iou(before, box) >= SAME_TRACK and bottom - top <= reach[t][2] * TALLEST_TRACK:
-                    last[t], reach[t] = box, [top, bottom, reach[t][2]]
-                    break
-            else:
-                t = len(last)
-                last.append(box)
-                reach.append([box[1], box[1] + box[3], box[3]])
-            out.append(t)
-        b["track"] = pd.Series(out, dtype="int64")
-        return b
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in boxes.schema.fields)
-    return boxes.groupBy(key).applyInPandas(run, f"{fields}, track long")
+    return _numbered(boxes, key, ["time", "y", "x", "id"], "track", track_numbers)
 
 
 def track_measures(tracks: DataFrame, key: str = "video_id") -> DataFrame:
@@ -120,74 +171,110 @@ def dilated(regions: DataFrame) -> DataFrame:
     }).drop("_l", "_t", "_r", "_b")
 
 
-Region = tuple  # x, y, w, h, start, end, score, reasons
+class Region(NamedTuple):
+    box: Box
+    start: float
+    end: float
+    score: float
+    reasons: tuple[str, ...]
 
+    def with_(self, o: Region) -> Region:
+        """The box and time around both, the higher score, reasons of both once each in order."""
+        return Region(self.box.around(o.box), min(self.start, o.start), max(self.end, o.end), max(self.score, o.score), tuple(dict.fromkeys(self.reasons + o.reasons)))
 
-def union(a: Region, b: Region) -> Region:
-    """The box and time around both, the higher score, reasons of both once each in order."""
-    x, y = min(a[0], b[0]), min(a[1], b[1])
-    return (x, y, max(a[0] + a[2], b[0] + b[2]) - x, max(a[1] + a[3], b[1] + b[3]) - y, min(a[4], b[4]), max(a[5], b[5]), max(a[6], b[6]), list(dict.fromkeys([*a[7], *b[7]])))
+    @property
+    def high(self) -> float:
+        return self.box.bottom - self.box.top
 
 
 def bridge(regions: list[Region]) -> list[Region]:
     """In order of start, each region joins the first kept one in its place that ended at most BRIDGE_S before, unless
-    that grows beyond its first height's share or the cap."""
-    kept: list[tuple[Region, float]] = []
-    for r in sorted(regions, key=lambda r: r[4]):
-        for k, (have, height) in enumerate(kept):
-            both = union(have, r)
-            if _iou(have, r) >= SAME_PLACE and r[4] - have[5] <= BRIDGE_S and both[3] <= min(height * BRIDGE_HEIGHT, TALLEST):
-                kept[k] = (both, height)
-                break
+    that grows beyond its first height's share or the cap. Starts only grow, so what ended too long ago is done with."""
+    kept: list[Region] = []
+    most: list[float] = []
+    open_: list[int] = []
+    for r in sorted(regions, key=lambda r: r.start):
+        open_ = [k for k in open_ if r.start - kept[k].end <= BRIDGE_S]
+        k = next((k for k in open_ if kept[k].box.likeness(r.box) >= SAME_PLACE and kept[k].with_(r).high <= most[k]), None)
+        if k is None:
+            open_.append(len(kept))
+            most.append(min(r.high * BRIDGE_HEIGHT, TALLEST))
+            kept.append(r)
         else:
-            kept.append((r, r[3]))
-    return [r for r, _ in kept]
+            kept[k] = kept[k].with_(r)
+    return kept
 
 
-def _mergeable(a: Region, b: Region) -> Region | None:
-    common, longest = min(a[5], b[5]) - max(a[4], b[4]), max(a[5] - a[4], b[5] - b[4])
-    if common <= 0 or longest <= 0 or common / longest < SAME_TIME:
-        return None
-    if not (a[0] < b[0] + b[2] and b[0] < a[0] + a[2] and a[1] < b[1] + b[3] and b[1] < a[1] + a[3]):
-        return None
-    both = union(a, b)
-    area = both[2] * both[3]
-    fits = both[3] <= TALLEST and area <= min(LARGEST, (a[2] * a[3] + b[2] * b[3]) * MERGE_GROWTH)
-    return both if fits else None
+def mergeable(a: Region, b: Region) -> bool:
+    """At one time, overlapping, and within the caps together."""
+    longest = max(a.end - a.start, b.end - b.start)
+    if longest <= 0 or min(a.end, b.end) - max(a.start, b.start) < SAME_TIME * longest or not a.box.common(b.box):
+        return False
+    whole = a.box.around(b.box)
+    return whole.bottom - whole.top <= TALLEST and whole.area <= min(LARGEST, (a.box.area + b.box.area) * MERGE_GROWTH)
 
 
 def merge(regions: list[Region]) -> list[Region]:
-    """Regions at one time and place joined while the caps allow; a joined pair moves to the end and all are looked at
-    again from the first, as joining may make new neighbours."""
-    rest = list(regions)
-    again = True
-    while again:
-        again = False
-        for i, a in enumerate(rest):
-            found = next(((j, both) for j in range(i + 1, len(rest)) if (both := _mergeable(a, rest[j]))), None)
-            if found:
-                rest = [r for k, r in enumerate(rest) if k not in (i, found[0])] + [found[1]]
-                again = True
+    """Regions at one time and place joined while the caps allow. Of all pairs that may join, the one earliest in the list
+    goes first, and what it makes stands at the list's end.
+
+    Pairs wait in a heap by their places. Regions at one time start within a quarter of either's length of each other,
+    so partners are looked up by start.
+    """
+    all_, alive = list(regions), set(range(len(regions)))
+    starts = sorted((r.start, i) for i, r in enumerate(all_))
+
+    def partners(i: int) -> Iterator[int]:
+        r = all_[i]
+        reach = (r.end - r.start) * (1 / SAME_TIME - 1) + 1e-6
+        for k in range(bisect_left(starts, (r.start - reach, -1)), len(starts)):
+            if starts[k][0] > r.start + reach:
                 break
-    return rest
-
-
-MASK = "video_id long, x double, y double, w double, h double, start_s double, end_s double, score double, reasons array<string>"
-
-
-def folded(regions: DataFrame, *folds) -> DataFrame:
-    """Each video's regions through the ``folds``, which depend on their own order; start, y and x give the order."""
-
-    def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values(["start_s", "y", "x", "score"])
-        rows = [(*r[:-1], list(r[-1])) for r in b[["x", "y", "w", "h", "start_s", "end_s", "score", "reasons"]].itertuples(index=False, name=None)]
-        for f in folds:
-            rows = f(rows)
-        out = pd.DataFrame(rows, columns=["x", "y", "w", "h", "start_s", "end_s", "score", "reasons"])
-        out.insert(0, "video_id", key[0])
-        return out
-
-    return regions.select("video_id", "x", "y", "w", "h", "start_s", "end_s", "score", "reasons").groupBy("video_id").applyInPandas(run, MASK)
+            j = starts[k][1]
+            if j != i and j in alive and mergeable(r, all_[j]):
+                yield j
+
+    pairs = [(i, j) for i in alive for j in partners(i) if i < j]
+    heapify(pairs)
+    while pairs:
+        i, j = heappop(pairs)
+        if i in alive and j in alive:
+            alive -= {i, j}
+            n = len(all_)
+            all_.append(all_[i].with_(all_[j]))
+            insort(starts, (all_[n].start, n))
+            alive.add(n)
+            for k in partners(n):
+                heappush(pairs, (k, n))
+    return [all_[i] for i in sorted(alive)]
+
+
+_ARRAYS = "x array<double>, y array<double>, w array<double>, h array<double>, start_s array<double>, end_s array<double>, score array<double>, reasons array<array<string>>"
+_FIELDS = ("x", "y", "w", "h", "start_s", "end_s", "score", "reasons")
+
+
+def folded(regions: DataFrame, *folds: Callable[[list[Region]], list[Region]]) -> DataFrame:
+    """Each video's regions through the ``folds``, which depend on their own order; start, y, x and score give the order."""
+
+    @F.pandas_udf(_ARRAYS)
+    def run(x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series, start: pd.Series, end: pd.Series, score: pd.Series, reasons: pd.Series) -> pd.DataFrame:
+        out = []
+        for r in zip(x, y, w, h, start, end, score, reasons):
+            box = boxes_of(*(c.tolist() for c in r[:4]))
+            rows = [Region(*v[:4], tuple(v[4])) for v in zip(box, r[4].tolist(), r[5].tolist(), r[6].tolist(), r[7])]
+            for f in folds:
+                rows = f(rows)
+            out.append(
+                [[v.box.left for v in rows], [v.box.top for v in rows], [v.box.right - v.box.left for v in rows], [v.high for v in rows],
+                 [v.start for v in rows], [v.end for v in rows], [v.score for v in rows], [list(v.reasons) for v in rows]]
+            )
+        return pd.DataFrame(out, columns=list(_FIELDS))
+
+    order = ("start_s", "y", "x", "score", "w", "h", "end_s", "reasons")
+    rows = regions.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct(*order))).alias("_r"))
+    rows = rows.select("video_id", run(*[F.col(f"_r.{c}") for c in _FIELDS]).alias("_f"))
+    rows = rows.select("video_id", F.explode(F.arrays_zip(*[F.col(f"_f.{c}").alias(c) for c in _FIELDS])).alias("_z"))
+    return rows.select("video_id", *[F.col(f"_z.{c}").alias(c) for c in _FIELDS])
 
 
 def not_oversize(masks: DataFrame) -> DataFrame:
@@ -199,25 +286,33 @@ def mask_timeline(regions: DataFrame) -> DataFrame:
     return not_oversize(folded(dilated(regions), bridge, merge)).orderBy("video_id", "start_s", "y", "x")
 
 
+def component_roots(boxes: list[Box]) -> list[int]:
+    """For each box the place of the first one it is joined to by overlaps: a sweep from left to right, each box against
+    those that reach beyond its left side."""
+    root = list(range(len(boxes)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    reach: list[int] = []
+    for i in sorted(range(len(boxes)), key=lambda i: boxes[i].left):
+        reach = [j for j in reach if boxes[j].right > boxes[i].left]
+        for j in reach:
+            if boxes[i].common(boxes[j]):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+        reach.append(i)
+    return [top(i) for i in range(len(boxes))]
+
+
 def touching(boxes: DataFrame, key: str) -> DataFrame:
     """Adds ``component``: the smallest id among the boxes of a key that overlap, transitively."""
-
-    def run(b: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        b = b.sort_values("id").reset_index(drop=True)
-        x, y, r, d = b["x"].to_numpy(), b["y"].to_numpy(), (b["x"] + b["w"]).to_numpy(), (b["y"] + b["h"]).to_numpy()
-        root = np.arange(len(b))
-        for i in range(len(b)):  # sweep: each box against those before it
-            hit = np.flatnonzero((x[:i] < r[i]) & (x[i] < r[:i]) & (y[:i] < d[i]) & (y[i] < d[:i]))
-            if len(hit):
-                old = np.unique(np.append(root[hit], i))
-                root[np.isin(root, old)] = old.min()
-        b["component"] = b["id"].to_numpy()[root]
-        return b
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in boxes.schema.fields)
-    return boxes.groupBy(key).applyInPandas(run, f"{fields}, component long")
+    rows = _numbered(boxes, key, ["id"], "_root", component_roots)
+    same = Window.partitionBy(key, "_root")
+    return rows.withColumn("component", F.min("id").over(same)).drop("_root")
 
 
 def pixels(boxes: DataFrame, width: int, height: int, margin: int = 12) -> DataFrame:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumora.functions.hashing import hamming_hex
+from lumora.functions.hashing import signed, words_of_hex
 
 
 def oldest_same(videos: DataFrame, key: str = "md5") -> DataFrame:
@@ -27,84 +29,110 @@ def oldest_same(videos: DataFrame, key: str = "md5") -> DataFrame:
     return own.withColumn("original", F.when(F.col("_1.id") != F.col("id"), F.col("_1.id")).otherwise(F.col("_2"))).drop("_k", "_1", "_2")
 
 
-#: Hashes that are compared with as many others at once.
-BLOCK = 4096
+class Segment(NamedTuple):
+    """``width`` bits of a hash's word, ``offset`` bits above its lowest, looked up within ``radius`` differing bits."""
 
+    word: int
+    offset: int
+    width: int
+    radius: int
 
-def _blocks(rows: DataFrame, name: str) -> DataFrame:
-    """(name: an array of (id, phash)) of some ``BLOCK`` rows each, dealt by the hash of the id."""
-    n = -(-rows.count() // BLOCK) or 1
-    block = F.pmod(F.xxhash64("id"), F.lit(n))
-    return rows.groupBy(block.alias("_block")).agg(F.collect_list(F.struct("id", "phash")).alias(name)).select(name)
 
+def segments_for(words: int, distance: int) -> list[Segment]:
+    """Disjoint segments of ``words`` 64-bit words such that hashes within ``distance`` bits are within the radius in at
+    least one: the radii plus one add up to distance + 1. Radii are 0 or 1, so a lookup asks width + 1 keys at most."""
+    n = max(1, -(-(distance + 1) // 2))
+    if distance < 0 or n > 64 * words:
+        raise ValueError("a distance between 0 and the hash's bits")
+    out: list[Segment] = []
+    for w in range(words):
+        own = n // words + (w < n % words)
+        edges = [64 * k // own for k in range(own + 1)] if own else []
+        out += [Segment(w, lo, hi - lo, int(len(out) + k <= distance - n)) for k, (lo, hi) in enumerate(zip(edges, edges[1:]))]
+    return out
 
-def _close(distance: int):
-    """Pairs of two blocks' valid hex strings of one length within ``distance`` bits, as (id, other, distance)."""
 
-    def bits(rows: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        found: dict[int, tuple[list, list]] = {}
-        for r in rows:
-            h = r["phash"]
-            if h and set(h) <= set("0123456789abcdefABCDEF"):
-                ids, words = found.setdefault(len(h), ([], []))
-                ids.append(r["id"])
-                words.append(bytes.fromhex(h.rjust(-(-len(h) // 16) * 16, "0")))
-        return {n: (np.array(i, np.int64), np.frombuffer(b"".join(w), ">u8").astype(np.uint64).reshape(len(i), -1)) for n, (i, w) in found.items()}
+def _hashes(rows: DataFrame, id_name: str, length: int) -> DataFrame:
+    """(id, words) of the valid hashes of ``length`` hex digits; leading zeros fill the first word."""
+    good = (F.length("phash") == length) & F.col("phash").rlike("^[0-9a-fA-F]+$")
+    n = -(-length // 16)
+    return rows.where(good).select(F.col("id").alias(id_name), words_of_hex(F.lpad("phash", 16 * n, "0"), n).alias("words"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t in batches:
-            for left, right in zip(t["a"], t["b"]):
-                x, y = bits(left), bits(right)
-                for n in x.keys() & y.keys():
-                    (i, p), (j, q) = x[n], y[n]
-                    for k in range(0, len(i), 256):
-                        d = np.bitwise_count(p[k : k + 256, None] ^ q[None]).sum(2, dtype=np.int32)
-                        u, v = np.nonzero((d <= distance) & (i[k : k + 256, None] != j[None]))
-                        yield pd.DataFrame({"id": i[k + u], "other": j[v], "distance": d[u, v]})
 
-    return run
-
-
-def similar_pairs(probes: DataFrame, candidates: DataFrame, distance: int, length: int) -> DataFrame:
+def similar_pairs(probes: DataFrame, candidates: DataFrame, distance: int, length: int, broadcast_candidates: bool = False) -> DataFrame:
     """(id, other, distance) of hashes (id, phash, hex digits of ``length``) that differ in at most ``distance`` bits.
 
-    By the pigeonhole principle two such hashes agree in one of distance + 1 bands; candidates are joined on the
-    band and verified. Where the bands would be shorter than two digits they select nothing, and every probe is
-    compared with every candidate, block by block; only pairs within the distance leave a block.
+    Multi-index hashing: candidates are filed under the values of disjoint segments of their bits, and a probe looks up
+    its own values and those one bit away. A pair that meets in several segments counts in the first, so no distinct is
+    needed. Exact for any distance; it selects well while segments (64 words bits over (distance + 1) / 2) have as many
+    bits as the number of hashes has. Hashes that many rows share should be reduced first (``hash_classes``). Null,
+    empty, ill-formed hashes and those of another length match nothing. ``broadcast_candidates`` is for a bounded side.
     """
-    bands, a = distance + 1, probes.select("id", F.col("phash").alias("_a"))
-    b = candidates.select(F.col("id").alias("other"), F.col("phash").alias("_b"))
-    if length // bands < 2:
-        both = _blocks(probes, "a").repartition(64).crossJoin(_blocks(candidates, "b"))
-        return both.mapInPandas(_close(distance), "id long, other long, distance int")
-    width = length // bands
-    cut = lambda c: F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: F.struct(k.alias("k"), F.substr(c, k * width + 1, F.lit(width)).alias("v")))
-    pairs = a.withColumn("_k", F.explode(cut(F.col("_a")))).join(b.withColumn("_l", F.explode(cut(F.col("_b")))), F.col("_k") == F.col("_l"))
-    pairs = pairs.select("id", "_a", "other", "_b").distinct()
-    d = hamming_hex(F.col("_a"), F.col("_b"))
-    return pairs.where(F.col("id") != F.col("other")).withColumn("distance", d).where(F.col("distance") <= distance).select("id", "other", "distance")
-
-
-def originals(videos: DataFrame, window: int = 500, distance: int = 20) -> DataFrame:
+    cuts = segments_for(-(-length // 16), distance)
+
+    def value(words: str, s: Segment) -> Column:
+        return F.shiftrightunsigned(F.get(F.col(words), F.lit(s.word)), s.offset).bitwiseAND(F.lit(signed((1 << s.width) - 1)).cast("long"))
+
+    def keys(words: str, k: int, s: Segment, radius: int) -> list[Column]:
+        flips = [0] + [1 << b for b in range(s.width)] * radius
+        return [F.struct(F.lit(k).alias("seg"), value(words, s).bitwiseXOR(F.lit(signed(f)).cast("long")).alias("key")) for f in flips]
+
+    a, b = _hashes(probes, "id", length), _hashes(candidates, "other", length)
+    asked = a.select("id", F.col("words").alias("wa"), F.explode(F.array(*[x for k, s in enumerate(cuts) for x in keys("words", k, s, s.radius)])).alias("k"))
+    filed = b.select("other", F.col("words").alias("wb"), F.explode(F.array(*[x for k, s in enumerate(cuts) for x in keys("words", k, s, 0)])).alias("k"))
+    asked, filed = asked.select("id", "wa", "k.seg", "k.key").alias("a"), filed.select("other", "wb", F.col("k.seg").alias("seg_b"), F.col("k.key").alias("key_b"))
+    d = reduce(Column.__add__, [F.bit_count(F.get("wa", F.lit(w)).bitwiseXOR(F.get("wb", F.lit(w)))) for w in range(-(-length // 16))])
+    first = F.coalesce(*[F.when(F.bit_count(value("wa", s).bitwiseXOR(value("wb", s))) <= s.radius, F.lit(k)) for k, s in enumerate(cuts)])
+    met = (F.col("seg") == F.col("seg_b")) & (F.col("key") == F.col("key_b")) & (F.col("id") != F.col("other")) & (d <= distance)
+    pairs = asked.join(F.broadcast(filed) if broadcast_candidates else filed, met)
+    return pairs.where(F.col("seg") == first).select("id", "other", d.cast("int").alias("distance"))
+
+
+def hash_classes(rows: DataFrame) -> DataFrame:
+    """(phash, id, copies): the smallest id of each hash that is not null, and how many rows have it."""
+    return rows.where("phash IS NOT NULL").groupBy("phash").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+
+
+def originals(videos: DataFrame, window: int = 500, distance: int = 20, length: int = 64) -> DataFrame:
     """(id, original, reason): the exact original, else the most recent perceptually similar one among the ``window``
-    newest; ties in time go to the larger id."""
-    exact = oldest_same(videos)
-    recent = videos.where("phash IS NOT NULL AND status <> 'skipped'").orderBy(F.desc("created_at"), F.desc("id")).limit(window)
-    near = similar_pairs(videos.where("phash IS NOT NULL"), recent, distance, 16)
-    when = recent.select(F.col("id").alias("other"), "created_at")
-    near = near.join(when, "other").groupBy("id").agg(F.max_by("other", F.struct("created_at", "other")).alias("near"))
-    both = exact.join(near, "id", "left")
+    newest (``recent_similar``)."""
+    both = oldest_same(videos).join(recent_similar(videos, window, distance, length), "id", "left")
     reason = F.when(F.col("original").isNotNull(), "md5").when(F.col("near").isNotNull(), "phash")
     return both.select("id", F.coalesce("original", "near").alias("original"), reason.alias("reason"))
 
 
+def recent_similar(videos: DataFrame, window: int = 500, distance: int = 20, length: int = 64) -> DataFrame:
+    """(id, near) of the videos that have one: the most recent perceptually similar other one among the ``window`` newest
+    that are not skipped; ties in time go to the larger id.
+
+    Of the window's videos with one hash only the two most recent can answer (a video is no copy of itself), so at
+    most ``window`` candidates are broadcast and no probe meets a group of equal ones.
+    """
+    recent = videos.where("phash IS NOT NULL AND status <> 'skipped'").orderBy(F.desc("created_at"), F.desc("id")).limit(window)
+    newest = Window.partitionBy("phash").orderBy(F.desc("created_at"), F.desc("id"))
+    recent = recent.select("id", "phash", "created_at").withColumn("_r", F.row_number().over(newest)).where("_r <= 2")
+    near = similar_pairs(videos.where("phash IS NOT NULL"), recent, distance, length, broadcast_candidates=True)
+    when = recent.select(F.col("id").alias("other"), "created_at")
+    return near.join(F.broadcast(when), "other").groupBy("id").agg(F.max_by("other", F.struct("created_at", "other")).alias("near"))
+
+
 def distinct_count(lines: list[str], same: float = 0.75) -> int:
-    """Number of groups of lines, each within ``same`` of its group's first by matching blocks; blank lines aside."""
-    firsts: list[str] = []
-    for line in (" ".join(x.split()) for x in lines):
-        if line and not any(SequenceMatcher(None, line, f).ratio() >= same for f in firsts):
-            firsts.append(line)
-    return len(firsts)
+    """Number of different lines, those within ``same`` of an earlier leader by matching blocks aside; blank ones too.
+
+    The first line left leads, and all within reach of it leave with it; so each pair is looked at once, after the
+    bounds on its ratio that cost less.
+    """
+    left = [x for x in dict.fromkeys(" ".join(x.split()) for x in lines) if x]
+    n, m = 0, SequenceMatcher()
+    while left:
+        m.set_seq2(left[0])
+
+        def apart(line: str) -> bool:
+            m.set_seq1(line)
+            return m.real_quick_ratio() < same or m.quick_ratio() < same or m.ratio() < same
+
+        left, n = [x for x in left[1:] if apart(x)], n + 1
+    return n
 
 
 @F.pandas_udf(T.IntegerType())
@@ -117,18 +145,25 @@ def distinct_lines(lines: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def recomputed(rows: DataFrame, threshold: float = 3.0) -> DataFrame:
     """(id, key, reused) in order of (key, place): whether a frame's crop differs by less than ``threshold`` on average
     from the last one that was computed anew. ``rows``: (key, place, id, pixels). The comparison follows its own
-    decisions, so it is a fold over each key's frames."""
+    decisions, so it is a fold over each key's frames: one frame at a time is compared with all after it, up to the
+    first that differs. A crop of another size is computed anew."""
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        held, out = None, []
-        for _, r in b.sort_values(["place", "id"]).iterrows():
-            now = np.asarray(r["pixels"], float)
-            reused = held is not None and len(held) == len(now) and float(np.abs(held - now).mean()) < threshold
-            if not reused:
-                held = now
-            out.append((r["id"], r["key"], bool(reused)))
-        return pd.DataFrame(out, columns=["id", "key", "reused"])
+        b = b.sort_values(["place", "id"])
+        sizes = b["pixels"].map(len).to_numpy()
+        reused = np.ones(len(b), bool)
+        for span in np.split(np.arange(len(b)), np.flatnonzero(np.diff(sizes)) + 1):
+            pixels = np.stack(b["pixels"].iloc[span].to_numpy()).astype(float)
+            at = 0
+            while at < len(span):
+                reused[span[at]] = False
+                step = 64
+                while at < len(span):  # look ahead in growing blocks
+                    ahead = np.abs(pixels[at + 1 : at + 1 + step] - pixels[at]).mean(1) >= threshold
+                    if ahead.any() or at + 1 + step >= len(span):
+                        at = at + 1 + int(ahead.argmax()) if ahead.any() else len(span)
+                        break
+                    step *= 4
+        return pd.DataFrame({"id": b["id"], "key": b["key"], "reused": reused})
 
     return rows.groupBy("key").applyInPandas(run, "id long, key long, reused boolean")

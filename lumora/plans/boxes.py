@@ -82,10 +82,22 @@ def g06(spark, sf):
     return cat.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.round(op.han_share(t), 6).alias("han"))
 
 
-@query("g07_language_gate", "SELECT video_id, count(*) >= 2 AND (0 >= 0.3 OR count(*) >= 3) AS passes FROM (SELECT video_id, id % 3 AS track FROM boxes WHERE id % 5 = 0) GROUP BY 1")
+SIGNS = "CASE id % 4 WHEN 0 THEN '你好 ' || txt WHEN 1 THEN '字幕' WHEN 2 THEN ' ' ELSE txt END"
+
+
+@query(
+    "g07_language_gate",
+    """SELECT video_id, track, count(*) >= 2 AND (max(han) >= 0.3e0 OR count(DISTINCT said) >= 3) AS passes FROM (
+      SELECT *, CASE WHEN length(b) = 0 THEN 0e0 ELSE length(regexp_replace(b, '[^一-鿿㐀-䶿]', '', 'g')) / CAST(length(b) AS DOUBLE) END AS han
+      FROM (SELECT *, regexp_replace(said, '\\s', '', 'g') AS b FROM signs)) GROUP BY 1, 2""",
+    f"signs AS (SELECT video_id, id % 7 AS track, CASE WHEN id % 7 < 5 THEN {SIGNS} ELSE 'stop ' || id % 3 END AS said FROM boxes)",
+)
 def g07(spark, sf):
-    rows = cat.boxes(spark, sf).where("id % 5 = 0").groupBy("video_id").agg(F.count("*").alias("n"))
-    return rows.withColumn("han", F.lit(0.0)).withColumn("lines", F.col("n")).select("video_id", op.gate().alias("passes"))
+    k, track = F.col("id") % 4, F.col("id") % 7
+    said = F.when(k == 0, F.concat(F.lit("你好 "), "txt")).when(k == 1, "字幕").when(k == 2, " ").otherwise(F.col("txt"))
+    rows = cat.boxes(spark, sf).select("video_id", track.alias("track"), F.when(track < 5, said).otherwise(F.concat(F.lit("stop "), F.col("id") % 3)).alias("said"))
+    m = rows.groupBy("video_id", "track").agg(F.count("*").alias("n"), F.max(op.han_share(F.col("said"))).alias("han"), F.countDistinct("said").alias("lines"))
+    return m.select("video_id", "track", op.gate().alias("passes"))
 
 
 @query(
@@ -111,7 +123,7 @@ def g09(spark, sf):
 
 
 def _regions(spark, sf):
-    rows = cat.masks(spark, sf).where("id % 3 = 0")
+    rows = cat.masks(spark, sf)
     return rows.withColumn("score", F.col("confidence") * 4).withColumn("reasons", F.array("source"))
 
 
@@ -146,11 +158,11 @@ def g13(spark, sf):
 @query(
     "g14_touching_components",
     "SELECT a AS id, min(b) AS component FROM reach GROUP BY 1",
-    """m AS (SELECT * FROM masks WHERE id % 4 = 1), e AS (SELECT p.id AS a, q.id AS b FROM m p JOIN m q ON p.video_id = q.video_id AND p.x < q.x + q.w AND q.x < p.x + p.w AND p.y < q.y + q.h AND q.y < p.y + p.h),
+    """m AS (SELECT * FROM masks), e AS (SELECT p.id AS a, q.id AS b FROM m p JOIN m q ON p.video_id = q.video_id AND p.x < q.x + q.w AND q.x < p.x + p.w AND p.y < q.y + q.h AND q.y < p.y + p.h),
     reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a)""",
 )
 def g14(spark, sf):
-    return op.touching(cat.masks(spark, sf).where("id % 4 = 1"), "video_id").select("id", "component")
+    return op.touching(cat.masks(spark, sf), "video_id").select("id", "component")
 
 
 @query(

@@ -64,12 +64,35 @@ def d06(spark, sf):
     return got.select("video_id", "i", "k", F.round("piece_start", 9).alias("piece_start"), F.round("piece_end", 9).alias("piece_end"))
 
 
-@query("d07_wrap")
+@query(
+    "d07_wrap",
+    """SELECT conv_id, turn, CASE WHEN len(w) <= n THEN array_to_string(w, ' ') ELSE array_to_string(w[1:n], ' ') || chr(10) || array_to_string(w[n + 1:], ' ') END AS txt FROM (
+      SELECT conv_id, turn, w, greatest(1, len(list_filter(range(1, len(w) + 1), lambda k: length(array_to_string(w[1:k], ' ')) <= 42))) AS n
+      FROM (SELECT conv_id, turn, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM conversations))""",
+)
 def d07(spark, sf):
-    return cat.table(spark, sf, "conversations").select("conv_id", "turn", sub.wrapped(F.substring("text", 1, 200), 42, 2).alias("txt"))
+    return cat.table(spark, sf, "conversations").select("conv_id", "turn", sub.wrapped(F.col("text"), 42, 2).alias("txt"))
+
+
+def to_3(x: str) -> str:
+    """SQL that rounds the decimal form of a double half to even."""
+    return f"CAST(round_even(CAST(CAST({x} AS VARCHAR) AS DECIMAL(30, 17)), 3) AS DOUBLE)"
+
+
+def repaired_end(start: str) -> str:
+    return f"CASE WHEN nx IS NOT NULL AND greatest(e, {start} + 1.2e0) > nx - 0.04e0 THEN greatest({start} + 0.3e0, nx - 0.04e0) ELSE greatest(e, {start} + 1.2e0) END"
 
 
-@query("d08_enforce_timing")
+@query(
+    "d08_enforce_timing",
+    "SELECT video_id, i, s AS start_s, e AS end_s, txt FROM repaired",
+    f"""c AS (SELECT video_id, i, txt, row_number() OVER w AS k, start_s AS s, end_s AS e, lead(start_s) OVER w AS nx FROM cues_src WINDOW w AS (PARTITION BY video_id ORDER BY start_s, i)),
+    repaired AS (
+      SELECT video_id, k, i, txt, {to_3('s')} AS s, {to_3(repaired_end('s'))} AS e FROM c WHERE k = 1
+      UNION ALL
+      SELECT video_id, k, i, txt, {to_3('b')}, {to_3(repaired_end('b'))}
+      FROM (SELECT c.*, greatest(c.s, r.e + 0.04e0) AS b FROM repaired r JOIN c ON c.video_id = r.video_id AND c.k = r.k + 1))""",
+)
 def d08(spark, sf):
     return exploded(cue_arrays(cat.cues_src(spark, sf)).select("video_id", sub.timed(F.col("cues")).alias("cues")))
 
@@ -92,7 +115,19 @@ def _wide_cuts(spark, sf):
     return op.silence_cuts(cat.cues_src(spark, sf)).select("video_id", (F.col("cut") * 20).alias("cut"))
 
 
-@query("d11_segments")
+def segment_views(mx: str, of: str) -> str:
+    """SQL of ``seg``: the parts of each video of ``of`` (video_id, platform) with at most ``mx`` seconds each."""
+    return f"""sil AS (SELECT video_id, end_s, lead(start_s) OVER (PARTITION BY video_id ORDER BY start_s, i) AS nxt FROM cues_src),
+    cut AS (SELECT video_id, list((end_s + nxt) / 2 * 20) AS cuts FROM sil WHERE nxt - end_s >= 0.35e0 GROUP BY 1),
+    dur AS (SELECT video_id, max(end_s) * 20 AS total FROM cues_src GROUP BY 1),
+    seg AS (
+      SELECT video_id, platform, {mx} AS mx, total, coalesce(cuts, []) AS cuts, 0 AS part, 0e0 AS lo, 0e0 AS hi FROM dur LEFT JOIN cut USING (video_id), {of}
+      UNION ALL
+      SELECT video_id, platform, mx, total, cuts, part + 1, hi, CASE WHEN total - hi <= mx THEN total ELSE coalesce(list_max(list_filter(cuts, lambda p: p > hi AND p <= bound AND p > 0 AND p < total)), bound) END
+      FROM (SELECT *, CASE WHEN total - (hi + mx) > 0 AND total - (hi + mx) < 10 THEN total - 10 ELSE hi + mx END AS bound FROM seg WHERE hi < total))"""
+
+
+@query("d11_segments", "SELECT video_id, part, round(hi, 6) AS end_s FROM seg WHERE part > 0", segment_views("90e0", "(VALUES ('any')) AS p(platform)"))
 def d11(spark, sf):
     cuts = _wide_cuts(spark, sf).groupBy("video_id").agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
     rows = _lengths(spark, sf).join(cuts, "video_id", "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<double>")))
@@ -100,7 +135,11 @@ def d11(spark, sf):
     return ends.select("video_id", F.posexplode("ends").alias("p", "end_s")).select("video_id", (F.col("p") + 1).alias("part"), F.round("end_s", 6).alias("end_s"))
 
 
-@query("d12_variant_plan")
+@query(
+    "d12_variant_plan",
+    "SELECT video_id, platform, part, CAST(count(*) OVER (PARTITION BY video_id, platform) AS INTEGER) AS part_total, round(lo, 6) AS start_s, round(hi, 6) AS end_s FROM seg WHERE part > 0",
+    segment_views("CASE platform WHEN 'facebook' THEN 90e0 ELSE 180e0 END", "(VALUES ('tiktok'), ('youtube'), ('facebook')) AS p(platform)"),
+)
 def d12(spark, sf):
     lim = cat.limits(spark).withColumn("max_sec", F.when(F.col("platform") == "facebook", 90).otherwise(180))
     length = _lengths(spark, sf)

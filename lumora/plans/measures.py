@@ -86,11 +86,17 @@ def c06(spark, sf):
     return cat.table(spark, sf, "events").groupBy("user_id").agg(F.round(F.median("value"), 6).alias("median"))
 
 
-@query("c07_subject_column")
+@query(
+    "c07_subject_column",
+    """SELECT video_id, round(least(greatest(coalesce(median(c), 0.5e0), 0.0703125e0), 0.9296875e0), 6) AS center FROM (
+      SELECT video_id, CASE WHEN list_sum(d) > 0 THEN list_sum(list_transform(range(1, 65), lambda k: d[k] * ((k - 1) % 16))) / list_sum(d) / 16 END AS c FROM (
+        SELECT video_id, list_transform(range(1, 65), lambda k: abs(CAST(b[k] AS DOUBLE) - CAST(a[k] AS DOUBLE))) AS d FROM (
+          SELECT vec_id // 25 AS video_id, embedding AS b, lag(embedding) OVER (PARTITION BY vec_id // 25 ORDER BY vec_id) AS a FROM embeddings))) GROUP BY 1""",
+)
 def c07(spark, sf):
     from lumora.functions.kernels import subject_column
 
-    frames = cat.table(spark, sf, "embeddings").groupBy((F.col("vec_id") % 25).alias("video_id")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("f"))
+    frames = cat.table(spark, sf, "embeddings").groupBy((F.floor(F.col("vec_id") / 25)).alias("video_id")).agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("f"))
     rows = frames.select("video_id", F.transform("f", lambda x: F.transform(x["embedding"], lambda v: v.cast("double"))).alias("frames"))
     return rows.select("video_id", F.round(subject_column("frames", F.lit(4), F.lit(16)), 6).alias("center"))
 

@@ -36,7 +36,7 @@ def e03(spark, sf):
 @query("e02b_phash_of_frames")
 def e02b(spark, sf):
     c = _frames(spark, sf).select("id", h.dct_low("gray").alias("c"))
-    return c.select("id", h.hex_of_bits(h.bits_above_median(F.col("c"))).alias("phash"))
+    return h.with_fingerprint(c, "c").select("id", h.hex64(F.col("bits")).alias("phash"))
 
 
 @query("e04_video_phash", "SELECT id // 4 AS video_id, string_agg(phash, '' ORDER BY id) AS phash FROM phash GROUP BY 1")
@@ -45,36 +45,57 @@ def e04(spark, sf):
     return rows.select("video_id", F.array_join(F.transform("a", lambda x: x["phash"]), "").alias("phash"))
 
 
-PAIRS = """hx AS (SELECT id, phash, list_transform(range(1, 17), lambda k: strpos('0123456789abcdef', substr(phash, k, 1)) - 1) AS d FROM phash)"""
-D = "CAST(list_sum(list_transform(range(1, 17), lambda k: bit_count(xor(p.d[k], q.d[k])))) AS INTEGER)"
+def digits_of(view: str, n: int) -> str:
+    """SQL of a view ``hx``: the smallest id of each hash of ``view`` and its ``n`` digits as numbers."""
+    return f"hx AS (SELECT id, phash, list_transform(range(1, {n + 1}), lambda k: strpos('0123456789abcdef', substr(phash, k, 1)) - 1) AS d FROM (SELECT min(id) AS id, phash FROM {view} WHERE phash IS NOT NULL GROUP BY phash))"
 
 
-@query("e05_hamming", f"SELECT p.id AS id, {D} AS distance FROM hx p JOIN hx q ON q.id = p.id + 1", PAIRS)
+def differing(n: int) -> str:
+    return f"CAST(list_sum(list_transform(range(1, {n + 1}), lambda k: bit_count(xor(p.d[k], q.d[k])))) AS INTEGER)"
+
+
+@query(
+    "e05_hamming",
+    f"SELECT p.id AS id, {differing(16)} AS distance FROM hx p JOIN hx q ON q.id = p.id + 1",
+    "hx AS (SELECT id, phash, list_transform(range(1, 17), lambda k: strpos('0123456789abcdef', substr(phash, k, 1)) - 1) AS d FROM phash)",
+)
 def e05(spark, sf):
     a = cat.phash(spark, sf)
     b = a.select((F.col("id") - 1).alias("id"), F.col("phash").alias("other"))
     return a.join(b, "id").select("id", h.hamming_hex(F.col("phash"), F.col("other")).alias("distance"))
 
 
-@query("e06_similar_pairs", f"SELECT p.id AS id, q.id AS other, {D} AS distance FROM hx p JOIN hx q ON p.id <> q.id WHERE {D} <= 20", PAIRS)
+@query("e06_similar_pairs", f"SELECT p.id AS id, q.id AS other, {differing(64)} AS distance FROM hx p JOIN hx q ON p.id <> q.id WHERE {differing(64)} <= 20", digits_of("video_hashes", 64))
 def e06(spark, sf):
-    rows = cat.phash(spark, sf)
-    return op.similar_pairs(rows, rows, 20, 16)
+    """Pairs of videos, one for each hash, within 20 of 256 bits."""
+    rows = op.hash_classes(cat.video_hashes(spark, sf))
+    return op.similar_pairs(rows, rows, 20, 64)
 
 
-@query("e06b_similar_banded", f"SELECT p.id AS id, q.id AS other, {D} AS distance FROM hx p JOIN hx q ON p.id <> q.id WHERE {D} <= 7", PAIRS)
+@query("e06b_similar_banded", f"SELECT p.id AS id, q.id AS other, {differing(16)} AS distance FROM hx p JOIN hx q ON p.id <> q.id WHERE {differing(16)} <= 3", digits_of("frame_hashes", 16))
 def e06b(spark, sf):
-    rows = cat.phash(spark, sf)
-    return op.similar_pairs(rows, rows, 7, 16)
+    """Pairs of frames, one for each hash, within 3 of 64 bits."""
+    rows = op.hash_classes(cat.frame_hashes(spark, sf))
+    return op.similar_pairs(rows, rows, 3, 16)
+
+
+@query("e06c_hash_classes", "SELECT phash, min(id) AS id, count(*) AS copies FROM frame_hashes WHERE phash IS NOT NULL GROUP BY phash")
+def e06c(spark, sf):
+    return op.hash_classes(cat.frame_hashes(spark, sf))
+
+
+NEAR = (
+    """hv AS (SELECT id, created_at, status, list_transform(range(1, 65), lambda k: strpos('0123456789abcdef', substr(phash, k, 1)) - 1) AS d FROM al WHERE phash IS NOT NULL),
+    win AS (SELECT id, created_at, d FROM hv WHERE status <> 'skipped' ORDER BY created_at DESC, id DESC LIMIT 500),"""
+    + f"near AS (SELECT p.id AS id, arg_max(q.id, (q.created_at, q.id)) AS near FROM hv p JOIN win q ON p.id <> q.id WHERE {differing(64)} <= 20 GROUP BY 1)"
+)
 
 
 @query(
     "e07_originals",
     """SELECT v.id AS id, coalesce(md5o, near) AS original, CASE WHEN md5o IS NOT NULL THEN 'md5' WHEN near IS NOT NULL THEN 'phash' END AS reason FROM (
       SELECT id, (SELECT arg_min(o.id, (o.created_at, o.id)) FROM al o WHERE o.md5 = v.md5 AND o.status <> 'skipped' AND o.id <> v.id) AS md5o FROM al v) v LEFT JOIN near n ON n.id = v.id""",
-    PAIRS
-    + f""", al AS (SELECT * FROM videos WHERE NOT deleted), win AS (SELECT id, created_at FROM al WHERE phash IS NOT NULL AND status <> 'skipped' ORDER BY created_at DESC, id DESC LIMIT 500),
-    near AS (SELECT p.id AS id, arg_max(q.id, (w.created_at, q.id)) AS near FROM hx p JOIN al ON al.id = p.id JOIN hx q ON p.id <> q.id JOIN win w ON w.id = q.id WHERE {D} <= 20 GROUP BY 1)""",
+    "al AS (SELECT * FROM videos WHERE NOT deleted), " + NEAR,
 )
 def e07(spark, sf):
     return op.originals(alive(cat.videos(spark, sf))).select("id", "original", "reason")
@@ -108,5 +129,5 @@ def e10(spark, sf):
 @query("e11_reused_frames")
 def e11(spark, sf):
     e = cat.table(spark, sf, "embeddings")
-    rows = e.select((F.col("vec_id") % 20).alias("key"), F.col("vec_id").alias("place"), F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double") * 20).alias("pixels"))
+    rows = e.select(F.floor(F.col("vec_id") / 20).alias("key"), F.col("vec_id").alias("place"), F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double") * 20).alias("pixels"))
     return op.recomputed(rows).select("id", "key", "reused")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lumora.functions import subtitles as sub
 from lumora.plans.base import query
+from lumora.plans.intervals import cue_arrays
 from lumora.sources import catalog as cat
 from lumora.streaming import progress as op
 
-TOPIC = "t AS (SELECT channel, payload, ingest_ts, 'video:' || regexp_extract(channel, '^reup:(?:progress|status):(.+)$', 1) AS topic, json_extract_string(payload, '$.status') AS status FROM stream_events)"
+TOPIC = "t AS (SELECT channel, payload, ingest_ts, 'video:' || regexp_extract(channel, '^media:(?:progress|status):(.+)$', 1) AS topic, json_extract_string(payload, '$.status') AS status FROM stream_events)"
 
 
 def messages(spark, sf):
@@ -16,7 +18,7 @@ def messages(spark, sf):
     return rows.withColumn("ingest_ts", F.col("ingest_ts").cast("timestamp"))
 
 
-@query("j01_publish_progress", "SELECT event_id AS id, 'reup:progress:' || user_id AS channel, '{\"video_id\":\"' || user_id || '\",\"step\":\"render\",\"percent\":' || least(100, greatest(0, event_id % 150 - 20)) || '}' AS payload FROM events")
+@query("j01_publish_progress", "SELECT event_id AS id, 'media:progress:' || user_id AS channel, '{\"video_id\":\"' || user_id || '\",\"step\":\"render\",\"percent\":' || least(100, greatest(0, event_id % 150 - 20)) || '}' AS payload FROM events")
 def j01(spark, sf):
     channel, payload = op.published(F.col("user_id").cast("string"), (F.col("event_id") % 150 - 20).cast("int"), F.lit("render"))
     return cat.table(spark, sf, "events").select(F.col("event_id").alias("id"), channel.alias("channel"), payload.alias("payload"))
@@ -27,7 +29,7 @@ def j02(spark, sf):
     """The events table read as a stream to its end."""
     schema = cat.table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(sf)
-    return op.drained(stream.select("event_id", "user_id"), "lumora_j02").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("videos"))
+    return op.drained(stream.select("event_id", "user_id")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("videos"))
 
 
 @query("j03_topics", "SELECT channel, topic, count(*) AS n FROM t GROUP BY 1, 2", TOPIC)
@@ -46,14 +48,14 @@ def j04(spark, sf):
 def j05(spark, sf):
     e = F.col("event_id") % 5
     rows = cat.table(spark, sf, "events").select(
-        F.when(e == 1, "other:x").otherwise("reup:status:7").alias("channel"), F.when(e == 0, "{broken").otherwise('{"status":"ready"}').alias("payload"), F.col("ts").cast("timestamp").alias("ingest_ts")
+        F.when(e == 1, "other:x").otherwise("media:status:7").alias("channel"), F.when(e == 0, "{broken").otherwise('{"status":"ready"}').alias("payload"), F.col("ts").cast("timestamp").alias("ingest_ts")
     )
     return op.parsed(rows).groupBy(F.coalesce("bad", F.lit("good")).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query(
     "j06_status_recount",
-    "SELECT status, count(*) AS n FROM (SELECT topic, arg_max(status, ingest_ts) AS status FROM t WHERE channel LIKE 'reup:status:%' GROUP BY 1) GROUP BY 1",
+    "SELECT status, count(*) AS n FROM (SELECT topic, arg_max(status, ingest_ts) AS status FROM t WHERE channel LIKE 'media:status:%' GROUP BY 1) GROUP BY 1",
     TOPIC,
 )
 def j06(spark, sf):
@@ -66,24 +68,58 @@ def j07(spark, sf):
     schema = cat.table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(sf)
     events = stream.select(F.col("user_id").alias("video_id"), F.lit(0).alias("step"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("at"), F.col("props").alias("log"))
-    rows = op.drained(op.lifecycle(events), "lumora_j07")
+    rows = op.drained(op.lifecycle(events))
     return rows.select("video_id", "step", "status", F.round("duration_sec", 3).alias("duration_sec"))
 
 
-@query("j08_single_run", "SELECT channel, min(ingest_ts) IS NOT NULL AS runs FROM stream_events GROUP BY 1")
+@query(
+    "j08_single_run",
+    "SELECT channel, ts AS ingest_ts FROM runs",
+    """runs AS (SELECT channel, min(ingest_ts) AS ts FROM stream_events GROUP BY 1
+      UNION ALL SELECT r.channel, min(e.ingest_ts) FROM runs r JOIN stream_events e ON e.channel = r.channel AND e.ingest_ts >= r.ts + INTERVAL 7200 SECOND GROUP BY r.channel, r.ts)""",
+)
 def j08(spark, sf):
-    return op.deduplicated(messages(spark, sf), ["channel"]).select("channel", F.col("ingest_ts").isNotNull().alias("runs"))
+    """The messages that find their channel's lock free; each holds it for two hours."""
+    return op.deduplicated(cat.stream_events(spark, sf), ["channel"]).select("channel", "ingest_ts")
 
 
 @query("b04_file_md5")
 def b04(spark, sf):
-    """MD5 of the files of a folder, whole files through Spark's reader."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "region.parquet").load(sf)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.md5("content").alias("md5"), F.col("length").alias("size"))
+    """MD5 of all files under a folder, whole files through Spark's reader. The oracle's SQL has no path to read them by."""
+    return op.file_md5(spark, sf).select("name", "md5", "size")
+
+
+STAMPED = """st AS (SELECT video_id, i, txt, row_number() OVER (PARTITION BY video_id ORDER BY start_s, i) AS k, CAST(round_even(start_s * 1000, 0) AS BIGINT) AS a, CAST(round_even(end_s * 1000, 0) AS BIGINT) AS b,
+      CAST(round_even(start_s * 100, 0) AS BIGINT) AS ca, CAST(round_even(end_s * 100, 0) AS BIGINT) AS cb FROM cues_src)"""
+
+
+def srt_sql(ms: str) -> str:
+    return f"printf('%02d:%02d:%02d,%03d', {ms} // 3600000, {ms} // 60000 % 60, {ms} // 1000 % 60, {ms} % 1000)"
+
+
+def ass_sql(cs: str) -> str:
+    return f"printf('%d:%02d:%02d.%02d', {cs} // 360000, {cs} // 6000 % 60, {cs} // 100 % 60, {cs} % 100)"
 
 
-@query("b08_srt_document", "SELECT video_id, string_agg((i + 1) || chr(10) || txt, chr(10) || chr(10) ORDER BY i) AS doc FROM cues_src GROUP BY 1")
+@query("b08_srt_document", f"SELECT video_id, string_agg(k || chr(10) || {srt_sql('a')} || ' --> ' || {srt_sql('b')} || chr(10) || txt || chr(10), chr(10) ORDER BY k) AS doc FROM st GROUP BY 1", STAMPED)
 def b08(spark, sf):
-    cues = cat.cues_src(spark, sf).withColumn("part", F.concat((F.col("i") + 1).cast("string"), F.lit("\n"), F.col("txt")))
-    rows = cues.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("i", "part"))).alias("a"))
-    return rows.select("video_id", F.array_join(F.transform("a", lambda x: x["part"]), "\n\n").alias("doc"))
+    return cue_arrays(cat.cues_src(spark, sf)).select("video_id", sub.srt_document(F.col("cues")).alias("doc"))
+
+
+ASS_HEAD = (
+    "[Script Info]\nScriptType: v4.00+\nPlayResX: 720\nPlayResY: 1280\nWrapStyle: 0\nScaledBorderAndShadow: yes\n\n[V4+ Styles]\n"
+    "Format: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, "
+    "BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding\n"
+    "Style: Default,Be Vietnam Pro,69,&H00FFFFFF,&H00FFFFFF,&H00000000,&H00000000,-1,0,0,0,100,100,0,0,1,2,1,2,36,36,230,1\n\n"
+    "[Events]\nFormat: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text\n"
+)
+
+
+@query(
+    "b09_ass_document",
+    f"SELECT video_id, '{ASS_HEAD}' || string_agg('Dialogue: 0,' || {ass_sql('ca')} || ',' || {ass_sql('cb')} || ',Default,,0,0,0,,' || replace(replace(replace(txt, '{{', '('), '}}', ')'), chr(10), '\\N') || chr(10), '' ORDER BY k) AS doc FROM st GROUP BY 1",
+    STAMPED,
+)
+def b09(spark, sf):
+    """Each video's subtitles as an ASS file for 720 by 1280 within the first platform's margins."""
+    return cue_arrays(cat.cues_src(spark, sf)).select("video_id", sub.ass_document(F.col("cues"), 720, 1280, F.lit(0.05), F.lit(0.18)).alias("doc"))

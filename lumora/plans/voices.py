@@ -47,9 +47,13 @@ def c10(spark, sf):
     return rows.groupBy("video_id").agg(F.count_if(F.col("o") > op.OVERFLOW).alias("overflowing"), F.count_if(F.col("f") >= op.AT_LIMIT).alias("too_fast"))
 
 
-@query("f04_mix_track")
+@query(
+    "f04_mix_track",
+    """SELECT video_id, 128 AS n, round(least(max(abs(v)), 0.99e0), 6) AS peak FROM (
+      SELECT video_id, pos, sum(x) AS v FROM (SELECT vec_id // 20 AS video_id, vec_id % 97 + unnest(range(64)) AS pos, unnest(embedding) * 3e0 AS x FROM embeddings) WHERE pos < 128 GROUP BY 1, 2) GROUP BY 1""",
+)
 def f04(spark, sf):
-    seg = cat.table(spark, sf, "embeddings").select((F.col("vec_id") % 50).alias("video_id"), F.struct((F.col("vec_id") % 97).alias("at"), F.transform("embedding", lambda x: x.cast("double") * 3).alias("samples")).alias("s"))
+    seg = cat.table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 20).alias("video_id"), F.struct((F.col("vec_id") % 97).alias("at"), F.transform("embedding", lambda x: x.cast("double") * 3).alias("samples")).alias("s"))
     rows = seg.groupBy("video_id").agg(F.array_sort(F.collect_list("s")).alias("segs"))
     track = rows.select("video_id", kernels.mixed_track(F.lit(128), "segs").alias("t"))
     return track.select("video_id", F.size("t").alias("n"), F.round(F.array_max(F.transform("t", F.abs)), 6).alias("peak"))
@@ -65,9 +69,9 @@ LOUD = "q AS (SELECT vec_id AS id, list_filter(range(1, len(embedding) + 1), lam
 
 @query("f05_trim_silence", "SELECT id, CASE WHEN len(loud) = 0 THEN 0 ELSE n - loud[1] + 1 END AS kept FROM q", LOUD)
 def f05(spark, sf):
-    return _samples(spark, sf).select("id", F.size(kernels.trimmed("x")).cast("long").alias("kept"))
+    return _samples(spark, sf).select("id", F.size(kernels.trimmed(F.col("x"))).cast("long").alias("kept"))
 
 
 @query("f06_silent_tail", "SELECT id, CASE WHEN len(loud) = 0 THEN n ELSE n - loud[-1] END AS tail FROM q", LOUD)
 def f06(spark, sf):
-    return _samples(spark, sf).select("id", kernels.silent_tail("x").alias("tail"))
+    return _samples(spark, sf).select("id", kernels.silent_tail(F.col("x")).alias("tail"))

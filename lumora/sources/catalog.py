@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lumora.functions.hashing import hex64, with_fingerprint
 from lumora.session import table
 
 #: States of a video, in order.
@@ -37,7 +38,7 @@ def cues_src(spark: SparkSession, sf: str) -> DataFrame:
     start = F.col("turn") * F.lit(3.0)
     end = start + F.least(F.lit(3.0), F.greatest(F.lit(0.3), F.length("text") / F.lit(400.0)))
     return table(spark, sf, "conversations").select(
-        F.col("conv_id").alias("video_id"), F.col("turn").alias("i"), start.alias("start_s"), end.alias("end_s"), F.substring("text", 1, 40).alias("txt")
+        F.col("conv_id").alias("video_id"), F.col("turn").alias("i"), start.alias("start_s"), end.alias("end_s"), F.col("text").alias("txt")
     )
 
 
@@ -46,23 +47,36 @@ def cues_dst(spark: SparkSession, sf: str) -> DataFrame:
     start = F.col("turn") * F.lit(2.5)
     return table(spark, sf, "conversations").select(
         F.col("conv_id").alias("video_id"), F.col("turn").alias("i"), (start + 0.5).alias("start_s"), (start + 2.5).alias("end_s"),
-        F.substring("text", 1, 40).alias("txt"), (F.length("text") / F.lit(200.0)).alias("voice_s"),
+        F.col("text").alias("txt"), (F.length("text") / F.lit(200.0)).alias("voice_s"),
     )
 
 
 def phash(spark: SparkSession, sf: str) -> DataFrame:
     """(id, phash): 64 bits of each embedding as 16 hex digits, by the rule of the perceptual hash."""
-    from lumora.functions.hashing import bits_above_median, hex_of_bits
-
     rows = table(spark, sf, "embeddings").where(F.size("embedding") == 64)
-    return rows.select(F.col("vec_id").alias("id"), hex_of_bits(bits_above_median(F.col("embedding"))).alias("phash"))
+    return with_fingerprint(rows, "embedding").select(F.col("vec_id").alias("id"), hex64(F.col("bits")).alias("phash"))
+
+
+def video_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, phash): 256 bits as 64 hex digits. Four frames in a row are a film, and four videos show each film, the last
+    0, 6, 12 or 18 digits of their hash blanked."""
+    films = phash(spark, sf).groupBy(F.floor(F.col("id") / 4).alias("film")).agg(F.array_sort(F.collect_list(F.struct("id", "phash"))).alias("a")).where(F.size("a") == 4)
+    films = films.select("film", F.array_join(F.transform("a", lambda x: x["phash"]), "").alias("h"))
+    copies = films.select("film", "h", F.explode(F.array(*[F.lit(j) for j in range(4)])).alias("j"))
+    return copies.select((F.col("film") * 4 + F.col("j")).alias("id"), F.concat(F.substr("h", F.lit(1), 64 - 6 * F.col("j")), F.repeat(F.lit("0"), 6 * F.col("j"))).alias("phash"))
+
+
+def frame_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, phash): 64 bits of frames, each with a twin whose last digit is blanked."""
+    twins = phash(spark, sf).select("id", "phash", F.explode(F.array(F.lit(0), F.lit(1))).alias("j"))
+    return twins.select((F.col("id") * 2 + F.col("j")).alias("id"), F.concat(F.substr("phash", F.lit(1), 16 - F.col("j")), F.repeat(F.lit("0"), F.col("j"))).alias("phash"))
 
 
 def videos(spark: SparkSession, sf: str) -> DataFrame:
     """The library; ``deleted`` marks soft-deleted rows."""
-    d, p = table(spark, sf, "documents"), phash(spark, sf)
+    d, p = table(spark, sf, "documents"), video_hashes(spark, sf)
     return d.join(p, d["doc_id"] == p["id"], "left").select(
-        F.col("doc_id").alias("id"), F.col("source").alias("author"), F.substring("text", 1, 60).alias("title"), (F.col("n_chars") / F.lit(10.0)).alias("duration_sec"),
+        F.col("doc_id").alias("id"), F.col("source").alias("author"), F.col("text").alias("title"), (F.col("n_chars") / F.lit(10.0)).alias("duration_sec"),
         F.md5("text").alias("md5"), "phash", choice(F.col("doc_id"), STATUSES).alias("status"), minutes_in(F.col("doc_id")).alias("created_at"),
         (F.col("doc_id") % 17 == 0).alias("deleted"),
     )
@@ -112,7 +126,7 @@ def stream_events(spark: SparkSession, sf: str) -> DataFrame:
 def as_stream_events(events: DataFrame) -> DataFrame:
     """(channel, payload, ingest_ts) of progress and status messages; works on streams too."""
     kind, user = F.col("event_type"), F.col("user_id").cast("string")
-    channel = F.concat(F.when(kind.isin("error", "purchase"), "reup:status:").otherwise("reup:progress:"), user)
+    channel = F.concat(F.when(kind.isin("error", "purchase"), "media:status:").otherwise("media:progress:"), user)
     status = F.when(kind == "error", "error").when(kind == "purchase", "ready").otherwise("running")
     payload = F.concat(F.lit('{"video_id":"'), user, F.lit('","status":"'), status, F.lit('"}'))
     return events.select(channel.alias("channel"), payload.alias("payload"), F.col("ts").alias("ingest_ts"))

@@ -6,6 +6,9 @@ their own, so the time of ingestion drives watermarks.
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -29,13 +32,13 @@ def messages(spark: SparkSession, folder: str, files_at_once: int = 100) -> Data
 def published(video_id: Column, percent: Column, step: Column) -> tuple[Column, Column]:
     """(channel, payload) of a progress message, the percentage held to 0 to 100."""
     held = F.greatest(F.lit(0), F.least(F.lit(100), percent))
-    return F.concat(F.lit("reup:progress:"), video_id), F.to_json(F.struct(video_id.alias("video_id"), step.alias("step"), held.alias("percent")))
+    return F.concat(F.lit("media:progress:"), video_id), F.to_json(F.struct(video_id.alias("video_id"), step.alias("step"), held.alias("percent")))
 
 
 def topic_of(channel: Column) -> Column:
     """video:<id> of a progress or status channel, queue, alert; null for others and for an empty id."""
-    found = F.regexp_extract(channel, r"(?s)^reup:(?:progress|status):(.+)$", 1)
-    return F.when(found != "", F.concat(F.lit("video:"), found)).when(channel == "reup:queue", "queue").when(channel == "reup:alert", "alert")
+    found = F.regexp_extract(channel, r"(?s)^media:(?:progress|status):(.+)$", 1)
+    return F.when(found != "", F.concat(F.lit("video:"), found)).when(channel == "media:queue", "queue").when(channel == "media:alert", "alert")
 
 
 def parsed(rows: DataFrame) -> DataFrame:
@@ -60,7 +63,7 @@ def delivered(rows: DataFrame, subscriptions: DataFrame) -> DataFrame:
 
 def latest_status(rows: DataFrame) -> DataFrame:
     """(topic, status, at): each video's newest status message; on a stream, state per video, complete mode."""
-    good = parsed(rows).where("bad IS NULL AND channel LIKE 'reup:status:%'")
+    good = parsed(rows).where("bad IS NULL AND channel LIKE 'media:status:%'")
     return good.groupBy("topic").agg(F.max_by("status", "ingest_ts").alias("status"), F.max("ingest_ts").alias("at"))
 
 
@@ -70,10 +73,24 @@ def status_counts(latest: DataFrame) -> DataFrame:
 
 
 def deduplicated(rows: DataFrame, keys: list[str], seconds: int = LOCK_S) -> DataFrame:
-    """The first message per key within ``seconds``; on a stream the state of older keys is dropped."""
+    """The messages that find their key's lock free: each takes it for ``seconds``, and those within that time are dropped.
+
+    On a stream the state lives as long as the lock, by the watermark; a late message counts as early. On a batch each
+    key's messages are folded in the order of their times; rows at one time count once.
+    """
     if rows.isStreaming:
         return rows.withWatermark("ingest_ts", f"{seconds} seconds").dropDuplicatesWithinWatermark(keys)
-    return rows.dropDuplicates(keys)
+    rest = [c for c in rows.columns if c not in keys and c != "ingest_ts"]
+    held = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ingest_ts", *rest))).alias("_m"))
+    life = F.expr(f"INTERVAL {seconds} SECONDS")
+    none = F.filter("_m", lambda m: F.lit(False))
+
+    def step(acc: Column, m: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        return F.when(last.isNull() | (m["ingest_ts"] >= last["ingest_ts"] + life), F.concat(acc, F.array(m))).otherwise(acc)
+
+    kept = held.select(*keys, F.explode(F.aggregate("_m", none, step)).alias("_r"))
+    return kept.select(*[F.col(c) if c in keys else F.col("_r")[c].alias(c) for c in rows.columns])
 
 
 RUNS = "video_id long, step int, started_s double, finished_s double, status string, log string"
@@ -107,11 +124,32 @@ def lifecycle(events: DataFrame) -> DataFrame:
     )
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
-    """All that is available through a streaming query into a memory table, for tests and batch callers."""
-    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    q: StreamingQuery = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors see: spark.checkpoint.dir; on a local master without it, a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "lumora-streams")
+
+
+def drained(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """All that is available through a streaming query, appended to Parquet files and read back; nothing passes the driver.
+
+    Rows and progress stand under ``folder``: run again with the same one, the query goes on where it stopped, and rows
+    written before are not repeated. Without one a new folder in ``shared_folder`` is used.
+    """
+    at = folder or f"{shared_folder(stream.sparkSession)}/{uuid.uuid4().hex}"
+    q: StreamingQuery = stream.writeStream.format("parquet").outputMode("append").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/rows")
+
+
+def file_md5(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, md5, size) of all files under a folder, name being the path within it; the reader leaves out empty files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    root = folder.rstrip("/").rsplit("/", 1)[-1]
+    return files.select(F.substring_index("path", f"/{root}/", -1).alias("name"), F.md5("content").alias("md5"), F.col("length").alias("size"))

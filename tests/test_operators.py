@@ -196,7 +196,7 @@ def test_perceptual_hash(spark):
     c = df.select("id", hashing.dct_low("gray").alias("c"))
     got = {r[0]: r[1] for r in c.collect()}
     assert np.allclose(got[1], direct) and got[3] is None
-    h = {r[0]: r[1] for r in c.where("c IS NOT NULL").select("id", hashing.hex_of_bits(hashing.bits_above_median(F.col("c")))).collect()}
+    h = {r[0]: r[1] for r in hashing.with_fingerprint(c.where("c IS NOT NULL"), "c").select("id", hashing.hex64(F.col("bits"))).collect()}
     assert h[1] == h[2] and len(h[1]) == 16
 
 
@@ -311,21 +311,63 @@ def test_texts(spark):
 
 def test_kernels(spark):
     df = spark.createDataFrame([(1, [0.0, 0.0, 0.5, 0.0, 0.2, 0.0, 0.0])], "id int, x array<double>")
-    assert df.select(kernels.silent_tail("x")).first()[0] == 2
-    assert df.select(kernels.trimmed("x")).first()[0] == [0.5, 0.0, 0.2, 0.0, 0.0]
+    assert df.select(kernels.silent_tail(F.col("x"))).first()[0] == 2
+    assert df.select(kernels.trimmed(F.col("x"))).first()[0] == [0.5, 0.0, 0.2, 0.0, 0.0]
 
 
 def test_topics(spark):
     t = lambda c: one(spark, progress.topic_of(F.col("c")), c=c)
-    assert t("reup:progress:7") == "video:7" and t("reup:status:") is None and t("reup:alert") == "alert" and t("x") is None
+    assert t("media:progress:7") == "video:7" and t("media:status:") is None and t("media:alert") == "alert" and t("x") is None
 
 
 def test_stream_of_messages(spark, tmp_path):
-    rows = [("reup:status:7", '{"status":"ready"}', datetime.datetime(2024, 1, 1, 0, 1)), ("reup:status:7", '{"status":"running"}', datetime.datetime(2024, 1, 1)), ("reup:alert", "{}", datetime.datetime(2024, 1, 1)), ("zzz", "{", datetime.datetime(2024, 1, 1))]
+    rows = [("media:status:7", '{"status":"ready"}', datetime.datetime(2024, 1, 1, 0, 1)), ("media:status:7", '{"status":"running"}', datetime.datetime(2024, 1, 1)), ("media:alert", "{}", datetime.datetime(2024, 1, 1)), ("zzz", "{", datetime.datetime(2024, 1, 1))]
     spark.createDataFrame(rows, progress.SCHEMA).write.parquet(str(tmp_path / "m"))
     stream = progress.messages(spark, str(tmp_path / "m"))
-    latest = progress.drained(progress.latest_status(stream), "t_latest", "complete").collect()
+    q = progress.latest_status(stream).writeStream.format("memory").queryName("t_latest").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    latest = spark.table("t_latest").collect()
     assert [(r["topic"], r["status"]) for r in latest] == [("video:7", "ready")]
     subs = spark.createDataFrame([("c1", "video:7"), ("c2", "queue")], "client string, topic string")
-    sent = progress.drained(progress.delivered(stream, subs), "t_sent").groupBy("client", "topic").count().collect()
+    sent = progress.drained(progress.delivered(stream, subs)).groupBy("client", "topic").count().collect()
     assert {(r[0], r[1], r[2]) for r in sent} == {("c1", "video:7", 2), ("c1", "alert", 1), ("c2", "alert", 1)}
+
+
+def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    at = datetime.datetime(2024, 1, 1)
+    put = lambda rows: spark.createDataFrame(rows, progress.SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "m"))
+    put([("media:status:7", '{"status":"ready"}', at)])
+    stream = progress.messages(spark, str(tmp_path / "m"))
+    assert progress.drained(stream, str(tmp_path / "out")).count() == 1
+    put([("media:status:8", '{"status":"ready"}', at)])
+    assert progress.drained(stream, str(tmp_path / "out")).count() == 2  # the first is not read again
+
+
+@pytest.mark.parametrize("streaming", [False, True])
+def test_a_lock_lives_two_hours(spark, tmp_path, streaming):
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(f"k{k}", "{}", at + datetime.timedelta(seconds=s)) for k in (1, 2) for s in (0, 60, 7199)]
+    if not streaming:
+        rows += [("k1", "{}", at + datetime.timedelta(seconds=s)) for s in (7200, 14399, 14400)]
+        got = progress.deduplicated(spark.createDataFrame(rows, progress.SCHEMA), ["channel"]).collect()
+        assert sorted((r["channel"], (r["ingest_ts"] - at).total_seconds()) for r in got) == [("k1", 0), ("k1", 7200), ("k1", 14400), ("k2", 0)]
+        return
+    put = lambda rows: spark.createDataFrame(rows, progress.SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "m"))
+    put(rows)
+    stream = progress.deduplicated(progress.messages(spark, str(tmp_path / "m")), ["channel"])
+    assert progress.drained(stream, str(tmp_path / "out")).count() == 2
+    put([("k3", "{}", at + datetime.timedelta(seconds=30000))])  # moves the watermark past the locks
+    progress.drained(stream, str(tmp_path / "out"))
+    put([("k1", "{}", at + datetime.timedelta(seconds=30001))])
+    assert progress.drained(stream, str(tmp_path / "out")).where("channel = 'k1'").count() == 2
+
+
+def test_file_md5(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    files = {"a.bin": b"x" * 3_000_000, "deep/b.txt": b"y"}
+    for name, content in files.items():
+        (tmp_path / "in" / name).write_bytes(content)
+    got = {r["name"]: (r["md5"], r["size"]) for r in progress.file_md5(spark, str(tmp_path / "in")).collect()}
+    assert got == {n: (hashlib.md5(c).hexdigest(), len(c)) for n, c in files.items()}
