@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import os
 import tempfile
 
@@ -44,13 +45,14 @@ def fraction(h: Column) -> Column:
     return (h.cast("double") + F.lit(float(1 << 63))) / F.lit(float(1 << 64))
 
 
-def sampled(rows: DataFrame, n: int, id_col: str = "doc_id") -> DataFrame:
-    """At most ``n`` of ``rows``, by the hash of the id. For a model's fit only.
+def sampled(rows: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """At most ``n`` of ``rows``, by the hash of id and text. For a model's fit only.
 
     Rows are counted first, so that each task hands over its few rows below the hash that some 2 n rows lie under;
-    what reaches the driver does not grow with the number of tasks.
+    what reaches the driver does not grow with the number of tasks. Rows that repeat an id, or have none, are chosen
+    by their texts; rows that repeat both count as often as they occur.
     """
-    h = F.xxhash64(id_col)
+    h = F.xxhash64(id_col, text_col)
     total = rows.count()
     below = rows.where(fraction(h) < 2 * n / total) if total > 2 * n else rows
     return below.orderBy(h, id_col).limit(n)
@@ -61,6 +63,11 @@ def hash_bucket(h: Column, bits: int = 10) -> Column:
     return F.shiftright(h, 64 - bits)
 
 
+def bucket_bits(rows: int) -> int:
+    """Bits of ``hash_bucket`` that leave some 2**17 rows a bucket, 10 at least."""
+    return max(10, math.ceil(math.log2(max(rows, 1) / (1 << 17))))
+
+
 def running_total(df: DataFrame, group: list[str], bucket: Column, order: list[Column], value: Column, out: str) -> DataFrame:
     """Adds ``out``, the sum of ``value`` over the rows before this one of its group, without one task per group.
 

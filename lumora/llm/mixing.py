@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumora.llm.common import checkpointed, hash_bucket, n_words, read, running_total
+from lumora.llm.common import bucket_bits, checkpointed, hash_bucket, n_words, read, running_total
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -46,6 +46,21 @@ def golden(i: Column) -> Column:
     return x - F.floor(x).cast("double")
 
 
+def slots_needed(aims: DataFrame, block_words: int) -> int:
+    """Number of slots after which every source of ``aims`` (target, quota) has a slot for each of its blocks.
+
+    A stretch of the unit interval of length p holds at least p n - log2 n - 2 of the first n golden-ratio points, so the
+    source with the smallest share asks for the margin.
+    """
+    total, least = aims.where("quota > 0").agg(F.sum("quota"), F.min(F.col("target")) / F.sum("target")).first()
+    if not total:
+        return 0
+    n = total / block_words
+    for _ in range(3):
+        n = total / block_words + (math.log2(n + 2) + 5) / least
+    return math.ceil(n)
+
+
 def slots(spark: SparkSession, aims: DataFrame, n: int) -> DataFrame:
     """(slot, source, rank): source of each of ``n`` slots and how many earlier slots that source has.
 
@@ -65,66 +80,77 @@ def slots(spark: SparkSession, aims: DataFrame, n: int) -> DataFrame:
 
 
 def schedule(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, repeats: float = 2.0, block_words: int = 256) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The mix of ``sized`` (doc_id, source, size), as (pieces, placed, aims).
+    """The mix of ``sized`` (doc_id, source, size, tag), as (pieces, placed, aims).
 
     aims: ``targets``. placed: the documents with words, with their source's columns and ``start``, their place in
-    the source's shuffled stream of words. pieces: (slot, source, block, doc_id, start, size, from_word, n_words),
-    the words of a document that a slot takes. A source's stream, repeated as often as needed, is cut into blocks
-    of ``block_words``; its r-th slot takes its r-th block, and its last block ends at the rounded target. Blocks
-    that find no slot, by the sequence's discrepancy, follow after all slots (slot null).
+    the source's stream of words, shuffled by ``tag``. pieces: (slot, source, block, doc_id, tag, start, size, lap,
+    from_word, n_words), the words of a document that a slot takes. A source's stream, run through in as many laps as
+    needed, is cut into blocks of ``block_words``; its r-th slot takes its r-th block, and its last block ends at the
+    rounded target, after which the schedule passes it over. What no slot takes is not in the mix.
 
     Documents without words have no pieces. Repeated rows are documents of their own. Null sources are a source.
     """
     aims = checkpointed(targets(sized, weights, share, repeats).withColumn("quota", F.round("target").cast("long")))
-    words = aims.agg(F.sum("quota")).first()[0] or 0
-    h = F.xxhash64("doc_id", "size")
-    placed = running_total(sized.where("size > 0").withColumn("h", h), ["source"], hash_bucket(F.col("h")), [F.col("h"), F.col("doc_id"), F.col("size")], F.col("size"), "start").drop("h")
+    order = [F.col("tag"), F.col("doc_id"), F.col("size")]
+    worded = sized.where("size > 0")
+    placed = running_total(worded, ["source"], hash_bucket(F.col("tag"), bucket_bits(sized.count())), order, F.col("size"), "start")
     a = aims.select(F.col("source").alias("_s"), "source_size", "target", "quota")
     placed = placed.join(a, placed["source"].eqNullSafe(a["_s"]), "left").drop("_s")
-    passes = placed.withColumn("at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(math.ceil(repeats) - 1)), lambda k: F.col("start") + F.col("source_size") * k)))
-    passes = passes.withColumn("end", F.least(F.col("at") + F.col("size"), F.col("quota"))).where("at < end")
-    cut = passes.withColumn("block", F.explode(F.sequence(F.expr(f"at div {block_words}"), F.expr(f"(end - 1) div {block_words}"))))
+    laps = placed.withColumn("lap", F.explode(F.sequence(F.lit(0), F.lit(math.ceil(repeats) - 1)))).withColumn("at", F.col("start") + F.col("source_size") * F.col("lap"))
+    laps = laps.withColumn("end", F.least(F.col("at") + F.col("size"), F.col("quota"))).where("at < end")
+    cut = laps.withColumn("block", F.explode(F.sequence(F.expr(f"at div {block_words}"), F.expr(f"(end - 1) div {block_words}"))))
     first = F.greatest("at", F.col("block") * block_words)
     cut = cut.select(
-        "source", "block", "doc_id", "start", "size", (first - F.col("at")).alias("from_word"),
+        "source", "block", "doc_id", "tag", "start", "size", "lap", (first - F.col("at")).alias("from_word"),
         (F.least(F.col("end"), (F.col("block") + 1) * block_words) - first).alias("n_words"),
     )
-    turns = slots(sized.sparkSession, aims, math.ceil(words / block_words) + 1).select("slot", F.col("source").alias("_s"), "rank")
-    pieces = cut.join(turns, cut["source"].eqNullSafe(turns["_s"]) & (cut["block"] == turns["rank"]), "left").drop("_s", "rank")
+    turns = slots(sized.sparkSession, aims, slots_needed(aims, block_words)).select("slot", F.col("source").alias("_s"), "rank")
+    pieces = cut.join(turns, cut["source"].eqNullSafe(turns["_s"]) & (cut["block"] == turns["rank"])).drop("_s", "rank")
     return pieces, placed, aims
 
 
 def mixed(sized: DataFrame, **options: object) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for each row of ``sized``; taken counts repeats."""
+    """(doc_id, source, size, source_size, target, taken, first_slot, n_slots) for each row of ``sized``: the words that
+    slots take of it, repeats counted, the first of these slots (null if there is none) and their number."""
     pieces, placed, aims = schedule(sized, **options)
     key = ["source", "start", "doc_id", "size"]
-    none = placed.select(*key, F.lit(0).cast("long").alias("n_words"))
-    taken = pieces.select(*key, "n_words").unionByName(none).groupBy(*key).agg(F.sum("n_words").alias("taken"))
-    every = taken.select("doc_id", "source", "size", "taken").unionByName(
-        sized.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken"))
+    none = placed.select(*key, F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("long").alias("slot"))
+    taken = pieces.select(*key, "n_words", "slot").unionByName(none).groupBy(*key)
+    taken = taken.agg(F.sum("n_words").alias("taken"), F.min("slot").alias("first_slot"), F.count("slot").alias("n_slots"))
+    zero = F.lit(0).cast("long")
+    every = taken.select("doc_id", "source", "size", "taken", "first_slot", "n_slots").unionByName(
+        sized.where("size = 0").select("doc_id", "source", "size", zero.alias("taken"), F.lit(None).cast("long").alias("first_slot"), zero.alias("n_slots"))
     )
     a = aims.select(F.col("source").alias("_s"), "source_size", "target")
-    return every.join(a, every["source"].eqNullSafe(a["_s"]), "left").select("doc_id", "source", "size", "source_size", "target", "taken")
+    return every.join(a, every["source"].eqNullSafe(a["_s"]), "left").select("doc_id", "source", "size", "source_size", "target", "taken", "first_slot", "n_slots")
+
+
+def tag_of(docs: DataFrame) -> Column:
+    """Hash of a document's id, source and text."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["source"].cast("string"), docs["text"].cast("string"))
 
 
 def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size) of documents; a null text has size 0."""
-    return checkpointed(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), n_words(F.col("text")).alias("size")))
+    """(doc_id, source, size, tag) of documents; a null text has size 0."""
+    return checkpointed(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].cast("string").alias("source"), n_words(docs["text"]).alias("size"), tag_of(docs).alias("tag")))
 
 
 def mix(docs: DataFrame, **options: object) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it: words taken over its size, rounded.
+    """``docs`` in the order of the mix, each row once for every lap in which slots take half of its words or more.
 
-    Only the document at the end of a source's last pass is taken in part; it is kept or left as a whole. Rows
-    that share doc_id, source and size get the same number of copies. Rows without words are left out.
+    Only the document at the end of a source's last lap is taken in part; it is kept or left as a whole. A copy stands
+    at its first slot of its lap; partitions follow each other in the order of the slots, and so do rows within
+    them. Rows that repeat id, source and text are taken alike. Rows without words are left out.
     """
-    copies = mixed(sized(docs), **options).where("size > 0").groupBy("doc_id", "source", "size").agg(F.round(F.avg(F.col("taken") / F.col("size"))).cast("int").alias("_n"))
-    c = copies.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_n").where("_n > 0")
-    own = docs.withColumn("_size", n_words(F.col("text")))
-    same = own["doc_id"].cast("long").eqNullSafe(c["_d"]) & own["source"].cast("string").eqNullSafe(c["_s"]) & (own["_size"] == c["_z"])
-    repeated = own.join(c, same).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    return repeated.select(*[own[x] for x in docs.columns])
+    pieces, _, _ = schedule(sized(docs), **options)
+    laps = pieces.groupBy("source", "start", "tag", "size", "lap").agg(F.sum("n_words").alias("n"), F.min("slot").alias("slot"))
+    copies = checkpointed(laps.groupBy("tag", "lap").agg(F.avg(F.col("n") / F.col("size")).alias("share"), F.min("slot").alias("_slot")).where("share >= 0.5").select(F.col("tag").alias("_tag"), "_slot"))
+    last = copies.agg(F.max("_slot")).first()[0] or 0
+    taken = docs.select(F.struct("*").alias("_row"), tag_of(docs).alias("_own")).join(copies, F.col("_own") == F.col("_tag"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = F.floor(F.col("_slot") * n / (last + 1)).cast("int")
+    return taken.repartitionById(n, part).sortWithinPartitions("_slot", "_tag").select("_row.*")
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(sized(read(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+    return mixed(sized(read(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")

@@ -246,7 +246,8 @@ def mixed_docs(spark, seed=1, n=300):
     rng = random.Random(seed)
     names = [None, "a", "b", "ä", "Z", "tiny"]
     rows = [(i, rng.choices(names, [1, 30, 5, 5, 2, 0.2])[0], rng.randint(0, 400)) for i in range(n)]
-    return spark.createDataFrame([*rows, (1, "a", 50), (1, "a", 50), (None, "b", 7), (9999, "empty", 0)], "doc_id long, source string, size long")
+    every = [*rows, (1, "a", 50), (1, "a", 50), (None, "b", 7), (9999, "empty", 0)]
+    return spark.createDataFrame([(*r, random.Random(str(r)).getrandbits(63)) for r in every], "doc_id long, source string, size long, tag long")
 
 
 def test_targets_are_the_resharing(spark):
@@ -271,10 +272,55 @@ def test_mix_meets_targets_and_caps(spark):
     assert sorted(map(str, rows)) == sorted(map(str, again))
 
 
+def plain_mix(rows, block):
+    """Words taken of each row, and the order of the blocks, by the schedule's rules one slot at a time."""
+    sizes = {}
+    for _, source, size, _ in rows:
+        sizes[source] = sizes.get(source, 0) + size
+    aim = {s: t for s, t in plain_targets(sizes).items() if t > 0}
+    quota, total = {s: int(t + 0.5) for s, t in aim.items()}, sum(aim.values())
+    names = sorted((s for s in aim if s is not None), key=lambda s: s.encode()) + [None] * (None in aim)
+    stream = {s: [] for s in aim}
+    for k, (doc, source, size, tag) in sorted(enumerate(rows), key=lambda x: (x[1][3], str(x[1][0]), x[1][2])):
+        if source in aim:
+            stream[source] += [k] * size
+    taken, at, order, slot = [0] * len(rows), dict.fromkeys(aim, 0), [], 0
+    while any(at[s] < quota[s] for s in aim):
+        x, low = slot * (5**0.5 - 1) / 2 % 1, 0.0
+        for s in names:
+            low += aim[s] / total
+            if x < low or s == names[-1]:
+                break
+        for _ in range(block):
+            if at[s] < quota[s]:
+                taken[stream[s][at[s] % len(stream[s])]] += 1
+                at[s] += 1
+                if not order or order[-1][0] != slot:
+                    order.append((slot, s))
+        slot += 1
+    return taken, order
+
+
+def test_mix_is_the_schedule_slot_by_slot(spark):
+    df = mixed_docs(spark)
+    rows = [tuple(r) for r in df.collect()]
+    taken, order = plain_mix(rows, 16)
+    got = mixing.mixed(df, block_words=16).collect()
+    assert sorted((str(r["doc_id"]), str(r["source"]), r["size"], r["taken"]) for r in got) == sorted((str(d), str(s), n, t) for (d, s, n, _), t in zip(rows, taken))
+    pieces, _, _ = mixing.schedule(df, block_words=16)
+    assert sorted((r["slot"], r["source"]) for r in pieces.select("slot", "source").distinct().collect()) == order
+    assert all((r["first_slot"] is None) == (r["taken"] == 0) == (r["n_slots"] == 0) for r in got)
+
+
+def test_mix_depends_on_the_slots(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "slots", lambda spark, aims, n: spark.createDataFrame([], "slot long, source string, rank long"))
+    assert {r["taken"] for r in mixing.mixed(mixed_docs(spark)).collect()} == {0}
+
+
 def test_schedule_spreads_sources_evenly(spark):
     df = mixed_docs(spark)
     pieces, _, aims = mixing.schedule(df, block_words=16)
-    rows = pieces.where("slot IS NOT NULL").select("slot", "source").distinct().collect()
+    rows = pieces.select("slot", "source").distinct().collect()
     share = {r["source"]: r["target"] for r in aims.collect()}
     total = sum(share.values())
     order = [r["source"] for r in sorted(rows, key=lambda r: r["slot"])]
@@ -298,6 +344,11 @@ def test_mix_of_odd_tables(spark):
     docs = documents(spark, ["a b c", None, "", "d e f g"])
     got = mixing.mix(docs).collect()
     assert {r["doc_id"] for r in got} <= {0, 3} and set(got[0].asDict()) == set(docs.columns)
+    twice = documents(spark, ["a b c"] * 5 + ["x y"]).withColumn("doc_id", F.lit(None).cast("long")).withColumn("_slot", F.lit(1)).withColumn("tag", F.lit("own"))
+    rows = mixing.mix(twice.union(twice)).collect()
+    assert {r["tag"] for r in rows} == {"own"} and {r["_slot"] for r in rows} == {1}
+    order = mixing.mix(documents(spark, [f"{i} " * 300 for i in range(40)]), block_words=64).collect()
+    assert [r["doc_id"] for r in order] == [r["doc_id"] for r in mixing.mix(documents(spark, [f"{i} " * 300 for i in range(40)]), block_words=64).collect()]
     assert mixing.mix(docs.limit(0)).collect() == [] and mixing.mix(documents(spark, [None, ""])).collect() == []
     assert [r["taken"] for r in mixing.mixed(mixing.sized(documents(spark, [None, ""]))).collect()] == [0, 0]
 
