@@ -1,5 +1,6 @@
 """SimHash, embedding near-duplicates, nearest neighbours and components against brute force."""
 
+import math
 import random
 import re
 
@@ -119,10 +120,11 @@ def odd_rows(dim=32):
     return [(1000, None, 0), (1001, [0.0] * dim, 0), (1002, [float("nan")] * dim, 0), (1003, [None, *[1.0] * (dim - 1)], 0), (1004, [float("inf"), *[1.0] * (dim - 1)], 0), (1005, [], 0)]
 
 
-def test_embedding_near_duplicates_against_all_pairs(spark):
+@pytest.mark.parametrize("failure", [0.0, 1e-6, 1e-3])
+def test_embedding_near_duplicates_against_all_pairs(spark, failure):
     x = vectors()
     df = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)] + odd_rows(), VEC)
-    got = {r["vec_id"]: r for r in rabitq.near_duplicates(df).collect()}
+    got = {r["vec_id"]: r for r in rabitq.near_duplicates(df, failure=failure).collect()}
     u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     near = u @ u.T >= 0.95
     want = roots(len(x), [(i, j) for i in range(len(x)) for j in range(i) if near[i, j]])
@@ -141,14 +143,42 @@ def test_large_buckets_are_cut_and_lose_nothing(spark, monkeypatch):
     assert [got[i] for i in range(len(x))] == ((u @ u.T >= 0.95).sum(1) - 1).tolist()
 
 
-def test_estimates_never_lose_a_pair():
+def test_estimates_and_their_bounds():
     x = rabitq.units(list(vectors(seed=5)))
-    signs, factor = rabitq.encode(x)
+    codes, factor = rabitq.encode(x)
+    assert codes.shape == (300, 4)
+    q, scale, err = rabitq.quantised(x)
     rotated = x @ rabitq.rotation(32, 0).T
-    estimate = rotated @ (signs / np.sqrt(32)).T / factor
+    assert np.allclose(np.linalg.norm(rotated - q * scale[:, None], axis=1), err) and err.max() < 0.02
+    estimate = rotated @ rabitq.signs(codes, 32).T / factor
     near = x @ x.T >= 0.95
-    assert (estimate >= rabitq.bound(factor, 0.95) - 1e-6)[near].all()
+    assert (estimate >= rabitq.bound(factor, 32, 0.95, 0) - 1e-6)[near].all()
     assert abs((estimate - x @ x.T)[~near].mean()) < 0.02  # unbiased
+    loose, tight = rabitq.bound(factor, 32, 0.95, 1e-6), rabitq.bound(factor, 32, 0.95, 1e-2)
+    assert (rabitq.bound(factor, 32, 0.95, 0) <= loose).all() and (loose < tight).all() and (tight < 0.95).all()
+    assert (rabitq.bound(factor, 512, 0.95) > rabitq.bound(factor, 64, 0.95)).all()
+
+
+def test_bound_fails_no_more_often_than_stated():
+    rng = np.random.default_rng(8)
+    dim, failure, n = 64, 0.05, 4000
+    x = rabitq.units(list(rng.standard_normal((n, dim))))
+    other = rng.standard_normal((n, dim))
+    other -= (other * x).sum(1, keepdims=True) * x
+    y = 0.95 * x + math.sqrt(1 - 0.95**2) * other / np.linalg.norm(other, axis=1, keepdims=True)
+    codes, factor = rabitq.encode(x)
+    estimate = ((y @ rabitq.rotation(dim, 0).T) * rabitq.signs(codes, dim)).sum(1) / factor
+    missed = (estimate < rabitq.bound(factor, dim, 0.95, failure)).mean()
+    assert missed <= failure and (estimate < 0.95).mean() > 0.3  # the bound is needed, and holds
+
+
+def test_few_pairs_are_computed_exactly(spark):
+    x = np.random.default_rng(3).standard_normal((1200, 64)).astype(np.float32)
+    x[600] = x[0] + 0.01
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VEC)
+    rows = rabitq.near_duplicates(df).collect()
+    assert 1 <= sum(r["n_exact"] for r in rows) < 1200 * 1199 / 2 / 100
+    assert {r["vec_id"] for r in rows if r["n_links"]} == {0, 600}
 
 
 def test_embedding_near_duplicates_of_odd_tables(spark):
