@@ -2,33 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumora.llm.common import checkpointed, read
 from lumora.llm.rabitq import units, usable
 
 #: Vectors of a shard, its graph's degree, beams while building and searching, and pruning's relaxation.
-SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA = 4096, 32, 64, 128, 1.2
+SHARD, DEGREE, BUILD_BEAM, BEAM, ALPHA = 16384, 32, 48, 160, 1.2
+#: Points that a search may start from.
+ENTRIES = 48
+#: Scores that differ by less are looked at as ties until the last ranking.
+TIE = 1e-9
 #: Queries that meet a shard in one task; points that are inserted together.
 QUERIES, TOGETHER = 4096, 256
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entry: int, beam: int, at_once: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def beam_search(x: np.ndarray, graph: np.ndarray, q: np.ndarray, entries: np.ndarray, beam: int, at_once: int = 4) -> tuple[np.ndarray, np.ndarray]:
     """(ids, inner products) of the ``beam`` best points found for each query, best first; -1 fills.
 
-    ``graph`` holds each point's out-neighbours (-1: none). All queries advance together; each step follows the
-    edges of a query's ``at_once`` best points not followed yet, until every point of its beam is followed.
+    ``graph`` holds each point's out-neighbours (-1: none). A search starts from the best of ``entries``. All queries
+    advance together; each step follows the edges of a query's ``at_once`` best points not followed yet, until every
+    point of its beam is followed.
     """
     n, rows, at_once = len(x), np.arange(len(q))[:, None], min(at_once, beam)
     ids = np.full((len(q), beam), -1, np.int32)
     near = np.full((len(q), beam), -np.inf, np.float32)
     done = np.ones((len(q), beam), bool)
     seen = np.zeros((len(q), n + 1), bool)  # the last column takes the -1
-    ids[:, 0], near[:, 0], done[:, 0], seen[:, entry] = entry, q @ x[entry], False, True
+    entries = entries[:beam]
+    ids[:, : len(entries)], near[:, : len(entries)], done[:, : len(entries)], seen[:, entries] = entries, q @ x[entries].T, False, True
     live = np.arange(len(q))
     while len(live):
         r = rows[: len(live)]
@@ -85,71 +92,86 @@ def robust_prune(x: np.ndarray, p: np.ndarray, cand: np.ndarray, degree: int, al
     return out
 
 
-def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 3) -> tuple[np.ndarray, int]:
-    """(graph, entry) over unit vectors: from random edges, two passes that search each point's neighbourhood
-    greedily, prune what was found, and give the edges kept a way back. The entry is the point nearest the mean."""
+def build(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, alpha: float = ALPHA, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """(graph, entries) over unit vectors. The entries are the point nearest the mean and ENTRIES - 1 at random.
+
+    Points are inserted in random order, in groups of at most an eighth of what is there: a greedy search of the graph so
+    far proposes a point's neighbours, pruning keeps diverse ones, and each kept one gets an edge back. A point may
+    gather half as many edges again as ``degree`` before it is pruned anew.
+    """
     n = len(x)
-    rng = np.random.default_rng(seed)
     entry = int((x @ x.mean(0)).argmax())
     if n <= degree + 1:
         full = np.tile(np.arange(n, dtype=np.int32), (n, 1))
         np.fill_diagonal(full, -1)
-        return full, entry
-    graph = rng.integers(0, n, (n, degree)).astype(np.int32)
+        return full, np.array([entry], np.int32)
+    order = np.random.default_rng(seed).permutation(n).astype(np.int32)
+    order = np.concatenate(([np.int32(entry)], order[order != entry]))
+    graph = np.full((n, degree + degree // 2), -1, np.int32)
+    graph[order[: degree + 1], : degree + 1] = order[: degree + 1]
     graph[graph == np.arange(n)[:, None]] = -1
-    for a in (1.0, alpha):
-        order = rng.permutation(n).astype(np.int32)
-        for s in range(0, n, TOGETHER):
-            p = order[s : s + TOGETHER]
-            found, _ = beam_search(x, graph, x[p], entry, min(beam, n))
-            graph[p] = robust_prune(x, p, np.concatenate((found, graph[p]), axis=1), degree, a)
-            src = np.repeat(p, degree)
-            dst = graph[p].ravel()
-            src, dst = src[dst >= 0], dst[dst >= 0]
-            by = np.argsort(dst, kind="stable")
-            src, dst = src[by], dst[by]
-            to, at, count = np.unique(dst, return_index=True, return_counts=True)
-            place = np.arange(len(dst)) - np.repeat(at, count)
-            back = np.full((len(to), int(count.max())), -1, np.int32)
-            back[np.repeat(np.arange(len(to)), count), place] = src
-            both = np.concatenate((graph[to], back), axis=1)
-            width = (both >= 0).sum(1)
-            fits = width <= degree
-            packed = -np.sort(-both[fits], axis=1)[:, :degree]
-            graph[to[fits]] = packed
-            if (~fits).any():
-                graph[to[~fits]] = robust_prune(x, to[~fits], both[~fits], degree, a)
-    return graph, entry
+    at = degree + 1
+    while at < n:
+        p = order[at : at + min(TOGETHER, max(8, at // 8))]
+        found, _ = beam_search(x, graph, x[p], order[: min(ENTRIES, at)], min(beam, at))
+        graph[p, :degree] = robust_prune(x, p, found, degree, alpha)
+        src, dst = np.repeat(p, degree), graph[p, :degree].ravel()
+        src, dst = src[dst >= 0], dst[dst >= 0]
+        by = np.argsort(dst, kind="stable")
+        src, dst = src[by], dst[by]
+        to, first, count = np.unique(dst, return_index=True, return_counts=True)
+        back = np.full((len(to), int(count.max())), -1, np.int32)
+        back[np.repeat(np.arange(len(to)), count), np.arange(len(dst)) - np.repeat(first, count)] = src
+        both = np.concatenate((graph[to], back), axis=1)
+        fits = (both >= 0).sum(1) <= graph.shape[1]
+        graph[to[fits]] = -np.sort(-both[fits], axis=1)[:, : graph.shape[1]]
+        for some in np.array_split(np.flatnonzero(~fits), -(-int((~fits).sum()) // TOGETHER) or 1):
+            if len(some):
+                graph[to[some]] = -1
+                graph[to[some], :degree] = robust_prune(x, to[some], both[some], degree, alpha)
+        at += len(p)
+    return graph, order[:ENTRIES]
+
+
+def direction(v: Column) -> Column:
+    """The vector's direction to 12 digits, as whole numbers: the same for all positive multiples of a vector, but for the
+    rare one whose rounding falls on an edge, which is a point of its own."""
+    top = F.aggregate(v, F.lit(0.0), lambda m, x: F.greatest(m, F.abs(x)))
+    length = lambda m: F.sqrt(F.aggregate(v, F.lit(0.0), lambda t, x: t + (x / m) * (x / m)))
+    scaled = F.transform(F.array(top), lambda m: F.transform(F.array(length(m)), lambda n: F.transform(v, lambda x: F.round(x / m / n * 1e12).cast("long"))))
+    return F.flatten(F.flatten(scaled))
 
 
 def index(points: DataFrame, shard: int = SHARD) -> DataFrame:
-    """(shard, pos, v, ids, near, entry): the graph of each shard of ``points`` (v, ids: distinct vectors).
+    """(shard, pos, v, ids, near, entry): the graph of each shard of ``points`` (v, ids: one row per direction); entry
+    marks the points that searches start from.
 
     Points are dealt by a hash of the vector to as many shards as keep them at some ``shard`` points; every point
-    is indexed. Shards are built one task each and do not depend on each other.
+    is indexed. Each shard is a partition, built by one task, and does not depend on others.
     """
     shards = max(1, round(points.count() / shard))
     dealt = points.select(F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), "v", "ids")
 
-    def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, own in b.groupby(b["v"].map(len), sort=True):  # vectors of another length are a graph of their own
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [b for b in batches if len(b)]
+        whole = pd.concat(held) if held else pd.DataFrame({"shard": [], "v": [], "ids": []})
+        for (number, _), own in whole.groupby([whole["shard"], whole["v"].map(len)]):  # vectors of another length are a graph of their own
             x = units(own["v"].tolist())
             own = own.iloc[np.lexsort(x.T)]
-            graph, entry = build(units(own["v"].tolist()).astype(np.float32))
-            out.append(pd.DataFrame({"shard": key[0], "pos": np.arange(len(own)), "v": own["v"].to_numpy(), "ids": own["ids"].to_numpy(), "near": list(graph), "entry": entry}))
-        return pd.concat(out)
+            graph, entries = build(units(own["v"].tolist()).astype(np.float32))
+            places = np.arange(len(own))
+            yield pd.DataFrame({"shard": number, "pos": places, "v": own["v"].to_numpy(), "ids": own["ids"].to_numpy(), "near": list(graph), "entry": np.isin(places, entries)})
 
-    made = dealt.groupBy("shard").applyInPandas(run, "shard int, pos int, v array<double>, ids array<long>, near array<int>, entry int")
+    made = dealt.repartitionById(shards, F.col("shard")).mapInPandas(run, "shard int, pos int, v array<double>, ids array<long>, near array<int>, entry boolean")
     return checkpointed(made)
 
 
 def search(made: DataFrame, queries: DataFrame, k: int = 5, beam: int = BEAM) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row of ``queries`` (query_id, v), its own id aside.
 
-    Every block of QUERIES queries is searched in every shard, each such pair in a task of its own; a shard's
-    ``k`` best go to one ranking per query. Scores are cosines of the original vectors in double precision; ties
-    go to the smaller id. A point's ids beyond the smallest k + 1 cannot be among the k nearest.
+    Every block of QUERIES queries is searched in every shard, each such pair in a task of its own. All points that a
+    search found are scored again, by the cosine of the original vectors in double precision; a shard's ``k`` best and
+    all that tie with the last of them go to one ranking per query, where ties go to the smaller id.
     """
     shards = (made.agg(F.max("shard")).first()[0] or 0) + 1
     blocks = max(1, -(-queries.count() // QUERIES))
@@ -157,28 +179,39 @@ def search(made: DataFrame, queries: DataFrame, k: int = 5, beam: int = BEAM) ->
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     there = made.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
-    def run(points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []})]
+    def run(asked: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})]
         for dim, own in asked.groupby(asked["v"].map(len), sort=False) if len(points) else ():
             mine = points[points["v"].map(len) == dim].sort_values("pos")
             if not len(mine):
                 continue
-            x, q = units(mine["v"].tolist()), units(own["v"].tolist())
-            width = max(map(len, mine["near"]))
-            graph = np.array([[*g, *[-1] * (width - len(g))] for g in mine["near"]], np.int32).reshape(len(mine), width)
+            x, q, who = units(mine["v"].tolist()), units(own["v"].tolist()), own["query_id"].to_numpy()
+            graph = np.stack(mine["near"].to_numpy())
+            sizes = mine["ids"].map(len).to_numpy()
+            ids, starts = np.concatenate(mine["ids"].to_numpy()), np.concatenate(([0], np.cumsum(sizes)))
+            entries, flat = np.flatnonzero(mine["entry"].to_numpy()), x.astype(np.float32)
             for s in range(0, len(q), 512):
-                part, who = q[s : s + 512], own["query_id"].to_numpy()[s : s + 512]
-                found, _ = beam_search(x.astype(np.float32), graph, part.astype(np.float32), int(mine["entry"].iloc[0]), min(beam, len(x)))
-                found = found[:, : k + 3]
-                score = np.einsum("ij,ikj->ik", part, x[found])
-                for i in range(len(part)):
-                    best = [(-score[i, c], j) for c, at in enumerate(found[i]) if at >= 0 for j in mine["ids"].iloc[at] if j != who[i]]
-                    best = sorted(best)[:k]
-                    out.append(pd.DataFrame({"query_id": who[i], "vec_id": [j for _, j in best], "score": [-d for d, _ in best]}))
+                part = slice(s, s + 512)
+                found, _ = beam_search(flat, graph, q[part].astype(np.float32), entries, min(beam, len(x)))
+                row, col = np.nonzero(found >= 0)
+                at = found[row, col]
+                score = np.einsum("ij,ij->i", q[part][row], x[at])
+                n = sizes[at]  # each point stands for all its ids
+                row, score = np.repeat(row, n), np.repeat(score, n)
+                vec = ids[np.repeat(starts[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+                other = vec != who[part][row]
+                row, score, vec = row[other], score[other], vec[other]
+                by = np.lexsort((vec, -score, row))
+                row, score, vec = row[by], score[by], vec[by]
+                first = np.searchsorted(row, np.arange(len(q[part]) + 1))
+                last = np.minimum(first[:-1] + k - 1, first[1:] - 1)
+                kept = score >= score[np.maximum(last, 0)][row] - TIE if len(row) else np.zeros(0, bool)
+                out.append(pd.DataFrame({"query_id": who[part][row[kept]], "vec_id": vec[kept], "score": score[kept]}))
         return pd.concat(out)
 
     pairs = asked.groupBy("shard", "block").cogroup(there.groupBy("shard", "block"))
-    found = pairs.applyInPandas(lambda a, b: run(b, a), "query_id long, vec_id long, score double")
+    found = pairs.applyInPandas(run, "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # an id may have several vectors
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
@@ -186,15 +219,18 @@ def search(made: DataFrame, queries: DataFrame, k: int = 5, beam: int = BEAM) ->
 def nearest(table: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``k`` nearest of each usable row whose id is divisible by ``every``, among all other usable rows.
 
-    Null ids take no part. Equal vectors are one point of the graph with its smallest k + 1 ids. Rows that repeat
-    an id with the same vector are one candidate. An empty table or a lone vector gives no row.
+    Null ids take no part. Positive multiples of a vector are one point of the graph, with the smallest k + 1 of its
+    ids: the others cannot be among a query's k nearest, as ties go to smaller ids. Rows that repeat an id with the
+    same vector are one candidate; with different vectors, an id may answer for each and counts once, by the best. An
+    empty table or a lone vector gives no row.
     """
     rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.where(usable(F.col("v")) & F.col("id").isNotNull())
-    first = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    few = rows.distinct().withColumn("r", first).where(F.col("r") <= k + 1)
-    points = checkpointed(few.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    queries = checkpointed(rows.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "v").distinct())
+    few = rows.withColumn("d", direction(F.col("v"))).groupBy("d", "id").agg(F.min("v").alias("v"))
+    first = F.row_number().over(Window.partitionBy("d").orderBy("id"))
+    few = few.withColumn("r", first).where(F.col("r") <= k + 1)
+    points = checkpointed(few.groupBy("d").agg(F.min_by("v", "id").alias("v"), F.sort_array(F.collect_list("id")).alias("ids")).select("v", "ids"))
+    queries = checkpointed(rows.where(F.col("id") % every == 0).groupBy(F.col("id").alias("query_id")).agg(F.min("v").alias("v")))
     return search(index(points), queries, k)
 
 

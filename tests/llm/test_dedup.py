@@ -223,6 +223,25 @@ def ann_queries(df):
     return df.where(rabitq.usable(F.col("embedding")) & (F.col("vec_id") % 50 == 0)).select(F.col("vec_id").alias("query_id"), F.col("embedding").cast("array<double>").alias("v"))
 
 
+def test_nearest_of_scaled_copies_takes_the_smallest_ids(spark):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1300, 16))
+    x[100:800] = x[100] * rng.uniform(0.1, 9, (700, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.nearest(df).orderBy("query_id", "rank").collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert len(found) == 26 and all(len(v) == 5 for v in found.values())
+    for q in range(100, 800, 50):
+        assert set(found[q]) <= set(range(100, 107)) and len([v for v in found[q] if v <= 105]) >= 4
+
+
+def test_nearest_of_one_id_with_several_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.2]), (1, [0.9, 0.1]), (2, [0.0, 1.0]), (2, [1.0, 0.3])]
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1), (0, 2, 2)]
+
+
 def test_nearest_of_odd_tables(spark):
     assert ann.nearest(spark.createDataFrame([], VEC)).collect() == []
     rows = [(0, [1.0, 0.0], 0), (0, [1.0, 0.0], 0), (1, [1.0, 0.1], 0), (2, [0.0, 1.0], 0), (3, None, 0), (None, [1.0, 0.0], 0), (50, [0.0, 0.0], 0)]
@@ -232,8 +251,9 @@ def test_nearest_of_odd_tables(spark):
 
 def test_pruned_graph_reaches_all_points():
     x = rabitq.units(list(np.random.default_rng(1).standard_normal((500, 16)))).astype(np.float32)
-    g, entry = ann.build(x, degree=16, beam=32)
-    assert g.shape == (500, 16) and all(len(set(r[r >= 0])) == (r >= 0).sum() and i not in r for i, r in enumerate(g))
+    g, entries = ann.build(x, degree=16, beam=32)
+    entry = int(entries[0])
+    assert g.shape == (500, 24) and all(len(set(r[r >= 0])) == (r >= 0).sum() and i not in r for i, r in enumerate(g))
     seen, todo = {entry}, [entry]
     while todo:
         for j in g[todo.pop()]:
