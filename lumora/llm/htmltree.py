@@ -19,12 +19,14 @@ _SPACE = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content is not text of the page, up to their end tag.
-RAW = frozenset("script style title textarea noscript template iframe noframes xmp svg math object canvas video audio".split())
-#: Elements that stay inside their block's text.
+RAW = frozenset("script style title textarea template iframe noframes xmp svg object canvas video audio annotation annotation-xml".split())
+#: Elements that stay inside their block's text; formulas are text.
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture map".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr picture map "
+    "math mi mo mn ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mstyle merror mpadded mphantom menclose semantics".split()
 )
-DROPPED = frozenset("head nav footer aside form button select dialog menu".split())
+#: Never the article's; the second ones only outside an article or main element.
+DROPPED, DROPPED_OUTSIDE = frozenset("head nav aside form button select dialog".split()), frozenset("header footer menu".split())
 MAIN = frozenset("article main".split())
 #: An open element of the value's tags ends where the key starts.
 ENDS = {t: frozenset(["p"]) for t in "address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()}
@@ -33,16 +35,21 @@ ENDS |= {"tr": frozenset("tr td th p".split()), "td": frozenset("td th p".split(
 #: Elements that an end implied by ENDS or by an outer end tag does not reach beyond.
 SCOPE = frozenset("table ul ol dl article section main div body html aside nav footer header form blockquote".split())
 
-#: Words of class, id and role that mark what is not the article.
-MARKS = frozenset(
-    "nav navbar navigation menu masthead footer sidebar aside ad ads adv advert adverts advertisement advertising adbox adslot banner promo promoted promotion "
-    "sponsor sponsored cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup signin "
-    "login comment comments commentlist reply replies respond disqus social share sharing related recommended recommendations breadcrumb breadcrumbs "
-    "pagination pager widget widgets toolbar skip search searchform copyright legal disclaimer tracking".split()
+#: Words of class and id that speak against an element wherever it stands: adverts, comments, notices, sharing, sidebars.
+STRONG = frozenset(
+    "ad ads adv advert adverts advertisement advertising adbox adslot promo promoted promotion sponsor sponsored comment comments commentlist replies respond disqus "
+    "cookie cookies consent gdpr popup modal overlay newsletter subscribe subscription share sharing social sidebar".split()
 )
-_MARK_PART = re.compile(r"^(?:top|side|main|sub|site|page|left|right|bottom)(?:nav|menu|bar|footer|ad|ads)$|^advert|^cookie|^(?:nav|menu|ad|ads|comment)s?\d+$")
+#: Words that speak against it outside the article, and a little inside.
+WEAK = frozenset(
+    "nav navbar navigation menu masthead header footer aside banner notice notices notification alert signup signin login reply related recommended recommendations "
+    "breadcrumb breadcrumbs pagination pager widget widgets toolbar skip search searchform copyright legal disclaimer tracking".split()
+)
+_STRONG_PART = re.compile(r"^(?:top|side|main|sub|site|page|left|right|bottom)(?:ad|ads)$|^advert|^cookie|^(?:ad|ads|comment)s?\d+$")
+_WEAK_PART = re.compile(r"^(?:top|side|main|sub|site|page|left|right|bottom)(?:nav|menu|bar|footer)$|^(?:nav|menu)s?\d+$")
 _WORDS = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu".split())
 
 
 @dataclass
@@ -50,9 +57,11 @@ class Element:
     tag: str
     parent: int
     path: int
+    #: By tag, role or because it is hidden.
     dropped: bool
     main: bool
-    marked: bool
+    #: What its names say, with those around it: 0 nothing, 1 a weak word, 2 a strong one.
+    doubt: int
     children: list[str] = field(default_factory=list)
 
 
@@ -70,25 +79,35 @@ def _named(attrs: str) -> dict[str, str]:
     return out
 
 
-def _marked(a: dict[str, str], main: bool) -> bool:
-    if "hidden" in a or re.search(r"display\s*:\s*none", a.get("style", ""), re.I):
-        return True
-    if a.get("role", "").lower() in {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "menu"}:
-        return True
+def _unseen(a: dict[str, str]) -> bool:
+    return "hidden" in a or bool(re.search(r"display\s*:\s*none", a.get("style", ""), re.I)) or a.get("role", "").lower() in ROLES
+
+
+def _doubt(a: dict[str, str]) -> int:
+    found = 0
     for word in _WORDS.split(_CAMEL.sub(" ", f"{a.get('class', '')} {a.get('id', '')}").lower()):
-        if word in MARKS or _MARK_PART.match(word) or (word == "header" and not main):
-            return True
-    return False
+        if word in STRONG or _STRONG_PART.match(word):
+            return 2
+        if word in WEAK or _WEAK_PART.match(word):
+            found = 1
+    return found
 
 
 def parse(markup: str | None) -> Page:
     """Elements and text blocks. Unclosed and misplaced tags are taken as browsers take them, roughly: an end tag
     closes the nearest open element of its name within the scope, or nothing. Character references are decoded;
-    white space of a block is one space."""
+    white space of a block is one space. What an inline element that is not shown holds is not text, blocks in it
+    included."""
     markup = markup or ""
-    elements = [Element("", -1, 0, False, False, False)]
+    elements = [Element("", -1, 0, False, False, 0)]
     blocks: list[tuple[int, str]] = []
-    stack, buffer, hidden = [0], [], []  # hidden: inline elements that are marked
+    stack, buffer = [0], []
+    hidden: list[tuple[str, int]] = []  # inline elements that are not shown or have a strong word, with the depth they stand at
+
+    def close_to(depth: int) -> None:
+        flush()
+        del stack[depth:]
+        hidden[:] = [h for h in hidden if h[1] <= depth]
 
     def flush() -> None:
         if buffer:
@@ -120,27 +139,27 @@ def parse(markup: str | None) -> Page:
         tag, close, attrs = tag.lower(), m["close"] or m["close2"], m["attrs"] or m["attrs2"] or ""
         if close:
             if tag in INLINE:
-                if hidden and tag in hidden:
-                    del hidden[len(hidden) - 1 - hidden[::-1].index(tag) :]
+                at_ = next((k for k in range(len(hidden) - 1, -1, -1) if hidden[k][0] == tag), None)
+                if at_ is not None:
+                    del hidden[at_:]
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 here = elements[stack[i]].tag
                 if here == tag:
-                    flush()
-                    hidden.clear()
-                    del stack[i:]
+                    close_to(i)
                     break
                 if here in SCOPE and tag not in SCOPE:
                     break
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(markup, at)
-            at = at if attrs.rstrip().endswith("/") and tag in ("svg", "math") else end.end() if end else n
+            at = at if attrs.rstrip().endswith("/") and tag == "svg" else end.end() if end else n
             continue
         if tag in INLINE:
             if "class" in attrs or "id" in attrs or "hidden" in attrs or "style" in attrs or hidden:
-                if hidden or _marked(_named(attrs), elements[stack[-1]].main):
-                    hidden.append(tag)
+                named = _named(attrs)
+                if hidden or _unseen(named) or _doubt(named) == 2:
+                    hidden.append((tag, len(stack)))
             continue
         if tag in VOID:
             if tag == "br":
@@ -149,21 +168,21 @@ def parse(markup: str | None) -> Page:
                 flush()
             continue
         flush()
-        hidden.clear()
         for i in range(len(stack) - 1, 0, -1) if tag in ENDS else ():
             here = elements[stack[i]].tag
             if here in ENDS[tag]:
-                del stack[i:]
+                close_to(i)
             elif here in SCOPE:
                 break
         up = elements[stack[-1]]
         named = _named(attrs) if attrs.strip() else {}
         main = up.main or tag in MAIN or named.get("role", "").lower() == "main"
-        dropped = up.dropped or tag in DROPPED or (tag == "header" and not up.main) or (bool(named) and _marked(named, up.main))
+        dropped = up.dropped or bool(hidden) or tag in DROPPED or (tag in DROPPED_OUTSIDE and not up.main) or (bool(named) and _unseen(named))
+        doubt = max(up.doubt, _doubt(named)) if named else up.doubt
         name = f"{tag}#{re.sub(r'[0-9]+', '', named.get('id', ''))}.{' '.join(sorted(re.sub(r'[0-9]+', '', named.get('class', '')).split()))}"
         path = xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass"), up.path & ((1 << 64) - 1)) - (1 << 63)
         up.children.append(name)
-        elements.append(Element(tag, stack[-1], path, dropped, main, bool(named.get("class") or named.get("id"))))
+        elements.append(Element(tag, stack[-1], path, dropped, main, doubt))
         stack.append(len(elements) - 1)
     flush()
     return Page(elements, blocks)
