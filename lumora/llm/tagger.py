@@ -119,17 +119,24 @@ class Tagger:
                 last.append(loss)
         return float(np.mean(last)) if last else float("nan")
 
-    def decode(self, x: np.ndarray) -> np.ndarray:
-        """The best tag sequence of each row of ``x`` (Viterbi)."""
-        e, _, _ = self.emissions(x)
+    def decode(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tags, marginals) of sequences of emissions (length, rows, tags): the best tags of each row (Viterbi), and the
+        probability of each of them given the whole sequence (forward and backward sums)."""
         length, n, k = e.shape
+        e, tr = e.astype(float), self.p["T"].astype(float)  # sums of long sequences are large
         score, back = self.p["S"] + e[0], np.empty((length, n, k), np.int8)
+        alpha, beta = np.empty_like(e), np.zeros_like(e)
+        alpha[0] = score
         for t in range(1, length):
-            tried = score[:, :, None] + self.p["T"]
+            tried = score[:, :, None] + tr
             back[t] = tried.argmax(1)
             score = tried.max(1) + e[t]
+            alpha[t] = e[t] + _logsumexp(alpha[t - 1][:, :, None] + tr, 1)
+        for t in range(length - 2, -1, -1):
+            beta[t] = _logsumexp(tr[None] + (e[t + 1] + beta[t + 1])[:, None, :], 2)
         out = np.empty((n, length), np.int8)
         out[:, -1] = score.argmax(1)
         for t in range(length - 1, 0, -1):
             out[:, t - 1] = back[t][np.arange(n), out[:, t]]
-        return out
+        share = np.exp(alpha + beta - _logsumexp(alpha[-1], 1)[None, :, None])
+        return out, np.take_along_axis(share.transpose(1, 0, 2), out[:, :, None].astype(int), 2)[:, :, 0]
