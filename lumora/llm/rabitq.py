@@ -119,9 +119,14 @@ def _undecided(left: pd.DataFrame, right: pd.DataFrame, same: bool, table: int,
     for at in range(0, len(left), ROWS):
         part = slice(at, at + ROWS)
         open_ = (q[part] @ codes.T + err[part, None]) / factor >= least
-        for t in range(table):
-            open_ &= ka[part, t][:, None] != kb[None, :, t]
-        a, c = np.nonzero(open_)
+        if 16 * np.count_nonzero(open_) > open_.size:  # many copies of each other
+            for t in range(table):
+                open_ &= ka[part, t][:, None] != kb[None, :, t]
+            a, c = np.nonzero(open_)
+        else:
+            a, c = np.nonzero(open_)
+            new = ~(ka[a + at] == kb[c]).any(1)
+            a, c = a[new], c[new]
         if same:
             a, c = a[a + at < c], c[a + at < c]
         if len(a):

@@ -23,19 +23,82 @@ def documents(spark, texts, lang="en", source="s"):
 # language ID
 
 
-def test_kneser_ney_is_a_distribution():
-    keys, counts = np.unique(langid.grams(langid.letters("the cat sat on the mat the end " * 3)), return_counts=True)
-    probs, weights = langid.kneser_ney(keys, counts)
-    alphabet = np.unique(keys & np.uint64(0xFFFF))
-    m = langid.Model(["x"], [np.sort(k * langid.MIX) for k, _ in probs], [v[np.argsort(k * langid.MIX)][:, None] for k, v in probs], [np.sort(k * langid.MIX) for k, _ in weights], [v[np.argsort(k * langid.MIX)][:, None] for k, v in weights], np.array([9.0]))
-    for context in ("the", " ca", "zzz", "xat"):
-        c = np.uint64(0)
-        for ch in context:
-            c = (c << np.uint64(16)) | np.uint64(ord(ch))
-        every = (c << np.uint64(16)) | np.arange(1 << 16, dtype=np.uint64)
-        total = np.exp(m.table(every)).sum()
-        assert abs(total - 1) < 1e-3, (context, total)
-    assert len(alphabet) > 5
+def key_of(gram):
+    out = np.uint64(0)
+    for ch in gram:
+        out = (out << np.uint64(16)) | np.uint64(ord(ch))
+    return out
+
+
+def plain_shares(texts):
+    """Discounted share of each n-gram (as a string) in its context, in dictionaries."""
+    from collections import Counter
+
+    count = {4: Counter(), 3: Counter(), 2: Counter(), 1: Counter()}
+    for t in texts:
+        s = "  " + "".join(map(chr, langid.letters(t)))
+        count[4].update(s[k : k + 4] for k in range(len(s) - 3))
+    for n in (3, 2, 1):
+        count[n].update(g[1:] for g in count[n + 1])
+    shares = {}
+    for n, c in count.items():
+        n1, n2 = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        d = max(0.1, n1 / (n1 + 2 * n2)) if n1 + n2 else 0.5
+        mass = Counter()
+        for g, v in c.items():
+            mass[g[:-1]] += v
+        shares |= {g: (v - d) / mass[g[:-1]] for g, v in c.items()}
+    return shares
+
+
+def plain_probability(shares, gram):
+    """Interpolated: each order's share and what its context leaves times the order below."""
+    p = 1 / 65536
+    for n in range(1, 5):
+        g = gram[-n:]
+        left = 1 - sum(v for h, v in shares.items() if len(h) == n and h[:-1] == g[:-1])
+        p = shares.get(g, 0.0) + left * p
+    return p
+
+
+@pytest.mark.parametrize("most", [10**6, 12])
+def test_kneser_ney_is_the_plain_one(spark, most):
+    texts = {"x": ["the cat sat on the mat, the end", "that rat ate the hat", "the the the"], "y": ["ein hut tut gut", "das tut es nicht"]}
+    rows = spark.createDataFrame([(lang, t) for lang, ts in texts.items() for t in ts], "lang string, text string")
+    grams = langid.weighed(langid.levels(langid.gram_counts(rows)))
+    kept = langid.most_frequent(grams, most, ("k", "lang")).toPandas()
+    model = langid.assembled(kept, ["x", "y"])
+    for i, lang in enumerate(model.langs):
+        plain = plain_shares(texts[lang])
+        own = kept[kept["lang"] == lang]
+        text_of = lambda k, g: "".join(chr((int(g) >> (16 * j)) & 0xFFFF) for j in range(k - 1, -1, -1))
+        held = {text_of(k, g & (1 << 64) - 1): a for k, g, a in zip(own["k"], own["gram"].astype(object), own["alpha"])}
+        assert all(abs(plain[g] - a) < 1e-12 for g, a in held.items())
+        assert (len(held) == len(plain)) if most > 100 else 20 < len(held) < len(plain)
+        for gram in ("the ", "at t", "zzzz", "cat ", "xxth", " tut", "ein "):
+            assert abs(np.exp(model.table(np.array([key_of(gram)]))[0, i]) / plain_probability(held, gram) - 1) < 1e-4
+        for context in ("the", " ca", "zzz", "xat", "in "):
+            every = (key_of(context) << np.uint64(16)) | np.arange(1 << 16, dtype=np.uint64)
+            assert abs(np.exp(model.table(every)[:, i]).sum() - 1) < 1e-3, (context, lang)
+
+
+def test_language_limits_come_from_rows_left_out(spark, sf):
+    docs = langid.training_rows(spark.read.parquet(f"{sf}/documents.parquet"))
+    marked = langid.left_out(docs.select("doc_id", "text", "lang"), 20)
+    sizes = {r["lang"]: (r["n"], r["k"]) for r in marked.groupBy("lang").agg(F.count("*").alias("n"), F.count_if("_left").alias("k")).collect()}
+    assert all(k <= 0.5 * n and k < 60 for n, k in sizes.values()) and sum(k for _, k in sizes.values()) > 5
+    model = langid.fit(docs, calibration_rows=20)
+    assert model.langs == sorted(sizes) and np.isfinite(model.limits).all()
+
+
+def test_language_stage_rejects_foreign_text(spark, sf):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    foreign = ["Съешь же ещё этих мягких французских булок да выпей чаю " * 4, "qzx wvk jqp xzz kvw qqj zxv pkq wjx vzq kxj qzw xvk jzq " * 4, "1234 5678 !!!", None]
+    more = documents(spark, foreign, lang=None).withColumn("doc_id", F.col("doc_id") + 10**6)
+    kept = {r["doc_id"] for r in p.language_id(spark, docs.unionByName(more), sf).collect()}
+    assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()}
 
 
 def test_language_id_on_held_out_texts(spark, sf):
@@ -72,6 +135,15 @@ def test_most_frequent_keeps_the_top(spark):
     top = [r for r in got if r["lang"] == "a"]
     assert {0, 1, 2} <= {r["gram"] for r in top} and 70 <= len(top) <= 140
     assert len([r for r in got if r["lang"] == "b"]) == 1
+    large = [("a", i, 1000 + i % 7) for i in range(3000)]  # one bin of the histogram
+    assert 400 <= langid.most_frequent(spark.createDataFrame(large, "lang string, gram long, n long"), 500).count() <= 600
+    assert langid.most_frequent(spark.createDataFrame([], "lang string, gram long, n long"), 5).count() == 0
+
+
+def test_language_id_of_repeated_rows_and_ids(spark):
+    rows = [(1, "the cat sat on the mat and the dog", "en", "s", 0)] * 40 + [(None, "der hund und die katze sind da", "de", "s", 0)] * 40
+    got = langid.predict(spark.createDataFrame(rows, DOC), langid.fit(spark.createDataFrame(rows, DOC)), ["doc_id", "lang"]).collect()
+    assert len(got) == 80 and all(r["lang_pred"] == r["lang"] for r in got)
 
 
 # PII
@@ -102,6 +174,76 @@ def test_gradients():
         assert abs((up[0] - down[0]) / 2e-4 - g[k][at]) < 1e-3 * max(1, abs(g[k][at]))
 
 
+def test_decoding_is_the_best_of_all_sequences():
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    t = Tagger(3, 2)
+    t.p = {k: rng.standard_normal(v.shape) for k, v in t.p.items()}
+    e = rng.standard_normal((5, 6, 3))
+    tags, sure = t.decode(e)
+    for j in range(6):
+        every = list(product(range(3), repeat=5))
+        score = np.array([t.p["S"][y[0]] + sum(e[i, j, y[i]] for i in range(5)) + sum(t.p["T"][a, b] for a, b in zip(y, y[1:])) for y in every])
+        assert tuple(tags[j]) == every[score.argmax()]
+        share = np.exp(score - score.max()) / np.exp(score - score.max()).sum()
+        for i in range(5):
+            assert abs(sure[j, i] - sum(p for p, y in zip(share, every) if y[i] == tags[j, i])) < 1e-6
+
+
+def test_windows_are_reconciled_into_one_sequence():
+    t = Tagger(9)
+    rng = np.random.default_rng(5)
+    runs = [rng.integers(32, 127, n).astype(np.int16) for n in (64, 96, 320)]
+    got = pii.emissions(t, runs)
+    for r, e in zip(runs, got):
+        assert e.shape == (len(r), 9)
+        for at in (0, len(r) // 2, len(r) - 1):
+            parts = [(min(at - s + 1, s + 64 - at), t.emissions(r[None, s : s + 64])[0][at - s, 0]) for s in range(0, len(r) - 63, 32) if s <= at < s + 64]
+            assert np.allclose(e[at], sum(w * x for w, x in parts) / sum(w for w, _ in parts), atol=1e-4)
+    alone, together = [pii.decoded(t, [r])[0] for r in runs], pii.decoded(t, runs)
+    assert [[x[:3] for x in a] for a in alone] == [[x[:3] for x in a] for a in together]
+
+
+def test_ip_parts_may_have_any_number_of_zeros():
+    assert pii.base_spans("0000000000001.2.3.4") == [(1, 0, 19)]
+    assert pii.base_spans("000000000000256.2.3.4") == [] and pii.base_spans("1.2.3.999999999999999") == []
+
+
+def test_tagger_finds_what_the_patterns_miss(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    tagger = pii.fit(docs)
+    rng, plain = np.random.default_rng(99), [r["text"] for r in docs.where("text IS NOT NULL AND NOT text RLIKE '[0-9@]'").select("text").collect()]
+    made, others = [], []
+    for i in range(300):
+        k, piece = pii.made_span(rng)
+        text, s = pii._with(rng, plain[i % len(plain)][:400], piece)
+        made.append((text, (k, s, s + len(piece))))
+        others.append(pii._with(rng, plain[i % len(plain)][:400], pii.made_other(rng))[0])
+    found = pii.find([t for t, _ in made], tagger)
+    right = sum(want in every for (_, want), (_, every) in zip(made, found))
+    given = sum(len(every) for _, every in found)
+    new = [(want, every) for (_, want), (base, every) in zip(made, found) if want not in base]
+    caught = sum(want in every for want, every in new) / len(new)
+    print("recall", right / 300, caught, "precision", right / given, len(new))
+    assert right / 300 >= 0.8 and right / given >= 0.9 and caught >= 0.8 and len(new) > 200
+    wrong = [t[s:e] for t, (base, every) in zip(others, pii.find(others, tagger)) for k, s, e in every if (k, s, e) not in base]
+    print("false", wrong)
+    assert len(wrong) <= 6
+    assert all(every == base == [] for base, every in pii.find(plain, tagger))  # clean documents are left alone
+
+
+def test_long_spans_and_runs_are_found_whole():
+    rng = random.Random(8)
+    train = [f"{filler(rng)} {card(rng)} {filler(rng)}" for _ in range(200)]
+    x, y = pii.training_windows(train)
+    tagger = Tagger(9)
+    tagger.fit(x, y.astype(int), 200)
+    text = filler(rng) + " x" + "y" * 90 + "@host.example.com " + "0 1 2 3 4 5 6 7 8 9 " * 3000 + card(rng)
+    base, every = pii.find([text], tagger)[0]
+    assert set(base) <= set(every) and any(k == 0 and e - s > 100 for k, s, e in every)
+
+
 def card(rng):
     d = [rng.randrange(10) for _ in range(15)]
     return next("".join(map(str, [*d, c])) for c in range(10) if pii.luhn("".join(map(str, [*d, c]))))
@@ -194,10 +336,20 @@ def test_url_filter_cases(spark):
         ("plain < text & more", "plain < text & more"),
         ("<article><p>a<span class='share'>s</span>b</p></article>", "ab"),
         ("<div " * 3000 + "<p>x", "x"),
+        ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math>.</p></article>", "so x=2."),
+        ("<article><p>t</p><p class='legal'>fair use</p></article>", "t fair use"),
+        ("<article><p>t</p><section id='related-work'><p>others</p></section></article>", "t others"),
+        ("<menu><li>n</menu><article><p>t</p><menu><li>a<li>b</menu></article>", "t a b"),
+        ("<article><p>t</p><noscript><p>still text</p></noscript></article>", "t still text"),
+        ("<article><figure><figcaption>caption</figcaption></figure><p>t</p></article>", "caption t"),
+        ("<article>a<span class='ad'><div>BUY</div></span>b</article>", "a b"),
+        ("<article><p>x<span hidden>y</p><p>z</p></article>", "x z"),
+        ("<article><h1>one</h1></article><div class='menu2'>m</div><article><h1>two</h1></article>", "one two"),
+        ("<div><p>long text of the page itself</p></div><div class='related'>other</div>", "long text of the page itself"),
     ],
 )
 def test_extraction(markup, text):
-    assert styletree.extract(htmltree.parse(markup), {}) == text
+    assert styletree.extract(htmltree.parse(markup), None) == text
 
 
 def site(spark):
@@ -215,8 +367,8 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     for i in range(12):
         assert got[i] == " ".join(f"unique text {i} {k} of page" for k in range(3))
     assert "great offers" in got[12] and "great offers" in got[13]  # no other page tells
-    imp = {r["path"]: r["importance"] for r in styletree.style_tree(site(spark).withColumn("host", urls.host_of(F.col("url")))).collect()}
-    assert min(imp.values()) < 0.1 and max(imp.values()) > 0.85
+    content = {r["path"]: r["content"] for r in styletree.style_tree(site(spark).withColumn("host", urls.host_of(F.col("url")))).collect()}
+    assert min(content.values()) < 0.1 and max(content.values()) > 0.85
     assert styletree.main_text(site(spark).limit(0)).collect() == []
 
 
@@ -226,6 +378,68 @@ def test_copies_of_an_article_stay(spark):
     assert {r["text"] for r in styletree.main_text(df).collect()} == {"t the same article on all pages"}
 
 
+def plain_tree(pages, least=3):
+    """(m, presentation, content) by host and path: entropies over the distinct pages of a host, straight from the rule."""
+    from collections import Counter, defaultdict
+    from math import log
+
+    seen, looks, texts, count = set(), defaultdict(Counter), defaultdict(Counter), Counter()
+    for host, markup in pages:
+        page = htmltree.parse(markup)
+        inside = styletree.article_of(page)
+        article = tuple(t for i, t in page.blocks if inside[i] and not page.elements[i].dropped)
+        own = set()
+        for i, e in enumerate(page.elements):
+            if i and not e.dropped:
+                own |= {("m", e.path), ("look", e.path, tuple(e.children))}
+        own |= {("text", page.elements[i].path, t) for i, t in page.blocks if i and not page.elements[i].dropped}
+        for f in own:
+            if (host, article, f) not in seen:
+                seen.add((host, article, f))
+                if f[0] == "m":
+                    count[host, f[1]] += 1
+                else:
+                    (looks if f[0] == "look" else texts)[host, f[1]][f[2]] += 1
+    out = {}
+    for at, m in count.items():
+        if m >= least:
+            k = sum(looks[at].values())
+            entropy = -sum(c / k * log(c / k) for c in looks[at].values()) / log(k)
+            shared = [log(c) / log(m) for c in texts[at].values()]
+            out[at] = (m, entropy, 1 - sum(shared) / len(shared) if shared else 1.0)
+    return out
+
+
+def test_style_tree_is_the_plain_one(spark, sf):
+    rng = random.Random(9)
+    made = []
+    for i in range(60):
+        items = "".join(f"<li>{rng.choice('abc')}</li>" for _ in range(rng.randint(0, 3)))
+        made.append((f"h{i % 4}.com", f"<body><div class='top'>{rng.choice('xy')}</div><ul>{items}</ul><div><p>{rng.random()}</p><p>{rng.choice('pq')} long enough to count</p></div></body>"))
+    made += made[:5] + [("h0.com", None), ("h9.com", "<p>alone")]
+    real = [(r["host"], r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").withColumn("host", urls.host_of(F.col("url"))).collect()]
+    for pages in (made, real):
+        want = plain_tree(pages)
+        got = {(r["host"], r["path"]): (r["m"], r["presentation"], r["content"]) for r in styletree.style_tree(spark.createDataFrame(pages, "host string, html string")).collect()}
+        assert got.keys() == want.keys() and len(want) > 5
+        assert all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_the_tree_alone_finds_the_articles_of_the_pages(spark, sf):
+    rows = [(r["host"], r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").withColumn("host", urls.host_of(F.col("url"))).collect()]
+    tree = plain_tree(rows)
+    judged = changed = 0
+    for host, markup in rows:
+        nodes = {p: (a, b) for (h, p), (_, a, b) in tree.items() if h == host}
+        if nodes:
+            page = htmltree.parse(markup)
+            alone, none = styletree.extract(page, nodes, names=False), styletree.extract(page, None, names=False)
+            article = " ".join(t for i, t in page.blocks if page.elements[i].main)
+            assert alone == styletree.extract(page, nodes) == article
+            judged, changed = judged + 1, changed + (alone != none)
+    assert judged == changed > 0
+
+
 # mixing and packing
 
 
