@@ -12,11 +12,24 @@ from pyspark.sql import functions as F
 
 from lumora.llm.common import read
 
-#: One of these blocks a url.
-STRICT = ("porn", "xxx", "casino", "viagra", "cialis", "escort", "hentai", "phishing", "malware", "warez", "spam", "adult")
-#: So many different ones of these block a url.
-SOFT = ("cheap", "pills", "free", "bets", "bet", "win", "ads", "track", "farm", "deal", "deals", "bonus", "click", "loan", "loans", "poker", "slots", "sex", "hot", "cam", "replica", "pharma", "dating")
-SOFT_LIMIT = 2
+#: Weight from which a url is blocked: that of one strict term, or of several different soft ones.
+BLOCKED = 2
+#: Terms by weight.
+STRICT, SOFT = 2, 1
+VOCABULARY = {
+    STRICT: "porn porno pornographic xxx hentai nsfw escort escorts camgirl camgirls fetish adult "
+    "casino casinos gambling sportsbook blackjack roulette jackpot "
+    "viagra cialis levitra tramadol steroids "
+    "phishing malware ransomware spyware botnet keylogger keygen warez spam spammer".split(),
+    SOFT: "sex sexy nude nudes erotic dating hookup singles cam cams hot "
+    "poker slots slot bet bets betting lottery bingo win winner wins odds "
+    "pills pharma pharmacy cheap replica replicas discount discounts coupon coupons deal deals bargain "
+    "free bonus click clicks track ads adserver popunder farm affiliate referral giveaway prize "
+    "loan loans payday credit forex crypto airdrop earn income rich "
+    "crack cracked torrent torrents serial hack hacks cheats proxy unblocked".split(),
+}
+#: Terms of a vocabulary at most; some 100 bytes each in the automaton of a task.
+MOST_TERMS = 1_000_000
 #: (action, host, path): the rule fits the host and its subdomains where the path starts with its own.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
@@ -41,12 +54,24 @@ def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...]
     return rule, action
 
 
+def terms_of(vocabulary: DataFrame) -> tuple[tuple[str, int], ...]:
+    """The terms of a table (term, weight), in lower case, for ``judged``; a term's highest weight counts. Null and empty
+    terms are none. More than MOST_TERMS raise."""
+    rows = vocabulary.select(F.lower("term").alias("term"), F.col("weight").cast("int").alias("weight")).where("term <> '' AND weight > 0")
+    found = rows.groupBy("term").agg(F.max("weight").alias("weight")).orderBy("term").limit(MOST_TERMS + 1).collect()
+    if len(found) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms")
+    return tuple((r["term"], r["weight"]) for r in found)
+
+
+TERMS = tuple((t, w) for w, terms in VOCABULARY.items() for t in terms)
+
+
 @lru_cache(4)
-def automaton(strict: tuple[str, ...], soft: tuple[str, ...]) -> ahocorasick.Automaton:
+def automaton(terms: tuple[tuple[str, int], ...]) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for weight, terms in ((1, soft), (2, strict)):  # a term of both lists is strict
-        for t in terms:
-            a.add_word(t.lower(), (weight, t.lower()))
+    for t, w in sorted(terms, key=lambda x: x[1]):  # a term given twice has its highest weight
+        a.add_word(t.lower(), (w, t.lower()))
     a.make_automaton()
     return a
 
@@ -55,38 +80,40 @@ def _word(c: str) -> bool:
     return c.isascii() and c.isalnum()
 
 
-def count_terms(url: str | None, a: ahocorasick.Automaton) -> tuple[int, int]:
-    """Numbers of different strict and soft terms in the lower-cased url that have no ASCII letter or digit beside them."""
-    if not url:
-        return 0, 0
+def weigh(url: str | None, a: ahocorasick.Automaton) -> tuple[int, int, int]:
+    """(weight, strict, soft): the summed weights of the different terms in the lower-cased url that have no ASCII letter or
+    digit beside them, and their numbers from BLOCKED on and below."""
+    if not url or not len(a):
+        return 0, 0, 0
     low = "".join(c.lower() if c.isascii() else c for c in url)
-    strict, soft = set(), set()
+    found = {}
     for end, (weight, term) in a.iter(low):
         start = end - len(term) + 1
         if (start == 0 or not _word(low[start - 1])) and (end + 1 == len(low) or not _word(low[end + 1])):
-            (strict if weight == 2 else soft).add(term)
-    return len(strict), len(soft)
+            found[term] = weight
+    strict = sum(w >= BLOCKED for w in found.values())
+    return sum(found.values()), strict, len(found) - strict
 
 
-def judged(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, strict: tuple[str, ...] = STRICT, soft: tuple[str, ...] = SOFT, soft_limit: int = SOFT_LIMIT) -> DataFrame:
-    """(page_id, host, path, rule, verdict, n_strict, n_soft), one row per row of ``pages`` (page_id, url).
+def judged(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, terms: tuple[tuple[str, int], ...] = TERMS) -> DataFrame:
+    """(page_id, host, path, rule, verdict, n_strict, n_soft, weight), one row per row of ``pages`` (page_id, url).
 
-    The longest rule that fits decides; else one strict or ``soft_limit`` different soft terms anywhere in the url
-    block it. A null or empty url has empty host and path and is allowed. One pass without a shuffle; the
-    vocabulary, a parameter, is built into the automaton once per task.
+    The longest rule that fits decides; else a url is blocked whose different terms (``terms``: term and weight, from
+    ``terms_of`` for a table) weigh BLOCKED together. A null or empty url has empty host and path and is allowed. One
+    pass without a shuffle; the vocabulary is built into the automaton once per worker.
     """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        a = automaton(tuple(strict), tuple(soft))
+        a = automaton(tuple(terms))
         for urls in batches:
-            yield pd.DataFrame([count_terms(u, a) for u in urls], columns=["n_strict", "n_soft"])
+            yield pd.DataFrame([weigh(u, a) for u in urls], columns=["weight", "n_strict", "n_soft"])
 
-    counted = F.pandas_udf(run, "n_strict int, n_soft int")
+    counted = F.pandas_udf(run, "weight int, n_strict int, n_soft int")
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"))
     rows = rows.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), counted("url").alias("terms"))
     rule, action = rule_for(F.col("host"), F.col("path"), rules)
-    own = F.when((F.col("terms.n_strict") >= 1) | (F.col("terms.n_soft") >= soft_limit), F.lit("block")).otherwise(F.lit("allow"))
-    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(action, own).alias("verdict"), "terms.n_strict", "terms.n_soft")
+    own = F.when(F.col("terms.weight") >= BLOCKED, F.lit("block")).otherwise(F.lit("allow"))
+    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(action, own).alias("verdict"), "terms.n_strict", "terms.n_soft", "terms.weight")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,8 +137,8 @@ def oracle() -> str:
         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{up}', '{low}') AS host,
         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
       FROM pages),
-    t AS (SELECT *, {" + ".join(map(hit, STRICT))} AS n_strict, {" + ".join(map(hit, SOFT))} AS n_soft FROM u)
+    t AS (SELECT *, {" + ".join(map(hit, VOCABULARY[STRICT]))} AS n_strict, {" + ".join(map(hit, VOCABULARY[SOFT]))} AS n_soft FROM u)
     SELECT page_id, host, path, CASE {rule} END AS rule,
-      CASE {action} WHEN n_strict >= 1 OR n_soft >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END AS verdict,
-      CAST(n_strict AS INTEGER) AS n_strict, CAST(n_soft AS INTEGER) AS n_soft
+      CASE {action} WHEN {STRICT} * n_strict + {SOFT} * n_soft >= {BLOCKED} THEN 'block' ELSE 'allow' END AS verdict,
+      CAST(n_strict AS INTEGER) AS n_strict, CAST(n_soft AS INTEGER) AS n_soft, CAST({STRICT} * n_strict + {SOFT} * n_soft AS INTEGER) AS weight
     FROM t"""
