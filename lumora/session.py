@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 def session(master: str | None = None, **conf: str) -> SparkSession:
     """A session for local runs; on a cluster pass nothing and let spark-submit decide."""
     b = SparkSession.builder.appName("lumora").config("spark.sql.session.timeZone", "UTC")
+    b = b.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")  # checkpoints go with the frames that need them
     if master:
         b = b.master(master).config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1")
     for k, v in conf.items():
