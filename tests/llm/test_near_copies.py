@@ -2,7 +2,9 @@
 
 import random
 
-from lumora.llm import jaccard
+import numpy as np
+
+from lumora.llm import simhash
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -73,11 +75,35 @@ def test_stage_on_documents_by_exact_jaccard(spark, sf):
 
 
 def test_odd_tables(spark):
-    assert jaccard.near_duplicates(spark.createDataFrame([], DOC)).collect() == []
+    assert simhash.near_copies(spark.createDataFrame([], DOC)).collect() == []
     rows = [(5, "a b", "", "", 1), (5, "a b", "", "", 1), (None, "a b", "", "", 1), (9, "c", "", "", 1), (9, "d", "", "", 1), (12, "d", "", "", 1), (None, "z", "", "", 1)]
-    got = sorted(((r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(spark.createDataFrame(rows, DOC)).collect()), key=str)
+    got = sorted(((r["doc_id"], r["component_id"]) for r in simhash.near_copies(spark.createDataFrame(rows, DOC)).collect()), key=str)
     assert got == sorted([(5, 5), (5, 5), (None, 5), (9, 9), (9, 9), (12, 9), (None, None)], key=str)
 
 
-def test_bands_leave_few_pairs():
-    assert all((1 - x**jaccard.BAND) ** jaccard.bands_for(x) <= jaccard.MISS for x in (0.5, 0.8, 0.95))
+def test_hot_keys_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", 8)
+    rows = edited()
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC), miss=1e-6).collect()}
+    assert sorted(i for i, c in got.items() if i == c) == kept_ids(rows)
+
+
+def test_pairs_meet_as_often_as_stated():
+    rng = np.random.default_rng(2)
+    for least in (0.8, 0.9):
+        k, m = simhash.segments_for(1 << 18, least, 0.02)
+        met = 0
+        for _ in range(400):
+            n = 180
+            shared = rng.integers(0, 1 << 63, int(2 * n * least / (1 + least)) + 1, np.uint64)
+            own = [np.concatenate([shared, rng.integers(0, 1 << 63, n - len(shared), np.uint64)]) for _ in range(2)]
+            a, b = (simhash.long_fingerprint(s, m * k).reshape(m, k) for s in own)
+            met += ((a != b).sum(1) <= 1).any()
+        assert met / 400 >= 0.96
+
+
+def test_long_fingerprint_is_the_majority():
+    h = simhash.shingles("one two three four five six seven eight nine ten")
+    bits = simhash.long_fingerprint(h, 128)
+    assert bits.shape == (128,) and 30 < bits.sum() < 98
+    assert (simhash.long_fingerprint(np.repeat(h, 3000), 128) == bits).all() and not simhash.long_fingerprint(h[:0], 64).any()

@@ -317,6 +317,13 @@ def test_url_filter_cases(spark):
     got = [tuple(r)[1:5] for r in urls.judged(df).orderBy("page_id").collect()]
     assert got == [c[1:] for c in cases]
     assert urls.judged(df.limit(0)).collect() == []
+    own = spark.createDataFrame([("Alpha", 2), ("beta", 1), ("gamma", 1), ("beta", None), (None, 2), ("", 2), ("gam", 1)], "term string, weight int")
+    terms = urls.terms_of(own)
+    assert terms == (("alpha", 2), ("beta", 1), ("gam", 1), ("gamma", 1))
+    made = spark.createDataFrame([(0, "x://h/ALPHA"), (1, "x://h/beta/beta"), (2, "x://beta.gamma/"), (3, "x://alphabet/gam-gamma")], "page_id long, url string")
+    got = {r["page_id"]: (r["verdict"], r["n_strict"], r["n_soft"], r["weight"]) for r in urls.judged(made, (), terms).collect()}
+    assert got == {0: ("block", 1, 0, 2), 1: ("allow", 0, 1, 1), 2: ("block", 0, 2, 2), 3: ("block", 0, 2, 2)}
+    assert {r["verdict"] for r in urls.judged(made, (), ()).collect()} == {"allow"}
 
 
 # HTML
@@ -619,7 +626,7 @@ def test_pipeline_stages(spark, sf, tmp_path):
     import corpus_pipeline as p
 
     assert [n for n, _ in p.STAGES] == ["language_id", "simhash_near_dedup", "personal_data", "mix_sources", "pack_lengths"]
-    from lumora.llm import simhash
+    from tests.llm.test_near_copies import kept_ids
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     before = {r["doc_id"]: r for r in docs.collect()}
@@ -633,21 +640,7 @@ def test_pipeline_stages(spark, sf, tmp_path):
             assert {r["doc_id"] for r in rows} == set(before)  # all are clean
             kept = {r["doc_id"]: r for r in rows}
         elif name == "simhash_near_dedup":
-            f = {i: simhash.fingerprint(r["text"]) for i, r in kept.items()}
-            ids = sorted(f)
-            root = dict(zip(ids, ids))
-
-            def find(x, root=root):
-                while root[x] != x:
-                    x = root[x]
-                return x
-
-            for a in ids:
-                for b in ids:
-                    if b < a and (f[a] ^ f[b]).bit_count() <= 2:
-                        x, y = find(a), find(b)
-                        root[max(x, y)] = min(x, y)
-            assert sorted(r["doc_id"] for r in rows) == [i for i in ids if find(i) == i]
+            assert sorted(r["doc_id"] for r in rows) == kept_ids(sorted((i, r["text"]) for i, r in kept.items()))
             kept = {r["doc_id"]: r for r in rows}
         elif name == "personal_data":
             assert {r["doc_id"] for r in rows} == set(kept)
@@ -665,6 +658,18 @@ def test_pipeline_stages(spark, sf, tmp_path):
             assert sorted(r["doc_id"] for r in rows) == sorted(mixed)
 
 
+def test_pipeline_of_an_empty_and_an_odd_table(spark, tmp_path):
+    import corpus_pipeline as p
+
+    odd = [(1, "the cat sat on the mat " * 30, "en", "a", 9), (1, "the cat sat on the mat " * 30, "en", "a", 9), (None, "die katze sass auf der matte " * 20, "de", None, 1), (2, None, None, None, None), (3, "", "en", "a", 0), (4, "w " * 40000, "en", "b", 1)]
+    for k, rows in enumerate(([], odd)):
+        docs = spark.createDataFrame(rows, DOC)
+        for name, stage in p.STAGES:
+            stage(spark, docs, "").write.parquet(out := str(tmp_path / f"{k}{name}"))
+            docs = spark.read.parquet(out)
+        assert rows or docs.count() == 0
+
+
 def test_near_dedup_stage_keeps_one_of_repeated_rows(spark):
     import corpus_pipeline as p
 
