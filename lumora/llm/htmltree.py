@@ -60,7 +60,7 @@ class Element:
     #: By tag, role or because it is hidden.
     dropped: bool
     main: bool
-    #: What its names say, with those around it: 0 nothing, 1 a weak word, 2 a strong one.
+    #: What its names say: 0 nothing, 1 a weak word, 2 a strong one.
     doubt: int
     children: list[str] = field(default_factory=list)
 
@@ -178,7 +178,7 @@ def parse(markup: str | None) -> Page:
         named = _named(attrs) if attrs.strip() else {}
         main = up.main or tag in MAIN or named.get("role", "").lower() == "main"
         dropped = up.dropped or bool(hidden) or tag in DROPPED or (tag in DROPPED_OUTSIDE and not up.main) or (bool(named) and _unseen(named))
-        doubt = max(up.doubt, _doubt(named)) if named else up.doubt
+        doubt = _doubt(named) if named else 0
         name = f"{tag}#{re.sub(r'[0-9]+', '', named.get('id', ''))}.{' '.join(sorted(re.sub(r'[0-9]+', '', named.get('class', '')).split()))}"
         path = xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass"), up.path & ((1 << 64) - 1)) - (1 << 63)
         up.children.append(name)

@@ -31,15 +31,25 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def plain_blocks(page: Page) -> list[tuple[int, str]]:
+    """The page's blocks that are not dropped and stand in no element with a strong word in its names; all that are not
+    dropped, where those hold less than a quarter of the text."""
+    marked = [False] * len(page.elements)
+    for i, e in enumerate(page.elements[1:], 1):
+        marked[i] = marked[e.parent] or e.doubt == 2
+    blocks = [(i, t) for i, t in page.blocks if not page.elements[i].dropped]
+    plain = [(i, t) for i, t in blocks if not marked[i]]
+    return plain if 4 * sum(len(t) for _, t in plain) >= sum(len(t) for _, t in blocks) else blocks
+
+
 def article_of(page: Page) -> list[bool]:
     """For each element whether it belongs to the page's article: in an article or main element; where a page has none,
-    in the innermost element with half of the page's text, or around it if that is a single block."""
+    in the innermost element with half of the text of ``plain_blocks``, or around it if that is a single block."""
     es = page.elements
-    blocks = [(i, t) for i, t in page.blocks if not es[i].dropped]
-    if any(es[i].main for i, _ in blocks):
+    if any(es[i].main for i, _ in page.blocks if not es[i].dropped):
         return [e.main for e in es]
     size = [0] * len(es)
-    for i, t in blocks:
+    for i, t in plain_blocks(page):
         size[i] += len(t)
     own = size.copy()
     for i in range(len(es) - 1, 0, -1):  # children stand behind their parents
@@ -114,7 +124,8 @@ def extract(page: Page, nodes: Nodes | None, names: bool = True) -> str:
     ``nodes`` has (presentation, content) importance by path of the site's judged nodes. A block's importance is
     (1 - GAMMA) times presentation plus GAMMA times content. Inside the article presentation counts as 1; elsewhere it is
     the highest of the element and those around it, up to where the article branches off. A block of a node that is
-    not judged has 1. Names and the place beside the article lower it (not if ``names`` is false). A branch's importance
+    not judged has 1. Names of an element and those around it, but for such as hold half of the article, and the place
+    beside the article lower it (not if ``names`` is false). A branch's importance
     is the mean over its text, by length, without branches of its own that go; below LOW it goes, unless it holds the
     article.
     """
@@ -125,9 +136,15 @@ def extract(page: Page, nodes: Nodes | None, names: bool = True) -> str:
     holds = inside.copy()  # the article and all around it
     for i in range(len(es) - 1, 0, -1):
         holds[es[i].parent] |= holds[i]
-    shown = [0.0] * len(es)
+    own_text = [0] * len(es)  # of the article
+    for i, t in plain_blocks(page):
+        own_text[i] += len(t) * inside[i]
+    for i in range(len(es) - 1, 0, -1):
+        own_text[es[i].parent] += own_text[i]
+    shown, doubt = [0.0] * len(es), [0] * len(es)
     for i in range(1, len(es)):
         e = es[i]
+        doubt[i] = 0 if 2 * own_text[i] >= own_text[0] > 0 else max(e.doubt, doubt[e.parent])
         own = nodes.get(e.path, (0.0, 1.0))[0]
         shown[i] = 1.0 if inside[i] else own if holds[e.parent] else max(own, shown[e.parent])
     size, mass, worth = [0] * len(es), [0.0] * len(es), []
@@ -135,7 +152,7 @@ def extract(page: Page, nodes: Nodes | None, names: bool = True) -> str:
         e = es[i]
         value = (1 - GAMMA) * shown[i] + GAMMA * nodes[e.path][1] if e.path in nodes else 1.0
         if names:
-            value *= (1.0, WEAK_INSIDE if inside[i] else WEAK_OUTSIDE, STRONG)[e.doubt]
+            value *= (1.0, WEAK_INSIDE if inside[i] else WEAK_OUTSIDE, STRONG)[doubt[i]]
             if beside and not inside[i]:
                 value *= BESIDE if e.path in nodes else BESIDE_UNJUDGED
         worth.append(value)

@@ -301,6 +301,30 @@ def test_license_scan_finds_edited_and_whole_notices(spark):
     assert licenses.scanned(spark.createDataFrame([], DOC)).collect() == []
 
 
+def test_license_scan_of_odd_rows(spark):
+    notice = "Released under the MIT License."
+    rows = [(None, notice, "x", "y"), (1, notice, None, None), (1, f"other words here {notice}", "x", "y"), (1, None, "x", "y"), (2, "", "x", "y"), (3, notice.upper() * 2, "x", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, words string, sh string")
+    got = {(r["doc_id"], r["license"]): (r["containment"], r["n_windows"]) for r in licenses.scanned(df).collect()}
+    assert set(got) == {(None, "mit"), (1, "mit"), (3, "mit")} and all(c == 1.0 for c, _ in got.values())
+
+
+def test_license_scan_of_a_large_catalogue(spark):
+    rng = random.Random(4)
+    texts = tuple((f"l{i}", " ".join(f"w{rng.randrange(5000)}" for _ in range(60))) for i in range(300))
+    docs = [f"{' '.join(f'w{rng.randrange(5000)}' for _ in range(200))} {texts[i][1]} tail" for i in (7, 123, 299)] + [texts[5][1][:100]]
+    got = {(r["doc_id"], r["license"]) for r in licenses.scanned(documents(spark, docs), texts).collect()}
+    assert got == {(0, "l7"), (1, "l123"), (2, "l299")}
+
+
+def test_samples_tell_rows_of_one_id_apart(spark):
+    from lumora.llm.common import sampled
+
+    docs = documents(spark, [f"text {i}" for i in range(400)]).withColumn("doc_id", F.lit(None).cast("long"))
+    rows = [r["text"] for r in sampled(docs, 50).collect()]
+    assert len(set(rows)) == 50 and rows == [r["text"] for r in sampled(docs.repartition(3), 50).collect()]
+
+
 def test_url_filter_against_its_oracle(spark, sf):
     same_rows(connect(sf), urls.oracle(), urls.op3_url_filter(spark, sf))
 
@@ -352,6 +376,9 @@ def test_url_filter_cases(spark):
         ("<article>a<span class='ad'><div>BUY</div></span>b</article>", "a b"),
         ("<article><p>x<span hidden>y</p><p>z</p></article>", "x z"),
         ("<article><h1>one</h1></article><div class='menu2'>m</div><article><h1>two</h1></article>", "one two"),
+        ("<body class='has-sidebar'><div class='content-sidebar-wrap'><article class='post comments-open'><p>the text</p><div class='comments'>c</div></article></div></body>", "the text"),
+        ("<body><p>a short text</p><div class='cookie-notice'>much longer words about cookies</div></body>", "a short text"),
+        ("<main><article><p>the text of the page</p></article><article class='comment'><p>reader</p></article></main>", "the text of the page"),
         ("<div><p>long text of the page itself</p></div><div class='related'>other</div>", "long text of the page itself"),
     ],
 )
