@@ -17,6 +17,20 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of whole texts that reach a Python worker at a time.
+TEXTS = 1000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df``, whose session now hands at most TEXTS rows at a time to Python workers, so that a worker's memory does not
+    hang on the length of texts times Spark's default of 10,000. A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= TEXTS:
+        conf.set(key, str(TEXTS))
+    return df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in ``spark.checkpoint.dir``.
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm.common import read, sampled
+from lumora.llm.common import read, sampled, text_batches
 from lumora.llm.tagger import PAD, Tagger, char_ids
 
 KINDS = ("email", "ip", "card", "phone")
@@ -370,7 +370,7 @@ def detected(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
             yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), **out})
 
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInPandas(run, f"doc_id long, {counts}, base_sha256 string, spans string")
 
 
@@ -394,7 +394,7 @@ def redacted(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
             yield pd.Series([t if t is None else redact(t, every) for t, (_, every) in zip(texts, found)], dtype=object)
 
     clean = F.pandas_udf(run, "string")
-    out = docs.withColumn("text", clean(F.col("text").cast("string")))
+    out = text_batches(docs).withColumn("text", clean(F.col("text").cast("string")))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

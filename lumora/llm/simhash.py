@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm.common import checkpointed, read
+from lumora.llm.common import checkpointed, read, text_batches
 from lumora.llm.graph import components
 
 
@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInPandas(run, "doc_id long, fp long")
 
 
@@ -104,8 +104,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes, rows["fp"] == classes["_fp"], "left").select("doc_id", "fp", "component_id")
 
 
-#: Rows of a table of segments under one key beyond which its vertices meet only the key's smallest one at first.
-HOT = 1024
+#: Sets filed under one key beyond which not all of them meet, and rounds in which groups of copies are joined before.
+HOT, ROUNDS = 1024, 2
 #: Bits beside the segments by which pairs are ruled out before their texts are read, and how many of them may differ: pairs
 #: at 0.8 differ in 19 of them on average, and in more than 40 once in ten million.
 CHECK_BITS, CHECK_DISTANCE = 128, 40
@@ -168,11 +168,13 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float
     bits go; the others are verified on their exact sets. A pair at ``least`` is not found with probability at most
     ``miss``, which falls fast above: at 0.9 it is below 1e-6 for 1e-3 at 0.8.
 
-    A key with more than HOT sets, as thousands of near copies have, is searched in two steps: its sets meet only its
-    smallest one; then those still apart from the key's largest part meet all others. So a group of k copies costs k
-    pairs a key, not k * k / 2, and no pair is left out.
+    Groups of copies are joined first: in ROUNDS rounds each set meets one set drawn at random of every segment value
+    that it shares, which for a large group is mostly one of its own, so k copies cost some k pairs a segment. Then only
+    pairs of sets that are still apart are looked for, all of them: under a key with more than HOT sets, those outside the
+    key's largest part meet all others; under other keys all sets meet. So no pair is left out, and none within
+    a part costs a row.
     """
-    rows_in = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows_in = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     k, m = segments_for(rows_in.count(), least, miss)
     name = lambda s: xxhash.xxh64_intdigest(s.tobytes(), 1)
     signed = lambda x: np.array(x, np.uint64).view(np.int64)
@@ -191,16 +193,19 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float
     vertices = checkpointed(rows.where("doc_id IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("rep"), *same_set))
     worded = vertices.where("n > 0").withColumn("size", F.floor(F.log("n") / F.lit(-math.log(least) if least < 1 else 1.0) + 1e-9))
     keys = F.transform("values", lambda x, i: F.shiftleft((F.col("size") * m + i).cast("long"), k) + x)
-    cells = worded.select("v", "n", "c0", "c1", F.explode(keys).alias("key"))
-    # a set is filed under its own size and the next; the larger one of a pair looks for the smaller
-    tables = cells.select(F.col("v").alias("tv"), F.col("n").alias("tn"), F.col("c0").alias("t0"), F.col("c1").alias("t1"), F.explode(F.array(F.col("key"), F.col("key") + (m << k))).alias("tkey"))
     ball = F.array(*[F.lit(x).cast("long") for x in [0, *(1 << b for b in range(k))]])
-    probes = cells.withColumn("x", F.explode(ball)).select(F.col("key").bitwiseXOR(F.col("x")).alias("key"), "v", "n", "c0", "c1")
+
+    def filed_by(part: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(tables, probes) of the sets with their parts. A set is filed under its own size and the next; the larger one of a
+        pair looks for the smaller."""
+        known = worded.join(part.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v"), "left").withColumn("part", F.coalesce("component", "v"))
+        cells = known.select("v", "n", "c0", "c1", "part", F.explode(keys).alias("key"))
+        twice = F.explode(F.array(F.col("key"), F.col("key") + (m << k)))
+        tables = cells.select(F.col("v").alias("tv"), F.col("n").alias("tn"), F.col("c0").alias("t0"), F.col("c1").alias("t1"), F.col("part").alias("tpart"), twice.alias("tkey"))
+        return tables, cells.withColumn("x", F.explode(ball)).select(F.col("key").bitwiseXOR(F.col("x")).alias("key"), "v", "n", "c0", "c1", "part")
+
     apart = F.bit_count(F.col("c0").bitwiseXOR(F.col("t0"))) + F.bit_count(F.col("c1").bitwiseXOR(F.col("t1")))
     fits = (F.col("tn") >= least * F.col("n") - 1e-9) & ((F.col("tn") < F.col("n")) | ((F.col("tn") == F.col("n")) & (F.col("tv") < F.col("v")))) & (apart <= CHECK_DISTANCE)
-    load = tables.groupBy(F.col("tkey").alias("hkey")).agg(F.count("*").alias("load"), F.min(F.struct("tn", "tv")).alias("hub"))
-    hot = checkpointed(load.where(F.col("load") > HOT).select("hkey", F.col("hub.tv").alias("hub")))
-    light = tables.join(hot, F.col("tkey") == F.col("hkey"), "left").where("hkey IS NULL OR tv = hub").drop("hkey", "hub")
 
     def contents(marks: np.ndarray):
         """The sets of the texts whose ids are marked: (v, s)."""
@@ -225,7 +230,9 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float
         pairs = checkpointed(pairs.distinct())
         ends = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
         reps = checkpointed(vertices.join(ends, "v", "left_semi").select(F.col("rep").alias("doc_id")).distinct())
-        bits = min(FILTER_BITS, max(64, 1 << (16 * reps.count()).bit_length()))
+        if not (n := reps.count()):
+            return pairs
+        bits = min(FILTER_BITS, max(64, 1 << (16 * n).bit_length()))
         at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
         marks = np.zeros(bits // 8, np.uint8)
         # one row per 8,192 places of the filter that hold an id
@@ -247,22 +254,38 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float
     # rows that share an id
     ids = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("v").alias("a"), F.max("v").alias("z")).where("a < z").select("doc_id", "a")
     same = checkpointed(rows.join(ids, "doc_id").select("a", F.col("v").alias("b")).where("a <> b").distinct())
-    links = verified(met(probes, light)).union(same)
-    if hot.count():
-        part = components(links).withColumnRenamed("v", "_v")
-
-        def of_hot(side: DataFrame, key: str, v: str, out: str) -> DataFrame:
-            mine = side.join(hot.select("hkey"), F.col(key) == F.col("hkey"), "left_semi")
-            return mine.join(part, F.col(v) == F.col("_v"), "left").withColumn(out, F.coalesce("component", v)).drop("_v", "component")
 
-        filed, asked = checkpointed(of_hot(tables, "tkey", "tv", "tpart")), checkpointed(of_hot(probes, "key", "v", "part"))
+    def drawn(members: DataFrame, number: int) -> DataFrame:
+        """Pairs of each member of a key with the one drawn for the key, if they are in different parts and fit."""
+        one = F.min_by(F.struct("tv", "tn", "t0", "t1", "tpart"), F.xxhash64("tv", F.lit(number)))
+        hubs = members.groupBy(F.col("tkey").alias("key")).agg(one.alias("h"), F.count("*").alias("c")).where("c > 1")
+        hubs = hubs.select("key", F.col("h.tv").alias("v"), F.col("h.tn").alias("n"), F.col("h.t0").alias("c0"), F.col("h.t1").alias("c1"), F.col("h.tpart").alias("part"))
+        alike = (F.least("n", "tn") >= least * F.greatest("n", "tn") - 1e-9) & (apart <= CHECK_DISTANCE)
+        pairs = members.join(hubs, (F.col("key") == F.col("tkey")) & (F.col("part") != F.col("tpart")) & alike)
+        return pairs.select(F.least("v", "tv").alias("a"), F.greatest("v", "tv").alias("b"))
+
+    links, part = same, components(same)
+    for number in range(ROUNDS):
+        links = links.union(verified(drawn(filed_by(part)[0], number)))
+        part = components(links)
+    filed, asked = filed_by(part)
+    other = F.col("part") != F.col("tpart")
+    load = filed.groupBy(F.col("tkey").alias("hkey")).agg(F.count("*").alias("load"))
+    hot = checkpointed(load.where(F.col("load") > HOT).select("hkey"))
+    if not (n_hot := hot.count()):
+        rest = met(asked, filed, other)
+    else:
+        small = F.broadcast if n_hot <= 1 << 20 else lambda x: x
+        at_hot = lambda side, key, how: side.join(small(hot), F.col(key) == F.col("hkey"), how)
+        rest = met(asked, at_hot(filed, "tkey", "left_anti"), other)
+        filed, asked = checkpointed(at_hot(filed, "tkey", "left_semi")), checkpointed(at_hot(asked, "key", "left_semi"))
         sizes = filed.groupBy("tkey", "tpart").agg(F.count("*").alias("c"))
-        main = checkpointed(sizes.groupBy(F.col("tkey").alias("mkey")).agg(F.max_by("tpart", F.struct("c", "tpart")).alias("main")))
-        other_filed = filed.join(main, F.col("tkey") == F.col("mkey")).where("tpart <> main").drop("mkey", "main")
+        main = small(sizes.groupBy(F.col("tkey").alias("mkey")).agg(F.max_by("tpart", F.struct("c", "tpart")).alias("main")))
+        others_filed = filed.join(main, F.col("tkey") == F.col("mkey")).where("tpart <> main").drop("mkey", "main")
         with_main = asked.join(main, F.col("key") == F.col("mkey"))
         others, mains = with_main.where("part <> main").drop("mkey", "main"), with_main.where("part = main").drop("mkey", "main")
-        rest = met(others, filed, F.col("part") != F.col("tpart")).union(met(mains, other_filed))
-        links = links.union(verified(rest))
+        rest = rest.union(met(others, filed, other)).union(met(mains, others_filed))
+    links = links.union(verified(rest))
     whole = components(links)
     least_id = vertices.join(whole.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v"), "left").select("v", "rep", F.coalesce("component", "v").alias("part"))
     lowest = least_id.groupBy("part").agg(F.min("rep").alias("component_id"))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm.common import checkpointed, read
+from lumora.llm.common import checkpointed, read, text_batches
 from lumora.llm.htmltree import Page, parse
 from lumora.llm.urls import host_of
 
@@ -178,7 +178,7 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     Judged nodes are broadcast up to BROADCAST_NODES, once to an executor; beyond, a host's pages and nodes meet in
     groups of some GROUP pages, each with one copy of the nodes.
     """
-    rows = pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string")).withColumn("host", host_of(F.col("url")))
+    rows = text_batches(pages).select("page_id", F.col("url").cast("string"), F.col("html").cast("string")).withColumn("host", host_of(F.col("url")))
     judged = checkpointed(style_tree(rows, least_pages))
     schema = "page_id long, url string, text string, n_chars long"
 
