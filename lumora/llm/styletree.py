@@ -32,14 +32,26 @@ def _hash(text: str) -> int:
 
 
 def plain_blocks(page: Page) -> list[tuple[int, str]]:
-    """The page's blocks that are not dropped and stand in no element with a strong word in its names; all that are not
-    dropped, where those hold less than a quarter of the text."""
-    marked = [False] * len(page.elements)
-    for i, e in enumerate(page.elements[1:], 1):
-        marked[i] = marked[e.parent] or e.doubt == 2
-    blocks = [(i, t) for i, t in page.blocks if not page.elements[i].dropped]
-    plain = [(i, t) for i, t in blocks if not marked[i]]
-    return plain if 4 * sum(len(t) for _, t in plain) >= sum(len(t) for _, t in blocks) else blocks
+    """The page's blocks (where it has article or main elements, those in them) that are not dropped and stand in no element
+    with a strong word in its names; all of them, if none is left. Names of html and body, of what holds an article or
+    main element, of one with half of their text, and elsewhere of what holds nine tenths of the page do not count."""
+    es = page.elements
+    blocks = [(i, t) for i, t in page.blocks if not es[i].dropped]
+    beside = any(es[i].main for i, _ in blocks)
+    blocks = [(i, t) for i, t in blocks if es[i].main or not beside]
+    size, holds = [0] * len(es), [False] * len(es)
+    for i, t in blocks:
+        size[i] += len(t)
+    for i in range(len(es) - 1, 0, -1):
+        size[es[i].parent] += size[i]
+        holds[es[i].parent] |= holds[i] or es[i].main
+    marked = [False] * len(es)
+    for i, e in enumerate(es[1:], 1):
+        outer = e.main and not es[e.parent].main
+        large = 2 * size[i] >= size[0] if outer else not beside and 10 * size[i] >= 9 * size[0]
+        silent = e.tag in ("html", "body") or large or (holds[i] and not e.main)
+        marked[i] = marked[e.parent] or (e.doubt == 2 and not silent)
+    return [(i, t) for i, t in blocks if not marked[i]] or blocks
 
 
 def article_of(page: Page) -> list[bool]:
