@@ -277,14 +277,16 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float
     else:
         small = F.broadcast if n_hot <= 1 << 20 else lambda x: x
         at_hot = lambda side, key, how: side.join(small(hot), F.col(key) == F.col("hkey"), how)
-        rest = met(asked, at_hot(filed, "tkey", "left_anti"), other)
-        filed, asked = checkpointed(at_hot(filed, "tkey", "left_semi")), checkpointed(at_hot(asked, "key", "left_semi"))
+        rest = met(at_hot(asked, "key", "left_anti"), at_hot(filed, "tkey", "left_anti"), other)
+        filed, asked = checkpointed(at_hot(filed, "tkey", "left_semi")), at_hot(asked, "key", "left_semi")
         sizes = filed.groupBy("tkey", "tpart").agg(F.count("*").alias("c"))
-        main = small(sizes.groupBy(F.col("tkey").alias("mkey")).agg(F.max_by("tpart", F.struct("c", "tpart")).alias("main")))
-        others_filed = filed.join(main, F.col("tkey") == F.col("mkey")).where("tpart <> main").drop("mkey", "main")
+        main = small(checkpointed(sizes.groupBy(F.col("tkey").alias("mkey")).agg(F.max_by("tpart", F.struct("c", "tpart")).alias("main"))))
+        others_filed = checkpointed(filed.join(main, F.col("tkey") == F.col("mkey")).where("tpart <> main").drop("mkey", "main"))
         with_main = asked.join(main, F.col("key") == F.col("mkey"))
-        others, mains = with_main.where("part <> main").drop("mkey", "main"), with_main.where("part = main").drop("mkey", "main")
-        rest = rest.union(met(others, filed, other)).union(met(mains, others_filed))
+        # of the largest parts' sets only those look that share a key with others
+        shared = small(others_filed.select(F.col("tkey").alias("okey")).distinct())
+        mains = with_main.where("part = main").join(shared, F.col("key") == F.col("okey"), "left_semi").drop("mkey", "main")
+        rest = rest.union(met(with_main.where("part <> main").drop("mkey", "main"), filed, other)).union(met(mains, others_filed))
     links = links.union(verified(rest))
     whole = components(links)
     least_id = vertices.join(whole.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v"), "left").select("v", "rep", F.coalesce("component", "v").alias("part"))
