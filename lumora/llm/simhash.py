@@ -256,13 +256,15 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float
     same = checkpointed(rows.join(ids, "doc_id").select("a", F.col("v").alias("b")).where("a <> b").distinct())
 
     def drawn(members: DataFrame, number: int) -> DataFrame:
-        """Pairs of each member of a key with the one drawn for the key, if they are in different parts and fit."""
+        """Pairs of each member of a key with the one drawn for the key, if they are in different parts and fit; two a member at
+        most, as the search that follows finds what is still apart."""
         one = F.min_by(F.struct("tv", "tn", "t0", "t1", "tpart"), F.xxhash64("tv", F.lit(number)))
         hubs = members.groupBy(F.col("tkey").alias("key")).agg(one.alias("h"), F.count("*").alias("c")).where("c > 1")
         hubs = hubs.select("key", F.col("h.tv").alias("v"), F.col("h.tn").alias("n"), F.col("h.t0").alias("c0"), F.col("h.t1").alias("c1"), F.col("h.tpart").alias("part"))
         alike = (F.least("n", "tn") >= least * F.greatest("n", "tn") - 1e-9) & (apart <= CHECK_DISTANCE)
         pairs = members.join(hubs, (F.col("key") == F.col("tkey")) & (F.col("part") != F.col("tpart")) & alike)
-        return pairs.select(F.least("v", "tv").alias("a"), F.greatest("v", "tv").alias("b"))
+        few = pairs.groupBy("tv").agg(F.array_distinct(F.array(F.min("v"), F.max("v"))).alias("two")).select("tv", F.explode("two").alias("v"))
+        return few.select(F.least("v", "tv").alias("a"), F.greatest("v", "tv").alias("b"))
 
     links, part = same, components(same)
     for number in range(ROUNDS):
