@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lumora.llm.ann import op10_ann_graph
+from lumora.llm.bwtmerge import op13_merged_bwt
 from lumora.llm.langid import op4_language_id
 from lumora.llm.licenses import op2_license_scan
 from lumora.llm.mixing import op6_mix_sources
@@ -29,6 +30,7 @@ QUERIES = {
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op11_sort_means": op11_sort_means,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_merged_bwt": op13_merged_bwt,
 }
 
 ORACLES: dict[str, str] = {"op2_license_scan": licenses.oracle(), "op3_url_filter": urls.oracle(), "op11_sort_means": sortmeans.oracle()}
