@@ -9,7 +9,7 @@ from lumora.operators import intervals, library, similarity, voices
 from lumora.operators import states
 from lumora.plans.base import query
 from lumora.plans.intervals import segment_views
-from lumora.plans.similarity import NEAR
+from lumora.plans.similarity import JUDGED
 from lumora.plans.voices import SINGLE
 from lumora.sources import catalog as cat
 
@@ -77,23 +77,14 @@ def variants(spark, sf):
 
 @query(
     "i06_ingest_dedup",
-    """SELECT v.id AS id, v.md5 AS md5, coalesce(o.orig, n.near) AS original, CASE WHEN o.orig IS NOT NULL THEN 'md5' WHEN n.near IS NOT NULL THEN 'phash' END AS reason,
-      CASE WHEN coalesce(o.orig, n.near) IS NOT NULL THEN 'skipped' ELSE v.status END AS new_status FROM al v LEFT JOIN o ON o.id = v.id LEFT JOIN earlier n ON n.id = v.id""",
-    "al AS (SELECT * FROM videos WHERE NOT deleted), " + NEAR + """, r AS (SELECT id, md5, row_number() OVER (PARTITION BY md5 ORDER BY created_at, id) AS n FROM al WHERE status <> 'skipped'),
-    o AS (SELECT v.id AS id, r.id AS orig FROM al v JOIN r ON r.md5 = v.md5 AND r.n = 1 WHERE r.id <> v.id AND (r.id < v.id OR v.status = 'skipped')),
-    earlier AS (SELECT near.* FROM near JOIN al ON al.id = near.id WHERE near < al.id OR al.status = 'skipped')""",
+    "SELECT al.id AS id, md5, original, reason, CASE WHEN original IS NOT NULL THEN 'skipped' ELSE status END AS new_status FROM al JOIN judged ON judged.id = al.id",
+    "al AS (SELECT * FROM videos WHERE NOT deleted), " + JUDGED,
 )
 def ingest_dedup(spark, sf):
-    """Newer copies of an original, exact or else perceptual, are marked as skipped; the oldest stays what it is."""
-    rows = library.alive(cat.videos(spark, sf))
-    exact = similarity.oldest_same(rows).select("id", "md5", "status", "created_at", F.col("original").alias("same"))
-    near = similarity.recent_similar(rows)
-    both = exact.join(near, "id", "left")
-    older = lambda c: F.when((F.col(c) < F.col("id")) | (F.col("status") == "skipped"), F.col(c))
-    both = both.withColumns({"_same": older("same"), "_near": older("near")})
-    original = F.coalesce("_same", "_near")
-    reason = F.when(F.col("_same").isNotNull(), "md5").when(F.col("_near").isNotNull(), "phash")
-    return both.select("id", "md5", original.alias("original"), reason.alias("reason"), F.when(original.isNotNull(), "skipped").otherwise(F.col("status")).alias("new_status"))
+    """Each video judged when it arrives: copies of an earlier original, exact or else perceptual, are marked as skipped."""
+    rows = library.alive(cat.videos(spark, sf, hashes=True))
+    told = rows.select("id", "md5", "status").join(similarity.originals(rows), "id")
+    return told.select("id", "md5", "original", "reason", F.when(F.col("original").isNotNull(), "skipped").otherwise(F.col("status")).alias("new_status"))
 
 
 @query(

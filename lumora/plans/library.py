@@ -80,7 +80,7 @@ def a10(spark, sf):
 
 @query("a11_recent_candidates", "SELECT id, phash FROM videos WHERE NOT deleted AND phash IS NOT NULL ORDER BY created_at DESC, id LIMIT 100")
 def a11(spark, sf):
-    return op.alive(cat.videos(spark, sf)).where("phash IS NOT NULL").orderBy(*newest()).limit(100).select("id", "phash")
+    return op.alive(cat.videos(spark, sf, hashes=True)).where("phash IS NOT NULL").orderBy(*newest()).limit(100).select("id", "phash")
 
 
 @query("a16_channel_list", "SELECT id, platform, display_name FROM channels WHERE platform = 'bilibili' AND enabled")

@@ -84,21 +84,25 @@ def e06c(spark, sf):
     return op.hash_classes(cat.frame_hashes(spark, sf))
 
 
-NEAR = (
-    """hv AS (SELECT id, created_at, status, list_transform(range(1, 65), lambda k: strpos('0123456789abcdef', substr(phash, k, 1)) - 1) AS d FROM al WHERE phash IS NOT NULL),
-    win AS (SELECT id, created_at, d FROM hv WHERE status <> 'skipped' ORDER BY created_at DESC, id DESC LIMIT 500),"""
-    + f"near AS (SELECT p.id AS id, arg_max(q.id, (q.created_at, q.id)) AS near FROM hv p JOIN win q ON p.id <> q.id WHERE {differing(64)} <= 20 GROUP BY 1)"
+#: SQL of a view ``judged`` (id, original, reason) over ``al``: one video after the other, in the order of arrival, against the
+#: originals so far. ``kept`` are all of them, ``win`` those with a hash, of which the last 500 count.
+JUDGED = (
+    """hv AS MATERIALIZED (SELECT id, list_transform(range(1, 65), lambda k: strpos('0123456789abcdef', substr(phash, k, 1)) - 1) AS d FROM al WHERE phash IS NOT NULL),
+    ne AS (SELECT p.id AS id, list(q.id) AS near FROM hv p JOIN hv q ON q.id < p.id WHERE """
+    + differing(64)
+    + """ <= 20 GROUP BY 1),
+    sm AS (SELECT p.id AS id, list(q.id) AS same FROM al p JOIN al q ON q.md5 = p.md5 AND q.id < p.id GROUP BY 1),
+    arr AS MATERIALIZED (SELECT row_number() OVER (ORDER BY created_at, id) AS n, id, phash IS NOT NULL AS hashed, status = 'skipped' AS gone, coalesce(near, []) AS near, coalesce(same, []) AS same FROM al LEFT JOIN ne USING (id) LEFT JOIN sm USING (id)),
+    replay AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS m, CAST(NULL AS BIGINT) AS h, CAST([] AS BIGINT[]) AS kept, CAST([] AS BIGINT[]) AS win
+      UNION ALL SELECT n, id, m, h, CASE WHEN gone OR m IS NOT NULL OR h IS NOT NULL THEN kept ELSE list_append(kept, id) END, CASE WHEN gone OR m IS NOT NULL OR h IS NOT NULL OR NOT hashed THEN win ELSE list_append(win, id)[-500:] END
+      FROM (SELECT a.n, a.id, gone, hashed, list_filter(kept, lambda u: list_contains(same, u))[1] AS m, list_filter(win, lambda u: list_contains(near, u))[-1] AS h, kept, win FROM replay r JOIN arr a ON a.n = r.n + 1)),
+    judged AS (SELECT id, coalesce(m, h) AS original, CASE WHEN m IS NOT NULL THEN 'md5' WHEN h IS NOT NULL THEN 'phash' END AS reason FROM replay WHERE n > 0)"""
 )
 
 
-@query(
-    "e07_originals",
-    """SELECT v.id AS id, coalesce(md5o, near) AS original, CASE WHEN md5o IS NOT NULL THEN 'md5' WHEN near IS NOT NULL THEN 'phash' END AS reason FROM (
-      SELECT id, (SELECT arg_min(o.id, (o.created_at, o.id)) FROM al o WHERE o.md5 = v.md5 AND o.status <> 'skipped' AND o.id <> v.id) AS md5o FROM al v) v LEFT JOIN near n ON n.id = v.id""",
-    "al AS (SELECT * FROM videos WHERE NOT deleted), " + NEAR,
-)
+@query("e07_originals", "SELECT id, original, reason FROM judged", "al AS (SELECT * FROM videos WHERE NOT deleted), " + JUDGED)
 def e07(spark, sf):
-    return op.originals(alive(cat.videos(spark, sf))).select("id", "original", "reason")
+    return op.originals(alive(cat.videos(spark, sf, hashes=True)))
 
 
 @query(

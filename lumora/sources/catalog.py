@@ -72,12 +72,15 @@ def frame_hashes(spark: SparkSession, sf: str) -> DataFrame:
     return twins.select((F.col("id") * 2 + F.col("j")).alias("id"), F.concat(F.substr("phash", F.lit(1), 16 - F.col("j")), F.repeat(F.lit("0"), F.col("j"))).alias("phash"))
 
 
-def videos(spark: SparkSession, sf: str) -> DataFrame:
-    """The library; ``deleted`` marks soft-deleted rows."""
-    d, p = table(spark, sf, "documents"), video_hashes(spark, sf)
-    return d.join(p, d["doc_id"] == p["id"], "left").select(
+def videos(spark: SparkSession, sf: str, hashes: bool = False) -> DataFrame:
+    """The library; ``deleted`` marks soft-deleted rows. With ``hashes`` also the perceptual hash, which reads the embeddings."""
+    d = table(spark, sf, "documents")
+    if hashes:
+        p = video_hashes(spark, sf)
+        d = d.join(p, d["doc_id"] == p["id"], "left")
+    return d.select(
         F.col("doc_id").alias("id"), F.col("source").alias("author"), F.col("text").alias("title"), (F.col("n_chars") / F.lit(10.0)).alias("duration_sec"),
-        F.md5("text").alias("md5"), "phash", choice(F.col("doc_id"), STATUSES).alias("status"), minutes_in(F.col("doc_id")).alias("created_at"),
+        F.md5("text").alias("md5"), *(["phash"] if hashes else []), choice(F.col("doc_id"), STATUSES).alias("status"), minutes_in(F.col("doc_id")).alias("created_at"),
         (F.col("doc_id") % 17 == 0).alias("deleted"),
     )
 

@@ -39,11 +39,11 @@ def test_segments_cover_every_pattern_of_differences():
         similarity.segments_for(1, -1)
 
 
-def test_recent_similar_ignores_a_group_of_equal_hashes(spark):
+def test_a_group_of_equal_hashes_is_one_class(spark):
     import datetime
 
     at = datetime.datetime(2024, 1, 1)
-    rows = [(i, None, "f" * 64, "review", at + datetime.timedelta(minutes=i)) for i in range(300)] + [(900, None, "f" * 63 + "e", "skipped", at)]
+    rows = [(i, None, "f" * 64, "review", at + datetime.timedelta(minutes=i)) for i in range(1, 300)] + [(900, None, "f" * 63 + "e", "skipped", at)]
     df = spark.createDataFrame(rows, "id long, md5 string, phash string, status string, created_at timestamp_ntz")
-    got = {r["id"]: r["near"] for r in similarity.recent_similar(df).collect()}
-    assert got == {**{i: 299 for i in range(299)}, 299: 298, 900: 299}
+    got = {r["id"]: r["original"] for r in similarity.originals(df).collect()}
+    assert got == {1: None, **{i: 1 for i in range(2, 300)}, 900: None}
