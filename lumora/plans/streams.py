@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from lumora.functions import subtitles as sub
+from lumora.operators.order import shared_folder
 from lumora.plans.base import query
 from lumora.plans.intervals import cue_arrays
 from lumora.sources import catalog as cat
+from lumora.sources import files
 from lumora.streaming import progress as op
+from lumora.streaming import sinks, states
 
 TOPIC = "t AS (SELECT channel, payload, ingest_ts, 'video:' || regexp_extract(channel, '^media:(?:progress|status):(.+)$', 1) AS topic, json_extract_string(payload, '$.status') AS status FROM stream_events)"
 
@@ -18,18 +23,35 @@ def messages(spark, sf):
     return rows.withColumn("ingest_ts", F.col("ingest_ts").cast("timestamp"))
 
 
-@query("j01_publish_progress", "SELECT event_id AS id, 'media:progress:' || user_id AS channel, '{\"video_id\":\"' || user_id || '\",\"step\":\"render\",\"percent\":' || least(100, greatest(0, event_id % 150 - 20)) || '}' AS payload FROM events")
+def event_stream(spark, sf):
+    """The events table as a stream of its files."""
+    return spark.readStream.schema(cat.table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet*").parquet(sf)
+
+
+def fresh(spark):
+    return f"{shared_folder(spark, 'lumora-streams')}/{uuid.uuid4().hex}"
+
+
+PUBLISHED = "p AS (SELECT event_id AS id, 'media:progress:' || user_id AS channel, '{\"video_id\":\"' || user_id || '\",\"step\":\"render\",\"percent\":' || least(100, greatest(0, event_id % 150 - 20)) || '}' AS payload FROM events)"
+
+
+@query("j01_publish_progress", "SELECT id, channel, payload FROM p", PUBLISHED)
 def j01(spark, sf):
+    """Progress messages made from a stream of events and published through the sink, once each."""
     channel, payload = op.published(F.col("user_id").cast("string"), (F.col("event_id") % 150 - 20).cast("int"), F.lit("render"))
-    return cat.table(spark, sf, "events").select(F.col("event_id").alias("id"), channel.alias("channel"), payload.alias("payload"))
+    rows = event_stream(spark, sf).select(F.col("event_id").alias("id"), channel.alias("channel"), payload.alias("payload"))
+    return sinks.deliver(rows, fresh(spark)).good.drop("batch")
 
 
-@query("j02_subscribe_stream", "SELECT count(*) AS n, count(DISTINCT user_id) AS videos FROM events")
+@query("j02_subscribe_stream", "SELECT event_id, channel FROM (SELECT event_id, CASE WHEN event_type IN ('error', 'purchase') THEN 'media:status:' ELSE 'media:progress:' END || user_id AS channel FROM events) WHERE regexp_matches(channel, '^media:status:[0-9]*[02468]$')")
 def j02(spark, sf):
-    """The events table read as a stream to its end."""
-    schema = cat.table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(sf)
-    return op.drained(stream.select("event_id", "user_id")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("videos"))
+    """The status messages of even videos, by a channel pattern on a stream that is supervised to its end."""
+    rows = event_stream(spark, sf)
+    named = rows.select("event_id", *[c.alias(n) for n, c in zip(("channel", "payload"), cat.message_of())])
+    kept = sinks.subscribed(named, "media:status:*[02468]").select("event_id", "channel")
+    at = fresh(spark)
+    sinks.supervised(lambda: kept.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start())
+    return spark.read.schema(kept.schema).parquet(f"{at}/rows")
 
 
 @query("j03_topics", "SELECT channel, topic, count(*) AS n FROM t GROUP BY 1, 2", TOPIC)
@@ -46,30 +68,37 @@ def j04(spark, sf):
 
 @query("j05_bad_messages", "SELECT CASE event_id % 5 WHEN 0 THEN 'json' WHEN 1 THEN 'channel' ELSE 'good' END AS kind, count(*) AS n FROM events GROUP BY 1")
 def j05(spark, sf):
+    """Good messages and dead letters, as the two sinks of one stream hold them."""
     e = F.col("event_id") % 5
-    rows = cat.table(spark, sf, "events").select(
-        F.when(e == 1, "other:x").otherwise("media:status:7").alias("channel"), F.when(e == 0, "{broken").otherwise('{"status":"ready"}').alias("payload"), F.col("ts").cast("timestamp").alias("ingest_ts")
-    )
-    return op.parsed(rows).groupBy(F.coalesce("bad", F.lit("good")).alias("kind")).agg(F.count("*").alias("n"))
+    rows = event_stream(spark, sf).select(F.when(e == 1, "other:x").otherwise("media:status:7").alias("channel"), F.when(e == 0, "{broken").otherwise('{"status":"ready"}').alias("payload"), "event_id")
+    sent = sinks.deliver(rows, fresh(spark))
+    kinds = sent.good.select(F.lit("good").alias("kind")).unionByName(sent.dead.select(F.col("fault").alias("kind")))
+    return kinds.groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query(
     "j06_status_recount",
-    "SELECT status, count(*) AS n FROM (SELECT topic, arg_max(status, ingest_ts) AS status FROM t WHERE channel LIKE 'media:status:%' GROUP BY 1) GROUP BY 1",
+    "SELECT status, count(*) AS n FROM (SELECT topic, arg_max(status, (ingest_ts, status)) AS status FROM t WHERE channel LIKE 'media:status:%' GROUP BY 1) GROUP BY 1",
     TOPIC,
 )
 def j06(spark, sf):
-    return op.status_counts(op.latest_status(messages(spark, sf)))
+    """Counts kept by a stream of status changes."""
+    return sinks.recounted(cat.as_stream_events(event_stream(spark, sf)), fresh(spark))
 
 
-@query("j07_step_lifecycle")
+@query(
+    "j07_step_lifecycle",
+    """SELECT video_id, step, CASE WHEN late OR nxt = 'start' THEN 'failed' ELSE nxt END AS status, round(CASE WHEN late THEN 432000 ELSE epoch_us(nat) / 1e6 - epoch_us(tm) / 1e6 END, 3) AS duration_sec,
+      CASE WHEN late THEN 'no end in time' WHEN nxt = 'start' THEN 'started again' ELSE nlog END AS log FROM r WHERE kind = 'start' AND CASE WHEN late THEN epoch_us(tm) + 432000000000 <= (SELECT max(epoch_us(tm)) FROM r) ELSE nxt IS NOT NULL END""",
+    """e AS (SELECT user_id AS video_id, CAST(event_id % 2 AS INTEGER) AS step, date_trunc('milliseconds', ts) AS tm, CASE WHEN event_type IN ('click', 'signup') THEN 'start' WHEN event_type = 'error' THEN 'failed' ELSE 'success' END AS kind, props AS log FROM events),
+    r AS (SELECT *, nat IS NULL OR epoch_us(nat) - epoch_us(tm) > 432000000000 AS late FROM (SELECT *, lead(kind) OVER w AS nxt, lead(tm) OVER w AS nat, lead(log) OVER w AS nlog FROM e WINDOW w AS (PARTITION BY video_id, step ORDER BY tm, kind)))""",
+)
 def j07(spark, sf):
+    """Runs of a stream of step events, closed by their end, by another start, or after five days."""
     kind = F.when(F.col("event_type").isin("click", "signup"), "start").when(F.col("event_type") == "error", "failed").otherwise("success")
-    schema = cat.table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet*").parquet(sf)
-    events = stream.select(F.col("user_id").alias("video_id"), F.lit(0).alias("step"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("at"), F.col("props").alias("log"))
-    rows = op.drained(op.lifecycle(events))
-    return rows.select("video_id", "step", "status", F.round("duration_sec", 3).alias("duration_sec"))
+    events = event_stream(spark, sf).select(F.col("user_id").alias("video_id"), (F.col("event_id") % 2).cast("int").alias("step"), kind.alias("kind"), F.date_trunc("millisecond", F.col("ts").cast("timestamp")).alias("at"), F.col("props").alias("log"))
+    rows = op.drained(states.lifecycle(events, seconds=432000))
+    return rows.select("video_id", "step", "status", F.round("duration_sec", 3).alias("duration_sec"), "log")
 
 
 @query(
@@ -106,6 +135,14 @@ def b08(spark, sf):
     return cue_arrays(cat.cues_src(spark, sf)).select("video_id", sub.srt_document(F.col("cues")).alias("doc"))
 
 
+@query("b08b_srt_files", f"SELECT CAST(video_id AS VARCHAR) AS name, string_agg(k || chr(10) || {srt_sql('a')} || ' --> ' || {srt_sql('b')} || chr(10) || txt || chr(10), chr(10) ORDER BY k) AS content FROM st GROUP BY 1", STAMPED)
+def b08b(spark, sf):
+    """Each video's subtitles written as an SRT file, and the files read back."""
+    at = fresh(spark).removeprefix("file:")
+    files.write_files(b08(spark, sf).select(F.col("video_id").alias("name"), F.col("doc").alias("content")), at, ".srt")
+    return files.read_files(spark, at, ".srt")
+
+
 ASS_HEAD = (
     "[Script Info]\nScriptType: v4.00+\nPlayResX: 720\nPlayResY: 1280\nWrapStyle: 0\nScaledBorderAndShadow: yes\n\n[V4+ Styles]\n"
     "Format: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, "
@@ -121,5 +158,5 @@ ASS_HEAD = (
     STAMPED,
 )
 def b09(spark, sf):
-    """Each video's subtitles as an ASS file for 720 by 1280 within the first platform's margins."""
+    """Each video's subtitles as an ASS document for 720 by 1280 within the first platform's margins."""
     return cue_arrays(cat.cues_src(spark, sf)).select("video_id", sub.ass_document(F.col("cues"), 720, 1280, F.lit(0.05), F.lit(0.18)).alias("doc"))

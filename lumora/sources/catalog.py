@@ -126,12 +126,17 @@ def stream_events(spark: SparkSession, sf: str) -> DataFrame:
     return as_stream_events(table(spark, sf, "events"))
 
 
-def as_stream_events(events: DataFrame) -> DataFrame:
-    """(channel, payload, ingest_ts) of progress and status messages; works on streams too."""
+def message_of() -> tuple[Column, Column]:
+    """(channel, payload) of an event as a progress or status message."""
     kind, user = F.col("event_type"), F.col("user_id").cast("string")
     channel = F.concat(F.when(kind.isin("error", "purchase"), "media:status:").otherwise("media:progress:"), user)
     status = F.when(kind == "error", "error").when(kind == "purchase", "ready").otherwise("running")
-    payload = F.concat(F.lit('{"video_id":"'), user, F.lit('","status":"'), status, F.lit('"}'))
+    return channel, F.concat(F.lit('{"video_id":"'), user, F.lit('","status":"'), status, F.lit('"}'))
+
+
+def as_stream_events(events: DataFrame) -> DataFrame:
+    """(channel, payload, ingest_ts) of progress and status messages; works on streams too."""
+    channel, payload = message_of()
     return events.select(channel.alias("channel"), payload.alias("payload"), F.col("ts").alias("ingest_ts"))
 
 

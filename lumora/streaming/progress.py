@@ -6,17 +6,16 @@ their own, so the time of ingestion drives watermarks.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Iterator
-from typing import Any
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from lumora.operators.order import shared_folder
 
 PAYLOAD = "video_id string, status string, percent int, step string"
 SCHEMA = "channel string, payload string, ingest_ts timestamp"
@@ -41,19 +40,25 @@ def topic_of(channel: Column) -> Column:
     return F.when(found != "", F.concat(F.lit("video:"), found)).when(channel == "media:queue", "queue").when(channel == "media:alert", "alert")
 
 
+#: What a message is dropped for: an unknown channel, or a payload that is not JSON.
+FAULTS = ("channel", "json")
+
+
+def fault() -> Column:
+    """Why a message (channel, payload) is dropped; null for a good one."""
+    ok = F.expr("try_parse_json(payload)").isNotNull()
+    return F.when(topic_of(F.col("channel")).isNull(), FAULTS[0]).when(~ok, FAULTS[1])
+
+
 def parsed(rows: DataFrame) -> DataFrame:
     """Messages with a topic and a JSON payload; ``bad`` marks what the others are dropped for."""
     m = F.from_json("payload", PAYLOAD, {"mode": "PERMISSIVE"})
-    ok = F.expr("try_parse_json(payload)").isNotNull()
-    bad = F.when(topic_of(F.col("channel")).isNull(), "channel").when(~ok, "json")
-    return rows.select("channel", "ingest_ts", topic_of(F.col("channel")).alias("topic"), m.alias("m"), bad.alias("bad")).select("channel", "ingest_ts", "topic", "m.*", "bad")
+    return rows.select("channel", "ingest_ts", topic_of(F.col("channel")).alias("topic"), m.alias("m"), fault().alias("bad")).select("channel", "ingest_ts", "topic", "m.*", "bad")
 
 
 def delivered(rows: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Good messages per client: alerts to all clients, others to those subscribed (client, topic), of whose topics the
     first MOST_TOPICS count. The subscriptions are static."""
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("client").orderBy("topic"))
     kept = subscriptions.select("client", "topic").distinct().withColumn("_r", place).where(F.col("_r") <= MOST_TOPICS).drop("_r")
     everyone = kept.select("client").distinct().withColumn("topic", F.lit("alert"))
@@ -76,62 +81,40 @@ def deduplicated(rows: DataFrame, keys: list[str], seconds: int = LOCK_S) -> Dat
     """The messages that find their key's lock free: each takes it for ``seconds``, and those within that time are dropped.
 
     On a stream the state lives as long as the lock, by the watermark; a late message counts as early. On a batch each
-    key's messages are folded in the order of their times; rows at one time count once.
+    key's messages stream by in the order of their times, sorted by Spark, and the lock's end is all that is kept of them; of rows
+    at one time the least counts. Messages without a time are dropped.
     """
     if rows.isStreaming:
         return rows.withWatermark("ingest_ts", f"{seconds} seconds").dropDuplicatesWithinWatermark(keys)
-    rest = [c for c in rows.columns if c not in keys and c != "ingest_ts"]
-    held = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("ingest_ts", *rest))).alias("_m"))
-    life = F.expr(f"INTERVAL {seconds} SECONDS")
-    none = F.filter("_m", lambda m: F.lit(False))
-
-    def step(acc: Column, m: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        return F.when(last.isNull() | (m["ingest_ts"] >= last["ingest_ts"] + life), F.concat(acc, F.array(m))).otherwise(acc)
-
-    kept = held.select(*keys, F.explode(F.aggregate("_m", none, step)).alias("_r"))
-    return kept.select(*[F.col(c) if c in keys else F.col("_r")[c].alias(c) for c in rows.columns])
-
-
-RUNS = "video_id long, step int, started_s double, finished_s double, status string, log string"
-
-
-def lifecycle(events: DataFrame) -> DataFrame:
-    """Closed runs of (video_id, step, kind, at, log), kind being start, success or failed: a start opens a run, which the
-    next end closes; a start while one is open takes its place. Works on streams, with a state per video and step."""
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since = state.get[0] if state.exists else None
-        out: list[tuple[Any, ...]] = []
-        for e in pd.concat(list(batches)).sort_values("at").itertuples():
-            if e.kind == "start":
-                since = e.at.timestamp()
-            elif since is not None:
-                log = (e.log or "")[:LOG_CHARS]
-                out.append((key[0], key[1], since, e.at.timestamp(), e.kind, log))
-                since = None
-        if since is None:
-            state.remove() if state.exists else None
-        else:
-            state.update((since,))
-        if out:
-            yield pd.DataFrame(out, columns=["video_id", "step", "started_s", "finished_s", "status", "log"])
-
-    runs = events.groupBy("video_id", "step").applyInPandasWithState(run, RUNS, "since double", "append", GroupStateTimeout.NoTimeout)
-    return runs.select(
-        "video_id", "step", F.timestamp_micros((F.col("started_s") * 1000000).cast("long")).alias("started_at"), F.timestamp_micros((F.col("finished_s") * 1000000).cast("long")).alias("finished_at"),
-        "status", (F.col("finished_s") - F.col("started_s")).alias("duration_sec"), "log",
-    )
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A folder that all executors see: spark.checkpoint.dir; on a local master without it, a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return os.path.join(tempfile.gettempdir(), "lumora-streams")
+    columns, n_keys = rows.columns, len(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, free = None, None
+        for b in batches:
+            kept = []
+            for *own, us in zip(*(b.column(f"_{i}").to_pylist() for i in range(n_keys)), b.column("_us").to_pylist()):
+                if own != key:
+                    key, free = own, None
+                kept.append(free is None or us >= free)
+                if kept[-1]:
+                    free = us + seconds * 1_000_000
+            yield b.filter(pa.array(kept, pa.bool_())).select(columns)
+
+    held = rows.where("ingest_ts IS NOT NULL").withColumns({**{f"_{i}": F.col(k).cast("string") for i, k in enumerate(keys)}, "_us": F.unix_micros(F.col("ingest_ts").cast("timestamp"))})
+    order = [*(f"_{i}" for i in range(len(keys))), "_us", *(c for c in rows.columns if c not in keys and c != "ingest_ts")]
+    return held.repartition(*keys).sortWithinPartitions(*order).mapInArrow(run, rows.schema)
+
+
+@contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, which operators with timers and several states need."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def drained(stream: DataFrame, folder: str | None = None) -> DataFrame:
@@ -140,8 +123,9 @@ def drained(stream: DataFrame, folder: str | None = None) -> DataFrame:
     Rows and progress stand under ``folder``: run again with the same one, the query goes on where it stopped, and rows
     written before are not repeated. Without one a new folder in ``shared_folder`` is used.
     """
-    at = folder or f"{shared_folder(stream.sparkSession)}/{uuid.uuid4().hex}"
-    q: StreamingQuery = stream.writeStream.format("parquet").outputMode("append").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start()
+    at = folder or f"{shared_folder(stream.sparkSession, 'lumora-streams')}/{uuid.uuid4().hex}"
+    with rocksdb(stream.sparkSession):
+        q: StreamingQuery = stream.writeStream.format("parquet").outputMode("append").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception():
         raise q.exception()
