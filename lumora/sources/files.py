@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import glob
 import os
+import sys
 import uuid
 from collections.abc import Iterator
+from contextlib import suppress
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -25,37 +27,45 @@ class Written(WriterCommitMessage):
 
 
 class FileWriter(DataSourceWriter):
-    """Each task writes its changed files beside their places under a name of this job; the commit moves them there."""
+    """Each task writes its changed files beside their places under a name of this job; the commit moves them there. While the job's
+    mark stands it is open; a task that ends after that takes its files away itself."""
 
     def __init__(self, folder: str, suffix: str, overwrite: bool) -> None:
         self.folder, self.suffix, self.overwrite = folder, suffix, overwrite
         self.job = uuid.uuid4().hex
-
-    def _mine(self) -> list[str]:
-        return glob.glob(os.path.join(glob.escape(self.folder), f".{self.job}-*"))
+        os.makedirs(folder, exist_ok=True)
+        self.mark = os.path.join(folder, f".{self.job}-open")
+        with open(self.mark, "wb"):
+            pass
 
     def write(self, iterator: Iterator[Row]) -> Written:
-        os.makedirs(self.folder, exist_ok=True)
-        files, same = [], 0
-        for row in iterator:
-            name = str(row["name"])
-            if not name or name.startswith(".") or "/" in name or os.sep in name or "\0" in name:
-                raise ValueError(f"not a file's name: {name!r}")
-            target, content = os.path.join(self.folder, name + self.suffix), row["content"].encode()
-            if os.path.exists(target):
-                with open(target, "rb") as f:
-                    if f.read() == content:
-                        same += 1
-                        continue
-                if not self.overwrite:
-                    raise FileExistsError(target)
-            beside = os.path.join(self.folder, f".{self.job}-{uuid.uuid4().hex}")
-            with open(beside, "wb") as f:
-                f.write(content)
-                f.flush()
-                os.fsync(f.fileno())
-            files.append((beside, target))
-        return Written(files, same)
+        written = Written([], 0)
+        try:
+            for row in iterator:
+                self._put(str(row["name"]), row["content"].encode(), written)
+        finally:
+            if sys.exc_info()[0] or not os.path.exists(self.mark):
+                for beside, _ in written.files:
+                    _remove(beside)
+        return written
+
+    def _put(self, name: str, content: bytes, written: Written) -> None:
+        if not name or name.startswith(".") or "/" in name or os.sep in name or "\0" in name:
+            raise ValueError(f"not a file's name: {name!r}")
+        target = os.path.join(self.folder, name + self.suffix)
+        if os.path.exists(target):
+            with open(target, "rb") as f:
+                if f.read() == content:
+                    written.same += 1
+                    return
+            if not self.overwrite:
+                raise FileExistsError(target)
+        beside = os.path.join(self.folder, f".{self.job}-{uuid.uuid4().hex}")
+        written.files.append((beside, target))
+        with open(beside, "wb") as f:
+            f.write(content)
+            f.flush()
+            os.fsync(f.fileno())
 
     def commit(self, messages: list[Written | None]) -> None:
         targets = [t for m in messages if m for _, t in m.files]
@@ -68,8 +78,14 @@ class FileWriter(DataSourceWriter):
         self.abort([])  # what attempts that died have left
 
     def abort(self, messages: list[Written | None]) -> None:
-        for path in self._mine():
-            os.remove(path)
+        _remove(self.mark)
+        for path in glob.glob(os.path.join(glob.escape(self.folder), f".{self.job}-*")):
+            _remove(path)
+
+
+def _remove(path: str) -> None:
+    with suppress(FileNotFoundError):
+        os.remove(path)
 
 
 class TextFiles(DataSource):
