@@ -193,8 +193,8 @@ def _compared(wide: type, threshold: float, failure: float):
 
 
 def linked(vectors: DataFrame, threshold: float = 0.95, miss: float = 1e-6, failure: float = 1e-6) -> DataFrame:
-    """(id, links, component, exact) of the vectors of ``vectors`` (id, v, copies: distinct usable ones) that have links;
-    exact counts the pairs computed exactly.
+    """(id, links, component, exact) of the vectors of ``vectors`` (id, v, copies: distinct usable ones, each with an id of its own)
+    that have links; exact counts the pairs computed exactly.
 
     Vectors are filed under the signs of random rotations in several tables. In a bucket, inner products are estimated
     from stored codes and factors; only pairs whose confidence bound reaches the threshold, in the first table
@@ -230,20 +230,23 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     that were computed exactly with the row's vector as the left one.
 
     Rows whose vector is null, empty, zero or holds null or non-finite components link with nothing: 0 links, a
-    component of their own. Equal vectors are compared once and counted as often as they occur; repeated ids count
-    as rows; different vectors under one id are one vertex with the links of all. A null id links like others but
-    names no component unless alone. An empty table gives no row.
+    component of their own. Every row is a vector of its own, also where rows share an id: equal vectors are compared
+    once and counted as often as they occur, and different vectors of one id have their own links and components. The
+    component is named by the smallest id in it; a null id links like others but names no component. An empty table
+    gives no row.
     """
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.withColumn("v", F.when(usable(F.col("v")), F.col("v")))
     distinct = checkpointed(rows.where("v IS NOT NULL").groupBy("v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies")))
-    distinct = checkpointed(distinct.withColumn("id", F.coalesce(F.col("least"), F.xxhash64("v"))))
+    distinct = checkpointed(distinct.withColumn("id", F.monotonically_increasing_id()))
     found = linked(distinct, **options).withColumnRenamed("id", "_i")
-    classes = distinct.join(found, distinct["id"] == found["_i"], "left").select(
-        F.col("v").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component", "least").alias("component"), F.coalesce("exact", F.lit(0)).alias("exact")
+    told = distinct.join(found, distinct["id"] == found["_i"], "left").withColumn("component", F.coalesce("component", "id"))
+    names = told.groupBy(F.col("component").alias("_c")).agg(F.min("least").alias("name"))
+    classes = told.join(names, F.col("component") == F.col("_c")).select(
+        F.col("v").alias("_v"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), "name", F.coalesce("exact", F.lit(0)).alias("exact")
     )
     out = rows.join(classes, rows["v"] == classes["_v"], "left")
-    component = F.coalesce("component", "vec_id")
+    component = F.when(F.col("_v").isNull(), F.col("vec_id")).otherwise(F.col("name"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"), F.coalesce("exact", F.lit(0)).cast("long").alias("n_exact"))
 
 

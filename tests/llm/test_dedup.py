@@ -210,6 +210,15 @@ def test_nearest_neighbours_reach_recall(spark, monkeypatch):
     assert [v for v, _ in found[700]] == [701, 702, 703, 704, 705]
 
 
+def test_vectors_that_share_an_id_have_their_own_links(spark):
+    rng = np.random.default_rng(8)
+    a, b, c = rng.standard_normal((3, 32))
+    near = lambda x: (x + 0.02 * rng.standard_normal(32)).tolist()
+    rows = [(1, a.tolist()), (1, b.tolist()), (2, near(a)), (3, near(b)), (3, near(b)), (7, c.tolist()), (7, near(c)), (None, near(c)), (None, rng.standard_normal(32).tolist())]
+    got = sorted((str(r["vec_id"]), r["n_links"], str(r["component_id"])) for r in rabitq.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == sorted([("1", 1, "1"), ("1", 2, "1"), ("2", 1, "1"), ("3", 2, "1"), ("3", 2, "1"), ("7", 2, "7"), ("7", 2, "7"), ("None", 2, "7"), ("None", 0, "None")])
+
+
 def ann_points(df):
     from pyspark.sql import functions as F
 
