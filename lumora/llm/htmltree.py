@@ -45,6 +45,15 @@ WEAK = frozenset(
     "nav navbar navigation menu masthead header footer aside banner notice notices notification alert signup signin login reply related recommended recommendations "
     "breadcrumb breadcrumbs pagination pager widget widgets toolbar skip search searchform copyright legal disclaimer tracking".split()
 )
+#: Words that a name may have besides these and still speak of such a part of the page.
+PARTS = frozenset(
+    "area bar block body bottom box btn button buttons card center col column container content entry fixed footer form full group head header icon icons inline inner item items label left link links "
+    "list main mid middle module outer page panel post posts reader readers right row section site slot small text thread title top unit user users wide wrap wrapper zone".split()
+)
+#: Elements whose names can speak strongly.
+HOLDERS = frozenset("div section aside ul ol dl table center fieldset details figure main article body html header footer nav form".split())
+#: Inline elements whose names can; what they say of comments marks code and notes there, and does not count.
+INLINE_HOLDERS, COMMENTS = frozenset("span a ins".split()), frozenset("comment comments commentlist replies respond disqus".split())
 _STRONG_PART = re.compile(r"^(?:top|side|main|sub|site|page|left|right|bottom)(?:ad|ads)$|^advert|^cookie|^(?:ad|ads|comment)s?\d+$")
 _WEAK_PART = re.compile(r"^(?:top|side|main|sub|site|page|left|right|bottom)(?:nav|menu|bar|footer)$|^(?:nav|menu)s?\d+$")
 _WORDS = re.compile(r"[^a-z0-9]+")
@@ -83,12 +92,18 @@ def _unseen(a: dict[str, str]) -> bool:
     return "hidden" in a or bool(re.search(r"display\s*:\s*none", a.get("style", ""), re.I)) or a.get("role", "").lower() in ROLES
 
 
-def _doubt(a: dict[str, str]) -> int:
+def _doubt(a: dict[str, str], tag: str) -> int:
+    """A name speaks strongly only if it is made of such words and of words for parts of a page (``comment-list``, not
+    ``comments-on-kant``), and only of an element that holds others; a strong word in another name, or on a paragraph,
+    a heading or the like, counts as a weak one."""
     found = 0
-    for word in _WORDS.split(_CAMEL.sub(" ", f"{a.get('class', '')} {a.get('id', '')}").lower()):
-        if word in STRONG or _STRONG_PART.match(word):
+    for name in _CAMEL.sub("-", f"{a.get('class', '')} {a.get('id', '')}").lower().split():
+        words = [w for w in _WORDS.split(name) if w and not w.isdigit()]
+        strong = [(w in STRONG or bool(_STRONG_PART.match(w))) and not (tag in INLINE_HOLDERS and w in COMMENTS) for w in words]
+        weak = [w in WEAK or bool(_WEAK_PART.match(w)) for w in words]
+        if (tag in HOLDERS or tag in INLINE_HOLDERS) and any(strong) and all(s or k or w in PARTS for s, k, w in zip(strong, weak, words)):
             return 2
-        if word in WEAK or _WEAK_PART.match(word):
+        if any(strong) or any(weak):
             found = 1
     return found
 
@@ -102,7 +117,7 @@ def parse(markup: str | None) -> Page:
     elements = [Element("", -1, 0, False, False, 0)]
     blocks: list[tuple[int, str]] = []
     stack, buffer = [0], []
-    hidden: list[tuple[str, int]] = []  # inline elements that are not shown or have a strong word, with the depth they stand at
+    hidden: list[tuple[str, int]] = []  # inline elements that are not shown or have a strong name, with the depth they stand at
 
     def close_to(depth: int) -> None:
         flush()
@@ -158,7 +173,7 @@ def parse(markup: str | None) -> Page:
         if tag in INLINE:
             if "class" in attrs or "id" in attrs or "hidden" in attrs or "style" in attrs or hidden:
                 named = _named(attrs)
-                if hidden or _unseen(named) or _doubt(named) == 2:
+                if hidden or _unseen(named) or _doubt(named, tag) == 2:
                     hidden.append((tag, len(stack)))
             continue
         if tag in VOID:
@@ -178,7 +193,7 @@ def parse(markup: str | None) -> Page:
         named = _named(attrs) if attrs.strip() else {}
         main = up.main or tag in MAIN or named.get("role", "").lower() == "main"
         dropped = up.dropped or bool(hidden) or tag in DROPPED or (tag in DROPPED_OUTSIDE and not up.main) or (bool(named) and _unseen(named))
-        doubt = _doubt(named) if named else 0
+        doubt = _doubt(named, tag) if named else 0
         name = f"{tag}#{re.sub(r'[0-9]+', '', named.get('id', ''))}.{' '.join(sorted(re.sub(r'[0-9]+', '', named.get('class', '')).split()))}"
         path = xxhash.xxh64_intdigest(name.encode("utf-8", "surrogatepass"), up.path & ((1 << 64) - 1)) - (1 << 63)
         up.children.append(name)
