@@ -46,19 +46,8 @@ def golden(i: Column) -> Column:
     return x - F.floor(x).cast("double")
 
 
-def slots_needed(aims: DataFrame, block_words: int) -> int:
-    """Number of slots after which every source of ``aims`` (target, quota) has a slot for each of its blocks.
-
-    A stretch of the unit interval of length p holds at least p n - log2 n - 2 of the first n golden-ratio points, so the
-    source with the smallest share asks for the margin.
-    """
-    total, least = aims.where("quota > 0").agg(F.sum("quota"), F.min(F.col("target")) / F.sum("target")).first()
-    if not total:
-        return 0
-    n = total / block_words
-    for _ in range(3):
-        n = total / block_words + (math.log2(n + 2) + 5) / least
-    return math.ceil(n)
+def blocks_of(quota: Column, block_words: int) -> Column:
+    return F.ceil(quota / F.lit(block_words)).cast("long")
 
 
 def slots(spark: SparkSession, aims: DataFrame, n: int) -> DataFrame:
@@ -79,6 +68,22 @@ def slots(spark: SparkSession, aims: DataFrame, n: int) -> DataFrame:
     return running_total(found, ["source"], F.expr(f"slot div {CHUNK}"), [F.col("slot")], F.lit(1), "rank")
 
 
+def turns(spark: SparkSession, aims: DataFrame, block_words: int) -> DataFrame:
+    """(slot, source, rank) of every block of every source of ``aims``.
+
+    There are as many slots as blocks. A source that holds p of the unit interval gets p n of them, give or take some log2 n, so
+    a few of its blocks may be left, above all where sources are smaller than a block. These stand behind the slots in
+    a shuffled order. The number of slots never hangs on the smallest source.
+    """
+    n = aims.agg(F.coalesce(F.sum(blocks_of(F.col("quota"), block_words)), F.lit(0))).first()[0]
+    given = checkpointed(slots(spark, aims, n))
+    had = given.groupBy(F.col("source").alias("_g")).agg(F.count("*").alias("had"))
+    short = aims.join(had, F.col("source").eqNullSafe(F.col("_g")), "left").select("source", F.coalesce("had", F.lit(0)).alias("had"), blocks_of(F.col("quota"), block_words).alias("blocks"))
+    rest = short.where("had < blocks").select("source", F.explode(F.sequence(F.col("had"), F.col("blocks") - 1)).alias("rank")).withColumn("_h", F.xxhash64("source", "rank"))
+    rest = running_total(rest, [], hash_bucket(F.col("_h")), [F.col("_h"), F.col("source").asc_nulls_last(), F.col("rank")], F.lit(1), "slot")
+    return given.unionByName(rest.select((F.col("slot") + n).alias("slot"), "source", "rank"))
+
+
 def schedule(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, repeats: float = 2.0, block_words: int = 256) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The mix of ``sized`` (doc_id, source, size, tag), as (pieces, placed, aims).
 
@@ -104,8 +109,8 @@ def schedule(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: floa
         "source", "block", "doc_id", "tag", "start", "size", "lap", (first - F.col("at")).alias("from_word"),
         (F.least(F.col("end"), (F.col("block") + 1) * block_words) - first).alias("n_words"),
     )
-    turns = slots(sized.sparkSession, aims, slots_needed(aims, block_words)).select("slot", F.col("source").alias("_s"), "rank")
-    pieces = cut.join(turns, cut["source"].eqNullSafe(turns["_s"]) & (cut["block"] == turns["rank"])).drop("_s", "rank")
+    own = turns(sized.sparkSession, aims, block_words).select("slot", F.col("source").alias("_s"), "rank")
+    pieces = cut.join(own, cut["source"].eqNullSafe(own["_s"]) & (cut["block"] == own["rank"])).drop("_s", "rank")
     return pieces, placed, aims
 
 

@@ -366,6 +366,9 @@ def test_url_filter_cases(spark):
         ("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article>", "a b c d"),
         ("plain < text & more", "plain < text & more"),
         ("<article><p>a<span class='share'>s</span>b</p></article>", "ab"),
+        ("<article><p>t</p><p id='social-policy'>on welfare</p><p class='promotion'>of pawns</p></article>", "t on welfare of pawns"),
+        ("<article><p>t</p><section id='comments-on-kant'><p>a chapter</p></section><div class='comment-list'><div class='comment'>reader</div></div></article>", "t a chapter"),
+        ("<article><p>x <span class='hljs-comment'># y</span> <em class='comment'>z</em> at <span class='share-price'>12.5</span></p></article>", "x # y z at 12.5"),
         ("<div " * 3000 + "<p>x", "x"),
         ("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math>.</p></article>", "so x=2."),
         ("<article><p>t</p><p class='legal'>fair use</p></article>", "t fair use"),
@@ -521,7 +524,8 @@ def test_mix_meets_targets_and_caps(spark):
 
 
 def plain_mix(rows, block):
-    """Words taken of each row, and the order of the blocks, by the schedule's rules one slot at a time."""
+    """Words taken of each row, the order of the blocks by the schedule's rules one slot at a time, as many slots as blocks, and
+    the number of slots and the sources of blocks that these leave."""
     sizes = {}
     for _, source, size, _ in rows:
         sizes[source] = sizes.get(source, 0) + size
@@ -533,7 +537,8 @@ def plain_mix(rows, block):
         if source in aim:
             stream[source] += [k] * size
     taken, at, order, slot = [0] * len(rows), dict.fromkeys(aim, 0), [], 0
-    while any(at[s] < quota[s] for s in aim):
+    n_slots = sum(-(-q // block) for q in quota.values())
+    while slot < n_slots:
         x, low = slot * (5**0.5 - 1) / 2 % 1, 0.0
         for s in names:
             low += aim[s] / total
@@ -546,25 +551,45 @@ def plain_mix(rows, block):
                 if not order or order[-1][0] != slot:
                     order.append((slot, s))
         slot += 1
-    return taken, order
+    left = []
+    for s in aim:
+        left += [s] * -(-(quota[s] - at[s]) // block)
+        for k in range(at[s], quota[s]):
+            taken[stream[s][k % len(stream[s])]] += 1
+    return taken, order, n_slots, left
 
 
 def test_mix_is_the_schedule_slot_by_slot(spark):
     df = mixed_docs(spark)
     rows = [tuple(r) for r in df.collect()]
-    taken, order = plain_mix(rows, 16)
+    taken, order, n_slots, left = plain_mix(rows, 16)
     got = mixing.mixed(df, block_words=16).collect()
     assert sorted((str(r["doc_id"]), str(r["source"]), r["size"], r["taken"]) for r in got) == sorted((str(d), str(s), n, t) for (d, s, n, _), t in zip(rows, taken))
     pieces, _, _ = mixing.schedule(df, block_words=16)
-    assert sorted((r["slot"], r["source"]) for r in pieces.select("slot", "source").distinct().collect()) == order
+    slots = sorted((r["slot"], r["source"]) for r in pieces.select("slot", "source").distinct().collect())
+    assert [x for x in slots if x[0] < n_slots] == order
+    assert [x for x, _ in slots if x >= n_slots] == list(range(n_slots, n_slots + len(left))) and sorted(str(s) for x, s in slots if x >= n_slots) == sorted(map(str, left))
     assert all((r["first_slot"] is None) == (r["taken"] == 0) == (r["n_slots"] == 0) for r in got)
 
 
 def test_mix_depends_on_the_slots(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "slots", lambda spark, aims, n: spark.createDataFrame([], "slot long, source string, rank long"))
+    monkeypatch.setattr(mixing, "turns", lambda spark, aims, words: spark.createDataFrame([], "slot long, source string, rank long"))
     assert {r["taken"] for r in mixing.mixed(mixed_docs(spark)).collect()} == {0}
 
 
+def test_small_sources_add_no_slots(spark):
+    rows = [(i, "large", 1000, i * 7919 % 1009) for i in range(1000)] + [(5000 + i, f"tiny{i}", 1, i) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, tag long")
+    aims = mixing.targets(df).withColumn("quota", F.round("target").cast("long"))
+    turns = mixing.turns(spark, aims, 256).collect()
+    blocks = {r["source"]: -(-r["quota"] // 256) for r in aims.collect()}
+    assert len(turns) <= 2 * sum(blocks.values()) and len({r["slot"] for r in turns}) == len(turns)
+    for source, n in blocks.items():
+        assert {r["rank"] for r in turns if r["source"] == source} >= set(range(n))
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mixed(df).collect()}
+    assert all(taken[5000 + i] == 2 for i in range(30)) and all(t <= 2000 for t in taken.values())
+
+
 def test_schedule_spreads_sources_evenly(spark):
     df = mixed_docs(spark)
     pieces, _, aims = mixing.schedule(df, block_words=16)
