@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm.common import checkpointed, hash_bucket, n_words, read, running_total
+from lumora.llm.common import bucket_bits, checkpointed, hash_bucket, n_words, read, running_total
 
 #: Lengths below 2 * FINE have a bin each; above, a bin spans 1 / FINE of its power of two.
 FINE = 256
@@ -65,16 +65,19 @@ def packed(lengths: DataFrame, buckets: int = 16, budget: int = 65536) -> DataFr
     A sequence is padded to its bucket's length; a batch holds as many as fit ``budget`` tokens, at least one, so
     a sequence longer than the budget is a batch of its own and nothing is cut. Rows are shuffled by a hash of the
     id before they fill batches; only the last batch of a bucket may be short. Null ids and repeated rows are
-    packed like others; texts without tokens go to the shortest bucket.
+    packed like others, numbered among their equals so that they spread over all buckets of the hash; texts without tokens go to the shortest bucket.
     """
-    lengths = checkpointed(lengths.select("doc_id", F.col("n_tokens").cast("long")))
+    # rows are nothing but id and length, so equal ones are one row and a number
+    lengths = checkpointed(lengths.select("doc_id", F.col("n_tokens").cast("long")).groupBy("doc_id", "n_tokens").agg(F.count("*").alias("_n")))
+    total = lengths.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    lengths = lengths.select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_k"))
     bins = histogram(lengths).orderBy("bin").collect()  # bounded by the bins, not by the rows
     ends = boundaries([b["n"] for b in bins], [b["longest"] for b in bins], buckets)
     n = F.col("n_tokens")
     bucket = sum([(n > e).cast("int") for e in ends[:-1]], F.lit(0))
     length = F.element_at(F.array(*[F.lit(e).cast("long") for e in ends or [0]]), F.col("bucket") + 1)
-    rows = lengths.withColumn("bucket", bucket).withColumn("bucket_len", length).withColumn("h", F.xxhash64("doc_id", "n_tokens"))
-    rows = running_total(rows, ["bucket", "bucket_len"], hash_bucket(F.col("h")), [F.col("h"), F.col("doc_id"), n], F.lit(1), "place")
+    rows = lengths.withColumn("bucket", bucket).withColumn("bucket_len", length).withColumn("h", F.xxhash64("doc_id", "n_tokens", "_k"))
+    rows = running_total(rows, ["bucket", "bucket_len"], hash_bucket(F.col("h"), bucket_bits(total)), [F.col("h"), F.col("doc_id"), n, F.col("_k")], F.lit(1), "place")
     room = F.greatest(F.expr(f"{budget} div greatest(bucket_len, 1)"), F.lit(1).cast("long"))
     rows = rows.withColumn("room", room)
     return rows.select(
