@@ -9,9 +9,11 @@ from heapq import heapify, heappop, heappush
 from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumora.operators.graphs import components
+from lumora.operators.order import checkpointed
 from lumora.operators.similarity import distinct_lines
 
 #: Fixed values of the text filter: least confidence, overlap within a track, tallest track, least boxes, least Han share,
@@ -287,8 +289,12 @@ def mask_timeline(regions: DataFrame) -> DataFrame:
 
 
 def component_roots(boxes: list[Box]) -> list[int]:
-    """For each box the place of the first one it is joined to by overlaps: a sweep from left to right, each box against
-    those that reach beyond its left side."""
+    """For each box the place of the first one it is joined to by overlaps.
+
+    A sweep from left to right keeps, for each stretch of heights, the box there that reaches farthest right: all boxes
+    there that are still open overlap it. A new box is joined to those of the stretches that it meets, and takes over
+    where it reaches farther.
+    """
     root = list(range(len(boxes)))
 
     def top(i: int) -> int:
@@ -297,22 +303,71 @@ def component_roots(boxes: list[Box]) -> list[int]:
             i = root[i]
         return i
 
-    reach: list[int] = []
+    stretches: list[tuple[float, float, int]] = []  # (from, to, box), in order
     for i in sorted(range(len(boxes)), key=lambda i: boxes[i].left):
-        reach = [j for j in reach if boxes[j].right > boxes[i].left]
-        for j in reach:
-            if boxes[i].common(boxes[j]):
-                a, b = sorted((top(i), top(j)))
-                root[b] = a
-        reach.append(i)
+        new = boxes[i]
+        if new.right <= new.left or new.bottom <= new.top:
+            continue
+        first = bisect_left(stretches, new.top, key=lambda s: s[1])
+        while first < len(stretches) and stretches[first][1] <= new.top:
+            first += 1
+        last, inside, at = first, [], new.top
+        while last < len(stretches) and stretches[last][0] < new.bottom:
+            low, high, j = stretches[last]
+            last += 1
+            if boxes[j].right <= new.left:
+                continue
+            a, b = sorted((top(i), top(j)))
+            root[b] = a
+            if low < new.top:
+                inside.append((low, new.top, j))
+            if boxes[j].right > new.right:
+                low, end = max(low, new.top), min(high, new.bottom)
+                inside += [(at, low, i)] * (at < low) + [(low, end, j)]
+                at = end
+            if high > new.bottom:
+                inside += [(at, new.bottom, i)] * (at < new.bottom) + [(new.bottom, high, j)]
+                at = new.bottom
+        inside += [(at, new.bottom, i)] * (at < new.bottom)
+        stretches[first:last] = inside
     return [top(i) for i in range(len(boxes))]
 
 
+#: Boxes of a key that are swept as one, and the strips that a key with more is cut into.
+SWEPT, STRIPS = 20_000, 64
+
+
 def touching(boxes: DataFrame, key: str) -> DataFrame:
-    """Adds ``component``: the smallest id among the boxes of a key that overlap, transitively."""
-    rows = _numbered(boxes, key, ["id"], "_root", component_roots)
-    same = Window.partitionBy(key, "_root")
-    return rows.withColumn("component", F.min("id").over(same)).drop("_root")
+    """Adds ``component``: the smallest id among the boxes of a key that overlap, transitively.
+
+    A key with more than SWEPT boxes is cut into STRIPS strips at quantiles of its boxes' left sides; a box belongs to all
+    strips that it meets. Each strip is swept alone (``component_roots``), equal boxes as one, and what boxes
+    in several strips join is found by contraction (``graphs.components``). So a dense video is many tasks, and the
+    edges are a row for a box and strip.
+    """
+    shape = ["x", "y", "w", "h"]
+    distinct = checkpointed(boxes.groupBy(key, *shape).agg(F.min("id").alias("_first")))
+    cuts = F.percentile_approx("x", F.array(*[F.lit(i / STRIPS) for i in range(1, STRIPS)]), 10_000)
+    of = distinct.groupBy(F.col(key).alias("_k")).agg(F.when(F.count("*") > SWEPT, F.array_distinct(cuts)).otherwise(F.array().cast("array<double>")).alias("_cuts"))
+    begin, end = F.size(F.filter("_cuts", lambda c: c <= F.col("x"))), F.size(F.filter("_cuts", lambda c: c < F.col("x") + F.col("w")))
+    cut = distinct.join(of, F.col(key).eqNullSafe(F.col("_k"))).withColumn("_several", F.size("_cuts") > 0)
+    cut = cut.withColumn("_strip", F.explode(F.sequence(begin, F.greatest(begin, end)))).drop("_k", "_cuts")
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("_first")
+        roots = component_roots(boxes_of(*(b[c].tolist() for c in shape)))
+        return pd.DataFrame({key: b[key], "_id": b["_first"], "_root": b["_first"].to_numpy()[roots], "_several": b["_several"]})
+
+    kind = boxes.schema[key].dataType.simpleString()
+    swept = cut.groupBy(key, "_strip").applyInPandas(run, f"{key} {kind}, _id long, _root long, _several boolean")
+    swept = checkpointed(swept)
+    alone = swept.where("NOT _several").select(F.col(key).alias("_k"), F.col("_id"), F.col("_root").alias("component"))
+    if not (several := swept.where("_several")).isEmpty():
+        ends = several.select(F.struct(F.col(key).alias("k"), F.col("_id").alias("i")).alias("a"), F.struct(F.col(key).alias("k"), F.col("_root").alias("i")).alias("b"))
+        alone = alone.unionByName(components(ends).select(F.col("v.k").alias("_k"), F.col("v.i").alias("_id"), F.col("component.i").alias("component")))
+    first = distinct.join(alone, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_first") == F.col("_id"))).select(*[F.col(c).alias(f"_{c}") for c in (key, *shape)], "component")
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in (key, *shape)]
+    return boxes.join(first, same).select(*boxes.columns, "component")
 
 
 def pixels(boxes: DataFrame, width: int, height: int, margin: int = 12) -> DataFrame:

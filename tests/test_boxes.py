@@ -40,6 +40,35 @@ def test_components():
         assert op.component_roots(rows) == label
 
 
+def test_components_of_many_small_and_few_large_boxes():
+    rng = random.Random(4)
+    for _ in range(60):
+        n, grid = rng.randint(2, 60), rng.choice([4, 8, 30])
+        rows = []
+        for _ in range(n):
+            x, y = rng.randrange(grid), rng.randrange(grid)
+            rows.append(op.Box(x / grid, y / grid, (x + rng.randrange(0, 4)) / grid, (y + rng.choice([0, 1, 2, grid])) / grid))
+        label = list(range(n))
+        for _ in range(n):
+            label = [min(label[j] for j in range(n) if i == j or rows[i].common(rows[j]) > 0) for i in range(n)]
+        assert op.component_roots(rows) == label
+
+
+def test_components_over_strips(spark, monkeypatch):
+    monkeypatch.setattr(op, "SWEPT", 20)
+    monkeypatch.setattr(op, "STRIPS", 5)
+    rng = random.Random(5)
+    rows = [(v, 1000 * v + i, b.left, b.top, b.right - b.left, b.bottom - b.top) for v, n in ((1, 150), (2, 10), (3, 80)) for i, b in enumerate(some(rng, n, 0.07))]
+    rows += [(1, 5000, *rows[0][2:]), (2, 5001, 0.1, 0.1, 0.0, 0.2), (None, 7, 0.1, 0.1, 0.2, 0.2), (None, 6, 0.2, 0.2, 0.2, 0.2)]
+    got = {r.id: r.component for r in op.touching(spark.createDataFrame(rows, "video_id long, id long, x double, y double, w double, h double"), "video_id").collect()}
+    want = {}
+    for v in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == v), key=lambda r: r[1])
+        roots = op.component_roots([op.Box(x, y, x + w, y + h) for _, _, x, y, w, h in own])
+        want |= {r[1]: own[k][1] for r, k in zip(own, roots)}
+    assert got == want and len(set(want.values())) > 10
+
+
 def regions(rng, n):
     place = some(rng, 4, 0.08)
     made = []
