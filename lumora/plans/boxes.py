@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -100,18 +102,23 @@ def g07(spark, sf):
     return m.select("video_id", "track", op.gate().alias("passes"))
 
 
+#: Texts of which all and half the characters are Han.
+SAID = ("你好世界", "字幕ab")
+
+
 @query(
     "g08_score",
-    """SELECT video_id, track, round(1.6e0 * least(1, n / 4e0) + CASE WHEN n > 1 AND k > 1 THEN 1.2e0 * (k - 1) / (n - 1) ELSE 0 END + 0.6e0 * least(1, greatest(0, (c - 0.45e0) / 0.55e0)) + CASE WHEN cy BETWEEN 0.25e0 AND 0.92e0 THEN 0.5e0 ELSE 0 END, 6) AS score
-    FROM (SELECT video_id, track, count(*) AS n, count(DISTINCT txt) AS k, avg(confidence) AS c, min(y) + (max(y + h) - min(y)) / 2 AS cy FROM tr GROUP BY 1, 2)""",
+    f"""SELECT video_id, track, round(1.6e0 * least(1, n / 4e0) + CASE WHEN n > 1 AND k > 1 THEN 1.2e0 * (k - 1) / (n - 1) ELSE 0 END + 0.6e0 * least(1, greatest(0, (c - 0.45e0) / 0.55e0)) + CASE WHEN cy BETWEEN 0.25e0 AND 0.92e0 THEN 0.5e0 ELSE 0 END + han, 6) AS score
+    FROM (SELECT video_id, track, count(*) AS n, count(DISTINCT CASE WHEN said <> ' ' THEN said END) AS k, avg(confidence) AS c, min(y) + (max(y + h) - min(y)) / 2 AS cy, max(CASE said WHEN '{SAID[0]}' THEN 1e0 WHEN '{SAID[1]}' THEN 0.5e0 ELSE 0e0 END) AS han
+      FROM (SELECT *, CASE (id * 31 + id // 7) % 4 WHEN 0 THEN CASE WHEN track < 3 THEN '{SAID[0]}' ELSE 'qrs' END WHEN 1 THEN CASE WHEN track < 5 THEN '{SAID[1]}' ELSE 'qrs' END WHEN 2 THEN 'klmnop' ELSE ' ' END AS said FROM tr) GROUP BY 1, 2)""",
     TRACK,
 )
 def g08(spark, sf):
-    rows = _given(spark, sf)
-    m = rows.groupBy("video_id", "track").agg(
-        F.count("*").alias("n"), F.countDistinct("txt").alias("lines"), F.avg("confidence").alias("confidence"), F.min("y").alias("y"), (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("h")
-    )
-    return op.scored(m.withColumn("han", F.lit(0.0))).select("video_id", "track", F.round("score", 6).alias("score"))
+    """Scores from the measures of tracks whose texts differ, blank ones among them, with and without Han characters."""
+    k, track = (F.col("id") * 31 + F.floor(F.col("id") / 7)) % 4, F.col("track")
+    said = F.when(k == 0, F.when(track < 3, SAID[0]).otherwise("qrs")).when(k == 1, F.when(track < 5, SAID[1]).otherwise("qrs")).when(k == 2, "klmnop").otherwise(" ")
+    m = op.track_measures(_given(spark, sf).withColumn("txt", said))
+    return op.scored(m).select("video_id", "track", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -137,12 +144,10 @@ def g10(spark, sf):
     "SELECT video_id, round(min(x), 6) AS x, round(min(y), 6) AS y, round(max(x + w) - min(x), 6) AS w, round(max(y + h) - min(y), 6) AS h, min(start_s) AS start_s, max(end_s) AS end_s, round(max(confidence), 6) AS score, array_to_string(list_sort(list_distinct(list(source))), ',') AS reasons FROM masks GROUP BY 1",
 )
 def g11(spark, sf):
-    rows = cat.masks(spark, sf).groupBy("video_id").agg(
-        F.min("x").alias("x"), F.min("y").alias("y"), F.max(F.col("x") + F.col("w")).alias("r"), F.max(F.col("y") + F.col("h")).alias("b"), F.min("start_s").alias("start_s"),
-        F.max("end_s").alias("end_s"), F.max("confidence").alias("score"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("reasons"),
-    )
-    rows = rows.withColumn("w", F.col("r") - F.col("x")).withColumn("h", F.col("b") - F.col("y"))
-    return rows.select("video_id", *six(*BOX), "start_s", "end_s", F.round("score", 6).alias("score"), "reasons")
+    """All masks of a video merged, two at a time."""
+    rows = cat.masks(spark, sf).withColumn("score", F.col("confidence")).withColumn("reasons", F.array("source"))
+    one = op.folded(rows, lambda regions: [reduce(op.Region.with_, regions)])
+    return one.select("video_id", *six(*BOX), "start_s", "end_s", F.round("score", 6).alias("score"), F.array_join(F.array_sort("reasons"), ",").alias("reasons"))
 
 
 @query("g12_merge_overlapping")
@@ -175,20 +180,22 @@ def g15(spark, sf):
 
 @query(
     "g16_safe_area",
-    "SELECT platform, CAST(round_even(sa_bottom * 1920, 0) AS INTEGER) AS margin_v, CAST(round_even(1080 * (1 - sa_left - sa_right), 0) AS INTEGER) AS line_width, 0.1e0 >= sa_left AND 0.7e0 >= sa_top AND 0.1e0 + 0.6e0 <= 1 - sa_right AND 0.7e0 + 0.1e0 <= 1 - sa_bottom AS fits FROM limits",
+    "SELECT id, platform, CAST(round_even(sa_bottom * 1920, 0) AS INTEGER) AS margin_v, CAST(round_even(1080 * (1 - sa_left - sa_right), 0) AS INTEGER) AS line_width, x >= sa_left AND y >= sa_top AND x + w <= 1 - sa_right AND y + h <= 1 - sa_bottom AS fits FROM boxes JOIN limits ON platform = CASE id % 5 WHEN 0 THEN 'tiktok' WHEN 1 THEN 'youtube' WHEN 2 THEN 'facebook' WHEN 3 THEN 'instagram' ELSE 'zalo' END",
 )
 def g16(spark, sf):
-    lit = {"x": F.lit(0.1), "y": F.lit(0.7), "w": F.lit(0.6), "h": F.lit(0.1)}
-    return cat.limits(spark).select(
-        "platform", F.bround(F.col("sa_bottom") * 1920, 0).cast("int").alias("margin_v"), F.bround(1080 * (1 - F.col("sa_left") - F.col("sa_right")), 0).cast("int").alias("line_width"),
-        safe_area_fits(lit).alias("fits"),
+    """Whether each box keeps to the safe area of a platform, and the margins there."""
+    rows = cat.boxes(spark, sf).withColumn("platform", cat.choice(F.col("id"), ("tiktok", "youtube", "facebook", "instagram", "zalo")))
+    return rows.join(F.broadcast(cat.limits(spark)), "platform").select(  # 5 fixed rows
+        "id", "platform", F.bround(F.col("sa_bottom") * 1920, 0).cast("int").alias("margin_v"), F.bround(1080 * (1 - F.col("sa_left") - F.col("sa_right")), 0).cast("int").alias("line_width"),
+        safe_area_fits({c: F.col(c) for c in BOX}).alias("fits"),
     )
 
 
-@query("g17_hook_box", "SELECT platform, sa_left AS x, sa_top AS y, round(greatest(0, 1 - sa_left - sa_right), 6) AS w, round(least(0.14e0, greatest(0, 1 - sa_top - sa_bottom)), 6) AS h FROM limits")
+@query("g17_hook_box", "SELECT video_id, part, platform, sa_left AS x, sa_top AS y, round(greatest(0, 1 - sa_left - sa_right), 6) AS w, round(least(0.14e0, greatest(0, 1 - sa_top - sa_bottom)), 6) AS h FROM variants JOIN limits USING (platform)")
 def g17(spark, sf):
+    """The hook's box on each variant."""
     x, y, w, h = hook_box()
-    return cat.limits(spark).select("platform", x.alias("x"), y.alias("y"), F.round(w, 6).alias("w"), F.round(h, 6).alias("h"))
+    return cat.variants(spark, sf).join(F.broadcast(cat.limits(spark)), "platform").select("video_id", "part", "platform", x.alias("x"), y.alias("y"), F.round(w, 6).alias("w"), F.round(h, 6).alias("h"))
 
 
 @query("g19_mask_timeline")
@@ -198,6 +205,7 @@ def g19(spark, sf):
 
 @query("i03_detect_masks")
 def i03(spark, sf):
-    han = op.tracked(cat.boxes(spark, sf).where(F.col("confidence") >= op.LEAST_CONFIDENCE).withColumn("txt", F.lit("字幕出现")))
+    said = F.element_at(F.array(*[F.lit(x) for x in ("字幕出现", "第二行字", "stop 2ama", "新的一句话")]), (F.col("id") % 4 + 1).cast("int"))
+    han = op.tracked(cat.boxes(spark, sf).where(F.col("confidence") >= op.LEAST_CONFIDENCE).withColumn("txt", said))
     m = op.scored(op.track_measures(han).where(op.gate())).where(F.col("score") > op.SCORE)
     return op.mask_timeline(m).select("video_id", *six(*BOX), "start_s", "end_s", F.round("score", 6).alias("score"), "reasons")

@@ -29,7 +29,13 @@ def d01(spark, sf):
     return op.aligned(cat.cues_dst(spark, sf), cat.cues_src(spark, sf)).select("video_id", "i", "source", "n_source")
 
 
-@query("d02_merge_short")
+@query(
+    "d02_merge_short",
+    "SELECT video_id, arg_min(i, k) AS i, round(arg_min(start_s, k), 6) AS start_s, round(arg_max(end_s, k), 6) AS end_s, trim(string_agg(txt, ' ' ORDER BY k)) AS txt FROM (SELECT * REPLACE (CASE WHEN g = last AND NOT closed AND g > 1 THEN g - 1 ELSE g END AS g) FROM (SELECT *, max(g) OVER w AS last, last_value(shut) OVER (w ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS closed FROM run WINDOW w AS (PARTITION BY video_id))) GROUP BY video_id, g",
+    """c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY start_s, i) AS k FROM cues_src),
+    run AS (SELECT *, CAST(1 AS BIGINT) AS g, start_s AS since, NOT end_s - start_s < 0.9e0 AS shut FROM c WHERE k = 1
+      UNION ALL SELECT video_id, i, start_s, end_s, txt, k, g, since, NOT end_s - since < 0.9e0 FROM (SELECT c.*, CASE WHEN r.shut THEN r.g + 1 ELSE r.g END AS g, CASE WHEN r.shut THEN c.start_s ELSE r.since END AS since FROM run r JOIN c ON c.video_id = r.video_id AND c.k = r.k + 1))""",
+)
 def d02(spark, sf):
     return exploded(cue_arrays(cat.cues_src(spark, sf)).select("video_id", sub.merged_short(F.col("cues"), 0.9).alias("cues")))
 

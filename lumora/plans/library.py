@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from lumora.operators import library as op
+from lumora.operators.order import placed
 from lumora.plans.base import STATUSES, query
 from lumora.sources import catalog as cat
 
@@ -109,9 +110,11 @@ def a20(spark, sf):
     return op.defaults_cleared(cat.presets(spark, sf), 50).select("id", "kind", "is_default")
 
 
-@query("a21_limits_list", "SELECT * FROM limits")
+@query("a21_limits_list", "SELECT limits.*, n FROM limits JOIN (SELECT platform, count(*) AS n FROM variants GROUP BY 1) USING (platform)")
 def a21(spark, sf):
-    return cat.limits(spark).orderBy("platform")
+    """The limits of the platforms that have variants, and how many."""
+    used = cat.variants(spark, sf).groupBy("platform").agg(F.count("*").alias("n"))
+    return used.join(F.broadcast(cat.limits(spark)), "platform").orderBy("platform")  # 5 fixed rows
 
 
 @query("a22_unknown_platforms", "SELECT DISTINCT platform FROM channels WHERE platform NOT IN (SELECT platform FROM limits)")
@@ -132,8 +135,8 @@ def a24(spark, sf):
 
 @query("a25_voice_list", "SELECT id, name, CAST(row_number() OVER (ORDER BY NOT is_default, created_at, id) AS INTEGER) AS place FROM voices")
 def a25(spark, sf):
-    place = F.row_number().over(Window.orderBy(~F.col("is_default"), "created_at", "id"))  # a settings table of few rows
-    return cat.voices(spark, sf).select("id", "name", place.alias("place"))
+    rows = cat.voices(spark, sf).withColumn("other", ~F.col("is_default"))
+    return placed(rows, ["other", "created_at", "id"], F.lit(True)).select("id", "name", (F.col("pos") + 1).cast("int").alias("place"))
 
 
 @query("a26_successor_default", "SELECT arg_min(id, (created_at, id)) AS successor FROM voices WHERE state = 'ready' AND id <> 7")
@@ -195,9 +198,12 @@ def a34(spark, sf):
     return cat.table(spark, sf, "events").select(F.col("event_id").alias("id"), (F.get_json_object("props", "$.k").try_cast("int") > 50).alias("waiting"))
 
 
-@query("b02_local_frame", "SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL)) AS t(id, name)")
+@query("b02_local_frame", "SELECT name, count(c_custkey) AS n FROM (VALUES (1, 'a'), (2, 'b'), (3, NULL), (99, 'none')) AS t(id, name) LEFT JOIN customer ON c_nationkey = id GROUP BY 1")
 def b02(spark, sf):
-    return spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "id int, name string")
+    """Rows of the caller as a frame, counted against a table."""
+    own = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (99, "none")], "id long, name string")
+    rows = F.broadcast(own).join(cat.table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("_n")).agg(F.count("*").alias("n")), F.col("id") == F.col("_n"), "left")
+    return rows.groupBy("name").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
 
 
 @query("b12_page_with_total", "SELECT id, count(*) OVER () AS total FROM videos WHERE NOT deleted ORDER BY created_at DESC, id LIMIT 50")

@@ -202,12 +202,13 @@ def h19(spark, sf):
 
 @query(
     "h20_limit_violations",
-    "SELECT platform, k, array_to_string(list_filter([CASE WHEN title_len - k * 60 <= 0 THEN 'title_len' END, CASE WHEN max_sec - k < 0 THEN 'max_sec' END, CASE WHEN sa_top + k * 0.15e0 >= 0.5e0 THEN 'sa_top' END, CASE WHEN sa_top + k * 0.15e0 + sa_bottom > 0.6e0 THEN 'vertical' END], lambda x: x IS NOT NULL), ',') AS wrong FROM limits, (SELECT CAST(unnest(range(4)) AS INTEGER) AS k)",
+    "SELECT video_id, part, platform, array_to_string(list_filter([CASE WHEN title_len - k * 60 <= 0 THEN 'title_len' END, CASE WHEN max_sec - k < 0 THEN 'max_sec' END, CASE WHEN sa_top + k * 0.15e0 >= 0.5e0 THEN 'sa_top' END, CASE WHEN sa_top + k * 0.15e0 + sa_bottom > 0.6e0 THEN 'vertical' END], lambda x: x IS NOT NULL), ',') AS wrong FROM (SELECT *, CAST(part % 4 AS INTEGER) AS k FROM variants) JOIN limits USING (platform)",
 )
 def h20(spark, sf):
-    rows = cat.limits(spark).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    """The limits of each variant's platform, changed by its part, and what is wrong with them."""
+    rows = cat.variants(spark, sf).withColumn("k", (F.col("part") % 4).cast("int")).join(F.broadcast(cat.limits(spark)), "platform")  # 5 fixed rows
     rows = rows.withColumns({"title_len": F.col("title_len") - F.col("k") * 60, "max_sec": F.col("max_sec") - F.col("k"), "sa_top": F.col("sa_top") + F.col("k") * F.lit(0.15)})
-    return rows.select("platform", "k", F.array_join(op.limit_violations(), ",").alias("wrong"))
+    return rows.select("video_id", "part", "platform", F.array_join(op.limit_violations(), ",").alias("wrong"))
 
 
 @query("h21_config_overlay", "SELECT event_id AS id, event_type AS tone, 'b' || event_id % 3 AS mode, '1' AS kept FROM events")

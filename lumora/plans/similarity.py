@@ -22,10 +22,15 @@ def _frames(spark, sf):
     return e.select(F.col("vec_id").alias("id"), F.transform(sixteen, lambda x, i: F.bround((x.cast("double") + 1) * 100 + i % 37, 0)).alias("gray"))
 
 
-@query("e02_dct_low")
+@query(
+    "e02_dct_low",
+    "SELECT id, CAST(8 * u + v AS INTEGER) AS k, round(sum(s * cos(pi() * (2 * r + 1) * u / 64)), 3) + 0e0 AS coef FROM across, (SELECT unnest(range(8)) AS u) GROUP BY ALL",
+    """gray AS (SELECT vec_id AS id, i, round_even((CAST(embedding[i % len(embedding) + 1] AS DOUBLE) + 1) * 100 + i % 37, 0) AS g FROM embeddings, (SELECT unnest(range(1024)) AS i)),
+    across AS (SELECT id, i // 32 AS r, v, sum(g * cos(pi() * (2 * (i % 32) + 1) * v / 64)) AS s FROM gray, (SELECT unnest(range(8)) AS v) GROUP BY ALL)""",
+)
 def e02(spark, sf):
     c = _frames(spark, sf).select("id", h.dct_low("gray").alias("c"))
-    return c.select("id", F.posexplode("c").alias("k", "v")).select("id", "k", F.round("v", 6).alias("coef"))
+    return c.select("id", F.posexplode("c").alias("k", "v")).select("id", "k", (F.round("v", 3) + F.lit(0.0)).alias("coef"))
 
 
 @query("e03_phash", "SELECT id, phash FROM phash")
@@ -130,7 +135,13 @@ def e10(spark, sf):
     return lines.select("video_id", op.distinct_lines(F.transform("a", lambda x: x["txt"])).alias("n"))
 
 
-@query("e11_reused_frames")
+@query(
+    "e11_reused_frames",
+    "SELECT id, key, reused FROM look",
+    """fr AS MATERIALIZED (SELECT vec_id AS id, vec_id // 20 AS key, row_number() OVER (PARTITION BY vec_id // 20 ORDER BY vec_id) AS n, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 20) AS px FROM embeddings),
+    look AS (SELECT id, key, n, px AS held, false AS reused FROM fr WHERE n = 1
+      UNION ALL SELECT id, key, n, CASE WHEN same THEN held ELSE px END, same FROM (SELECT f.id, f.key, f.n, f.px, l.held, len(f.px) = len(l.held) AND list_avg(list_transform(range(1, len(f.px) + 1), lambda i: abs(f.px[i] - l.held[i]))) < 3 AS same FROM look l JOIN fr f ON f.key = l.key AND f.n = l.n + 1))""",
+)
 def e11(spark, sf):
     e = cat.table(spark, sf, "embeddings")
     rows = e.select(F.floor(F.col("vec_id") / 20).alias("key"), F.col("vec_id").alias("place"), F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double") * 20).alias("pixels"))
