@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lumora.plans import (  # noqa: F401  importing registers
+    beyond,
     boxes,
     composites,
     intervals,
