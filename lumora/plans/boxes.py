@@ -51,7 +51,16 @@ def _tracks(spark, sf):
     return op.tracked(cat.boxes(spark, sf).where(F.col("confidence") >= op.LEAST_CONFIDENCE))
 
 
-@query("g04_track_boxes")
+@query(
+    "g04_track_boxes",
+    "SELECT video_id, id, CAST(t AS BIGINT) - 1 AS track FROM go",
+    """b AS MATERIALIZED (SELECT video_id, id, row_number() OVER (PARTITION BY video_id ORDER BY time, y, x, id) AS n, {'l': x, 't': y, 'r': x + w, 'b': y + h} AS p FROM boxes WHERE confidence >= 0.45e0),
+    go AS (SELECT video_id, id, n, 1 AS t, [{'last': p, 'lo': p.t, 'hi': p.b, 'tall': (p.b - p.t) * 1.8e0}] AS ts FROM b WHERE n = 1
+      UNION ALL SELECT video_id, id, n, coalesce(t, len(ts) + 1), CASE WHEN t IS NULL THEN list_append(ts, {'last': p, 'lo': p.t, 'hi': p.b, 'tall': (p.b - p.t) * 1.8e0})
+          ELSE list_transform(range(1, len(ts) + 1), lambda i: CASE WHEN i = t THEN {'last': p, 'lo': least(ts[i].lo, p.t), 'hi': greatest(ts[i].hi, p.b), 'tall': ts[i].tall} ELSE ts[i] END) END
+      FROM (SELECT video_id, id, n, p, ts, list_min(list_filter(range(1, len(ts) + 1), lambda i: shared[i] > 0 AND shared[i] / ((ts[i].last.r - ts[i].last.l) * (ts[i].last.b - ts[i].last.t) + (p.r - p.l) * (p.b - p.t) - shared[i]) >= 0.45e0 AND greatest(ts[i].hi, p.b) - least(ts[i].lo, p.t) <= ts[i].tall)) AS t
+        FROM (SELECT b.video_id, b.id, b.n, b.p, g.ts, list_transform(g.ts, lambda s: greatest(0, least(s.last.r, b.p.r) - greatest(s.last.l, b.p.l)) * greatest(0, least(s.last.b, b.p.b) - greatest(s.last.t, b.p.t))) AS shared FROM go g JOIN b ON b.video_id = g.video_id AND b.n = g.n + 1)))""",
+)
 def g04(spark, sf):
     return _tracks(spark, sf).select("video_id", "id", "track")
 

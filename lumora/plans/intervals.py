@@ -50,7 +50,17 @@ def d04(spark, sf):
     return exploded(cue_arrays(cat.cues_src(spark, sf)).select("video_id", sub.split_long(12, 1, 0.5)("cues").alias("cues")))
 
 
-@query("d05_pack_words")
+@query(
+    "d05_pack_words",
+    "SELECT conv_id, turn, CAST(g AS BIGINT) AS k, string_agg(w, ' ' ORDER BY k) AS piece FROM run GROUP BY conv_id, turn, g UNION ALL SELECT conv_id, turn, CAST(0 AS BIGINT), txt FROM t WHERE NOT cut",
+    """t AS MATERIALIZED (SELECT *, length(txt) * 1e0 / wanted AS aim, length(txt) > 84 AND wanted > 1 AS cut, string_split(txt, ' ') AS ws FROM (SELECT *, least(CAST(ceil(length(txt) / 84e0) AS BIGINT), 833) AS wanted FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS txt FROM conversations))),
+    w AS MATERIALIZED (SELECT conv_id, turn, aim, greatest(84e0, aim) AS top, unnest(ws) AS w, unnest(range(len(ws))) AS k FROM t WHERE cut),
+    m AS MATERIALIZED (SELECT *, length(w) AS n, regexp_matches(w, '[。.！!？?；;，,、]$') AS stop FROM w),
+    run AS (SELECT conv_id, turn, k, w, 0 AS g, n AS size, n >= aim OR (stop AND n >= aim * 0.6e0) AS shut FROM m WHERE k = 0
+      UNION ALL SELECT conv_id, turn, k, w, g, size, size >= aim OR (stop AND size >= aim * 0.6e0) FROM (
+        SELECT m.*, CASE WHEN r.shut OR r.size + 1 + m.n > m.top THEN r.g + 1 ELSE r.g END AS g, CASE WHEN r.shut OR r.size + 1 + m.n > m.top THEN m.n ELSE r.size + 1 + m.n END AS size
+        FROM run r JOIN m ON m.conv_id = r.conv_id AND m.turn = r.turn AND m.k = r.k + 1))""",
+)
 def d05(spark, sf):
     rows = cat.table(spark, sf, "conversations").select("conv_id", "turn", sub.cue(F.col("turn"), F.lit(0.0), F.lit(1000.0), sub.squeezed(F.col("text"))).alias("c"))
     cut = rows.select("conv_id", "turn", F.explode(sub.split_long(42, 2, 1.2)(F.array("c"))).alias("p"))
