@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm.common import checkpointed, read, text_batches
+from lumora.llm.common import checkpointed, read, sliced, text_batches
 from lumora.llm.graph import components
 
 
@@ -170,9 +171,10 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float
 
     Groups of copies are joined first: in ROUNDS rounds each set meets one set drawn at random of every segment value
     that it shares, which for a large group is mostly one of its own, so k copies cost some k pairs a segment. Then only
-    pairs of sets that are still apart are looked for, all of them: under a key with more than HOT sets, those outside the
-    key's largest part meet all others; under other keys all sets meet. So no pair is left out, and none within
-    a part costs a row.
+    pairs of sets that are still apart are looked for, all of them. Under a key with more than HOT sets, mostly edited copies of one
+    text that are too far apart to link, sets meet by their rarest shingles instead (``rare``): of two similar sets
+    each has one of the other's among them, and what edits have left in one set alone joins nothing. So no pair is left
+    out, and none within a part costs a row.
     """
     rows_in = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     k, m = segments_for(rows_in.count(), least, miss)
@@ -225,14 +227,10 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float
             near = np.array([q >= least * (len(s) + len(t) - q) - 1e-9 for q, s, t in zip(both, x, y)], bool)
             yield p.loc[near, ["a", "b"]]
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of vertices that are similar; only texts of vertices in a pair are read again."""
-        pairs = checkpointed(pairs.distinct())
-        ends = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
+    def sets_of(ends: DataFrame) -> DataFrame:
+        """(v, s): the sets of the vertices ``ends`` (v, once each); only texts of these are read again."""
         reps = checkpointed(vertices.join(ends, "v", "left_semi").select(F.col("rep").alias("doc_id")).distinct())
-        if not (n := reps.count()):
-            return pairs
-        bits = min(FILTER_BITS, max(64, 1 << (16 * n).bit_length()))
+        bits = min(FILTER_BITS, max(64, 1 << (16 * reps.count()).bit_length()))
         at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
         marks = np.zeros(bits // 8, np.uint8)
         # one row per 8,192 places of the filter that hold an id
@@ -241,10 +239,34 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float
             p = np.array(r["p"], np.int64) + r["k"] * 8192
             np.bitwise_or.at(marks, p >> 3, np.left_shift(1, p & 7).astype(np.uint8))
         texts = rows_in.where("doc_id IS NOT NULL").select(at.alias("at"), "text").mapInPandas(contents(marks), "v long, s binary")
-        sets = checkpointed(texts.join(ends, "v", "left_semi").groupBy("v").agg(F.first("s").alias("s")))
+        return checkpointed(texts.join(ends, "v", "left_semi").groupBy("v").agg(F.first("s").alias("s")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of vertices that are similar."""
+        pairs = checkpointed(pairs.distinct())
+        if pairs.isEmpty():
+            return pairs
+        sets = sets_of(pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct())
         both = pairs.join(sets.select(F.col("v").alias("b"), F.col("s").alias("s_b")), "b").join(sets.select(F.col("v").alias("a"), F.col("s").alias("s_a")), "a")
         return checkpointed(both.mapInPandas(similar, "a long, b long"))
 
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in sliced(whole, "s"):
+                own = [np.frombuffer(x, np.int64) for x in b.column("s").to_pylist()]
+                v = np.repeat(b.column("v").to_numpy(), [len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(np.concatenate(own))], ["v", "x"])
+
+    def rare(members: DataFrame) -> DataFrame:
+        """(x, and the columns of ``members``): of each set its rarest shingles among the members' sets, so many that two similar sets
+        share one of them: n - least n + 1, shingles of a single set included, which no two share."""
+        every = sets_of(members.select("v")).mapInArrow(spread, "v long, x long")
+        counts = every.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
+        common = every.join(counts, "x").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("xs"))
+        asked_for = (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int") - (F.col("n") - F.size("xs"))
+        found = members.join(common, "v").withColumn("xs", F.slice("xs", F.lit(1), F.greatest(asked_for, F.lit(0))))
+        return found.select(F.explode("xs").alias("_x"), *members.columns).select(F.col("_x.x").alias("x"), *members.columns)
+
     def met(asked: DataFrame, filed: DataFrame, *more: Column) -> DataFrame:
         on = (F.col("key") == F.col("tkey")) & fits
         for c in more:
@@ -280,15 +302,12 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float
         small = F.broadcast if n_hot <= 1 << 20 else lambda x: x
         at_hot = lambda side, key, how: side.join(small(hot), F.col(key) == F.col("hkey"), how)
         rest = met(at_hot(asked, "key", "left_anti"), at_hot(filed, "tkey", "left_anti"), other)
-        filed, asked = checkpointed(at_hot(filed, "tkey", "left_semi")), at_hot(asked, "key", "left_semi")
-        sizes = filed.groupBy("tkey", "tpart").agg(F.count("*").alias("c"))
-        main = small(checkpointed(sizes.groupBy(F.col("tkey").alias("mkey")).agg(F.max_by("tpart", F.struct("c", "tpart")).alias("main"))))
-        others_filed = checkpointed(filed.join(main, F.col("tkey") == F.col("mkey")).where("tpart <> main").drop("mkey", "main"))
-        with_main = asked.join(main, F.col("key") == F.col("mkey"))
-        # of the largest parts' sets only those look that share a key with others
-        shared = small(others_filed.select(F.col("tkey").alias("okey")).distinct())
-        mains = with_main.where("part = main").join(shared, F.col("key") == F.col("okey"), "left_semi").drop("mkey", "main")
-        rest = rest.union(met(with_main.where("part <> main").drop("mkey", "main"), filed, other)).union(met(mains, others_filed))
+        # under these keys the sets' rarest shingles tell them apart
+        crowd = at_hot(filed, "tkey", "left_semi").select(F.col("tv").alias("v")).union(at_hot(asked, "key", "left_semi").select("v")).distinct()
+        known = worded.join(crowd, "v", "left_semi").join(part.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v"), "left")
+        keyed = checkpointed(rare(checkpointed(known.select("v", "n", "c0", "c1", F.coalesce("component", "v").alias("part")))))
+        there = keyed.select(F.col("x").alias("tx"), F.col("v").alias("tv"), F.col("n").alias("tn"), F.col("c0").alias("t0"), F.col("c1").alias("t1"), F.col("part").alias("tpart"))
+        rest = rest.union(keyed.join(there, (F.col("x") == F.col("tx")) & fits & other).select(F.col("tv").alias("a"), F.col("v").alias("b")))
     links = links.union(verified(rest))
     whole = components(links)
     least_id = vertices.join(whole.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v"), "left").select("v", "rep", F.coalesce("component", "v").alias("part"))
