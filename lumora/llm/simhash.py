@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -108,8 +109,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Sets filed under one key beyond which not all of them meet, and rounds in which groups of copies are joined before.
 HOT, ROUNDS = 1024, 2
 #: Bits beside the segments by which pairs are ruled out before their texts are read, and how many of them may differ: pairs
-#: at 0.8 differ in 19 of them on average, and in more than 40 once in ten million.
-CHECK_BITS, CHECK_DISTANCE = 128, 40
+#: at 0.8 differ in 39 of them on average, and in more than 64 some five times in a million.
+CHECK_BITS, CHECK_DISTANCE = 256, 64
+#: Columns of these bits, of a set and of another.
+CHECKS, OTHERS = ("c0", "c1", "c2", "c3"), ("t0", "t1", "t2", "t3")
 #: Most bits of the filter that spares texts in no pair; with more ids it lets more texts through, and loses none.
 FILTER_BITS = 1 << 25
 
@@ -171,10 +174,10 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float
 
     Groups of copies are joined first: in ROUNDS rounds each set meets one set drawn at random of every segment value
     that it shares, which for a large group is mostly one of its own, so k copies cost some k pairs a segment. Then only
-    pairs of sets that are still apart are looked for, all of them. Under a key with more than HOT sets, mostly edited copies of one
-    text that are too far apart to link, sets meet by their rarest shingles instead (``rare``): of two similar sets
-    each has one of the other's among them, and what edits have left in one set alone joins nothing. So no pair is left
-    out, and none within a part costs a row.
+    pairs of sets that are still apart are looked for, all of them: under a key with more than HOT sets, those outside the
+    key's largest part meet all others; under other keys all sets meet. So no pair is left out, and none within
+    a part costs a row. Of these pairs, mostly edited copies of one text that are too far apart to link, only those that
+    share a rare shingle have their sets fetched (``verified``).
     """
     rows_in = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     k, m = segments_for(rows_in.count(), least, miss)
@@ -188,10 +191,10 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float
             prints = np.array([long_fingerprint(s, m * k + CHECK_BITS) for s in sets]).reshape(len(sets), m * k + CHECK_BITS)
             values = prints[:, : m * k].reshape(-1, m, k) @ powers
             check = np.packbits(prints[:, m * k :], axis=1).view(np.int64)
-            yield pd.DataFrame({"doc_id": t["doc_id"], "v": signed([name(s) for s in sets]), "n": [len(s) for s in sets], "values": list(values), "c0": check[:, 0], "c1": check[:, 1]})
+            yield pd.DataFrame({"doc_id": t["doc_id"], "v": signed([name(s) for s in sets]), "n": [len(s) for s in sets], "values": list(values), **{c: check[:, i] for i, c in enumerate(CHECKS)}})
 
-    rows = checkpointed(rows_in.mapInPandas(signatures, "doc_id long, v long, n int, values array<long>, c0 long, c1 long"))
-    same_set = [F.first(c).alias(c) for c in ("n", "values", "c0", "c1")]
+    rows = checkpointed(rows_in.mapInPandas(signatures, f"doc_id long, v long, n int, values array<long>, {', '.join(f'{c} long' for c in CHECKS)}"))
+    same_set = [F.first(c).alias(c) for c in ("n", "values", *CHECKS)]
     vertices = checkpointed(rows.where("doc_id IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("rep"), *same_set))
     worded = vertices.where("n > 0").withColumn("size", F.floor(F.log("n") / F.lit(-math.log(least) if least < 1 else 1.0) + 1e-9))
     keys = F.transform("values", lambda x, i: F.shiftleft((F.col("size") * m + i).cast("long"), k) + x)
@@ -201,13 +204,15 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float
         """(tables, probes) of the sets with their parts. A set is filed under its own size and the next; the larger one of a
         pair looks for the smaller."""
         known = worded.join(part.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v"), "left").withColumn("part", F.coalesce("component", "v"))
-        cells = known.select("v", "n", "c0", "c1", "part", F.explode(keys).alias("key"))
+        cells = known.select("v", "n", *CHECKS, "part", F.explode(keys).alias("key"))
         twice = F.explode(F.array(F.col("key"), F.col("key") + (m << k)))
-        tables = cells.select(F.col("v").alias("tv"), F.col("n").alias("tn"), F.col("c0").alias("t0"), F.col("c1").alias("t1"), F.col("part").alias("tpart"), twice.alias("tkey"))
-        return tables, cells.withColumn("x", F.explode(ball)).select(F.col("key").bitwiseXOR(F.col("x")).alias("key"), "v", "n", "c0", "c1", "part")
+        tables = cells.select(F.col("v").alias("tv"), F.col("n").alias("tn"), *[F.col(c).alias(t) for c, t in zip(CHECKS, OTHERS)], F.col("part").alias("tpart"), twice.alias("tkey"))
+        return tables, cells.withColumn("x", F.explode(ball)).select(F.col("key").bitwiseXOR(F.col("x")).alias("key"), "v", "n", *CHECKS, "part")
 
-    apart = F.bit_count(F.col("c0").bitwiseXOR(F.col("t0"))) + F.bit_count(F.col("c1").bitwiseXOR(F.col("t1")))
-    fits = (F.col("tn") >= least * F.col("n") - 1e-9) & ((F.col("tn") < F.col("n")) | ((F.col("tn") == F.col("n")) & (F.col("tv") < F.col("v")))) & (apart <= CHECK_DISTANCE)
+    apart = reduce(Column.__add__, [F.bit_count(F.col(c).bitwiseXOR(F.col(t))) for c, t in zip(CHECKS, OTHERS)])
+    # the smaller set of a pair, of equal ones that with the smaller name, is the other one
+    alike = (F.col("tn") >= least * F.col("n") - 1e-9) & ((F.col("tn") < F.col("n")) | ((F.col("tn") == F.col("n")) & (F.col("tv") < F.col("v"))))
+    fits = alike & (apart <= CHECK_DISTANCE)
 
     def contents(marks: np.ndarray):
         """The sets of the texts whose ids are marked: (v, s)."""
@@ -241,15 +246,6 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float
         texts = rows_in.where("doc_id IS NOT NULL").select(at.alias("at"), "text").mapInPandas(contents(marks), "v long, s binary")
         return checkpointed(texts.join(ends, "v", "left_semi").groupBy("v").agg(F.first("s").alias("s")))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of vertices that are similar."""
-        pairs = checkpointed(pairs.distinct())
-        if pairs.isEmpty():
-            return pairs
-        sets = sets_of(pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct())
-        both = pairs.join(sets.select(F.col("v").alias("b"), F.col("s").alias("s_b")), "b").join(sets.select(F.col("v").alias("a"), F.col("s").alias("s_a")), "a")
-        return checkpointed(both.mapInPandas(similar, "a long, b long"))
-
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in sliced(whole, "s"):
@@ -257,16 +253,34 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float
                 v = np.repeat(b.column("v").to_numpy(), [len(x) for x in own])
                 yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(np.concatenate(own))], ["v", "x"])
 
-    def rare(members: DataFrame) -> DataFrame:
-        """(x, and the columns of ``members``): of each set its rarest shingles among the members' sets, so many that two similar sets
-        share one of them: n - least n + 1, shingles of a single set included, which no two share."""
-        every = sets_of(members.select("v")).mapInArrow(spread, "v long, x long")
+    def rare(members: DataFrame, sets: DataFrame) -> DataFrame:
+        """(x, and the columns) of ``members`` (v, n): of each set its rarest shingles among ``sets`` (v, s), so many that two similar
+        sets share one of them: n - least n + 1, shingles of a single set included, which no two share."""
+        every = sets.mapInArrow(spread, "v long, x long")
         counts = every.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
         common = every.join(counts, "x").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("xs"))
         asked_for = (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int") - (F.col("n") - F.size("xs"))
         found = members.join(common, "v").withColumn("xs", F.slice("xs", F.lit(1), F.greatest(asked_for, F.lit(0))))
         return found.select(F.explode("xs").alias("_x"), *members.columns).select(F.col("_x.x").alias("x"), *members.columns)
 
+    def verified(pairs: DataFrame, part: DataFrame | None = None) -> DataFrame:
+        """The pairs (a, b) of vertices that are similar. With the sets' parts, where pairs may be many, only those are compared that
+        share one of their rarest shingles: edited copies of one text that are too far apart to link have
+        their rarest shingles from the edits, and no two share them."""
+        pairs = checkpointed(pairs.distinct())
+        if pairs.isEmpty():
+            return pairs
+        ends = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
+        sets = sets_of(ends)
+        if part is not None:
+            known = worded.join(ends, "v", "left_semi").join(part.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v"), "left")
+            keyed = checkpointed(rare(known.select("v", "n", F.coalesce("component", "v").alias("part")), sets))
+            there = keyed.select(F.col("x").alias("tx"), F.col("v").alias("tv"), F.col("n").alias("tn"), F.col("part").alias("tpart"))
+            share = keyed.join(there, (F.col("x") == F.col("tx")) & (F.col("part") != F.col("tpart")) & alike).select(F.col("tv").alias("a"), F.col("v").alias("b")).distinct()
+            pairs = pairs.join(share, ["a", "b"], "left_semi")
+        both = pairs.join(sets.select(F.col("v").alias("b"), F.col("s").alias("s_b")), "b").join(sets.select(F.col("v").alias("a"), F.col("s").alias("s_a")), "a")
+        return checkpointed(both.mapInPandas(similar, "a long, b long"))
+
     def met(asked: DataFrame, filed: DataFrame, *more: Column) -> DataFrame:
         on = (F.col("key") == F.col("tkey")) & fits
         for c in more:
@@ -280,11 +294,11 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float
     def drawn(members: DataFrame, number: int) -> DataFrame:
         """Pairs of each member of a key with the one drawn for the key, if they are in different parts and fit; two a member at
         most, as the search that follows finds what is still apart."""
-        one = F.min_by(F.struct("tv", "tn", "t0", "t1", "tpart"), F.xxhash64("tv", F.lit(number)))
+        one = F.min_by(F.struct("tv", "tn", *OTHERS, "tpart"), F.xxhash64("tv", F.lit(number)))
         hubs = members.groupBy(F.col("tkey").alias("key")).agg(one.alias("h"), F.count("*").alias("c")).where("c > 1")
-        hubs = hubs.select("key", F.col("h.tv").alias("v"), F.col("h.tn").alias("n"), F.col("h.t0").alias("c0"), F.col("h.t1").alias("c1"), F.col("h.tpart").alias("part"))
-        alike = (F.least("n", "tn") >= least * F.greatest("n", "tn") - 1e-9) & (apart <= CHECK_DISTANCE)
-        pairs = members.join(hubs, (F.col("key") == F.col("tkey")) & (F.col("part") != F.col("tpart")) & alike)
+        hubs = hubs.select("key", F.col("h.tv").alias("v"), F.col("h.tn").alias("n"), *[F.col(f"h.{t}").alias(c) for c, t in zip(CHECKS, OTHERS)], F.col("h.tpart").alias("part"))
+        near = (F.least("n", "tn") >= least * F.greatest("n", "tn") - 1e-9) & (apart <= CHECK_DISTANCE)
+        pairs = members.join(hubs, (F.col("key") == F.col("tkey")) & (F.col("part") != F.col("tpart")) & near)
         few = pairs.groupBy("tv").agg(F.array_distinct(F.array(F.min("v"), F.max("v"))).alias("two")).select("tv", F.explode("two").alias("v"))
         return few.select(F.least("v", "tv").alias("a"), F.greatest("v", "tv").alias("b"))
 
@@ -302,13 +316,16 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float
         small = F.broadcast if n_hot <= 1 << 20 else lambda x: x
         at_hot = lambda side, key, how: side.join(small(hot), F.col(key) == F.col("hkey"), how)
         rest = met(at_hot(asked, "key", "left_anti"), at_hot(filed, "tkey", "left_anti"), other)
-        # under these keys the sets' rarest shingles tell them apart
-        crowd = at_hot(filed, "tkey", "left_semi").select(F.col("tv").alias("v")).union(at_hot(asked, "key", "left_semi").select("v")).distinct()
-        known = worded.join(crowd, "v", "left_semi").join(part.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v"), "left")
-        keyed = checkpointed(rare(checkpointed(known.select("v", "n", "c0", "c1", F.coalesce("component", "v").alias("part")))))
-        there = keyed.select(F.col("x").alias("tx"), F.col("v").alias("tv"), F.col("n").alias("tn"), F.col("c0").alias("t0"), F.col("c1").alias("t1"), F.col("part").alias("tpart"))
-        rest = rest.union(keyed.join(there, (F.col("x") == F.col("tx")) & fits & other).select(F.col("tv").alias("a"), F.col("v").alias("b")))
-    links = links.union(verified(rest))
+        filed, asked = checkpointed(at_hot(filed, "tkey", "left_semi")), at_hot(asked, "key", "left_semi")
+        sizes = filed.groupBy("tkey", "tpart").agg(F.count("*").alias("c"))
+        main = small(checkpointed(sizes.groupBy(F.col("tkey").alias("mkey")).agg(F.max_by("tpart", F.struct("c", "tpart")).alias("main"))))
+        others_filed = checkpointed(filed.join(main, F.col("tkey") == F.col("mkey")).where("tpart <> main").drop("mkey", "main"))
+        with_main = asked.join(main, F.col("key") == F.col("mkey"))
+        # of the largest parts' sets only those look that share a key with others
+        shared = small(others_filed.select(F.col("tkey").alias("okey")).distinct())
+        mains = with_main.where("part = main").join(shared, F.col("key") == F.col("okey"), "left_semi").drop("mkey", "main")
+        rest = rest.union(met(with_main.where("part <> main").drop("mkey", "main"), filed, other)).union(met(mains, others_filed))
+    links = links.union(verified(rest, part))
     whole = components(links)
     least_id = vertices.join(whole.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v"), "left").select("v", "rep", F.coalesce("component", "v").alias("part"))
     lowest = least_id.groupBy("part").agg(F.min("rep").alias("component_id"))
