@@ -160,3 +160,16 @@ ASS_HEAD = (
 def b09(spark, sf):
     """Each video's subtitles as an ASS document for 720 by 1280 within the first platform's margins."""
     return cue_arrays(cat.cues_src(spark, sf)).select("video_id", sub.ass_document(F.col("cues"), 720, 1280, F.lit(0.05), F.lit(0.18)).alias("doc"))
+
+
+@query(
+    "b09b_ass_files",
+    f"SELECT CAST(video_id AS VARCHAR) AS name, '{ASS_HEAD}' || string_agg('Dialogue: 0,' || {ass_sql('ca')} || ',' || {ass_sql('cb')} || ',Default,,0,0,0,,' || replace(replace(replace(txt, '{{', '('), '}}', ')'), chr(10), '\\N') || chr(10), '' ORDER BY k) AS content FROM st GROUP BY 1",
+    STAMPED,
+)
+def b09b(spark, sf):
+    """The ASS documents written as files twice, which leaves those of the first time alone, and read back."""
+    at, rows = fresh(spark).removeprefix("file:"), b09(spark, sf).select(F.col("video_id").alias("name"), F.col("doc").alias("content"))
+    files.write_files(rows, at, ".ass")
+    files.write_files(rows, at, ".ass", mode="append")  # this mode refuses to change a file
+    return files.read_files(spark, at, ".ass")
