@@ -204,22 +204,28 @@ def originals(videos: DataFrame, window: int = 500, distance: int = 20, length:
     return out.select("id", F.coalesce("same", "_l.id").alias("original"), reason.alias("reason"))
 
 
+#: Buckets of characters by which the share that two lines can match is bounded.
+BUCKETS = 64
+
+
 def distinct_count(lines: list[str], same: float = 0.75) -> int:
     """Number of different lines, those within ``same`` of an earlier leader by matching blocks aside; blank ones too.
 
-    The first line left leads, and all within reach of it leave with it; so each pair is looked at once, after the
-    bounds on its ratio that cost less.
+    The first line left leads, and all within reach of it leave with it. What two lines match is at most what their
+    characters have in common; that bound, from counts in BUCKETS, is computed for all lines left at once, and
+    only lines that it lets through are matched.
     """
-    left = [x for x in dict.fromkeys(" ".join(x.split()) for x in lines) if x]
-    n, m = 0, SequenceMatcher()
-    while left:
-        m.set_seq2(left[0])
-
-        def apart(line: str) -> bool:
-            m.set_seq1(line)
-            return m.real_quick_ratio() < same or m.quick_ratio() < same or m.ratio() < same
-
-        left, n = [x for x in left[1:] if apart(x)], n + 1
+    texts = [x for x in dict.fromkeys(" ".join(x.split()) for x in lines) if x]
+    counts = np.array([np.bincount(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) % BUCKETS, minlength=BUCKETS) for x in texts], np.int32).reshape(-1, BUCKETS)
+    sizes, left, n, m = counts.sum(1), np.arange(len(texts)), 0, SequenceMatcher()
+    while len(left):
+        lead, left, n = left[0], left[1:], n + 1
+        near = 2 * np.minimum(counts[left], counts[lead]).sum(1) >= same * (sizes[left] + sizes[lead]) - 1e-9
+        m.set_seq2(texts[lead])
+        for k in np.flatnonzero(near):
+            m.set_seq1(texts[left[k]])
+            near[k] = m.quick_ratio() >= same and m.ratio() >= same
+        left = left[~near]
     return n
 
 

@@ -200,6 +200,26 @@ def test_perceptual_hash(spark):
     assert h[1] == h[2] and len(h[1]) == 16
 
 
+def test_distinct_lines_against_every_leader():
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(1)
+    for _ in range(60):
+        base = ["".join(rng.choice("abcdeé漢 ") for _ in range(rng.randrange(20))) for _ in range(6)]
+        lines = []
+        for _ in range(rng.randrange(25)):
+            t = list(rng.choice(base))
+            for _ in range(rng.randrange(3) if t else 0):
+                t[rng.randrange(len(t))] = rng.choice("abz")
+            lines.append("".join(t))
+        leaders = []
+        for x in dict.fromkeys(" ".join(x.split()) for x in lines):
+            if x and all(SequenceMatcher(None, x, y).ratio() < 0.75 for y in leaders):
+                leaders.append(x)
+        assert similarity.distinct_count(lines) == len(leaders)
+
+
 def test_distinct_lines():
     assert similarity.distinct_count(["Xin chào các bạn", "Xin chao các bạn", "tạm biệt", " "]) == 2
 
