@@ -626,6 +626,12 @@ def test_mix_of_odd_tables(spark):
     assert [r["taken"] for r in mixing.mixed(mixing.sized(documents(spark, [None, ""]))).collect()] == [0, 0]
 
 
+def test_repeated_rows_fill_batches_without_gaps(spark):
+    rows = [(7, 10)] * 3000 + [(None, 10)] * 500 + [(8, 3)]
+    got = packing.packed(spark.createDataFrame(rows, "doc_id long, n_tokens long"), buckets=1, budget=100).collect()
+    assert len(got) == 3501 and sorted((r["batch"], r["slot"]) for r in got) == [(k // 10, k % 10) for k in range(3501)]
+
+
 def plain_padding(lengths, ends):
     return sum(next(e for e in ends if e >= n) - n for n in lengths)
 
