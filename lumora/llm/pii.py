@@ -354,24 +354,26 @@ def described(spans: list[Span]) -> str:
 
 
 def detected(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): doc_id, numbers of spans by kind, base_sha256, spans.
+    """Per row of ``docs`` (doc_id, text): doc_id, numbers of the patterns' spans by kind, base_sha256, spans.
 
-    The numbers and ``spans`` count the patterns' and the tagger's spans. Null is an empty text; its lists are
-    empty. Each text is read whole, in one pass without a shuffle; the tagger is some 40 kB.
+    The numbers and ``base_sha256`` are of the patterns' spans alone, which no model changes; ``spans`` has the tagger's
+    besides. Null is an empty text; its lists are empty. Each text is read whole, in one pass without a shuffle, and
+    ids never leave Spark; the tagger is some 40 kB.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tagger)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = find([t or "" for t in b["text"]], shared.value)
-            out = {f"n_{kind}": [sum(s[0] == k for s in every) for _, every in found] for k, kind in enumerate(KINDS)}
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            found = find([t or "" for t in texts], shared.value)
+            out = {f"n_{kind}": [sum(s[0] == k for s in base) for base, _ in found] for k, kind in enumerate(KINDS)}
             out["base_sha256"] = [hashlib.sha256(described(base).encode()).hexdigest() for base, _ in found]
             out["spans"] = [described(every) for _, every in found]
-            yield pd.DataFrame({"doc_id": b["doc_id"].to_numpy(), **out})
+            yield pd.DataFrame(out)
 
-    counts = ", ".join(f"n_{k} long" for k in KINDS)
-    rows = text_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInPandas(run, f"doc_id long, {counts}, base_sha256 string, spans string")
+    names = [*(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+    look = F.pandas_udf(run, ", ".join(f"{c} {'long' if c[:2] == 'n_' else 'string'}" for c in names)).asNondeterministic()  # else a filter on its result runs it again
+    rows = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), look(F.col("text").cast("string")).alias("_f"))
+    return rows.select("doc_id", *[F.col("_f")[c].alias(c) for c in names])
 
 
 def redact(text: str, spans: list[Span]) -> str:

@@ -1,5 +1,6 @@
 """Language ID, PII, licenses, URLs, HTML, mixing, packing, and the pipeline's stages."""
 
+import hashlib
 import random
 import re
 
@@ -282,6 +283,15 @@ def test_pii_of_odd_texts(spark):
     assert pii.redact("a@b.co 1", [(0, 0, 6), (3, 4, 8)]) == "<EMAIL>"
 
 
+def test_counts_are_of_the_patterns_spans(spark, monkeypatch):
+    text, big = "write to a@b.co or jane [at] example [dot] org", (1 << 60) + 1
+    monkeypatch.setattr(pii, "find", lambda texts, tagger: [([(0, 9, 15)], [(0, 9, 15), (0, 19, 46)]) for _ in texts])
+    got = pii.detected(spark.createDataFrame([(big, text), (None, text)], "doc_id long, text string"), None).collect()
+    assert {r["doc_id"] for r in got} == {big, None}
+    assert all(r["n_email"] == 1 and r["n_ip"] == r["n_card"] == r["n_phone"] == 0 for r in got)
+    assert all(r["spans"] == "email:9:15,email:19:46" and r["base_sha256"] == hashlib.sha256(b"email:9:15").hexdigest() for r in got)
+
+
 # licenses and URLs
 
 
