@@ -56,11 +56,17 @@ def segments_for(words: int, distance: int) -> list[Segment]:
     return out
 
 
-def _hashes(rows: DataFrame, id_name: str, length: int) -> DataFrame:
-    """(id, words) of the valid hashes of ``length`` hex digits; leading zeros fill the first word."""
+def _hashes(rows: DataFrame, id_name: str, length: int, stride: int) -> DataFrame:
+    """(id, words) of the valid hashes of ``length`` hex digits; leading zeros fill the first word.
+
+    Digits are dealt out anew, every ``stride``-th after the other, in all hashes alike: that changes no distance, and a
+    stretch of digits that many hashes share (a blank end) falls to all segments a little and to none as a whole.
+    """
     good = (F.length("phash") == length) & F.col("phash").rlike("^[0-9a-fA-F]+$")
     n = -(-length // 16)
-    return rows.where(good).select(F.col("id").alias(id_name), words_of_hex(F.lpad("phash", 16 * n, "0"), n).alias("words"))
+    dealt = sorted(range(16 * n), key=lambda k: (k % stride, k))
+    digits = F.lpad("phash", 16 * n, "0")
+    return rows.where(good).select(F.col("id").alias(id_name), words_of_hex(F.concat(*[F.substr(digits, F.lit(k + 1), F.lit(1)) for k in dealt]), n).alias("words"))
 
 
 def similar_pairs(probes: DataFrame, candidates: DataFrame, distance: int, length: int, broadcast_candidates: bool = False) -> DataFrame:
@@ -81,14 +87,15 @@ def similar_pairs(probes: DataFrame, candidates: DataFrame, distance: int, lengt
         """One (segment, key, bits that a look-up flips) for each segment."""
         return F.explode(F.array(*[F.struct(F.lit(k).alias("seg"), value(words, s).alias("key"), F.lit(s.width * s.radius).alias("bits")) for k, s in enumerate(cuts)]))
 
-    a, b = _hashes(probes, "id", length), _hashes(candidates, "other", length)
+    a, b = _hashes(probes, "id", length, len(cuts)), _hashes(candidates, "other", length, len(cuts))
     asked = a.select("id", F.col("words").alias("wa"), parts("words").alias("k")).select("id", "wa", "k.*", F.explode(F.sequence(F.lit(-1), F.col("k.bits") - 1)).alias("flip"))
     asked = asked.select("id", "wa", "seg", F.expr("CASE WHEN flip < 0 THEN key ELSE key ^ shiftleft(1L, flip) END").alias("key")).alias("a")
     filed = b.select("other", F.col("words").alias("wb"), parts("words").alias("k")).select("other", "wb", F.col("k.seg").alias("seg_b"), F.col("k.key").alias("key_b"))
     d = reduce(Column.__add__, [F.bit_count(F.get("wa", F.lit(w)).bitwiseXOR(F.get("wb", F.lit(w)))) for w in range(-(-length // 16))])
     first = F.coalesce(*[F.when(F.bit_count(value("wa", s).bitwiseXOR(value("wb", s))) <= s.radius, F.lit(k)) for k, s in enumerate(cuts)])
     met = (F.col("seg") == F.col("seg_b")) & (F.col("key") == F.col("key_b")) & (F.col("id") != F.col("other")) & (d <= distance)
-    pairs = asked.join(F.broadcast(filed) if broadcast_candidates else filed, met)
+    # Spark takes what is exploded for as small as its hashes, and would broadcast the look-ups
+    pairs = asked.join(F.broadcast(filed), met) if broadcast_candidates else asked.hint("merge").join(filed.hint("merge"), met)
     return pairs.where(F.col("seg") == first).select("id", "other", d.cast("int").alias("distance"))
 
 

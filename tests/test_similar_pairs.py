@@ -47,3 +47,18 @@ def test_a_group_of_equal_hashes_is_one_class(spark):
     df = spark.createDataFrame(rows, "id long, md5 string, phash string, status string, created_at timestamp_ntz")
     got = {r["id"]: r["original"] for r in similarity.originals(df).collect()}
     assert got == {1: None, **{i: 1 for i in range(2, 300)}, 900: None}
+
+
+def test_look_ups_are_not_broadcast_and_a_shared_end_is_no_hot_key(spark):
+    from collections import Counter
+
+    rng = random.Random(9)
+    rows = spark.createDataFrame([(i, f"{rng.getrandbits(184):046x}" + "0" * 18) for i in range(2000)], "id long, phash string")
+    pairs = similarity.similar_pairs(rows, rows, 20, 64)
+    pairs.collect()
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    cuts = similarity.segments_for(4, 20)
+    words = [r["words"] for r in similarity._hashes(rows, "id", 64, len(cuts)).collect()]
+    for s in cuts:
+        keys = Counter(((w[s.word] & ((1 << 64) - 1)) >> s.offset) & ((1 << s.width) - 1) for w in words)
+        assert max(keys.values()) < 20
