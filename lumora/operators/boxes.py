@@ -8,7 +8,10 @@ from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,7 +120,7 @@ def _numbered(boxes: DataFrame, key: str, order: list[str], name: str, number: C
 
     @F.pandas_udf("array<long>")
     def numbers(x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([number(boxes_of(*(c.tolist() for c in r))) for r in zip(x, y, w, h)])
+        return pd.Series([np.array(number(boxes_of(*(c.tolist() for c in r))), np.int64) for r in zip(x, y, w, h)])
 
     rows = boxes.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias("_rows"))
     rows = rows.select("_rows", numbers(*[F.col(f"_rows.{c}") for c in ("x", "y", "w", "h")]).alias("_n"))
@@ -251,32 +254,52 @@ def merge(regions: list[Region]) -> list[Region]:
     return [all_[i] for i in sorted(alive)]
 
 
-_ARRAYS = "x array<double>, y array<double>, w array<double>, h array<double>, start_s array<double>, end_s array<double>, score array<double>, reasons array<array<string>>"
 _FIELDS = ("x", "y", "w", "h", "start_s", "end_s", "score", "reasons")
+_REGION = "x double, y double, w double, h double, start_s double, end_s double, score double, reasons array<string>"
+#: Regions that a worker turns into objects at a time, unless one video has more.
+HELD = 1 << 14
+
+
+def spans_of(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(start, stop) of the rows in turn, ``most`` of their ``sizes`` together or one row."""
+    upto, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + most, "right")))
+        yield at, stop
+        at = stop
 
 
 def folded(regions: DataFrame, *folds: Callable[[list[Region]], list[Region]]) -> DataFrame:
-    """Each video's regions through the ``folds``, which depend on their own order; start, y, x and score give the order."""
-
-    @F.pandas_udf(_ARRAYS)
-    def run(x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series, start: pd.Series, end: pd.Series, score: pd.Series, reasons: pd.Series) -> pd.DataFrame:
-        out = []
-        for r in zip(x, y, w, h, start, end, score, reasons):
-            box = boxes_of(*(c.tolist() for c in r[:4]))
-            rows = [Region(*v[:4], tuple(v[4])) for v in zip(box, r[4].tolist(), r[5].tolist(), r[6].tolist(), r[7])]
-            for f in folds:
-                rows = f(rows)
-            out.append(
-                [[v.box.left for v in rows], [v.box.top for v in rows], [v.box.right - v.box.left for v in rows], [v.high for v in rows],
-                 [v.start for v in rows], [v.end for v in rows], [v.score for v in rows], [list(v.reasons) for v in rows]]
-            )
-        return pd.DataFrame(out, columns=list(_FIELDS))
+    """Each video's regions through the ``folds``, which depend on their own order; start, y, x and score give the order.
+
+    A worker holds the objects of HELD regions, or of one video, whatever its task holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at, stop in spans_of(pc.list_value_length(whole.column("_r")).to_numpy(), HELD):
+                b = whole.slice(at, stop - at)
+                ends = np.cumsum(pc.list_value_length(b.column("_r")).to_numpy()).tolist()
+                flat = b.column("_r").flatten()
+                cols = {f: flat.field(i) for i, f in enumerate(order)}
+                x, y, w, h, start, end, score = (cols[f].to_numpy(zero_copy_only=False).tolist() for f in _FIELDS[:-1])
+                every = [Region(*v[:4], tuple(v[4])) for v in zip(boxes_of(x, y, w, h), start, end, score, cols["reasons"].to_pylist())]
+                rows, counts, lo = [], [], 0
+                for hi in ends:
+                    own, lo = every[lo:hi], hi
+                    for f in folds:
+                        own = f(own)
+                    rows += own
+                    counts.append(len(own))
+                ids = b.column("video_id").take(pa.array(np.repeat(np.arange(len(counts)), counts)))
+                left, top = [v.box.left for v in rows], [v.box.top for v in rows]
+                numbers = [left, top, [v.box.right - v.box.left for v in rows], [v.high for v in rows], [v.start for v in rows], [v.end for v in rows], [v.score for v in rows]]
+                reasons = pa.array([list(v.reasons) for v in rows], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, pa.float64()) for c in numbers], reasons], ["video_id", *_FIELDS])
 
     order = ("start_s", "y", "x", "score", "w", "h", "end_s", "reasons")
-    rows = regions.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct(*order))).alias("_r"))
-    rows = rows.select("video_id", run(*[F.col(f"_r.{c}") for c in _FIELDS]).alias("_f"))
-    rows = rows.select("video_id", F.explode(F.arrays_zip(*[F.col(f"_f.{c}").alias(c) for c in _FIELDS])).alias("_z"))
-    return rows.select("video_id", *[F.col(f"_z.{c}").alias(c) for c in _FIELDS])
+    number = lambda c: F.col(c) if c == "reasons" else F.col(c).cast("double").alias(c)
+    rows = regions.groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct(*[number(c) for c in order]))).alias("_r"))
+    return rows.mapInArrow(run, f"video_id {regions.schema['video_id'].dataType.simpleString()}, {_REGION}")
 
 
 def not_oversize(masks: DataFrame) -> DataFrame:
