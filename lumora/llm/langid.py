@@ -238,7 +238,7 @@ def assembled(kept: pd.DataFrame, langs: list[str]) -> Model:
     return Model(langs, hashes, shares, contexts, rest, np.full(len(langs), np.inf))
 
 
-#: A language's limit is this quantile of the cross-entropies of its rows left out of the fit, three tenths more, and 0.3.
+#: A language's limit is this quantile of the cross-entropies of its rows, three tenths more, and 0.3.
 QUANTILE, MARGIN = 0.99, (1.3, 0.3)
 
 
@@ -272,24 +272,28 @@ def calibrated(left: DataFrame, model: Model) -> Model:
 MAX_GRAMS = 400_000
 
 
-def fit(docs: DataFrame, max_grams: int = MAX_GRAMS, calibration_rows: int = 300) -> Model:
+def fit(docs: DataFrame, max_grams: int = MAX_GRAMS, calibration_rows: int | None = None) -> Model:
     """A model of each language of ``docs`` (doc_id, text, lang).
 
-    All rows are counted but some ``calibration_rows`` of each language (a fifth at most), from which its rejection limit
-    comes. Counts of all orders, discounts and shares are Spark jobs over all n-grams; of their result, each
+    All rows are counted, and each language's rejection limit comes from the cross-entropies of all its rows. With
+    ``calibration_rows`` some so many of each language (a fifth at most) are left out of the counts and give its limit.
+    Counts of all orders, discounts and shares are Spark jobs over all n-grams; of their result, each
     language's and order's most frequent n-grams reach the driver, ``max_grams`` of all together (1000 of each at
     least), which bounds the model whatever the corpus. What is pruned goes to the lower order, exactly. Rows with a
     null text or lang are left out; rows that repeat id and text are for calibration together or not at all;
     without any row the model has no language.
     """
     docs = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    docs = left_out(docs, calibration_rows)
-    counted = checkpointed(gram_counts(docs.where("NOT _left")))
+    counting = judging = docs
+    if calibration_rows is not None:
+        marked = left_out(docs, calibration_rows)
+        counting, judging = marked.where("NOT _left"), marked.where("_left")
+    counted = checkpointed(gram_counts(counting))
     langs = sorted(r[0] for r in counted.select("lang").distinct().collect())
     most = max(1000, max_grams // max(1, ORDER * len(langs)))
     grams = checkpointed(weighed(levels(counted)))
     model = assembled(most_frequent(grams, most, ("k", "lang")).select("k", "lang", "gram", "alpha").toPandas(), langs)
-    return calibrated(docs.where("_left").select("text", "lang"), model) if langs else model
+    return calibrated(judging.select("text", "lang"), model) if langs else model
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:

@@ -83,6 +83,17 @@ def test_kneser_ney_is_the_plain_one(spark, most):
             assert abs(np.exp(model.table(every)[:, i]).sum() - 1) < 1e-3, (context, lang)
 
 
+def test_language_limits_come_from_all_rows(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "text", "lang")
+    model = langid.fit(docs)
+    rows = docs.collect()
+    cross, n = model.score([r["text"] for r in rows])
+    for k, lang in enumerate(model.langs):
+        own = sorted(c[k] - langid.SLACK / np.sqrt(m) for r, c, m in zip(rows, cross, n) if r["lang"] == lang and m)
+        want = own[int(np.ceil(langid.QUANTILE * len(own))) - 1]
+        assert model.limits[k] == pytest.approx(langid.MARGIN[0] * max(want, 0.0) + langid.MARGIN[1])
+
+
 def test_language_limits_come_from_rows_left_out(spark, sf):
     docs = langid.training_rows(spark.read.parquet(f"{sf}/documents.parquet"))
     marked = langid.left_out(docs.select("doc_id", "text", "lang"), 20)
