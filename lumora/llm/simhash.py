@@ -109,12 +109,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Sets filed under one key beyond which not all of them meet, and rounds in which groups of copies are joined before.
 HOT, ROUNDS = 1024, 2
 #: Bits beside the segments by which pairs are ruled out before their texts are read, and how many of them may differ: pairs
-#: at 0.8 differ in 39 of them on average, and in more than 64 some five times in a million.
-CHECK_BITS, CHECK_DISTANCE = 256, 64
+#: at 0.8 differ in 29 of them on average, and in more than 52 some five times in a million.
+CHECK_BITS, CHECK_DISTANCE = 192, 52
 #: Columns of these bits, of a set and of another.
-CHECKS, OTHERS = ("c0", "c1", "c2", "c3"), ("t0", "t1", "t2", "t3")
+CHECKS, OTHERS = ("c0", "c1", "c2"), ("t0", "t1", "t2")
 #: Most bits of the filter that spares texts in no pair; with more ids it lets more texts through, and loses none.
 FILTER_BITS = 1 << 25
+#: Slots in which shingles are counted to tell rare from frequent ones, 4 bytes each; shingles that share one count together.
+SLOTS = 1 << 20
 
 
 def segments_for(n: int, least: float, miss: float) -> tuple[int, int]:
@@ -200,11 +202,13 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float
     keys = F.transform("values", lambda x, i: F.shiftleft((F.col("size") * m + i).cast("long"), k) + x)
     ball = F.array(*[F.lit(x).cast("long") for x in [0, *(1 << b for b in range(k))]])
 
+    def parted(part: DataFrame) -> DataFrame:
+        return worded.join(part.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v"), "left").withColumn("part", F.coalesce("component", "v"))
+
     def filed_by(part: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(tables, probes) of the sets with their parts. A set is filed under its own size and the next; the larger one of a
         pair looks for the smaller."""
-        known = worded.join(part.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v"), "left").withColumn("part", F.coalesce("component", "v"))
-        cells = known.select("v", "n", *CHECKS, "part", F.explode(keys).alias("key"))
+        cells = parted(part).select("v", "n", *CHECKS, "part", F.explode(keys).alias("key"))
         twice = F.explode(F.array(F.col("key"), F.col("key") + (m << k)))
         tables = cells.select(F.col("v").alias("tv"), F.col("n").alias("tn"), *[F.col(c).alias(t) for c, t in zip(CHECKS, OTHERS)], F.col("part").alias("tpart"), twice.alias("tkey"))
         return tables, cells.withColumn("x", F.explode(ball)).select(F.col("key").bitwiseXOR(F.col("x")).alias("key"), "v", "n", *CHECKS, "part")
@@ -246,22 +250,44 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float
         texts = rows_in.where("doc_id IS NOT NULL").select(at.alias("at"), "text").mapInPandas(contents(marks), "v long, s binary")
         return checkpointed(texts.join(ends, "v", "left_semi").groupBy("v").agg(F.first("s").alias("s")))
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
         for whole in batches:
             for b in sliced(whole, "s"):
-                own = [np.frombuffer(x, np.int64) for x in b.column("s").to_pylist()]
-                v = np.repeat(b.column("v").to_numpy(), [len(x) for x in own])
-                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(np.concatenate(own))], ["v", "x"])
+                x = np.frombuffer(b"".join(b.column("s").to_pylist()), np.uint64)
+                total += np.bincount((x % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        for lo in range(0, len(at), 1 << 16):
+            part = at[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["slot", "n"])
 
     def rare(members: DataFrame, sets: DataFrame) -> DataFrame:
         """(x, and the columns) of ``members`` (v, n): of each set its rarest shingles among ``sets`` (v, s), so many that two similar
-        sets share one of them: n - least n + 1, shingles of a single set included, which no two share."""
-        every = sets.mapInArrow(spread, "v long, x long")
-        counts = every.groupBy("x").agg(F.count("*").alias("df")).where("df > 1")
-        common = every.join(counts, "x").groupBy("v").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("xs"))
-        asked_for = (F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).cast("int") - (F.col("n") - F.size("xs"))
-        found = members.join(common, "v").withColumn("xs", F.slice("xs", F.lit(1), F.greatest(asked_for, F.lit(0))))
-        return found.select(F.explode("xs").alias("_x"), *members.columns).select(F.col("_x.x").alias("x"), *members.columns)
+        sets share one of them: n - least n + 1, shingles of a single set included, which no two share.
+
+        Any order that is one for all sets is exact; this one is by how many shingles share a shingle's slot, then by the shingle.
+        The slots are all that reaches the driver, and each set's shingles are chosen where the set is."""
+        counted = sets.mapInArrow(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+        counts = np.zeros(SLOTS, np.int32)
+        # one row per 8,192 slots: place and number in one long
+        packed = counted.groupBy(F.expr("slot div 8192").alias("k")).agg(F.collect_list(F.shiftleft(F.col("slot") % 8192, 31) + F.least("n", F.lit((1 << 31) - 1))).alias("p"))
+        for r in packed.toLocalIterator():
+            p = np.array(r["p"], np.int64)
+            counts[(p >> 31) + r["k"] * 8192] = p & ((1 << 31) - 1)
+
+        def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for b in sliced(whole, "s"):
+                    kept = []
+                    for own in b.column("s").to_pylist():
+                        x = np.frombuffer(own, np.uint64)
+                        often = counts[(x % np.uint64(SLOTS)).astype(np.int64)]
+                        first = np.lexsort((x, often))[: len(x) - math.ceil(len(x) * least - 1e-9) + 1]
+                        kept.append(x[first[often[first] > 1]])
+                    v = np.repeat(b.column("v").to_numpy(), [len(x) for x in kept])
+                    yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(np.concatenate(kept).view(np.int64))], ["v", "x"])
+
+        return sets.mapInArrow(firsts, "v long, x long").join(members, "v").select("x", *members.columns)
 
     def verified(pairs: DataFrame, part: DataFrame | None = None) -> DataFrame:
         """The pairs (a, b) of vertices that are similar. With the sets' parts, where pairs may be many, only those are compared that
@@ -291,12 +317,12 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float
     ids = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("v").alias("a"), F.max("v").alias("z")).where("a < z").select("doc_id", "a")
     same = checkpointed(rows.join(ids, "doc_id").select("a", F.col("v").alias("b")).where("a <> b").distinct())
 
-    def drawn(members: DataFrame, number: int) -> DataFrame:
+    def drawn(part: DataFrame, number: int) -> DataFrame:
         """Pairs of each member of a key with the one drawn for the key, if they are in different parts and fit; two a member at
-        most, as the search that follows finds what is still apart."""
-        one = F.min_by(F.struct("tv", "tn", *OTHERS, "tpart"), F.xxhash64("tv", F.lit(number)))
-        hubs = members.groupBy(F.col("tkey").alias("key")).agg(one.alias("h"), F.count("*").alias("c")).where("c > 1")
-        hubs = hubs.select("key", F.col("h.tv").alias("v"), F.col("h.tn").alias("n"), *[F.col(f"h.{t}").alias(c) for c, t in zip(CHECKS, OTHERS)], F.col("h.tpart").alias("part"))
+        most, as the search that follows finds what is still apart. Names are hashes, so that nearest to a random one is a draw."""
+        members, goal = filed_by(part)[0], F.lit(_signed(xxhash.xxh64_intdigest(b"draw", number))).cast("long")
+        hubs = members.groupBy(F.col("tkey").alias("key")).agg(F.min(F.col("tv").bitwiseXOR(goal)).alias("h"), F.count("*").alias("c")).where("c > 1")
+        hubs = hubs.select("key", F.col("h").bitwiseXOR(goal).alias("v")).join(parted(part).select("v", "n", *CHECKS, "part"), "v")
         near = (F.least("n", "tn") >= least * F.greatest("n", "tn") - 1e-9) & (apart <= CHECK_DISTANCE)
         pairs = members.join(hubs, (F.col("key") == F.col("tkey")) & (F.col("part") != F.col("tpart")) & near)
         few = pairs.groupBy("tv").agg(F.array_distinct(F.array(F.min("v"), F.max("v"))).alias("two")).select("tv", F.explode("two").alias("v"))
@@ -304,7 +330,7 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float
 
     links, part = same, components(same)
     for number in range(ROUNDS):
-        links = links.union(verified(drawn(filed_by(part)[0], number)))
+        links = links.union(verified(drawn(part, number)))
         part = components(links)
     filed, asked = filed_by(part)
     other = F.col("part") != F.col("tpart")
