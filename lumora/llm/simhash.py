@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumora.llm.common import checkpointed, read, sliced, text_batches
@@ -106,17 +106,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(classes, rows["fp"] == classes["_fp"], "left").select("doc_id", "fp", "component_id")
 
 
-#: Sets filed under one key beyond which not all of them meet, and rounds in which groups of copies are joined before.
+#: Sets that share one shingle beyond which not all of them meet, and rounds in which groups of copies are joined before.
 HOT, ROUNDS = 1024, 2
-#: Bits beside the segments by which pairs are ruled out before their texts are read, and how many of them may differ: pairs
-#: at 0.8 differ in 29 of them on average, and in more than 52 some five times in a million.
-CHECK_BITS, CHECK_DISTANCE = 192, 52
-#: Columns of these bits, of a set and of another.
-CHECKS, OTHERS = ("c0", "c1", "c2"), ("t0", "t1", "t2")
+#: Bits by which pairs are ruled out before their texts are read; columns of them, of a set and of another.
+CHECK_BITS, CHECKS, OTHERS = 192, ("c0", "c1", "c2"), ("t0", "t1", "t2")
 #: Most bits of the filter that spares texts in no pair; with more ids it lets more texts through, and loses none.
 FILTER_BITS = 1 << 25
 #: Slots in which shingles are counted to tell rare from frequent ones, 4 bytes each; shingles that share one count together.
-SLOTS = 1 << 20
+#: BLOCK of them make a row.
+SLOTS, BLOCK = 1 << 20, 1 << 13
 
 
 def segments_for(n: int, least: float, miss: float) -> tuple[int, int]:
@@ -132,6 +130,17 @@ def segments_for(n: int, least: float, miss: float) -> tuple[int, int]:
     return width, 1 if meets >= 1 else max(1, math.ceil(math.log(miss) / math.log(1 - meets)))
 
 
+def check_distance(least: float, miss: float, bits: int = CHECK_BITS) -> int:
+    """Of ``bits`` bits of the SimHashes of two sets at Jaccard similarity ``least``, so many as differ at most but with probability
+    ``miss``."""
+    share = math.acos(min(1.0, 2 * least / (1 + least))) / math.pi
+    beyond, d = 1.0, -1
+    while beyond > miss and d < bits:
+        d += 1
+        beyond = math.fsum(math.comb(bits, x) * share**x * (1 - share) ** (bits - x) for x in range(d + 1, bits + 1))
+    return d
+
+
 def shingles(text: str | None, width: int = 5, seed: int = 42) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; none when there is no word. Words as in ``fingerprint``."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -161,7 +170,32 @@ def long_fingerprint(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (2 * ones > len(hashes))[:bits]
 
 
-def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float = 1e-3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def slot_counts(texts: DataFrame, width: int) -> np.ndarray:
+    """How many shingles of the sets of ``texts`` (text) each of SLOTS slots has; these are all that reaches the driver."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for whole in batches:
+            for b in sliced(whole, "text"):
+                x = np.concatenate([np.empty(0, np.uint64), *(shingles(t, width) for t in b.column("text").to_pylist())])
+                total += np.bincount((x % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        blocks = np.minimum(total, (1 << 31) - 1).astype(np.int32).reshape(-1, BLOCK)
+        for k in np.flatnonzero(blocks.any(1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blocks[k].tobytes()])], ["k", "n"])
+
+    def added(own: pa.Table) -> pa.Table:
+        total = np.zeros(BLOCK, np.int64)
+        for n in own.column("n"):
+            total += np.frombuffer(n.as_py(), np.int32)
+        return pa.table({"k": own.column("k").slice(0, 1), "n": pa.array([np.minimum(total, (1 << 31) - 1).astype(np.int32).tobytes()])})
+
+    counts = np.zeros((SLOTS // BLOCK, BLOCK), np.int32)
+    for r in texts.select("text").mapInArrow(counted, "k int, n binary").groupBy("k").applyInArrow(added, "k int, n binary").collect():  # SLOTS / BLOCK rows
+        counts[r["k"]] = np.frombuffer(r["n"], np.int32)
+    return counts.reshape(-1)
+
+
+def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float = 1e-9, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) per row of ``docs``.
 
     component_id is the smallest id reachable over links of texts whose sets of ``width``-word shingles have a Jaccard
@@ -169,54 +203,57 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float
     word have one set. A row with a null id links its set's neighbours to nothing: a set that only null ids have has
     no vertex and no component.
 
-    Candidates come from multi-index hashing of long SimHashes of the sets: each is filed under the values of its
-    segments and looked up under those in a ball of one bit, among sets of fitting size. Pairs too far apart in the check
-    bits go; the others are verified on their exact sets. A pair at ``least`` is not found with probability at most
-    ``miss``, which falls fast above: at 0.9 it is below 1e-6 for 1e-3 at 0.8.
-
-    Groups of copies are joined first: in ROUNDS rounds each set meets one set drawn at random of every segment value
-    that it shares, which for a large group is mostly one of its own, so k copies cost some k pairs a segment. Then only
-    pairs of sets that are still apart are looked for, all of them: under a key with more than HOT sets, those outside the
-    key's largest part meet all others; under other keys all sets meet. So no pair is left out, and none within
-    a part costs a row. Of these pairs, mostly edited copies of one text that are too far apart to link, only those that
-    share a rare shingle have their sets fetched (``verified``).
+    Candidates share a rare shingle. All sets order their shingles by how many shingles share a shingle's slot, then by the
+    shingle; any order that is one for all sets is exact. Two similar sets share some o >= least / (1 + least) (n + n') of
+    their n and n' shingles, and all of these stand at or behind the first that they share. So that one has o places left in
+    either set, and is among the first n - least n + 1. Only these are dealt out, those of a single set go at once, and two
+    sets meet where a shingle has places enough left in both. Edited copies of one text that are too far apart to link have
+    their edits first and too few places after them. Pairs too far apart in the check bits go, which loses a pair at
+    ``least`` with probability at most ``miss``; the others are verified on their exact sets.
+
+    Groups of copies are joined first: in ROUNDS rounds each set meets one set of every shingle that it deals out, so k copies
+    cost some k pairs a shingle. First it is that with the fewest places before the shingle, which is the least edited copy,
+    then one drawn at random. Then only pairs of sets that are still apart are looked for, all of them: under a shingle
+    with more than HOT sets, those outside its largest part meet all others; under other ones all sets meet. So no pair is
+    left out, and none within a part costs a row.
     """
     rows_in = text_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    k, m = segments_for(rows_in.count(), least, miss)
     name = lambda s: xxhash.xxh64_intdigest(s.tobytes(), 1)
     signed = lambda x: np.array(x, np.uint64).view(np.int64)
-    powers = 1 << np.arange(k, dtype=np.int64)
+    counts = slot_counts(rows_in.where("doc_id IS NOT NULL"), width)
 
     def signatures(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for t in batches:
             sets = [shingles(x, width) for x in t["text"]]
-            prints = np.array([long_fingerprint(s, m * k + CHECK_BITS) for s in sets]).reshape(len(sets), m * k + CHECK_BITS)
-            values = prints[:, : m * k].reshape(-1, m, k) @ powers
-            check = np.packbits(prints[:, m * k :], axis=1).view(np.int64)
-            yield pd.DataFrame({"doc_id": t["doc_id"], "v": signed([name(s) for s in sets]), "n": [len(s) for s in sets], "values": list(values), **{c: check[:, i] for i, c in enumerate(CHECKS)}})
-
-    rows = checkpointed(rows_in.mapInPandas(signatures, f"doc_id long, v long, n int, values array<long>, {', '.join(f'{c} long' for c in CHECKS)}"))
-    same_set = [F.first(c).alias(c) for c in ("n", "values", *CHECKS)]
-    vertices = checkpointed(rows.where("doc_id IS NOT NULL").groupBy("v").agg(F.min("doc_id").alias("rep"), *same_set))
-    worded = vertices.where("n > 0").withColumn("size", F.floor(F.log("n") / F.lit(-math.log(least) if least < 1 else 1.0) + 1e-9))
-    keys = F.transform("values", lambda x, i: F.shiftleft((F.col("size") * m + i).cast("long"), k) + x)
-    ball = F.array(*[F.lit(x).cast("long") for x in [0, *(1 << b for b in range(k))]])
-
-    def parted(part: DataFrame) -> DataFrame:
-        return worded.join(part.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v"), "left").withColumn("part", F.coalesce("component", "v"))
-
-    def filed_by(part: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(tables, probes) of the sets with their parts. A set is filed under its own size and the next; the larger one of a
-        pair looks for the smaller."""
-        cells = parted(part).select("v", "n", *CHECKS, "part", F.explode(keys).alias("key"))
-        twice = F.explode(F.array(F.col("key"), F.col("key") + (m << k)))
-        tables = cells.select(F.col("v").alias("tv"), F.col("n").alias("tn"), *[F.col(c).alias(t) for c, t in zip(CHECKS, OTHERS)], F.col("part").alias("tpart"), twice.alias("tkey"))
-        return tables, cells.withColumn("x", F.explode(ball)).select(F.col("key").bitwiseXOR(F.col("x")).alias("key"), "v", "n", *CHECKS, "part")
+            check = np.packbits(np.array([long_fingerprint(s, CHECK_BITS) for s in sets]).reshape(len(sets), CHECK_BITS), axis=1).view(np.int64)
+            first = []
+            for s in sets:
+                order = np.lexsort((s, counts[(s % np.uint64(SLOTS)).astype(np.int64)]))
+                first.append(s[order[: len(s) - math.ceil(len(s) * least - 1e-9) + 1]].view(np.int64))
+            yield pd.DataFrame({"doc_id": t["doc_id"], "v": signed([name(s) for s in sets]), "n": [len(s) for s in sets], "first": first, **{c: check[:, i] for i, c in enumerate(CHECKS)}})
+
+    rows = checkpointed(rows_in.mapInPandas(signatures, f"doc_id long, v long, n int, first array<long>, {', '.join(f'{c} long' for c in CHECKS)}"))
+    same_set = [F.first(c).alias(c) for c in ("n", *CHECKS)]
+    owned = rows.where("doc_id IS NOT NULL")
+    vertices = checkpointed(owned.groupBy("v").agg(F.min("doc_id").alias("rep"), *same_set))
+    dealt = owned.groupBy("v").agg(F.first("n").alias("n"), F.first("first").alias("first")).select("v", "n", F.posexplode("first").alias("i", "x"))
+    # of each shingle dealt out: its set, and how many places that has from it on
+    shared = dealt.select("x", "v", (F.col("n") - F.col("i")).alias("left")).withColumn("c", F.count("*").over(Window.partitionBy("x"))).where("c > 1").drop("c")
+    shared = checkpointed(shared)
+
+    def filed_by(part: DataFrame) -> DataFrame:
+        """The shingles that sets share, with the sets' sizes, check bits and parts."""
+        known = vertices.join(part.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v"), "left")
+        return shared.join(known.select("v", "n", *CHECKS, F.coalesce("component", "v").alias("part")), "v")
+
+    def other_side(side: DataFrame) -> DataFrame:
+        return side.select(F.col("x").alias("tx"), *[F.col(c).alias(f"t{c}") for c in ("v", "n", "left", "part")], *[F.col(c).alias(t) for c, t in zip(CHECKS, OTHERS)])
 
     apart = reduce(Column.__add__, [F.bit_count(F.col(c).bitwiseXOR(F.col(t))) for c, t in zip(CHECKS, OTHERS)])
+    enough = F.least("left", "tleft") >= least / (1 + least) * (F.col("n") + F.col("tn")) - 1e-9
+    fits = (F.col("part") != F.col("tpart")) & enough & (F.least("n", "tn") >= least * F.greatest("n", "tn") - 1e-9) & (apart <= check_distance(least, miss))
     # the smaller set of a pair, of equal ones that with the smaller name, is the other one
-    alike = (F.col("tn") >= least * F.col("n") - 1e-9) & ((F.col("tn") < F.col("n")) | ((F.col("tn") == F.col("n")) & (F.col("tv") < F.col("v"))))
-    fits = alike & (apart <= CHECK_DISTANCE)
+    ordered = (F.col("tn") < F.col("n")) | ((F.col("tn") == F.col("n")) & (F.col("tv") < F.col("v")))
 
     def contents(marks: np.ndarray):
         """The sets of the texts whose ids are marked: (v, s)."""
@@ -250,108 +287,53 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float
         texts = rows_in.where("doc_id IS NOT NULL").select(at.alias("at"), "text").mapInPandas(contents(marks), "v long, s binary")
         return checkpointed(texts.join(ends, "v", "left_semi").groupBy("v").agg(F.first("s").alias("s")))
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
-        for whole in batches:
-            for b in sliced(whole, "s"):
-                x = np.frombuffer(b"".join(b.column("s").to_pylist()), np.uint64)
-                total += np.bincount((x % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        at = np.flatnonzero(total)
-        for lo in range(0, len(at), 1 << 16):
-            part = at[lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], ["slot", "n"])
-
-    def rare(members: DataFrame, sets: DataFrame) -> DataFrame:
-        """(x, and the columns) of ``members`` (v, n): of each set its rarest shingles among ``sets`` (v, s), so many that two similar
-        sets share one of them: n - least n + 1, shingles of a single set included, which no two share.
-
-        Any order that is one for all sets is exact; this one is by how many shingles share a shingle's slot, then by the shingle.
-        The slots are all that reaches the driver, and each set's shingles are chosen where the set is."""
-        counted = sets.mapInArrow(slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-        counts = np.zeros(SLOTS, np.int32)
-        # one row per 8,192 slots: place and number in one long
-        packed = counted.groupBy(F.expr("slot div 8192").alias("k")).agg(F.collect_list(F.shiftleft(F.col("slot") % 8192, 31) + F.least("n", F.lit((1 << 31) - 1))).alias("p"))
-        for r in packed.toLocalIterator():
-            p = np.array(r["p"], np.int64)
-            counts[(p >> 31) + r["k"] * 8192] = p & ((1 << 31) - 1)
-
-        def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for b in sliced(whole, "s"):
-                    kept = []
-                    for own in b.column("s").to_pylist():
-                        x = np.frombuffer(own, np.uint64)
-                        often = counts[(x % np.uint64(SLOTS)).astype(np.int64)]
-                        first = np.lexsort((x, often))[: len(x) - math.ceil(len(x) * least - 1e-9) + 1]
-                        kept.append(x[first[often[first] > 1]])
-                    v = np.repeat(b.column("v").to_numpy(), [len(x) for x in kept])
-                    yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(np.concatenate(kept).view(np.int64))], ["v", "x"])
-
-        return sets.mapInArrow(firsts, "v long, x long").join(members, "v").select("x", *members.columns)
-
-    def verified(pairs: DataFrame, part: DataFrame | None = None) -> DataFrame:
-        """The pairs (a, b) of vertices that are similar. With the sets' parts, where pairs may be many, only those are compared that
-        share one of their rarest shingles: edited copies of one text that are too far apart to link have
-        their rarest shingles from the edits, and no two share them."""
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of vertices that are similar."""
         pairs = checkpointed(pairs.distinct())
         if pairs.isEmpty():
             return pairs
-        ends = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
-        sets = sets_of(ends)
-        if part is not None:
-            known = worded.join(ends, "v", "left_semi").join(part.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v"), "left")
-            keyed = checkpointed(rare(known.select("v", "n", F.coalesce("component", "v").alias("part")), sets))
-            there = keyed.select(F.col("x").alias("tx"), F.col("v").alias("tv"), F.col("n").alias("tn"), F.col("part").alias("tpart"))
-            share = keyed.join(there, (F.col("x") == F.col("tx")) & (F.col("part") != F.col("tpart")) & alike).select(F.col("tv").alias("a"), F.col("v").alias("b")).distinct()
-            pairs = pairs.join(share, ["a", "b"], "left_semi")
+        sets = sets_of(pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct())
         both = pairs.join(sets.select(F.col("v").alias("b"), F.col("s").alias("s_b")), "b").join(sets.select(F.col("v").alias("a"), F.col("s").alias("s_a")), "a")
         return checkpointed(both.mapInPandas(similar, "a long, b long"))
 
-    def met(asked: DataFrame, filed: DataFrame, *more: Column) -> DataFrame:
-        on = (F.col("key") == F.col("tkey")) & fits
-        for c in more:
-            on &= c
-        return asked.join(filed, on).select(F.col("tv").alias("a"), F.col("v").alias("b"))
+    def met(asked: DataFrame, filed: DataFrame) -> DataFrame:
+        return asked.join(filed, (F.col("x") == F.col("tx")) & ordered & fits).select(F.col("tv").alias("a"), F.col("v").alias("b"))
 
     # rows that share an id
-    ids = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("v").alias("a"), F.max("v").alias("z")).where("a < z").select("doc_id", "a")
+    ids = owned.groupBy("doc_id").agg(F.min("v").alias("a"), F.max("v").alias("z")).where("a < z").select("doc_id", "a")
     same = checkpointed(rows.join(ids, "doc_id").select("a", F.col("v").alias("b")).where("a <> b").distinct())
 
     def drawn(part: DataFrame, number: int) -> DataFrame:
-        """Pairs of each member of a key with the one drawn for the key, if they are in different parts and fit; two a member at
+        """Pairs of each set with the ones drawn for its shingles, if they are in different parts and fit; two a set at
         most, as the search that follows finds what is still apart. Names are hashes, so that nearest to a random one is a draw."""
-        members, goal = filed_by(part)[0], F.lit(_signed(xxhash.xxh64_intdigest(b"draw", number))).cast("long")
-        hubs = members.groupBy(F.col("tkey").alias("key")).agg(F.min(F.col("tv").bitwiseXOR(goal)).alias("h"), F.count("*").alias("c")).where("c > 1")
-        hubs = hubs.select("key", F.col("h").bitwiseXOR(goal).alias("v")).join(parted(part).select("v", "n", *CHECKS, "part"), "v")
-        near = (F.least("n", "tn") >= least * F.greatest("n", "tn") - 1e-9) & (apart <= CHECK_DISTANCE)
-        pairs = members.join(hubs, (F.col("key") == F.col("tkey")) & (F.col("part") != F.col("tpart")) & near)
-        few = pairs.groupBy("tv").agg(F.array_distinct(F.array(F.min("v"), F.max("v"))).alias("two")).select("tv", F.explode("two").alias("v"))
+        members = filed_by(part)
+        first = F.col("n") - F.col("left") if number == 0 else F.col("v").bitwiseXOR(F.lit(_signed(xxhash.xxh64_intdigest(b"draw", number))).cast("long"))
+        hubs = members.groupBy("x").agg(F.min(F.struct(first.alias("o"), "v", "n", "left", "part", *CHECKS)).alias("h")).select("x", "h.*")
+        pairs = members.join(other_side(hubs), (F.col("x") == F.col("tx")) & fits)
+        few = pairs.groupBy("v").agg(F.array_distinct(F.array(F.min("tv"), F.max("tv"))).alias("two")).select("v", F.explode("two").alias("tv"))
         return few.select(F.least("v", "tv").alias("a"), F.greatest("v", "tv").alias("b"))
 
     links, part = same, components(same)
     for number in range(ROUNDS):
         links = links.union(verified(drawn(part, number)))
         part = components(links)
-    filed, asked = filed_by(part)
-    other = F.col("part") != F.col("tpart")
-    load = filed.groupBy(F.col("tkey").alias("hkey")).agg(F.count("*").alias("load"))
-    hot = checkpointed(load.where(F.col("load") > HOT).select("hkey"))
+    asked = filed_by(part)
+    # the smaller set of a pair has twice the smaller size's share left
+    filed = other_side(asked.where(F.col("left") >= 2 * least / (1 + least) * F.col("n") - 1e-9))
+    hot = checkpointed(asked.groupBy(F.col("x").alias("hx")).agg(F.count("*").alias("load")).where(F.col("load") > HOT).select("hx"))
     if not (n_hot := hot.count()):
-        rest = met(asked, filed, other)
+        rest = met(asked, filed)
     else:
         small = F.broadcast if n_hot <= 1 << 20 else lambda x: x
-        at_hot = lambda side, key, how: side.join(small(hot), F.col(key) == F.col("hkey"), how)
-        rest = met(at_hot(asked, "key", "left_anti"), at_hot(filed, "tkey", "left_anti"), other)
-        filed, asked = checkpointed(at_hot(filed, "tkey", "left_semi")), at_hot(asked, "key", "left_semi")
-        sizes = filed.groupBy("tkey", "tpart").agg(F.count("*").alias("c"))
-        main = small(checkpointed(sizes.groupBy(F.col("tkey").alias("mkey")).agg(F.max_by("tpart", F.struct("c", "tpart")).alias("main"))))
-        others_filed = checkpointed(filed.join(main, F.col("tkey") == F.col("mkey")).where("tpart <> main").drop("mkey", "main"))
-        with_main = asked.join(main, F.col("key") == F.col("mkey"))
-        # of the largest parts' sets only those look that share a key with others
-        shared = small(others_filed.select(F.col("tkey").alias("okey")).distinct())
-        mains = with_main.where("part = main").join(shared, F.col("key") == F.col("okey"), "left_semi").drop("mkey", "main")
-        rest = rest.union(met(with_main.where("part <> main").drop("mkey", "main"), filed, other)).union(met(mains, others_filed))
-    links = links.union(verified(rest, part))
+        at_hot = lambda side, key, how: side.join(small(hot), F.col(key) == F.col("hx"), how)
+        rest = met(at_hot(asked, "x", "left_anti"), at_hot(filed, "tx", "left_anti"))
+        filed, asked = checkpointed(at_hot(filed, "tx", "left_semi")), checkpointed(at_hot(asked, "x", "left_semi"))
+        sizes = asked.groupBy("x", "part").agg(F.count("*").alias("c"))
+        main = small(checkpointed(sizes.groupBy(F.col("x").alias("mx")).agg(F.max_by("part", F.struct("c", "part")).alias("main"))))
+        others_filed = filed.join(main, F.col("tx") == F.col("mx")).where("tpart <> main").drop("mx", "main")
+        with_main = asked.join(main, F.col("x") == F.col("mx"))
+        rest = rest.union(met(with_main.where("part <> main").drop("mx", "main"), filed)).union(met(with_main.where("part = main").drop("mx", "main"), others_filed))
+    links = links.union(verified(rest))
     whole = components(links)
     least_id = vertices.join(whole.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v"), "left").select("v", "rep", F.coalesce("component", "v").alias("part"))
     lowest = least_id.groupBy("part").agg(F.min("rep").alias("component_id"))

@@ -88,6 +88,30 @@ def test_hot_keys_lose_no_pair(spark, monkeypatch):
     assert sorted(i for i, c in got.items() if i == c) == kept_ids(rows)
 
 
+def test_a_crowd_of_edited_copies_makes_few_pairs(spark, monkeypatch):
+    """Copies too far apart to link with one another, but not with their original, and some that link with nothing."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 61):
+        copy = list(base)
+        for at in rng.sample(range(80), 6 if i % 4 else 14):  # five shingles each
+            copy[5 * at + 2] = f"e{i}.{at}"
+        rows.append((i, " ".join(copy)))
+    seen, real = [], simhash.checkpointed
+
+    def counted(df):
+        out = real(df)
+        if out.columns == ["a", "b"]:
+            seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "checkpointed", counted)
+    got = simhash.near_copies(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC)).collect()
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] == r["component_id"]) == kept_ids(rows) == [0, *range(4, 61, 4)]
+    assert sum(seen) < 5 * len(rows)
+
+
 def test_pairs_meet_as_often_as_stated():
     rng = np.random.default_rng(2)
     for least in (0.8, 0.9):
