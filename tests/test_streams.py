@@ -139,6 +139,19 @@ def test_runs_close_by_time_whatever_batch_brings_them(spark, tmp_path):
     assert errors == [(1, None), (2, "0: started again"), (2, "0: " + "x" * 1997), (4, "0: no end in time")]
 
 
+def test_one_state_holds_many_steps(spark, tmp_path):
+    rows = [(v, s, k, at(t + v), k) for v in range(20) for s in (0, 1) for k, t in (("start", 1), ("success", 9 + s), ("start", 40))]
+    rows += [(None, 0, "start", at(3), "n"), (None, 0, "failed", at(8), "n"), (7, None, "start", at(4), "n"), (7, None, "start", at(6), "n"), (99, 0, "start", at(500), "n")]
+    schema = "video_id long, step int, kind string, at timestamp, log string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    got = [states.lifecycle(stream, seconds=100, groups=g) for g in (1, 7)]
+    got = [sorted((tuple(r) for r in progress.drained(x, str(tmp_path / f"out{i}")).select("video_id", "step", "status", "duration_sec").collect()), key=str) for i, x in enumerate(got)]
+    want = [(v, s, k, t) for v in range(20) for s in (0, 1) for k, t in (("success", 8.0 + s), ("failed", 100.0))]
+    want += [(None, 0, "failed", 5.0), (7, None, "failed", 2.0), (7, None, "failed", 100.0)]
+    assert got[0] == got[1] == sorted(want, key=str)
+
+
 def test_a_client_gets_all_its_topics(spark):
     n = progress.MOST_TOPICS + 100
     subs = spark.range(n).selectExpr("1 AS client", "'video:' || id AS topic")
