@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import os
 import tempfile
@@ -64,6 +65,33 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few numbers that are worth a task; tasks of a narrowed frame at least.
+ROWS_A_TASK, TASKS = 1 << 16, 12
+
+
+def narrowed(df: DataFrame, rows: int, each: int = ROWS_A_TASK) -> DataFrame:
+    """``df``, of some ``rows`` rows, in no more partitions than these are worth; with many rows it stays as it is.
+
+    Each map task leaves files in every shuffle and each task takes pages of memory, however few its rows are. In a loop
+    of shuffles over few rows these cost more than the rows do.
+    """
+    return df.coalesce(max(TASKS, math.ceil(rows / each)))
+
+
+def settled(df: DataFrame) -> tuple[DataFrame, int]:
+    """A checkpoint of ``df``, narrowed, and its number of rows."""
+    df = checkpointed(df)
+    rows = df.count()
+    return narrowed(df, rows), rows
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of frames that nothing refers to any more. It does so only when
+    the driver collects its garbage, which a driver that holds little rarely does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def n_words(text: Column) -> Column:
     """Number of white-space separated words, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm.common import checkpointed, fraction, read, text_batches
+from lumora.llm.common import fraction, read, settled, text_batches
 
 #: Order of the models; four characters of 16 bits each make one 64-bit key.
 ORDER = 4
@@ -288,10 +288,11 @@ def fit(docs: DataFrame, max_grams: int = MAX_GRAMS, calibration_rows: int | Non
     if calibration_rows is not None:
         marked = left_out(docs, calibration_rows)
         counting, judging = marked.where("NOT _left"), marked.where("_left")
-    counted = checkpointed(gram_counts(counting))
+    counted, _ = settled(gram_counts(counting))
     langs = sorted(r[0] for r in counted.select("lang").distinct().collect())
     most = max(1000, max_grams // max(1, ORDER * len(langs)))
-    grams = checkpointed(weighed(levels(counted)))
+    every, _ = settled(levels(counted))  # used three times
+    grams, _ = settled(weighed(every))
     model = assembled(most_frequent(grams, most, ("k", "lang")).select("k", "lang", "gram", "alpha").toPandas(), langs)
     return calibrated(judging.select("text", "lang"), model) if langs else model
 

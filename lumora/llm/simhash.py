@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumora.llm.common import checkpointed, read, sliced, text_batches
+from lumora.llm.common import checkpointed, narrowed, read, release, settled, sliced, text_batches
 from lumora.llm.graph import components
 
 
@@ -110,6 +110,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 HOT, ROUNDS = 1024, 2
 #: Bits by which pairs are ruled out before their texts are read; columns of them, of a set and of another.
 CHECK_BITS, CHECKS, OTHERS = 192, ("c0", "c1", "c2"), ("t0", "t1", "t2")
+#: Pairs of whole sets, or sets, that are worth a task.
+SETS_A_TASK = 1 << 12
 #: Most bits of the filter that spares texts in no pair; with more ids it lets more texts through, and loses none.
 FILTER_BITS = 1 << 25
 #: Slots in which shingles are counted to tell rare from frequent ones, 4 bytes each; shingles that share one count together.
@@ -176,7 +178,7 @@ def slot_counts(texts: DataFrame, width: int) -> np.ndarray:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for whole in batches:
-            for b in sliced(whole, "text"):
+            for b in sliced(whole, "text", 1 << 20):
                 x = np.concatenate([np.empty(0, np.uint64), *(shingles(t, width) for t in b.column("text").to_pylist())])
                 total += np.bincount((x % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
         blocks = np.minimum(total, (1 << 31) - 1).astype(np.int32).reshape(-1, BLOCK)
@@ -235,16 +237,17 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float
     rows = checkpointed(rows_in.mapInPandas(signatures, f"doc_id long, v long, n int, first array<long>, {', '.join(f'{c} long' for c in CHECKS)}"))
     same_set = [F.first(c).alias(c) for c in ("n", *CHECKS)]
     owned = rows.where("doc_id IS NOT NULL")
-    vertices = checkpointed(owned.groupBy("v").agg(F.min("doc_id").alias("rep"), *same_set))
+    vertices, n_sets = settled(owned.groupBy("v").agg(F.min("doc_id").alias("rep"), *same_set))
     dealt = owned.groupBy("v").agg(F.first("n").alias("n"), F.first("first").alias("first")).select("v", "n", F.posexplode("first").alias("i", "x"))
     # of each shingle dealt out: its set, and how many places that has from it on
     shared = dealt.select("x", "v", (F.col("n") - F.col("i")).alias("left")).withColumn("c", F.count("*").over(Window.partitionBy("x"))).where("c > 1").drop("c")
-    shared = checkpointed(shared)
+    shared, n_shared = settled(shared)
+    release(docs.sparkSession)
 
     def filed_by(part: DataFrame) -> DataFrame:
         """The shingles that sets share, with the sets' sizes, check bits and parts."""
         known = vertices.join(part.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v"), "left")
-        return shared.join(known.select("v", "n", *CHECKS, F.coalesce("component", "v").alias("part")), "v")
+        return narrowed(shared.join(known.select("v", "n", *CHECKS, F.coalesce("component", "v").alias("part")), "v"), n_shared)
 
     def other_side(side: DataFrame) -> DataFrame:
         return side.select(F.col("x").alias("tx"), *[F.col(c).alias(f"t{c}") for c in ("v", "n", "left", "part")], *[F.col(c).alias(t) for c, t in zip(CHECKS, OTHERS)])
@@ -275,8 +278,8 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float
 
     def sets_of(ends: DataFrame) -> DataFrame:
         """(v, s): the sets of the vertices ``ends`` (v, once each); only texts of these are read again."""
-        reps = checkpointed(vertices.join(ends, "v", "left_semi").select(F.col("rep").alias("doc_id")).distinct())
-        bits = min(FILTER_BITS, max(64, 1 << (16 * reps.count()).bit_length()))
+        reps, n_reps = settled(narrowed(vertices.join(ends, "v", "left_semi").select(F.col("rep").alias("doc_id")), n_sets).distinct())
+        bits = min(FILTER_BITS, max(64, 1 << (16 * n_reps).bit_length()))
         at = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
         marks = np.zeros(bits // 8, np.uint8)
         # one row per 8,192 places of the filter that hold an id
@@ -285,16 +288,16 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float
             p = np.array(r["p"], np.int64) + r["k"] * 8192
             np.bitwise_or.at(marks, p >> 3, np.left_shift(1, p & 7).astype(np.uint8))
         texts = rows_in.where("doc_id IS NOT NULL").select(at.alias("at"), "text").mapInPandas(contents(marks), "v long, s binary")
-        return checkpointed(texts.join(ends, "v", "left_semi").groupBy("v").agg(F.first("s").alias("s")))
+        return narrowed(checkpointed(texts.join(ends, "v", "left_semi").groupBy("v").agg(F.first("s").alias("s"))), n_reps, SETS_A_TASK)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of vertices that are similar."""
-        pairs = checkpointed(pairs.distinct())
-        if pairs.isEmpty():
+        pairs, n_pairs = settled(pairs.distinct())
+        if not n_pairs:
             return pairs
         sets = sets_of(pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct())
         both = pairs.join(sets.select(F.col("v").alias("b"), F.col("s").alias("s_b")), "b").join(sets.select(F.col("v").alias("a"), F.col("s").alias("s_a")), "a")
-        return checkpointed(both.mapInPandas(similar, "a long, b long"))
+        return narrowed(checkpointed(narrowed(both, n_pairs, SETS_A_TASK).mapInPandas(similar, "a long, b long")), n_pairs)
 
     def met(asked: DataFrame, filed: DataFrame) -> DataFrame:
         return asked.join(filed, (F.col("x") == F.col("tx")) & ordered & fits).select(F.col("tv").alias("a"), F.col("v").alias("b"))
@@ -316,6 +319,7 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float
     links, part = same, components(same)
     for number in range(ROUNDS):
         links = links.union(verified(drawn(part, number)))
+        release(docs.sparkSession)
         part = components(links)
     asked = filed_by(part)
     # the smaller set of a pair has twice the smaller size's share left
