@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumora.llm.common import fraction, read, settled, text_batches
+from lumora.llm.common import checkpointed, fraction, read, settled, text_batches
 
 #: Order of the models; four characters of 16 bits each make one 64-bit key.
 ORDER = 4
@@ -162,7 +162,10 @@ def most_frequent(rows: DataFrame, most: int, group: tuple[str, ...] = ("lang",)
 
 @dataclass(frozen=True)
 class Model:
-    """One table per order: the hashes of the n-grams kept, ascending, with their discounted shares by language (0: not
+    """``tail``, if there are more n-grams than the tables keep: (kind, k, x, vector), the shares by language of all n-grams
+    (kind 0) and what all contexts leave (kind 1); then ``open`` is a filter of those that the tables lack.
+
+    One table per order: the hashes of the n-grams kept, ascending, with their discounted shares by language (0: not
     kept there), and the hashes of their contexts with what those leave to the lower order (1: nothing kept). The last
     row of either stands for what a table does not hold."""
 
@@ -172,6 +175,16 @@ class Model:
     contexts: list[np.ndarray]
     rest: list[np.ndarray]
     limits: np.ndarray
+    tail: DataFrame | None = None
+    open: np.ndarray | None = None
+
+    def unsettled(self, keys: np.ndarray) -> np.ndarray:
+        """Whether an n-gram or context of each key may be one that the tables lack."""
+        out = np.zeros(len(keys), bool)
+        for kind, k, x in _parts(keys) if self.open is not None else ():
+            at = _place(kind, k, x, len(self.open) * 8)
+            out |= (self.open[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+        return out
 
     def table(self, keys: np.ndarray) -> np.ndarray:
         """Log probabilities (keys by language) of each key's last character after those before it: each order adds its
@@ -183,22 +196,36 @@ class Model:
             p += self.shares[n - 1][_find(self.hashes[n - 1], part * MIX)]
         return np.log(p)
 
-    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """(cross-entropies in nats a character by text and language, characters scored by text)."""
+    def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, pd.DataFrame]:
+        """(log probabilities added up by text and language, characters by text, (text, key, n): the keys left out of these
+        sums, as they may need the tail)."""
         total, count = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+        left = [pd.DataFrame({"text": np.empty(0, np.int64), "key": np.empty(0, np.int64), "n": np.empty(0, np.int64)})]
         for keys, owner in _pieces([t or "" for t in texts]):
             codes, seen = pd.factorize(keys)
-            logs = self.table(seen)[codes]
+            logs = self.table(seen)
+            if (away := self.unsettled(seen)).any():
+                logs[away] = 0.0
+                at = np.flatnonzero(away[codes])
+                left.append(pd.DataFrame({"text": owner[at].astype(np.int64), "key": keys[at].view(np.int64)}).value_counts().rename("n").reset_index())
+            logs = logs[codes]
             starts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
             total[owner[starts]] += np.add.reduceat(logs, starts, axis=0)
             count[owner[starts]] += np.diff(np.concatenate((starts, [len(owner)])))
+        return total, count, pd.concat(left, ignore_index=True)
+
+    def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(cross-entropies in nats a character by text and language, characters scored by text), from the tables alone."""
+        total, count, _ = replace(self, open=None).sums(texts)
         return -total / np.maximum(count, 1)[:, None], count
 
     def judge(self, texts: list[str | None]) -> pd.DataFrame:
         """lang_pred, score, cross_entropy, rejected of each text."""
         if not self.langs:
             return pd.DataFrame({"lang_pred": UND, "score": 0.0, "cross_entropy": np.nan, "rejected": True}, index=range(len(texts)))
-        cross, n = self.score(texts)
+        return self.decided(*self.score(texts))
+
+    def decided(self, cross: np.ndarray, n: np.ndarray) -> pd.DataFrame:
         none = n == 0
         best = cross.argmin(1)
         low = cross[np.arange(len(best)), best]
@@ -213,6 +240,21 @@ class Model:
 SLACK = 10.0
 
 
+def _parts(keys: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(kind, k, x): the n-grams (kind 0) and contexts (kind 1) of each order of the keys."""
+    for k in range(1, ORDER + 1):
+        part = keys & np.uint64((1 << 16 * k) - 1)
+        yield 0, k, part
+        if k > 1:
+            yield 1, k, part >> np.uint64(16)
+
+
+def _place(kind, k, x: np.ndarray, bits: int) -> np.ndarray:
+    """Places in a filter of ``bits`` bits, a power of two."""
+    h = (x + np.uint64(2) * np.asarray(k).astype(np.uint64) + np.asarray(kind).astype(np.uint64)) * MIX
+    return ((h ^ (h >> np.uint64(29))) * MIX >> np.uint64(65 - bits.bit_length())).astype(np.int64)
+
+
 def _find(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Places in a sorted table; its length for what it does not hold."""
     if not len(table):
@@ -221,9 +263,10 @@ def _find(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return np.where(table[at] == hashes, at, len(table))
 
 
-def assembled(kept: pd.DataFrame, langs: list[str]) -> Model:
+def assembled(kept: pd.DataFrame, langs: list[str], taken: pd.DataFrame | None = None) -> Model:
     """The model of ``kept`` (k, lang, gram, alpha): a context leaves to the lower order what its kept n-grams do not take,
-    so each context's probabilities add up to 1 whatever was pruned."""
+    so each context's probabilities add up to 1 whatever was pruned. With ``taken`` (k, lang, context, alpha) it leaves
+    what is not taken there."""
     hashes, shares, contexts, rest = [], [], [], []
     column = {lang: i for i, lang in enumerate(langs)}
     for n in range(1, ORDER + 1):
@@ -231,13 +274,84 @@ def assembled(kept: pd.DataFrame, langs: list[str]) -> Model:
         keys, lang = own["gram"].to_numpy(np.int64).view(np.uint64), own["lang"].map(column).to_numpy(int)
         for at, tables, values, fill in ((keys, hashes, shares, 0.0), (keys >> np.uint64(16) if n > 1 else keys * np.uint64(0), contexts, rest, 1.0)):
             seen, place = np.unique(at * MIX, return_inverse=True)
-            sums = np.zeros((len(seen), len(langs)))
-            np.add.at(sums, (place, lang), own["alpha"].to_numpy(float))
+            sums, by, alpha = np.zeros((len(seen), len(langs))), lang, own["alpha"].to_numpy(float)
+            if taken is not None and fill == 1.0:
+                of = taken[taken["k"] == n]
+                place = _find(seen, of["context"].to_numpy(np.int64).view(np.uint64) * MIX)
+                by, alpha = of["lang"].map(column).to_numpy(int)[place < len(seen)], of["alpha"].to_numpy(float)[place < len(seen)]
+                place = place[place < len(seen)]
+            np.add.at(sums, (place, by), alpha)
             tables.append(seen)
             values.append(np.vstack([sums if fill == 0.0 else np.maximum(1.0 - sums, 1e-12), np.full(len(langs), fill)]).astype(np.float32))
     return Model(langs, hashes, shares, contexts, rest, np.full(len(langs), np.inf))
 
 
+#: Bits of the filter of a tail; with more n-grams in that, more keys are looked up in vain, and none is missed.
+OPEN_BITS = 1 << 25
+
+
+def tailed(grams: DataFrame, chosen: DataFrame, langs: list[str]) -> Model:
+    """The model of all ``grams`` (k, lang, gram, alpha), whose tables keep those in ``chosen`` and their contexts."""
+    context = F.when(F.col("k") == 1, F.lit(0).cast("long")).otherwise(F.shiftrightunsigned("gram", 16)).alias("context")
+    keys = checkpointed(chosen.select("k", "gram").distinct())
+    around = checkpointed(keys.select("k", context).distinct())
+    taken = checkpointed(grams.select("k", "lang", context, "alpha").groupBy("k", "lang", "context").agg(F.sum("alpha").alias("alpha")))
+    model = assembled(grams.join(keys, ["k", "gram"], "left_semi").select("k", "lang", "gram", "alpha").toPandas(), langs, taken.join(around, ["k", "context"], "left_semi").toPandas())
+    by_lang = lambda fill: F.array(*[F.coalesce(F.max(F.when(F.col("lang") == x, F.col("v"))), F.lit(fill)) for x in langs]).alias("vector")
+    shares = grams.select(F.lit(0).alias("kind"), "k", F.col("gram").alias("x"), "lang", F.col("alpha").alias("v")).groupBy("kind", "k", "x").agg(by_lang(0.0))
+    leaves = taken.select(F.lit(1).alias("kind"), "k", F.col("context").alias("x"), "lang", F.greatest(1 - F.col("alpha"), F.lit(1e-12)).alias("v")).groupBy("kind", "k", "x").agg(by_lang(1.0))
+    tail = checkpointed(shares.union(leaves))
+    lacking = grams.join(keys, ["k", "gram"], "left_anti").select(F.lit(0).alias("kind"), "k", F.col("gram").alias("x"))
+    lacking = lacking.union(taken.where("k > 1").join(around, ["k", "context"], "left_anti").select(F.lit(1), "k", "context"))
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            at = _place(b["kind"].to_numpy(), b["k"].to_numpy(), b["x"].to_numpy(np.int64).view(np.uint64), OPEN_BITS)
+            yield pd.DataFrame({"block": at >> 13, "p": at & 8191})
+
+    marks = np.zeros(OPEN_BITS // 8, np.uint8)
+    for r in lacking.mapInPandas(places, "block long, p int").groupBy("block").agg(F.collect_set("p").alias("p")).toLocalIterator():  # OPEN_BITS / 8192 rows
+        p = np.array(r["p"], np.int64) + r["block"] * 8192
+        np.bitwise_or.at(marks, p >> 3, np.left_shift(1, p & 7).astype(np.uint8))
+    return replace(model, tail=tail, open=marks)
+
+
+def summed(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """(_row, total, n): the columns ``keep`` of ``docs``, the log probabilities of its texts added up by language, characters.
+
+    Keys that the model's tables settle are added up where the text is. The others, with how often each occurs in a text,
+    are dealt out; each distinct one is looked up in the tail once, by a join, and its logs are added to its texts' sums.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, tail=None))
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            total, n, left = shared.value.sums(texts.tolist())
+            own = left.groupby("text")
+            at = {i: (g["key"].to_numpy(), g["n"].to_numpy()) for i, g in own}
+            none = np.empty(0, np.int64)
+            yield pd.DataFrame({"total": list(total), "n": n, "keys": [at.get(i, (none, none))[0] for i in range(len(n))], "times": [at.get(i, (none, none))[1] for i in range(len(n))]})
+
+    sums = F.pandas_udf(run, "total array<double>, n long, keys array<long>, times array<long>").asNondeterministic()
+    rows = text_batches(docs).select(F.struct(*keep).alias("_row"), sums(F.col("text").cast("string")).alias("_s"))
+    rows = checkpointed(rows.select(F.monotonically_increasing_id().alias("_id"), "_row", "_s.*"))
+    left = rows.select("_id", F.explode(F.arrays_zip("keys", "times")).alias("z")).select("_id", F.col("z.keys").alias("key"), F.col("z.times").alias("times"))
+    part = {k: F.col("key").bitwiseAND(F.lit((1 << 16 * k) - 1)) if k < ORDER else F.col("key") for k in range(1, ORDER + 1)}
+    of = [(0, k, part[k]) for k in part] + [(1, k, F.shiftrightunsigned(part[k], 16) if k > 1 else F.lit(0).cast("long")) for k in part]
+    asked = left.select("key").distinct().select("key", F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("k"), x.alias("x")) for kind, k, x in of])).alias("a")).select("key", "a.*")
+    found = asked.join(model.tail, ["kind", "k", "x"], "left").groupBy("key").agg(*[F.max(F.when((F.col("kind") == kind) & (F.col("k") == k), F.col("vector"))).alias(f"v{kind}{k}") for kind, k, _ in of])
+    logs = []
+    for i in range(len(model.langs)):
+        p = F.lit(1.0 / (1 << 16))
+        for k in part:
+            p = p * F.coalesce(F.col(f"v1{k}")[i], F.lit(1.0)) + F.coalesce(F.col(f"v0{k}")[i], F.lit(0.0))
+        logs.append(F.log(p).alias(f"l{i}"))
+    found = found.select("key", *logs)
+    more = left.join(found, "key").groupBy("_id").agg(F.array(*[F.sum(F.col("times") * F.col(f"l{i}")) for i in range(len(logs))]).alias("more")).withColumnRenamed("_id", "_i")
+    total = F.when(F.col("more").isNull(), F.col("total")).otherwise(F.zip_with("total", "more", lambda x, y: x + y))
+    return rows.join(more, F.col("_id") == F.col("_i"), "left").select("_row", total.alias("total"), "n")
+
+
 #: A language's limit is this quantile of the cross-entropies of its rows, three tenths more, and 0.3.
 QUANTILE, MARGIN = 0.99, (1.3, 0.3)
 
@@ -250,19 +364,27 @@ def left_out(docs: DataFrame, rows: int) -> DataFrame:
     return docs.join(F.broadcast(sizes), docs["lang"] == sizes["_l"]).withColumn("_left", h < F.col("_share")).drop("_l", "_share")  # a row per language
 
 
+def _crossed(total: pd.Series, n: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    n = n.to_numpy(np.int64)
+    return -np.stack(total.tolist()) / np.maximum(n, 1)[:, None], n
+
+
 def calibrated(left: DataFrame, model: Model) -> Model:
     """``model`` with the rejection limits of its languages from the rows ``left`` (text, lang). Each row's own cross-entropy,
     less what short texts scatter by, is computed where the row is; a language without rows has the highest limit."""
-    shared = left.sparkSession.sparkContext.broadcast(model)
+    shared = left.sparkSession.sparkContext.broadcast(replace(model, tail=None))
+    whole = model.tail is not None
+    first = "total" if whole else "text"
 
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, langs in batches:
-            cross, n = shared.value.score(texts.tolist())
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for texts, langs, n in batches:
+            cross, n = _crossed(texts, n) if whole else shared.value.score(texts.tolist())
             own = cross[np.arange(len(langs)), [shared.value.langs.index(x) if x in shared.value.langs else 0 for x in langs]]
             yield pd.Series(np.where((n > 0) & langs.isin(shared.value.langs).to_numpy(), own - SLACK / np.sqrt(np.maximum(n, 1)), np.nan))
 
     own = F.pandas_udf(run, "double")
-    found = text_batches(left).select("lang", own("text", "lang").alias("e")).where(~F.isnan("e")).groupBy("lang").agg(F.percentile_approx("e", QUANTILE, 10000).alias("q")).collect()
+    rows = summed(left, model, ["lang"]).select("_row.lang", "total", "n") if whole else text_batches(left).withColumn("n", F.lit(0))
+    found = rows.select("lang", own(first, "lang", "n").alias("e")).where(~F.isnan("e")).groupBy("lang").agg(F.percentile_approx("e", QUANTILE, 10000).alias("q")).collect()
     limits = {r["lang"]: MARGIN[0] * max(r["q"], 0.0) + MARGIN[1] for r in found}
     most = max(limits.values(), default=np.inf)
     return replace(model, limits=np.array([limits.get(x, most) for x in model.langs]))
@@ -279,7 +401,8 @@ def fit(docs: DataFrame, max_grams: int = MAX_GRAMS, calibration_rows: int | Non
     ``calibration_rows`` some so many of each language (a fifth at most) are left out of the counts and give its limit.
     Counts of all orders, discounts and shares are Spark jobs over all n-grams; of their result, each
     language's and order's most frequent n-grams reach the driver, ``max_grams`` of all together (1000 of each at
-    least), which bounds the model whatever the corpus. What is pruned goes to the lower order, exactly. Rows with a
+    least), which bounds the tables whatever the corpus. The others stay in Spark as the model's tail, where ``predict``
+    looks them up, so all n-grams count. Rows with a
     null text or lang are left out; rows that repeat id and text are for calibration together or not at all;
     without any row the model has no language.
     """
@@ -293,7 +416,8 @@ def fit(docs: DataFrame, max_grams: int = MAX_GRAMS, calibration_rows: int | Non
     most = max(1000, max_grams // max(1, ORDER * len(langs)))
     every, _ = settled(levels(counted))  # used three times
     grams, _ = settled(weighed(every))
-    model = assembled(most_frequent(grams, most, ("k", "lang")).select("k", "lang", "gram", "alpha").toPandas(), langs)
+    chosen = most_frequent(grams, most, ("k", "lang"))
+    model = assembled(grams.select("k", "lang", "gram", "alpha").toPandas(), langs) if chosen is grams else tailed(grams, chosen, langs)
     return calibrated(judging.select("text", "lang"), model) if langs else model
 
 
@@ -302,13 +426,22 @@ def predict(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
 
     A text that is null or has no letter is ``und`` with score 0 and rejected. Only the text is looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # max_grams entries at most
+    shared = docs.sparkSession.sparkContext.broadcast(replace(model, tail=None))  # max_grams n-grams at most
+    kinds = "lang_pred string, score double, cross_entropy double, rejected boolean"
+    if model.tail is not None:
+
+        def decide(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+            for total, n in batches:
+                yield shared.value.decided(*_crossed(total, n))
+
+        judged = summed(docs, model, keep).select("_row", F.pandas_udf(decide, kinds).asNondeterministic()("total", "n").alias("_j"))
+        return judged.select(*[F.col("_row")[k].alias(k) for k in keep], "_j.*")
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield shared.value.judge(texts.tolist())
 
-    judge = F.pandas_udf(run, "lang_pred string, score double, cross_entropy double, rejected boolean").asNondeterministic()  # else a filter on its result runs it again
+    judge = F.pandas_udf(run, kinds).asNondeterministic()  # else a filter on its result runs it again
     rows = text_batches(docs).select(F.struct(*keep).alias("_row"), judge(F.col("text").cast("string")).alias("_j"))
     return rows.select(*[F.col("_row")[k].alias(k) for k in keep], "_j.lang_pred", "_j.score", "_j.cross_entropy", "_j.rejected")
 

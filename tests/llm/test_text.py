@@ -103,6 +103,24 @@ def test_language_limits_come_from_rows_left_out(spark, sf):
     assert model.langs == sorted(sizes) and np.isfinite(model.limits).all()
 
 
+def test_language_id_looks_up_the_ngrams_that_its_tables_lack(spark):
+    rng = random.Random(3)
+    letters = {"en": "etaoinshrdlu", "de": "enisratdhulc"}
+    word = lambda lang: "".join(rng.choice(letters[lang]) for _ in range(rng.randint(2, 7)))
+    rows = [(i, " ".join(word(lang) for _ in range(60)), lang, "s", 0) for i, lang in enumerate(["en", "de"] * 20)]
+    docs = spark.createDataFrame(rows, DOC)
+    whole, cut = langid.fit(docs), langid.fit(docs, max_grams=8)
+    assert whole.tail is None and cut.tail is not None and max(map(len, cut.hashes)) < max(map(len, whole.hashes))
+    assert cut.limits == pytest.approx(whole.limits, rel=1e-4)
+    more = docs.unionByName(documents(spark, [None, "", "123", rows[0][1], "zzq qqz \U00010400 xj"], lang=None)).unionByName(docs.limit(3))
+    got, want = ([tuple(r) for r in langid.predict(more, m, ["doc_id", "text"]).collect()] for m in (cut, whole))
+    key = lambda r: (r[0], r[1] or "", r[1] is None)
+    assert len(got) == len(want) == 48
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key)):
+        assert g[:3] == w[:3] and g[5] == w[5]
+        assert [x or 0.0 for x in g[3:5]] == pytest.approx([x or 0.0 for x in w[3:5]], rel=1e-4)
+
+
 def test_language_stage_rejects_foreign_text(spark, sf):
     import corpus_pipeline as p
 
