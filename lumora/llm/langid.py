@@ -135,8 +135,21 @@ def weighed(grams: DataFrame) -> DataFrame:
     return rows.select("k", "lang", "gram", "n", ((F.col("n") - F.col("d")) / F.col("mass")).alias("alpha"))
 
 
-def most_frequent(rows: DataFrame, most: int, group: tuple[str, ...] = ("lang",)) -> DataFrame:
-    """The rows of ``rows`` (group, gram, n) with the highest counts, some ``most`` of each group.
+def room(sizes: dict[tuple[int, str], int], most: int) -> dict[tuple[int, str], int]:
+    """How many n-grams of each (order, language) of ``sizes`` the tables have room for: a language's share of ``most`` is
+    dealt out evenly from the lowest order up, and what an order does not need goes to the higher ones. 1000 at least."""
+    langs = {lang for _, lang in sizes}
+    out = {}
+    for lang in langs:
+        left = most // len(langs)
+        for k in range(1, ORDER + 1):
+            out[k, lang] = max(1000, left // (ORDER + 1 - k))
+            left = max(0, left - min(out[k, lang], sizes.get((k, lang), 0)))
+    return out
+
+
+def most_frequent(rows: DataFrame, most: int | dict[tuple, int], group: tuple[str, ...] = ("lang",)) -> DataFrame:
+    """The rows of ``rows`` (group, gram, n) with the highest counts, some ``most`` of each group (by group, if a dict).
 
     A histogram of the counts, exact up to 64 and then in sixteenths of a power of two, tells from which bin on a
     group's rows are too many; rows of just that bin are kept by their hash, in the share that there is room for.
@@ -147,10 +160,11 @@ def most_frequent(rows: DataFrame, most: int, group: tuple[str, ...] = ("lang",)
     cuts = []
     for at, own in sizes.sort_values("bin", ascending=False).groupby(list(group), sort=False):
         upto = own["k_rows"].cumsum()
-        over = own[upto > most]
+        limit = most[at] if isinstance(most, dict) else most
+        over = own[upto > limit]
         if len(over):
             first = over.iloc[0]
-            cuts.append((*(v.item() if isinstance(v, np.generic) else v for v in at), int(first["bin"]), float((most - (upto[over.index[0]] - first["k_rows"])) / first["k_rows"])))
+            cuts.append((*(v.item() if isinstance(v, np.generic) else v for v in at), int(first["bin"]), float((limit - (upto[over.index[0]] - first["k_rows"])) / first["k_rows"])))
     if not cuts:
         return rows
     kinds = ", ".join(f"_{c} {rows.schema[c].dataType.simpleString()}" for c in group)
@@ -413,10 +427,10 @@ def fit(docs: DataFrame, max_grams: int = MAX_GRAMS, calibration_rows: int | Non
         counting, judging = marked.where("NOT _left"), marked.where("_left")
     counted, _ = settled(gram_counts(counting))
     langs = sorted(r[0] for r in counted.select("lang").distinct().collect())
-    most = max(1000, max_grams // max(1, ORDER * len(langs)))
     every, _ = settled(levels(counted))  # used three times
     grams, _ = settled(weighed(every))
-    chosen = most_frequent(grams, most, ("k", "lang"))
+    sizes = {(r["k"], r["lang"]): r["count"] for r in grams.groupBy("k", "lang").count().collect()}  # a row per order and language
+    chosen = most_frequent(grams, room(sizes, max_grams), ("k", "lang"))
     model = assembled(grams.select("k", "lang", "gram", "alpha").toPandas(), langs) if chosen is grams else tailed(grams, chosen, langs)
     return calibrated(judging.select("text", "lang"), model) if langs else model
 

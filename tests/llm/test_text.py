@@ -121,6 +121,13 @@ def test_language_id_looks_up_the_ngrams_that_its_tables_lack(spark):
         assert [x or 0.0 for x in g[3:5]] == pytest.approx([x or 0.0 for x in w[3:5]], rel=1e-4)
 
 
+def test_room_that_lower_orders_leave_goes_to_higher_ones():
+    sizes = {(k, lang): n for lang in "xy" for k, n in ((1, 30), (2, 700), (3, 10_000), (4, 80_000))}
+    got = langid.room(sizes, 400_000)
+    assert all(got[k] >= n for k, n in sizes.items()) and sum(min(got[k], n) for k, n in sizes.items()) <= 400_000
+    assert langid.room({(1, "x"): 5}, 8) == {(k, "x"): 1000 for k in (1, 2, 3, 4)}
+
+
 def test_language_stage_rejects_foreign_text(spark, sf):
     import corpus_pipeline as p
 
