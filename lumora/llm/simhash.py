@@ -108,7 +108,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 #: Sets that share one shingle beyond which not all of them meet, and rounds in which groups of copies are joined before.
 HOT, ROUNDS = 1024, 2
-#: Bits by which pairs are ruled out before their texts are read; columns of them, of a set and of another.
+#: Bits by which the rounds rule out pairs before their texts are read; columns of them, of a set and of another.
 CHECK_BITS, CHECKS, OTHERS = 192, ("c0", "c1", "c2"), ("t0", "t1", "t2")
 #: Pairs of whole sets, or sets, that are worth a task.
 SETS_A_TASK = 1 << 12
@@ -133,8 +133,8 @@ def segments_for(n: int, least: float, miss: float) -> tuple[int, int]:
 
 
 def check_distance(least: float, miss: float, bits: int = CHECK_BITS) -> int:
-    """Of ``bits`` bits of the SimHashes of two sets at Jaccard similarity ``least``, so many as differ at most but with probability
-    ``miss``."""
+    """Of ``bits`` bits of the SimHashes of two large sets at Jaccard similarity ``least``, so many as differ at most but with
+    probability ``miss``. Sets of a few shingles differ in more: where 4 of 5 are shared, beyond the bits for 1e-9 with 2e-6."""
     share = math.acos(min(1.0, 2 * least / (1 + least))) / math.pi
     beyond, d = 1.0, -1
     while beyond > miss and d < bits:
@@ -210,12 +210,13 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float
     their n and n' shingles, and all of these stand at or behind the first that they share. So that one has o places left in
     either set, and is among the first n - least n + 1. Only these are dealt out, those of a single set go at once, and two
     sets meet where a shingle has places enough left in both. Edited copies of one text that are too far apart to link have
-    their edits first and too few places after them. Pairs too far apart in the check bits go, which loses a pair at
-    ``least`` with probability at most ``miss``; the others are verified on their exact sets.
+    their edits first and too few places after them. All candidates are verified on their exact sets.
 
     Groups of copies are joined first: in ROUNDS rounds each set meets one set of every shingle that it deals out, so k copies
     cost some k pairs a shingle. First it is that with the fewest places before the shingle, which is the least edited copy,
-    then one drawn at random. Then only pairs of sets that are still apart are looked for, all of them: under a shingle
+    then one drawn at random. Pairs too far apart in the check bits, those of SimHashes, wait for the search that follows, as
+    one at ``least`` does with probability ``miss``, or more if its sets are small. This looks for all pairs of sets that are
+    still apart, whatever their bits: under a shingle
     with more than HOT sets, those outside its largest part meet all others; under other ones all sets meet. So no pair is
     left out, and none within a part costs a row.
     """
@@ -244,17 +245,17 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float
     shared, n_shared = settled(shared)
     release(docs.sparkSession)
 
-    def filed_by(part: DataFrame) -> DataFrame:
-        """The shingles that sets share, with the sets' sizes, check bits and parts."""
+    def filed_by(part: DataFrame, *bits: str) -> DataFrame:
+        """The shingles that sets share, with the sets' sizes, parts and check bits ``bits``."""
         known = vertices.join(part.withColumnRenamed("v", "_v"), F.col("v") == F.col("_v"), "left")
-        return narrowed(shared.join(known.select("v", "n", *CHECKS, F.coalesce("component", "v").alias("part")), "v"), n_shared)
+        return narrowed(shared.join(known.select("v", "n", *bits, F.coalesce("component", "v").alias("part")), "v"), n_shared)
 
-    def other_side(side: DataFrame) -> DataFrame:
-        return side.select(F.col("x").alias("tx"), *[F.col(c).alias(f"t{c}") for c in ("v", "n", "left", "part")], *[F.col(c).alias(t) for c, t in zip(CHECKS, OTHERS)])
+    def other_side(side: DataFrame, *bits: str) -> DataFrame:
+        return side.select(F.col("x").alias("tx"), *[F.col(c).alias(f"t{c}") for c in ("v", "n", "left", "part")], *[F.col(c).alias(t) for c, t in zip(bits, OTHERS)])
 
     apart = reduce(Column.__add__, [F.bit_count(F.col(c).bitwiseXOR(F.col(t))) for c, t in zip(CHECKS, OTHERS)])
     enough = F.least("left", "tleft") >= least / (1 + least) * (F.col("n") + F.col("tn")) - 1e-9
-    fits = (F.col("part") != F.col("tpart")) & enough & (F.least("n", "tn") >= least * F.greatest("n", "tn") - 1e-9) & (apart <= check_distance(least, miss))
+    fits = (F.col("part") != F.col("tpart")) & enough & (F.least("n", "tn") >= least * F.greatest("n", "tn") - 1e-9)
     # the smaller set of a pair, of equal ones that with the smaller name, is the other one
     ordered = (F.col("tn") < F.col("n")) | ((F.col("tn") == F.col("n")) & (F.col("tv") < F.col("v")))
 
@@ -307,12 +308,12 @@ def near_copies(docs: DataFrame, least: float = 0.8, width: int = 5, miss: float
     same = checkpointed(rows.join(ids, "doc_id").select("a", F.col("v").alias("b")).where("a <> b").distinct())
 
     def drawn(part: DataFrame, number: int) -> DataFrame:
-        """Pairs of each set with the ones drawn for its shingles, if they are in different parts and fit; two a set at
+        """Pairs of each set with the ones drawn for its shingles, if they are in different parts, fit and are near; two a set at
         most, as the search that follows finds what is still apart. Names are hashes, so that nearest to a random one is a draw."""
-        members = filed_by(part)
+        members = filed_by(part, *CHECKS)
         first = F.col("n") - F.col("left") if number == 0 else F.col("v").bitwiseXOR(F.lit(_signed(xxhash.xxh64_intdigest(b"draw", number))).cast("long"))
         hubs = members.groupBy("x").agg(F.min(F.struct(first.alias("o"), "v", "n", "left", "part", *CHECKS)).alias("h")).select("x", "h.*")
-        pairs = members.join(other_side(hubs), (F.col("x") == F.col("tx")) & fits)
+        pairs = members.join(other_side(hubs, *CHECKS), (F.col("x") == F.col("tx")) & fits & (apart <= check_distance(least, miss)))
         few = pairs.groupBy("v").agg(F.array_distinct(F.array(F.min("tv"), F.max("tv"))).alias("two")).select("v", F.explode("two").alias("tv"))
         return few.select(F.least("v", "tv").alias("a"), F.greatest("v", "tv").alias("b"))
 

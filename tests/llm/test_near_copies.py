@@ -81,6 +81,34 @@ def test_odd_tables(spark):
     assert got == sorted([(5, 5), (5, 5), (None, 5), (9, 9), (9, 9), (12, 9), (None, None)], key=str)
 
 
+def test_check_bits_lose_no_pair(spark, monkeypatch):
+    """Sets of 4 and 5 shingles that share 4 and whose check bits are farther apart than ``miss`` stands for; then all so."""
+    words = "w1926 w1866 w2631 w1351 w2566 w309 w1137 w2245 w722".split()
+    rows = [(1, " ".join(words)), (2, " ".join(words[:8])), (3, "some other text of its own with nine words here")]
+    sets = [simhash.shingles(t) for _, t in rows]
+    apart = int((simhash.long_fingerprint(sets[0], simhash.CHECK_BITS) != simhash.long_fingerprint(sets[1], simhash.CHECK_BITS)).sum())
+    assert len(np.intersect1d(sets[0], sets[1])) == 4 and apart > simhash.check_distance(0.8, 1e-9)
+    got = simhash.near_copies(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 1), (3, 3)]
+    monkeypatch.setattr(simhash, "check_distance", lambda *_: -1)
+    rows = edited()
+    got = simhash.near_copies(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC)).collect()
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] == r["component_id"]) == kept_ids(rows)
+
+
+def test_stage_compares_documents_without_an_id_and_keeps_texts_that_share_one(spark):
+    import corpus_pipeline as p
+
+    words = [f"w{i}" for i in range(100)]
+    base, edit, other = " ".join(words), " ".join([*words[:99], "x"]), " ".join(words[::-1])
+    near = " ".join([*words[:50], "y", *words[51:]])
+    rows = [(None, base), (None, base), (7, edit), (8, near), (None, other), (None, f"{other} z"), (9, "a b c d e f"), (9, "g h i j k l"), (9, "g h i j k l"), (10, "g h i j k l"), (None, None), (None, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC)
+    got = [(r["doc_id"], r["text"]) for r in p.near_dedup(spark, docs, "").collect()]
+    assert len(got) == 5 and sorted(t for i, t in got if i is not None) == sorted([edit, "a b c d e f", "g h i j k l"]) and (9, "g h i j k l") in got
+    assert sorted((t or "").strip()[:4] for i, t in got if i is None) == ["", "w99 "]
+
+
 def test_hot_keys_lose_no_pair(spark, monkeypatch):
     monkeypatch.setattr(simhash, "HOT", 8)
     rows = edited()
